@@ -349,16 +349,15 @@ _STAMP = "'%Y-%m-%dT%H:%M:%SZ'"
 
 def _dense(key: str, rows: str, alias: str) -> str:
     return (
-        f"select {key}, row_number() over (order by substr(md5({key}), 1, 4), {key}) as {alias} "
+        f"select {key}, row_number() over (order by md5({key})) as {alias} "
         f"from (select distinct {key} from {rows})"
     )
 
 
 def _numbered(rows: str, key: str, columns: list[str]) -> str:
     text = ", ".join(f"coalesce(cast({c} as varchar), '~')" for c in columns)
-    order = ", ".join(f"{c} nulls last" for c in columns)
     return (
-        f"select row_number() over (order by substr(md5(concat_ws('|', {text})), 1, 4), {order}) as {key}, "
+        f"select row_number() over (order by md5(concat_ws('|', {text}))) as {key}, "
         f"{', '.join(columns)} from {rows}"
     )
 

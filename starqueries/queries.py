@@ -232,12 +232,15 @@ def _(spark, sf_dir):
 # --- source mapping --------------------------------------------------------------------------
 
 
-def _keys(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Person keys, kept visits and visit keys, each stored once for its several readers."""
+def _keys(
+    spark: SparkSession, sf_dir: str
+) -> tuple[DataFrame, DataFrame, DataFrame, Callable[[str, DataFrame], DataFrame]]:
+    """Person keys, kept visits and visit keys, each stored once for its several readers, and
+    the function that stores them."""
     keep = storage.stored_in(storage.work_folder(spark))
     people = keep("person_keys", mapping.person_keys(views.patients(spark, sf_dir)))
     kept = keep("kept_visits", mapping.kept_visits(views.encounters(spark, sf_dir), people))
-    return people, kept, keep("visit_keys", mapping.visit_keys(kept))
+    return people, kept, keep("visit_keys", mapping.visit_keys(kept)), keep
 
 
 @register("map_person", "select * from m_person")
@@ -248,26 +251,26 @@ def _(spark, sf_dir):
 
 @register("map_visit", "select * from m_visit")
 def _(spark, sf_dir):
-    _, kept, visits = _keys(spark, sf_dir)
+    _, kept, visits, _ = _keys(spark, sf_dir)
     return mapping.map_visit(kept, visits, MODEL)
 
 
 @register("map_condition", "select * from m_condition")
 def _(spark, sf_dir):
-    people, _, visits = _keys(spark, sf_dir)
-    return mapping.map_condition(views.conditions(spark, sf_dir), people, visits, MODEL)
+    people, _, visits, keep = _keys(spark, sf_dir)
+    return mapping.map_condition(views.conditions(spark, sf_dir), people, visits, MODEL, keep)
 
 
 @register("map_drug", "select * from m_drug")
 def _(spark, sf_dir):
-    people, _, visits = _keys(spark, sf_dir)
-    return mapping.map_drug(views.medications(spark, sf_dir), people, visits, MODEL)
+    people, _, visits, keep = _keys(spark, sf_dir)
+    return mapping.map_drug(views.medications(spark, sf_dir), people, visits, MODEL, keep=keep)
 
 
 @register("map_measurement", "select * from m_measurement")
 def _(spark, sf_dir):
-    people, _, visits = _keys(spark, sf_dir)
-    return mapping.map_measurement(views.observations(spark, sf_dir), people, visits, MODEL)
+    people, _, visits, keep = _keys(spark, sf_dir)
+    return mapping.map_measurement(views.observations(spark, sf_dir), people, visits, MODEL, keep)
 
 
 def mapped(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -282,7 +285,7 @@ def _(spark, sf_dir):
 
 @register("mapping_drop_tally", sql.MAPPING_TALLY)
 def _(spark, sf_dir):
-    return mapping.mapping_tally(views.sources(spark, sf_dir), *_keys(spark, sf_dir))
+    return mapping.mapping_tally(views.sources(spark, sf_dir), *_keys(spark, sf_dir)[:3])
 
 
 # --- notes -----------------------------------------------------------------------------------

@@ -1,0 +1,126 @@
+from datetime import date
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tables import D1, D2, rows, table, valid_tables
+from vitalsift.functions import codes
+from vitalsift.operators import explore, latest, summary
+from vitalsift.specs import MODEL, WIDE_MODEL, build_model, require_schema
+
+
+@pytest.fixture(scope="module", params=["int", "bigint"])
+def result(spark, request):
+    model = MODEL if request.param == "int" else WIDE_MODEL
+    person = rows(spark, "person", {}, dict(person_id=2, year_of_birth=1983), model=model)
+    visit = rows(spark, "visit_occurrence", *[
+        dict(visit_occurrence_id=i, visit_concept_id=kind)
+        for i, kind in enumerate([codes.OUTPATIENT, codes.INPATIENT, codes.EMERGENCY, codes.OUTPATIENT])
+    ], model=model)
+    condition = rows(spark, "condition_occurrence", dict(condition_concept_id=codes.DIABETES),
+                     dict(condition_occurrence_id=101, condition_concept_id=codes.HYPERTENSION), model=model)
+    drug = rows(spark, "drug_exposure", {}, model=model)
+    measurement = rows(
+        spark, "measurement",
+        dict(measurement_id=1, measurement_date=date(2019, 1, 1), value_as_number=6.0),
+        dict(measurement_id=2, measurement_date=date(2021, 1, 1), value_as_number=7.5),
+        dict(measurement_id=3, measurement_concept_id=codes.SYSTOLIC_BP, value_as_number=120.0),
+        model=model,
+    )
+    built = summary.person_summary(person, visit, condition, drug, measurement, model=model)
+    return {r["person_id"]: r for r in built.collect()}
+
+
+def test_a_person_with_everything(result):
+    assert result[1].asDict() == dict(
+        person_id=1, age=45, year_of_birth_band="1980s", gender_concept_id=1, total_visit_count=4,
+        outpatient_visit_count=2, inpatient_visit_count=1, er_visit_count=1, condition_count=2,
+        drug_exposure_count=1, measurement_count=3, has_diabetes=True, has_hypertension=True,
+        latest_hba1c=7.5, latest_systolic_bp=120.0, latest_measurement_date=date(2021, 1, 1),
+    )
+
+
+def test_a_person_with_nothing_gets_defaults(result):
+    empty = result[2]
+    assert len(result) == 2
+    assert empty["year_of_birth_band"] == "1980s"
+    assert [empty[c] for c in MODEL.summary.names if c.endswith("_count")] == [0] * 7
+    assert (empty["has_diabetes"], empty["has_hypertension"]) == (False, False)
+    assert (empty["latest_hba1c"], empty["latest_systolic_bp"], empty["latest_measurement_date"]) == (None,) * 3
+
+
+def test_reference_date_sets_the_age(spark):
+    t = valid_tables(spark)
+    built = summary.person_summary(
+        t["person"], t["visit_occurrence"], t["condition_occurrence"], t["drug_exposure"], t["measurement"],
+        reference_date=date(2000, 1, 1),
+    )
+    assert built.first()["age"] == 20
+
+
+@pytest.mark.parametrize("model", [MODEL, WIDE_MODEL], ids=["int", "bigint"])
+def test_same_day_values_go_to_the_higher_id(spark, model):
+    measurement = rows(
+        spark, "measurement",
+        dict(measurement_id=9, value_as_number=1.0), dict(measurement_id=-3, value_as_number=2.0),
+        dict(measurement_id=12, value_as_number=3.0),
+        dict(measurement_id=99, value_as_number=4.0, measurement_date=date(1960, 1, 1)),
+        model=model,
+    )
+    assert latest.latest_lab(measurement).first()["latest_lab_value"] == 3.0
+    by_concept = latest.latest_value_by_concept(measurement, codes.HBA1C, "v").collect()
+    assert [(r["person_id"], r["v"]) for r in by_concept] == [(1, 3.0)]
+
+
+def test_top_recent_breaks_ties_by_id(spark):
+    visits = rows(spark, "visit_occurrence", *[
+        dict(visit_occurrence_id=i, visit_start_date=d) for i, d in [(5, D1), (4, D1), (3, D1), (9, D2)]
+    ])
+    kept = latest.top_recent(visits, "person_id", "visit_start_date", "visit_occurrence_id", 2)
+    assert sorted(r["visit_occurrence_id"] for r in kept.collect()) == [3, 9]
+
+
+def test_schema_contract_names_every_difference(spark):
+    expected = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.LongType())])
+    require_schema(spark.createDataFrame([(1, 2)], "b bigint, a int"), expected, "t")
+    with pytest.raises(ValueError, match=r"missing=\['a'\] extra=\['c'\] type_mismatches=\['b'\]"):
+        require_schema(spark.createDataFrame([(1, 2)], "b int, c int"), expected, "t")
+    assert build_model(T.LongType()) == WIDE_MODEL
+
+
+@pytest.fixture(scope="module")
+def people(spark):
+    return spark.createDataFrame(
+        [(1, "1940s", True, False, 7.0), (2, "1980s", False, False, 8.005), (3, "1940s", True, True, None)],
+        "person_id int, year_of_birth_band string, has_diabetes boolean, has_hypertension boolean, latest_hba1c double",
+    )
+
+
+def test_exploring(people):
+    assert [tuple(r) for r in explore.band_counts(people).collect()] == [("1940s", 2), ("1980s", 1)]
+    shares = explore.prevalence(people, {"diabetes": "has_diabetes", "hypertension": "has_hypertension"})
+    assert [tuple(r) for r in shares.collect()] == [("diabetes", 2, 66.7), ("hypertension", 1, 33.3)]
+    (stats,) = explore.column_summary(people, "latest_hba1c", 2).collect()
+    assert (stats["n"], stats["mean"], stats["std"], stats["min"]) == (2, 7.5, 0.71, 7.0)
+    assert [r["person_id"] for r in explore.preview(people, "person_id", 2).collect()] == [1, 2]
+
+
+def test_exploring_nobody(people):
+    nobody = people.filter(F.lit(False))
+    shares = explore.prevalence(nobody, {"diabetes": "has_diabetes"})
+    assert [tuple(r) for r in shares.collect()] == [("diabetes", 0, None)]
+
+
+def test_count_mismatches(spark):
+    schema = "section string, table string, rows bigint"
+    expected = spark.createDataFrame([("raw", "a", 1), ("raw", "b", 2), ("raw", "c", 3)], schema)
+    actual = spark.createDataFrame([("raw", "a", 1), ("raw", "b", 5), ("raw", "d", 4)], schema)
+    found = {r["table"]: (r["expected"], r["actual"]) for r in explore.count_mismatches(expected, actual).collect()}
+    assert found == {"b": (2, 5), "c": (3, None), "d": (None, 4)}
+
+
+def test_count_sections(spark):
+    cleaning = spark.createDataFrame([("person", 5, 3, 2)], "table string, raw bigint, cleaned bigint, dropped bigint")
+    found = {(r["section"], r["table"]): r["rows"] for r in explore.count_sections(cleaning).collect()}
+    assert found == {("raw", "person"): 5, ("cleaned", "person"): 3, ("dropped", "person"): 2}

@@ -1,9 +1,10 @@
 """Dense integer ids 1..n without a global sort.
 
-A ``row_number`` over the whole table runs in one task. Here rows fall into 65,536 buckets by
-the first four hex digits of the key's MD5. Counting the buckets (a small table) gives each its
-first id, and rows are numbered inside their bucket only. The ids depend on the data alone, not
-on how files or partitions are laid out, so a recomputed task yields the same ids.
+A ``row_number`` over the whole table runs in one task. Here the ids follow the MD5 of the key.
+The first four hex digits put the rows into 65,536 buckets of about equal size; counting the
+buckets (a small table) gives each its first id, and rows are numbered inside their bucket only.
+The ids depend on the data alone, not on how files or partitions are laid out, so a recomputed
+task yields the same ids.
 """
 
 from __future__ import annotations
@@ -16,83 +17,83 @@ MAX_BUCKETS = 16**HEX_DIGITS
 COPIES_PER_CHUNK = 100_000
 
 
-def bucket_of(text: Column) -> Column:
-    return F.substring(F.md5(text), 1, HEX_DIGITS)
+def with_digest(df: DataFrame, text: Column) -> DataFrame:
+    """Add the order of the ids, ``_digest``, and the ``_bucket`` it falls in."""
+    return df.withColumn("_digest", F.md5(text)).withColumn(
+        "_bucket", F.substring("_digest", 1, HEX_DIGITS)
+    )
 
 
-def bucket_starts(keyed: DataFrame, weight: Column) -> DataFrame:
-    """Rows ahead of each ``_bucket`` (``_start``) and in it (``_size``).
+def bucket_starts(digested: DataFrame, weight: Column) -> DataFrame:
+    """Ids used up ahead of each ``_bucket``, as ``_start``.
 
     The running sum is over at most ``MAX_BUCKETS`` rows, whatever the table holds.
     """
-    sizes = keyed.groupBy("_bucket").agg(F.sum(weight).alias("_size"))
+    sizes = digested.groupBy("_bucket").agg(F.sum(weight).alias("_size"))
     ahead = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return sizes.withColumn("_start", F.sum("_size").over(ahead) - F.col("_size"))
+    return sizes.select("_bucket", (F.sum("_size").over(ahead) - F.col("_size")).alias("_start"))
 
 
 def dense_ids(keys: DataFrame, key: str, id_column: str) -> DataFrame:
-    """Number the distinct values of ``key`` 1..n, in the order of (MD5 bucket, key).
+    """Number the distinct values of ``key`` 1..n.
 
     Repeated values are combined before the shuffle and share one id.
     """
     distinct = keys.select(key).filter(F.col(key).isNotNull()).distinct()
-    bucketed = distinct.withColumn("_bucket", bucket_of(F.col(key).cast("string")))
+    digested = with_digest(distinct, F.col(key).cast("string"))
     # At most MAX_BUCKETS rows.
-    starts = F.broadcast(bucket_starts(bucketed, F.lit(1)))
-    place = F.row_number().over(Window.partitionBy("_bucket").orderBy(key))
+    starts = F.broadcast(bucket_starts(digested, F.lit(1)))
+    place = F.row_number().over(Window.partitionBy("_bucket").orderBy("_digest", key))
     return (
-        bucketed.withColumn("_place", place)
+        digested.withColumn("_place", place)
         .join(starts, "_bucket")
         .select(key, (F.col("_start") + F.col("_place")).alias(id_column))
     )
 
 
-def row_text(df: DataFrame, columns: list[str]) -> Column:
+def row_text(df: DataFrame) -> Column:
     """All columns of a row as one text; "~" stands for null."""
-    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns])
+    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in df.columns])
 
 
 def dense_row_ids(df: DataFrame, id_column: str) -> DataFrame:
     """Add ids 1..n to every row of a table that has no key, copies of a row included.
 
-    Order: (MD5 bucket of the whole row, row). Copies are combined into one row with a count
-    before anything is shuffled or sorted, numbered as a block, and expanded again; large blocks
-    are cut into chunks that different tasks expand, so no task emits them alone.
+    Copies are combined into one row with a count before anything is sorted, numbered as a
+    block, and expanded again; large blocks are cut into chunks that different tasks expand, so
+    no task emits them alone. The table is read twice: store it first if it is costly.
     """
     columns = df.columns
     unique = df.groupBy(*columns).agg(F.count("*").alias("_copies"))
-    bucketed = unique.withColumn("_bucket", bucket_of(row_text(df, columns)))
+    digested = with_digest(unique, row_text(df))
     # At most MAX_BUCKETS rows.
-    starts = F.broadcast(bucket_starts(bucketed, F.col("_copies")))
+    starts = F.broadcast(bucket_starts(digested, F.col("_copies")))
+    # The columns matter only for rows with equal digests.
     within = (
         Window.partitionBy("_bucket")
-        .orderBy(*[F.col(c).asc_nulls_last() for c in columns])
+        .orderBy("_digest", *[F.col(c).asc_nulls_last() for c in columns])
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     blocks = (
-        bucketed.withColumn("_through", F.sum("_copies").over(within))
+        digested.withColumn("_through", F.sum("_copies").over(within))
         .join(starts, "_bucket")
-        .withColumn("_first", F.col("_start") + F.col("_through") - F.col("_copies") + 1)
         .withColumn("_last", F.col("_start") + F.col("_through"))
-        .select(*columns, "_first", "_last")
+        .withColumn("_first", F.col("_last") - F.col("_copies") + 1)
+        .select(*columns, "_copies", "_first", "_last")
     )
 
     def expand(part: DataFrame) -> DataFrame:
         ids = F.explode(F.sequence("_first", "_last"))
         return part.select(ids.alias(id_column), *columns)
 
-    length = F.col("_last") - F.col("_first") + 1
-    chunk_start = F.explode(
-        F.sequence(F.col("_first"), F.col("_last"), F.lit(COPIES_PER_CHUNK).cast("long"))
-    )
+    chunk_start = F.explode(F.sequence("_first", "_last", F.lit(COPIES_PER_CHUNK).cast("long")))
     # A fixed partition count: adaptive execution would merge these small rows into few tasks.
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunks = (
-        blocks.filter(length > COPIES_PER_CHUNK)
+        blocks.filter(F.col("_copies") > COPIES_PER_CHUNK)
         .withColumn("_from", chunk_start)
         .withColumn("_last", F.least("_last", F.col("_from") + COPIES_PER_CHUNK - 1))
         .withColumn("_first", F.col("_from"))
-        .drop("_from")
         .repartition(tasks, "_first")
     )
-    return expand(blocks.filter(length <= COPIES_PER_CHUNK)).unionByName(expand(chunks))
+    return expand(blocks.filter(F.col("_copies") <= COPIES_PER_CHUNK)).unionByName(expand(chunks))

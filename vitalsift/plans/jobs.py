@@ -124,10 +124,25 @@ def run(
     return metrics
 
 
-def run_from(spark: SparkSession, folder: str, output: str, *, format: str = "csv",
-             model: Model = MODEL, config: JobConfig = DEFAULTS) -> dict:
-    """``run`` on the tables stored in ``folder``."""
-    return run(spark, read_tables(spark, model, folder, format), output, model=model, config=config)
+def run_from(
+    spark: SparkSession,
+    folder: str,
+    output: str,
+    *,
+    format: str = "csv",
+    model: Model = MODEL,
+    config: JobConfig = DEFAULTS,
+) -> dict:
+    """``run`` on the tables stored in ``folder``.
+
+    CSV is loaded once into the shared work folder, because every check and the cleaning would
+    parse it again and a multi-line file cannot be split.
+    """
+    raw = read_tables(spark, model, folder, format)
+    if format == "csv":
+        keep = stored_in(f"{work_folder(spark)}/raw")
+        raw = {name: keep(name, df) for name, df in raw.items()}
+    return run(spark, raw, output, model=model, config=config)
 
 
 def load_manifest(tables: Mapping[str, DataFrame]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
-from collections.abc import Callable, Mapping
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +13,9 @@ from pyspark.sql import types as T
 
 from vitalsift.specs import Model, TableSpec
 
-# Quotes inside a field are doubled, fields may span lines, and no text is trimmed. A header
-# that does not name the schema's columns in order is an error rather than a silent misread.
+# Quotes inside a field are doubled, fields may span lines, and no text is trimmed. An empty
+# field is null, also when it is quoted. A header that does not name the schema's columns in
+# order is an error rather than a silent misread.
 CSV_FORMAT = {"header": True, "quote": '"', "escape": '"', "dateFormat": "yyyy-MM-dd"}
 CSV_READ = {**CSV_FORMAT, "multiLine": True, "enforceSchema": False}
 CSV_WRITE = {**CSV_FORMAT, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
@@ -23,8 +24,7 @@ CSV_WRITE = {**CSV_FORMAT, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhit
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Typed CSV. A field that does not fit its type becomes null; the row stays.
 
-    A multi-line file is read by one task, so large tables should be many files, or be loaded
-    once with ``ingest``.
+    A multi-line file is read by one task, so a large table should be many files.
     """
     return spark.read.options(**CSV_READ).schema(schema).csv(path)
 
@@ -76,12 +76,6 @@ def write_document(spark: SparkSession, document: dict, path: str) -> None:
     ).text(path)
 
 
-def ingest(tables: Mapping[str, DataFrame], folder: str) -> None:
-    """Write each table once as Parquet, which later jobs can split and prune."""
-    for name, df in tables.items():
-        write_parquet(df, f"{folder}/{name}")
-
-
 def work_folder(spark: SparkSession) -> str:
     """A new folder for intermediate tables in the cluster's shared checkpoint folder."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
