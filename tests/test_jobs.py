@@ -1,0 +1,102 @@
+import json
+from dataclasses import replace
+
+import pytest
+
+from tables import rows, valid_tables
+from test_mapping import ROWS, SCHEMAS
+from vitalsift.config import DEFAULTS
+from vitalsift.operators.checks import violated
+from vitalsift.plans import jobs
+from vitalsift.sources import tables as storage
+from vitalsift.specs import MODEL
+
+
+def test_gate_passes_clean_tables(spark):
+    state = jobs.inspect(valid_tables(spark))
+    jobs.require_clean(state)
+    assert state.rows == dict.fromkeys(MODEL, 1) and len(state.report) == 38
+
+
+def test_gate_names_what_it_found(spark):
+    tables = valid_tables(spark)
+    tables["person"] = rows(spark, "person", dict(gender_concept_id=None), dict(person_id=2), dict(person_id=2))
+    message = r"still have 2 violation\(s\): person.null_gender_concept_id=1, person.dup_pk=1"
+    with pytest.raises(jobs.GateError, match=message):
+        jobs.require_clean(jobs.inspect(tables))
+    assert issubclass(jobs.GateError, RuntimeError)
+
+
+def _dirty(spark):
+    tables = valid_tables(spark)
+    tables["person"] = rows(spark, "person", {}, {}, dict(person_id=2, year_of_birth=1983), dict(person_id=3, race_concept_id=None))
+    tables["visit_occurrence"] = rows(spark, "visit_occurrence", {}, dict(visit_occurrence_id=11, person_id=3))
+    return tables
+
+
+def test_a_run_writes_summary_and_metrics(spark, tmp_path):
+    out = str(tmp_path / "out")
+    metrics = jobs.run(spark, _dirty(spark), out)
+    summary = spark.read.parquet(f"{out}/analytic_person")
+    assert {r["person_id"]: r["total_visit_count"] for r in summary.collect()} == {1: 1, 2: 0}
+    assert (tmp_path / "out/analytic_person/year_of_birth_band=1980s").is_dir()
+    counts = metrics["row_counts"]
+    assert (counts["raw"]["person"], counts["cleaned"]["person"], counts["dropped"]["person"]) == (4, 2, 2)
+    assert counts["dropped"]["visit_occurrence"] == 1 and counts["analytic_person"] == 2
+    raw = {(r["table"], r["check"]): r["violations"] for r in metrics["validation"]["raw"]}
+    assert raw["person", "dup_pk"] == 1 and raw["person", "null_race_concept_id"] == 1
+    assert {r["violations"] for r in metrics["validation"]["cleaned"]} == {0}
+    assert set(metrics["timings_seconds"]) == {
+        "validation_raw", "cleaning", "validation_cleaned", "build_and_write", "total"}
+    (line,) = spark.read.text(f"{out}/_metrics").collect()
+    assert json.loads(line[0]) == metrics
+
+
+def test_nothing_is_written_when_the_gate_fails(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "clean_all", lambda raw, model, keep: raw)
+    with pytest.raises(jobs.GateError):
+        jobs.run(spark, _dirty(spark), str(tmp_path / "out"))
+    assert not (tmp_path / "out").exists()
+
+
+def test_a_run_from_csv_equals_a_run_from_parquet(spark, tmp_path):
+    for name, df in _dirty(spark).items():
+        storage.write_csv(df, str(tmp_path / f"{name}.csv"))
+        storage.write_parquet(df, str(tmp_path / name))
+    results = [
+        jobs.run_from(spark, str(tmp_path), str(tmp_path / f"out_{format}"), format=format) for format in ("csv", "parquet")
+    ]
+    for metrics in results:
+        metrics.pop("timings_seconds")
+    assert results[0] == results[1]
+
+
+def test_manifest_and_budget(spark):
+    manifest = jobs.load_manifest(_dirty(spark))
+    assert {r["table"]: r["rows"] for r in manifest.collect()}["person"] == 4
+    row = jobs.row_budget(manifest).first()
+    assert (row["total_rows"], row["over_budget"]) == (10, False)
+    assert jobs.row_budget(manifest, replace(DEFAULTS, row_budget=6)).first()["over_budget"]
+    assert not jobs.row_budget(manifest, replace(DEFAULTS, row_budget=7)).first()["over_budget"]
+
+
+@pytest.mark.parametrize("format", ["parquet", "csv"])
+def test_generate_then_run(spark, tmp_path, format):
+    sources = {name: spark.createDataFrame(ROWS[name], SCHEMAS[name]) for name in SCHEMAS}
+    manifest = jobs.generate(spark, sources, str(tmp_path / "raw"), format=format)
+    # Each table gets at least one duplicate of a row.
+    assert manifest["row_counts"] == {
+        "person": 3, "visit_occurrence": 5, "condition_occurrence": 5, "drug_exposure": 4, "measurement": 4, "note": 5}
+    assert manifest["total_rows"] == 26 and not manifest["over_budget"]
+    assert (manifest["random_seed"], manifest["reference_date"]) == (42, "2025-01-01")
+    metrics = jobs.run_from(spark, str(tmp_path / "raw"), str(tmp_path / "out"), format=format)
+    assert metrics["row_counts"]["raw"] == manifest["row_counts"]
+    assert sum(r["violations"] for r in metrics["validation"]["raw"]) > 0
+    assert sum(r["violations"] for r in metrics["validation"]["cleaned"]) == 0
+
+
+def test_source_exports_can_be_csv(spark, tmp_path):
+    for name in SCHEMAS:
+        storage.write_csv(spark.createDataFrame(ROWS[name], SCHEMAS[name]), str(tmp_path / f"{name}.csv"))
+    sources = {name: storage.read_text(spark, str(tmp_path / f"{name}.csv")) for name in jobs.SOURCES}
+    assert jobs.generate(spark, sources, str(tmp_path / "raw"))["total_rows"] == 26
