@@ -2,9 +2,9 @@ import hashlib
 from datetime import date
 
 import pytest
-from pyspark.sql import functions as F
-
+from vitalsift.operators import lookup as lookups
 from vitalsift.plans import mapping
+from vitalsift.sources.tables import stored_in, work_folder
 from vitalsift.specs import MODEL, WIDE_MODEL
 
 SCHEMAS = {
@@ -66,8 +66,8 @@ def sources(spark):
 
 
 @pytest.fixture(scope="module")
-def tables(sources):
-    return {name: df.cache() for name, df in mapping.map_all(sources).items()}
+def tables(spark, sources):
+    return mapping.map_all(sources, keep=stored_in(work_folder(spark)))
 
 
 def by_digest(keys):
@@ -170,15 +170,7 @@ def test_malformed_visit_times_fail_the_job(spark, sources):
         mapping.kept_visits(broken, mapping.person_keys(sources["patients"])).collect()
 
 
-def test_mapping_the_same_whatever_the_partitions(sources, tables):
-    again = mapping.map_all({name: df.repartition(5) for name, df in sources.items()})
-    for name, df in tables.items():
-        assert sorted(again[name].collect(), key=str) == sorted(df.collect(), key=str)
-
-
-def test_skewed_sources_map_the_same(sources, tables, monkeypatch):
-    from vitalsift.operators import lookup as lookups
-
+def test_mapping_the_same_whatever_partitions_and_skew(spark, sources, tables, monkeypatch):
     measured = lookups.frequent_keys_of
 
     def small(rows, keys, n=2):
@@ -186,6 +178,9 @@ def test_skewed_sources_map_the_same(sources, tables, monkeypatch):
 
     monkeypatch.setattr(lookups, "frequent_keys_of", small)
     monkeypatch.setattr(mapping, "frequent_keys_of", small)
-    again = mapping.map_all(sources)
+    assert lookups.frequent_keys(sources["conditions"], "PATIENT")
+    again = mapping.map_all(
+        {name: df.repartition(5) for name, df in sources.items()}, keep=stored_in(work_folder(spark))
+    )
     for name, df in tables.items():
         assert sorted(again[name].collect(), key=str) == sorted(df.collect(), key=str)
