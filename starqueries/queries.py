@@ -273,19 +273,21 @@ def _(spark, sf_dir):
     return mapping.map_measurement(views.observations(spark, sf_dir), people, visits, MODEL, keep)
 
 
-def mapped(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def exported(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The source exports as stored files, which is how mapping jobs find them."""
     keep = storage.stored_in(storage.work_folder(spark))
-    return mapping.map_all(views.sources(spark, sf_dir), MODEL, keep=keep)
+    return {name: keep(name, df) for name, df in views.sources(spark, sf_dir).items()}
 
 
 @register("map_note", "select * from m_note")
 def _(spark, sf_dir):
-    return mapped(spark, sf_dir)["note"]
+    keep = storage.stored_in(storage.work_folder(spark))
+    return mapping.map_all(exported(spark, sf_dir), MODEL, keep=keep)["note"]
 
 
 @register("mapping_drop_tally", sql.MAPPING_TALLY)
 def _(spark, sf_dir):
-    return mapping.mapping_tally(views.sources(spark, sf_dir), *_keys(spark, sf_dir)[:3])
+    return mapping.mapping_tally(exported(spark, sf_dir), *_keys(spark, sf_dir)[:3])
 
 
 # --- notes -----------------------------------------------------------------------------------
@@ -342,7 +344,9 @@ def _(spark, sf_dir):
 
 @register("injected_report", sql.check_all_sql("i_"))
 def _(spark, sf_dir):
-    return checks.check_all(faults.inject_all(mapped(spark, sf_dir), MODEL), MODEL)
+    output = storage.work_folder(spark)
+    jobs.generate(spark, exported(spark, sf_dir), output, model=MODEL)
+    return checks.check_all(storage.read_tables(spark, MODEL, output, "parquet"), MODEL)
 
 
 # --- exploring -------------------------------------------------------------------------------
@@ -473,6 +477,6 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     output = storage.work_folder(spark)
-    jobs.generate(spark, views.sources(spark, sf_dir), output, model=MODEL)
+    jobs.generate(spark, exported(spark, sf_dir), output, model=MODEL)
     counts = spark.read.json(f"{output}/_manifest").select("row_counts.*")
     return counts.unpivot([], list(MODEL), "table", "rows")
