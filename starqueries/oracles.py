@@ -342,7 +342,7 @@ select case event_type when 'view' then '8480-6' when 'click' then '39156-5'
             when event_type = 'click' then 'kg/m2' when event_type = 'purchase' then 'mg/dL' else '%' end as UNITS
 from events"""
 
-# --- source mapping --------------------------------------------------------------------------
+# --- source mapping (code lists are fixed values) --------------------------------------------------------------------------
 
 _STAMP = "'%Y-%m-%dT%H:%M:%SZ'"
 
@@ -472,6 +472,7 @@ where person_id is null or measurement_date is null or value_as_number is null""
 
 # --- notes -----------------------------------------------------------------------------------
 
+# Names by concept id.
 _CONDITION_NAMES = ["type 2 diabetes", "hypertension", "hyperlipidemia", "anemia", "osteoporosis",
                     "congestive heart failure", "atrial fibrillation", "streptococcal pharyngitis",
                     "a urinary tract infection", "a pulmonary embolism", "osteoarthritis"]

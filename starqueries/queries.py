@@ -203,7 +203,8 @@ def _(spark, sf_dir):
 @register("quarantine_reasons", sql.reasons_sql())
 def _(spark, sf_dir):
     raw = views.tables(spark, sf_dir)
-    removed = cleaning.quarantine_all(raw, cleaning.clean_all(raw, MODEL), MODEL)
+    keep = storage.stored_in(storage.work_folder(spark))
+    removed = cleaning.quarantine_all(raw, cleaning.clean_all(raw, MODEL, keep), MODEL, keep)
     counts = [cleaning.reason_counts(df, name) for name, df in removed.items()]
     result = counts[0]
     for part in counts[1:]:
@@ -226,7 +227,8 @@ for _name, _short in sql.SHORT.items():
 
 @register("gate_report", sql.check_all_sql("c_"))
 def _(spark, sf_dir):
-    return checks.check_all(cleaning.clean_all(views.tables(spark, sf_dir), MODEL), MODEL)
+    keep = storage.stored_in(storage.work_folder(spark))
+    return checks.check_all(cleaning.clean_all(views.tables(spark, sf_dir), MODEL, keep), MODEL)
 
 
 # --- source mapping --------------------------------------------------------------------------

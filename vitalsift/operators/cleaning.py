@@ -17,6 +17,13 @@ from vitalsift.operators.checks import row_rules
 from vitalsift.operators.lookup import FrequentKeys, frequent_keys, lookup
 from vitalsift.specs import ForeignKey, Model, TableSpec
 
+# Stores a named table and returns the stored one, or returns it as it is.
+Keep = Callable[[str, DataFrame], DataFrame]
+
+
+def unchanged(name: str, df: DataFrame) -> DataFrame:
+    return df
+
 
 def drop_missing(df: DataFrame, spec: TableSpec) -> DataFrame:
     """Rows with every required field present."""
@@ -106,7 +113,7 @@ def clean_table(
 def clean_all(
     tables: Mapping[str, DataFrame],
     model: Model,
-    keep: Callable[[str, DataFrame], DataFrame] = lambda name, df: df,
+    keep: Keep = unchanged,
 ) -> dict[str, DataFrame]:
     """Every table cleaned, in the model's order.
 
@@ -133,14 +140,18 @@ def with_reasons(
 
 
 def quarantine(
-    df: DataFrame, spec: TableSpec, parents: Mapping[str, DataFrame] | None = None
+    df: DataFrame,
+    spec: TableSpec,
+    parents: Mapping[str, DataFrame] | None = None,
+    keep: Keep = unchanged,
 ) -> DataFrame:
     """What cleaning removes: the table's columns, ``reasons``, and ``copies``.
 
     Identical rows appear once with their number in ``copies``, so a row repeated very often
-    stays one row. Surplus rows of a key carry the reason ``dup_pk``.
+    stays one row. Surplus rows of a key carry the reason ``dup_pk``. The rows with their reasons
+    are read three times; ``keep`` may store them.
     """
-    flagged = with_reasons(df, spec, parents or {})
+    flagged = keep(f"{spec.name}_with_reasons", with_reasons(df, spec, parents or {}))
     invalid = (
         flagged.filter(F.size("reasons") > 0)
         .groupBy(*df.columns, "reasons")
@@ -183,10 +194,13 @@ def _surplus(df: DataFrame, valid: DataFrame, key: str) -> DataFrame:
 
 
 def quarantine_all(
-    tables: Mapping[str, DataFrame], cleaned: Mapping[str, DataFrame], model: Model
+    tables: Mapping[str, DataFrame],
+    cleaned: Mapping[str, DataFrame],
+    model: Model,
+    keep: Keep = unchanged,
 ) -> dict[str, DataFrame]:
     """The quarantine of every table, references taken from the cleaned tables."""
-    return {name: quarantine(tables[name], model[name], cleaned) for name in model}
+    return {name: quarantine(tables[name], model[name], cleaned, keep) for name in model}
 
 
 def reason_counts(rows: DataFrame, table: str) -> DataFrame:

@@ -11,7 +11,7 @@ that pass gives the table, counting the others gives the tally of lost rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -20,18 +20,13 @@ from pyspark.sql import functions as F
 from vitalsift.config import DEFAULTS, JobConfig
 from vitalsift.functions import codes
 from vitalsift.functions.scalars import days_supplied, lenient_date, lenient_double, strict_date
+from vitalsift.operators.cleaning import Keep, unchanged
 from vitalsift.operators.latest import top_recent
 from vitalsift.operators.lookup import NONE_FREQUENT, frequent_keys_of, lookup
 from vitalsift.operators.numbering import dense_ids, dense_row_ids
 from vitalsift.plans.notes import map_note
 from vitalsift.specs import MODEL, Model, TableSpec
 
-Keep = Callable[[str, DataFrame], DataFrame]
-
-
-def _unchanged(name: str, df: DataFrame) -> DataFrame:
-    return df
-
 
 def typed(df: DataFrame, spec: TableSpec) -> DataFrame:
     """The table's columns in order and type; columns the source lacks are null."""
@@ -137,7 +132,7 @@ _CONDITION_FIELDS = ("person_id", "condition_start_date")
 
 def map_condition(
     conditions: DataFrame, people: DataFrame, visits: DataFrame, model: Model = MODEL,
-    keep: Keep = _unchanged,
+    keep: Keep = unchanged,
 ) -> DataFrame:
     """Whitelisted conditions. Those of a visit that was not kept stay, without the visit."""
     rows = _condition_candidates(conditions, people, visits).filter(_present(*_CONDITION_FIELDS))
@@ -166,7 +161,7 @@ _DRUG_FIELDS = ("person_id", "drug_exposure_start_date")
 
 def map_drug(
     medications: DataFrame, people: DataFrame, visits: DataFrame, model: Model = MODEL,
-    config: JobConfig = DEFAULTS, keep: Keep = _unchanged,
+    config: JobConfig = DEFAULTS, keep: Keep = unchanged,
 ) -> DataFrame:
     """Whitelisted drugs of kept visits."""
     rows = _drug_candidates(medications, people, visits, config).filter(_present(*_DRUG_FIELDS))
@@ -190,7 +185,7 @@ _MEASUREMENT_FIELDS = ("person_id", "measurement_date", "value_as_number")
 
 def map_measurement(
     observations: DataFrame, people: DataFrame, visits: DataFrame, model: Model = MODEL,
-    keep: Keep = _unchanged,
+    keep: Keep = unchanged,
 ) -> DataFrame:
     """Whitelisted measurements of kept visits; an unknown unit is null."""
     rows = _measurement_candidates(observations, people, visits).filter(_present(*_MEASUREMENT_FIELDS))
@@ -210,7 +205,7 @@ def map_all(
     sources: Mapping[str, DataFrame],
     model: Model = MODEL,
     config: JobConfig = DEFAULTS,
-    keep: Keep = _unchanged,
+    keep: Keep = unchanged,
 ) -> dict[str, DataFrame]:
     """All six tables. ``keep`` may store an intermediate table that several steps read."""
     people = keep("person_keys", person_keys(sources["patients"]))
