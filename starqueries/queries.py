@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from starqueries import oracles as sql
 from starqueries import views
-from vitalsift.functions import codes
+from vitalsift.config import DEFAULTS
+from vitalsift.functions import codes, scalars
 from vitalsift.operators import checks, cleaning, explore, faults, latest, sampling, summary
 from vitalsift.plans import jobs, mapping, notes
 from vitalsift.sources import tables as storage
@@ -231,6 +232,140 @@ def _(spark, sf_dir):
     return checks.check_all(cleaning.clean_all(views.tables(spark, sf_dir), MODEL, keep), MODEL)
 
 
+# --- single rules ----------------------------------------------------------------------------
+
+
+def _without_sql(table: str, *prefixes: str) -> str:
+    broken = [c for name, c in sql.RULES[table][1] if name.startswith(prefixes)]
+    return f"select * from v_{sql.SHORT[table]} where not ({' or '.join(f'coalesce({c}, false)' for c in broken)})"
+
+
+@register("drop_missing", _without_sql("drug_exposure", "null_"))
+def _(spark, sf_dir):
+    return cleaning.drop_missing(views.drug_exposure(spark, sf_dir), MODEL["drug_exposure"])
+
+
+@register("drop_bad_dates", _without_sql("condition_occurrence", "bad_date_"))
+def _(spark, sf_dir):
+    return cleaning.drop_bad_dates(views.condition_occurrence(spark, sf_dir), MODEL["condition_occurrence"])
+
+
+@register("drop_negatives", _without_sql("drug_exposure", "neg_"))
+def _(spark, sf_dir):
+    return cleaning.drop_negatives(views.drug_exposure(spark, sf_dir), MODEL["drug_exposure"])
+
+
+@register(
+    "drop_orphans",
+    """select * from v_note
+where visit_occurrence_id is null or visit_occurrence_id in (select visit_occurrence_id from v_visit)""",
+)
+def _(spark, sf_dir):
+    (fk,) = MODEL["note"].foreign_keys
+    return cleaning.drop_orphans(views.note(spark, sf_dir), fk, views.visit_occurrence(spark, sf_dir))
+
+
+@register(
+    "keep_known",
+    "select * from v_measurement where person_id in (select person_id from v_person)",
+)
+def _(spark, sf_dir):
+    (fk,) = MODEL["measurement"].foreign_keys
+    return cleaning.keep_known(views.measurement(spark, sf_dir), fk, views.person(spark, sf_dir))
+
+
+@register(
+    "strict_orphans",
+    """select 'condition_occurrence' as "table", 'orphan_person_id' as "check", count(*) as violations
+from v_condition where person_id not in (select person_id from c_person)
+union all select 'condition_occurrence', 'orphan_visit_occurrence_id', count(*)
+from v_condition where visit_occurrence_id not in (select visit_occurrence_id from c_visit)
+union all select 'drug_exposure', 'orphan_person_id', count(*)
+from v_drug where person_id not in (select person_id from c_person)
+union all select 'measurement', 'orphan_visit_occurrence_id', count(*)
+from v_measurement where visit_occurrence_id not in (select visit_occurrence_id from c_visit)""",
+)
+def _(spark, sf_dir):
+    strict = MODEL.with_checks(strict_keys=True)
+    parents = dict(zip(("person", "visit_occurrence"), cleaned(spark, sf_dir, "person", "visit_occurrence")))
+    wanted = [
+        ("condition_occurrence", "person_id"), ("condition_occurrence", "visit_occurrence_id"),
+        ("drug_exposure", "person_id"), ("measurement", "visit_occurrence_id"),
+    ]
+    found = [
+        checks.orphan_count(views.VIEWS[name](spark, sf_dir), strict[name], fk, parents[fk.parent])
+        for name, column in wanted
+        for fk in strict[name].foreign_keys
+        if fk.column == column
+    ]
+    result = found[0]
+    for part in found[1:]:
+        result = result.unionByName(part)
+    return result
+
+
+# --- scalar functions ------------------------------------------------------------------------
+
+
+@register(
+    "age_and_band",
+    """select person_id, cast(2025 - year_of_birth as int) as age,
+       cast((year_of_birth // 10) * 10 as varchar) || 's' as band from v_person""",
+)
+def _(spark, sf_dir):
+    born = F.col("year_of_birth")
+    return views.person(spark, sf_dir).select(
+        "person_id",
+        scalars.age_at(DEFAULTS.reference_date, born).alias("age"),
+        scalars.decade_band(born).alias("band"),
+    )
+
+
+@register("compact_numbers", "select event_id, printf('%g', value) as text from events")
+def _(spark, sf_dir):
+    return views.read(spark, sf_dir, "events").select(
+        "event_id", scalars.compact_number(F.col("value")).alias("text")
+    )
+
+
+@register(
+    "parsed_medications",
+    """select PATIENT, ENCOUNTER, CODE, cast(try_strptime(START, '%Y-%m-%dT%H:%M:%SZ') as date) as start_date,
+       cast(try_strptime(STOP, '%Y-%m-%dT%H:%M:%SZ') as date) as stop_date,
+       greatest(coalesce(cast(floor((epoch(try_strptime(STOP, '%Y-%m-%dT%H:%M:%SZ'))
+         - epoch(try_strptime(START, '%Y-%m-%dT%H:%M:%SZ'))) / 86400) as int), 30), 1) as days_supply,
+       coalesce(try_cast(DISPENSES as double), 1) as quantity from medications""",
+)
+def _(spark, sf_dir):
+    start, stop = F.col("START"), F.col("STOP")
+    return views.medications(spark, sf_dir).select(
+        "PATIENT",
+        "ENCOUNTER",
+        "CODE",
+        scalars.strict_date(start).alias("start_date"),
+        scalars.lenient_date(stop).alias("stop_date"),
+        scalars.days_supplied(start, stop, DEFAULTS.default_days_supply, DEFAULTS.min_days_supply).alias("days_supply"),
+        F.coalesce(scalars.lenient_double(F.col("DISPENSES")), F.lit(DEFAULTS.default_quantity)).alias("quantity"),
+    )
+
+
+@register(
+    "unit_concepts",
+    """select ENCOUNTER, CODE, UNITS, case CODE when '8480-6' then 1 when '39156-5' then 2 when '2339-0' then 3
+       when '2345-7' then 3 when '4548-4' then 4 end as measurement_concept_id,
+       case UNITS when 'mm[Hg]' then 1 when 'kg/m2' then 2 when 'mg/dL' then 3 when '%' then 4 end as unit_concept_id
+from observations""",
+)
+def _(spark, sf_dir):
+    return views.observations(spark, sf_dir).select(
+        "ENCOUNTER",
+        "CODE",
+        "UNITS",
+        codes.concept_of(F.col("CODE"), codes.MEASUREMENT).alias("measurement_concept_id"),
+        codes.concept_of(F.col("UNITS"), codes.UNIT).alias("unit_concept_id"),
+    )
+
+
 # --- source mapping --------------------------------------------------------------------------
 
 
@@ -245,6 +380,21 @@ def _keys(
     return people, kept, keep("visit_keys", mapping.visit_keys(kept)), keep
 
 
+@register("person_keys", "select * from people")
+def _(spark, sf_dir):
+    return mapping.person_keys(views.patients(spark, sf_dir))
+
+
+@register("kept_visits", "select Id, person_id, visit_concept_id, visit_start_date, visit_end_date from kept_visits")
+def _(spark, sf_dir):
+    return _keys(spark, sf_dir)[1].drop("PATIENT")
+
+
+@register("visit_keys", "select * from visits")
+def _(spark, sf_dir):
+    return _keys(spark, sf_dir)[2]
+
+
 @register("map_person", "select * from m_person")
 def _(spark, sf_dir):
     patients = views.patients(spark, sf_dir)
@@ -300,6 +450,17 @@ def _note_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notes.note_inputs(*cleaned(spark, sf_dir, *names))
 
 
+@register(
+    "concept_history",
+    "select person_id, concat_ws(',', "
+    + ", ".join(f"count(*) filter (where condition_concept_id = {i})" for i in range(1, 12))
+    + ") as conditions from c_condition group by person_id",
+)
+def _(spark, sf_dir):
+    history = notes.condition_history(*cleaned(spark, sf_dir, "condition_occurrence"))
+    return history.withColumn("conditions", F.concat_ws(",", F.col("conditions").cast("array<string>")))
+
+
 @register("note_inputs", sql.note_inputs_report_sql("c_"))
 def _(spark, sf_dir):
     inputs = _note_inputs(spark, sf_dir)
@@ -383,6 +544,19 @@ def _(spark, sf_dir):
     return explore.preview(analytic_person(spark, sf_dir), "person_id", 10)
 
 
+@register(
+    "count_sections",
+    """select section, "table", rows from (
+select 'raw' as section, "table", raw as rows from cleaning_counts
+union all select 'cleaned', "table", cleaned from cleaning_counts
+union all select 'dropped', "table", dropped from cleaning_counts)""",
+)
+def _(spark, sf_dir):
+    raw = views.tables(spark, sf_dir)
+    keep = storage.stored_in(storage.work_folder(spark))
+    return explore.count_sections(cleaning.cleaning_counts(raw, cleaning.clean_all(raw, MODEL, keep)))
+
+
 @register(
     "expected_vs_actual",
     f"""select coalesce(e.section, a.section) as section, coalesce(e."table", a."table") as "table", expected, actual
