@@ -4,7 +4,7 @@ from datetime import timedelta
 
 import pytest
 
-from tables import D1, VALID, counts, rows, table, valid_tables
+from tables import D1, VALID, counts, rows
 from vitalsift.operators import checks, cleaning, faults, sampling
 from vitalsift.specs import MODEL
 

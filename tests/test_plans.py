@@ -4,8 +4,8 @@ import re
 
 import pytest
 
-from tables import rows, table, valid_tables
-from vitalsift.operators import checks, cleaning, faults, latest, sampling, summary
+from tables import valid_tables
+from vitalsift.operators import checks, cleaning, faults, latest, summary
 from vitalsift.sources import tables as storage
 from vitalsift.specs import MODEL
 

@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tables import VALID, rows, table
+from tables import rows
 from vitalsift.operators import cleaning, lookup as lookups, numbering
 from vitalsift.operators.lookup import FrequentKeys, frequent_keys, frequent_keys_of, lookup
 from vitalsift.specs import MODEL
@@ -22,12 +22,27 @@ def skewed(spark):
 def test_frequent_keys_and_their_splits(skewed):
     found = frequent_keys(skewed, "k", rows_per_task=200)
     # 1,000 rows on key 7 plus those that fall on 7 by chance; 500 nulls.
-    assert dict(found.splits) == {7: 6} and found.null_splits == 3
+    assert dict(found.splits) == {"7": 6} and found.null_splits == 3
     assert not frequent_keys(skewed, "k")
     both = frequent_keys_of(skewed, ["id", "k"], rows_per_task=200)
     assert not both["id"] and both["k"] == found
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_measuring_small_and_empty_tables(spark, adaptive):
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        empty = spark.range(0)
+        assert not frequent_keys(empty, "id", 1)
+        assert not frequent_keys(spark.range(0, 100, 1, 8).filter("id = 5"), "id", 1)
+        nulls = spark.range(0, 100, 1, 8).selectExpr("cast(null as int) as k")
+        assert frequent_keys(nulls, "k", 30) == FrequentKeys((), 4)
+        keyed = spark.createDataFrame([(1, "v")], "k int, v string")
+        assert lookup(nulls, keyed, "k", "left", FrequentKeys((), 4)).count() == 100
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi"])
 def test_salted_lookup_equals_plain_join(spark, skewed, how):
     keyed = spark.range(0, 300).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
@@ -44,7 +59,7 @@ def test_salted_rows_of_a_key_spread_over_tasks(spark, skewed):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         keyed = spark.range(0, 300).select(F.col("id").alias("k"), F.lit(1).alias("v"))
-        joined = lookup(skewed, keyed, "k", "left", FrequentKeys(((7, 6),), 6))
+        joined = lookup(skewed, keyed, "k", "left", FrequentKeys((("7", 6),), 6))
         tasks = joined.filter("k = 7").select(F.spark_partition_id().alias("p")).distinct().count()
         assert tasks > 1
         plain = lookup(skewed, keyed, "k", "left", FrequentKeys())
@@ -57,7 +72,7 @@ def test_salted_rows_of_a_key_spread_over_tasks(spark, skewed):
 def test_several_tables_share_the_salt(spark, skewed):
     a = spark.range(0, 300).select(F.col("id").alias("k"), F.col("id").alias("a"))
     b = spark.range(5, 10).select(F.col("id").alias("k"), F.col("id").alias("b"))
-    salted = lookup(skewed, [a, b], "k", "left", FrequentKeys(((7, 4),), 2))
+    salted = lookup(skewed, [a, b], "k", "left", FrequentKeys((("7", 4),), 2))
     plain = skewed.join(a, "k", "left").join(b, "k", "left")
     assert Counter(map(tuple, salted.select(*plain.columns).collect())) == Counter(map(tuple, plain.collect()))
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tables import D1, D2, rows, table, valid_tables
+from tables import D1, D2, rows, valid_tables
 from vitalsift.functions import codes
 from vitalsift.operators import explore, latest, summary
 from vitalsift.specs import MODEL, WIDE_MODEL, build_model, require_schema

@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROWS_PER_TASK = 2_000_000
@@ -19,13 +19,15 @@ ROWS_PER_TASK = 2_000_000
 # pass unnoticed, and are small enough not to matter.
 TRACKED_KEYS = 10_000
 MAX_FREQUENT_KEYS = 1_000
+# Tasks are put into this many groups; each group's sketches are merged by one task.
+SKETCH_GROUPS = 256
 
 
 @dataclass(frozen=True)
 class FrequentKeys:
-    """Keys to spread and the number of tasks for each; null keys counted apart."""
+    """Keys to spread, as text, and the number of tasks for each; null keys counted apart."""
 
-    splits: tuple[tuple[object, int], ...] = ()
+    splits: tuple[tuple[str, int], ...] = ()
     null_splits: int = 1
 
     def __bool__(self) -> bool:
@@ -46,20 +48,38 @@ def frequent_keys_of(
     """``frequent_keys`` for several columns in one scan.
 
     A frequent-items sketch keeps a bounded number of counters per task, so nothing is shuffled
-    by key and at most ``MAX_FREQUENT_KEYS`` small rows per column reach the driver.
+    by key. Each group of tasks hands on at most ``MAX_FREQUENT_KEYS`` keys per column, and at
+    most as many small rows reach the driver.
     """
-    sketches = [F.expr(f"approx_top_k(`{k}`, {MAX_FREQUENT_KEYS}, {TRACKED_KEYS})").alias(k) for k in keys]
-    found = rows.agg(*sketches).first()
+    group = F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("_group")
+    sketches = rows.groupBy(group).agg(
+        *[F.expr(f"approx_top_k(`{k}`, {MAX_FREQUENT_KEYS}, {TRACKED_KEYS})").alias(k) for k in keys]
+    )
+
+    def entries(key: str) -> Column:
+        return F.transform(
+            key,
+            lambda entry: F.struct(
+                F.lit(key).alias("key"),
+                entry["item"].cast("string").alias("item"),
+                entry["count"].alias("rows"),
+            ),
+        )
+
+    found = (
+        sketches.select(F.inline(F.concat(*[entries(k) for k in keys])))
+        .groupBy("key", "item")
+        .agg(F.sum("rows").alias("rows"))
+        .filter(F.col("rows") > rows_per_task)
+        .orderBy(F.col("rows").desc(), "key", "item")
+        .limit(MAX_FREQUENT_KEYS)
+        .collect()
+    )
     result = {}
     for key in keys:
-        splits, null_splits = [], 1
-        for item, count in found[key] or ():
-            tasks = -(-count // rows_per_task)
-            if tasks > 1 and item is None:
-                null_splits = tasks
-            elif tasks > 1:
-                splits.append((item, tasks))
-        result[key] = FrequentKeys(tuple(splits), null_splits)
+        tasks = {e["item"]: -(-e["rows"] // rows_per_task) for e in found if e["key"] == key}
+        null_splits = tasks.pop(None, 1)
+        result[key] = FrequentKeys(tuple(tasks.items()), null_splits)
     return result
 
 
@@ -82,7 +102,9 @@ def lookup(
     key_type = rows.schema[on].dataType.simpleString()
     # At most MAX_FREQUENT_KEYS rows.
     hot = F.broadcast(
-        rows.sparkSession.createDataFrame(list(frequent.splits), f"`{on}` {key_type}, _splits int")
+        rows.sparkSession.createDataFrame(list(frequent.splits), "_text string, _splits int").select(
+            F.col("_text").cast(key_type).alias(on), "_splits"
+        )
     )
     # The salt is the task that reads the row, modulo the number of splits: it spreads identical
     # copies too and is the same when a lost task runs again.
