@@ -8,6 +8,7 @@ is frequent the plan is a plain join. The choice of keys affects speed only, nev
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 from functools import reduce
 
@@ -20,7 +21,7 @@ ROWS_PER_TASK = 2_000_000
 TRACKED_KEYS = 10_000
 MAX_FREQUENT_KEYS = 1_000
 # Tasks are put into this many groups; each group's sketches are merged by one task.
-SKETCH_GROUPS = 256
+SKETCH_GROUPS = 64
 
 
 @dataclass(frozen=True)
@@ -48,8 +49,9 @@ def frequent_keys_of(
     """``frequent_keys`` for several columns in one scan.
 
     A frequent-items sketch keeps a bounded number of counters per task, so nothing is shuffled
-    by key. Each group of tasks hands on at most ``MAX_FREQUENT_KEYS`` keys per column, and at
-    most as many small rows reach the driver.
+    by key. Each group of tasks reports at most ``MAX_FREQUENT_KEYS`` keys per column, and only
+    those with more than a group's share of ``rows_per_task``: usually none, and never more than
+    a few ten thousand small rows for the driver to add up.
     """
     group = F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("_group")
     sketches = rows.groupBy(group).agg(
@@ -57,8 +59,9 @@ def frequent_keys_of(
     )
 
     def entries(key: str) -> Column:
+        large = F.filter(key, lambda entry: entry["count"] * SKETCH_GROUPS > rows_per_task)
         return F.transform(
-            key,
+            large,
             lambda entry: F.struct(
                 F.lit(key).alias("key"),
                 entry["item"].cast("string").alias("item"),
@@ -66,20 +69,15 @@ def frequent_keys_of(
             ),
         )
 
-    found = (
-        sketches.select(F.inline(F.concat(*[entries(k) for k in keys])))
-        .groupBy("key", "item")
-        .agg(F.sum("rows").alias("rows"))
-        .filter(F.col("rows") > rows_per_task)
-        .orderBy(F.col("rows").desc(), "key", "item")
-        .limit(MAX_FREQUENT_KEYS)
-        .collect()
-    )
+    totals = {key: Counter() for key in keys}
+    for found in sketches.select(F.inline(F.concat(*[entries(k) for k in keys]))).collect():
+        totals[found["key"]][found["item"]] += found["rows"]
     result = {}
-    for key in keys:
-        tasks = {e["item"]: -(-e["rows"] // rows_per_task) for e in found if e["key"] == key}
+    for key, counts in totals.items():
+        tasks = {item: -(-n // rows_per_task) for item, n in counts.most_common(MAX_FREQUENT_KEYS)}
         null_splits = tasks.pop(None, 1)
-        result[key] = FrequentKeys(tuple(tasks.items()), null_splits)
+        splits = tuple((item, n) for item, n in tasks.items() if n > 1)
+        result[key] = FrequentKeys(splits, null_splits)
     return result
 
 
