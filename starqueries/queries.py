@@ -205,7 +205,10 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     raw = views.tables(spark, sf_dir)
     keep = storage.stored_in(storage.work_folder(spark))
-    removed = cleaning.quarantine_all(raw, cleaning.clean_all(raw, MODEL, keep), MODEL, keep)
+    # Only the tables that foreign keys name have to be cleaned.
+    parents = dict(zip(("person", "visit_occurrence"), cleaned(spark, sf_dir, "person", "visit_occurrence")))
+    parents = {name: keep(name, df) for name, df in parents.items()}
+    removed = cleaning.quarantine_all(raw, parents, MODEL, keep)
     counts = [cleaning.reason_counts(df, name) for name, df in removed.items()]
     result = counts[0]
     for part in counts[1:]:

@@ -158,11 +158,12 @@ def quarantine(
         .agg(F.count("*").alias("copies"))
     )
     valid = flagged.filter(F.size("reasons") == 0).drop("reasons")
-    return invalid.unionByName(_surplus(df, valid, spec.key))
+    # The key is measured where reading it is cheap: in the stored rows, or in the table itself.
+    return invalid.unionByName(_surplus(df if keep is unchanged else flagged, valid, spec.key))
 
 
 def _surplus(df: DataFrame, valid: DataFrame, key: str) -> DataFrame:
-    """Valid rows that de-duplication removes.
+    """Valid rows that de-duplication removes; ``df`` holds their keys, among others.
 
     Only rows whose key occurs twice go through the comparison with the row that is kept. The
     key is compared as text so that null keys, which form one group, can be joined as well.
