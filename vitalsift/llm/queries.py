@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitalsift.llm import grammar, packing
+from vitalsift.llm import archive, grammar, packing, pieces, private
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,13 +17,43 @@ def op5_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grammar.token_files(table(spark, sf_dir, "documents"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest_columns(pieces.encode_decode(table(spark, sf_dir, "documents")))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private.digest_columns(private.find_private(table(spark, sf_dir, "documents")))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive.archive_pages(table(spark, sf_dir, "pages"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_id_output": op5_token_id_output,
+    "op6_sentencepiece": op6_sentencepiece,
+    "op7_pii": op7_pii,
+    "op9_warc": op9_warc,
     "op10_packing": op10_packing,
 }
 
-ORACLES: dict[str, str] = {}
+_BASE32_SHA1 = """(
+  SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((('0x' || substr(d.hex, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31 AS INT) + 1, 1), ''
+    ORDER BY i) FROM range(32) t(i))"""
+
+ORACLES: dict[str, str] = {
+    "op9_warc": f"""
+WITH d AS (
+  SELECT page_id, sha1(coalesce(html, '')) AS hex,
+         octet_length(encode(coalesce(html, ''))) AS payload_bytes FROM pages),
+r AS (SELECT hex, max(page_id) AS response FROM d GROUP BY hex)
+SELECT d.page_id, d.payload_bytes::BIGINT AS payload_bytes, {_BASE32_SHA1} AS payload_digest,
+       CASE WHEN d.page_id = r.response THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN d.page_id <> r.response THEN r.response END AS refers_to
+FROM d JOIN r USING (hex)""",
+}
