@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitalsift.llm import archive, grammar, packing, pieces, private
+from vitalsift.llm import archive, grammar, packing, pieces, private, secret_scan
+from vitalsift.llm.common import Workspace
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +26,11 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private.digest_columns(private.find_private(table(spark, sf_dir, "documents")))
 
 
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    work = Workspace(spark, "secrets")
+    return secret_scan.digest_columns(secret_scan.find_secrets(work, table(spark, sf_dir, "documents")))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.archive_pages(table(spark, sf_dir, "pages"))
 
@@ -37,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_id_output": op5_token_id_output,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_pii": op7_pii,
+    "op8_secret_scans": op8_secret_scans,
     "op9_warc": op9_warc,
     "op10_packing": op10_packing,
 }
