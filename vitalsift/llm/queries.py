@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitalsift.llm import archive, grammar, packing, pieces, private, secret_scan
+from vitalsift.llm import archive, fingerprints, grammar, packing, pieces, private, secret_scan
 from vitalsift.llm.common import Workspace
 
 
@@ -14,6 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grammar.token_files(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_document_fingerprints": op3_document_fingerprints,
     "op5_token_id_output": op5_token_id_output,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_pii": op7_pii,
