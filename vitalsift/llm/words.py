@@ -35,6 +35,33 @@ class Slots(dict):
         return slot
 
 
+class Ragged:
+    """A growing list of id sequences in flat arrays."""
+
+    def __init__(self) -> None:
+        self.n = self.used = 0
+        self.starts = np.zeros(1 << 12, np.int64)
+        self.lengths = np.zeros(1 << 12, np.int64)
+        self.flat = np.zeros(1 << 14, np.uint32)
+
+    def extend(self, flat: np.ndarray, lengths: np.ndarray) -> None:
+        n, used = self.n + len(lengths), self.used + len(flat)
+        if n > len(self.starts):
+            self.starts = np.resize(self.starts, 2 * n)
+            self.lengths = np.resize(self.lengths, 2 * n)
+        if used > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * used)
+        self.starts[self.n : n] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[self.n : n] = lengths
+        self.flat[self.used : used] = flat
+        self.n, self.used = n, used
+
+    def gather(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the sequences numbered ``which``, one after another, and their lengths."""
+        lengths = self.lengths[which]
+        return self.flat[ragged(self.starts[which], lengths)], lengths
+
+
 class WordEncoder:
     """Encodes lists of texts with ``add_special_tokens=False`` and an end id after each."""
 
@@ -47,19 +74,20 @@ class WordEncoder:
         self.remembered = remembered
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.size = max([end_id, *vocabulary.values()]) + 1
-        self.closing = [False] * self.size
-        for piece, k in vocabulary.items():
-            self.closing[k] = piece.endswith("</w>")
-        self._forget()
+        self.closing = np.zeros(self.size, bool)
+        self.closing[[k for piece, k in vocabulary.items() if piece.endswith("</w>")]] = True
+        self._forget_words()
+        self._forget_pieces()
 
-    def _forget(self) -> None:
-        self.slots = Slots()
+    def _forget_words(self) -> None:
+        self.slots, self.words = Slots(), Ragged()
         # Slot 0 is the end id; no part of a text is None.
         self.slots[None] = 0
-        self.known: dict[str, tuple[int, ...]] = {"": ()}
-        self.starts = np.zeros(1, np.int64)
-        self.lengths = np.ones(1, np.int64)
-        self.flat = np.array([self.end_id], np.uint32)
+        self.slots.new = []
+        self.words.extend(np.array([self.end_id], np.uint32), np.ones(1, np.int64))
+
+    def _forget_pieces(self) -> None:
+        self.piece_slots, self.pieces = Slots(), Ragged()
 
     def _split(self, word: str) -> tuple[str, str]:
         """Pieces that the tokenizer encodes apart: Latin letters and the marks after them.
@@ -68,44 +96,60 @@ class WordEncoder:
         normal form of these letters do not depend on their neighbours. Any other part stays whole.
         """
         core = word.rstrip(".,;:!?")
-        if core.isalpha() and max(core) < "\u0250" and core.lower().isalpha():
-            return core.lower(), word[len(core) :]
+        if core.isalpha() and (core.isascii() or max(core) < "\u0250"):
+            low = core.lower()
+            if low.isalpha():
+                return low, word[len(core) :]
         return word, ""
 
-    def _learn_parts(self, parts: list[str]) -> None:
-        """Remember the ids of parts; words of letters only go to the library many at a time."""
-        plain = [p for p in parts if p.isalpha() and max(p) < "\u0250"]
-        other = [p for p in parts if not (p.isalpha() and max(p) < "\u0250")]
-        for at in range(0, len(plain), 256):
-            group = plain[at : at + 256]
-            ids = tuple(self.tokenizer.encode(" ".join(group), add_special_tokens=False).ids)
-            # Each word of letters ends with exactly one id that closes a word.
-            ends = [k for k, closes in enumerate(map(self.closing.__getitem__, ids), 1) if closes]
+    def _encode_pieces(self, pieces: list[str]) -> None:
+        """Remember the ids of pieces; those of letters go to the library many at a time."""
+        letters = [p.isalpha() and (p.isascii() or max(p) < "\u0250") for p in pieces]
+        lengths = np.zeros(len(pieces), np.int64)
+        found: list = [None] * len(pieces)
+        plain = [k for k, only in enumerate(letters) if only]
+        alone = [k for k, only in enumerate(letters) if not only]
+        for at in range(0, len(plain), 512):
+            group = plain[at : at + 512]
+            text = " ".join([pieces[k] for k in group])
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+            # A word of letters ends with the only id of it that closes a word.
+            ends = np.flatnonzero(self.closing[ids]) + 1
             if len(ends) != len(group):
-                other += group
+                alone += group
                 continue
-            before = 0
-            for part, end in zip(group, ends, strict=True):
-                self.known[part] = ids[before:end]
-                before = end
-        for part, found in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
-            self.known[part] = tuple(found.ids)
+            found[group[0]] = ids
+            lengths[group] = np.diff(ends, prepend=0)
+        apart = {}
+        for k, each in zip(alone, self.tokenizer.encode_batch_fast([pieces[k] for k in alone], add_special_tokens=False), strict=True):
+            apart[k] = np.array(each.ids, np.uint32)
+            lengths[k] = len(apart[k])
+        # A group's ids follow one another, although pieces encoded alone may stand between.
+        order = [k for k in plain if k not in apart] + alone
+        flat = [found[k] for k in plain if found[k] is not None] + [apart[k] for k in alone]
+        place = np.empty(len(pieces), np.int64)
+        place[order] = np.arange(len(order))
+        sizes = lengths[order]
+        starts = np.cumsum(sizes) - sizes
+        ids = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
+        self.pieces.extend(ids[ragged(starts[place], lengths)], lengths)
 
     def _learn(self) -> None:
         words, self.slots.new = self.slots.new, []
-        split = [self._split(w) for w in words]
-        self._learn_parts(list({p for pair in split for p in pair if p not in self.known}))
-        found = [self.known[core] + self.known[tail] for core, tail in split]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.flat = np.concatenate([self.flat, flat])
+        if len(self.piece_slots) > 2 * self.remembered:
+            self._forget_pieces()
+        slots = np.fromiter(
+            map(self.piece_slots.__getitem__, chain.from_iterable(map(self._split, words))), np.int64, 2 * len(words)
+        )
+        new, self.piece_slots.new = self.piece_slots.new, []
+        self._encode_pieces(new)
+        flat, lengths = self.pieces.gather(slots)
+        self.words.extend(flat, lengths.reshape(-1, 2).sum(axis=1))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order (uint32), and the number of ids of each text, end id included."""
         if len(self.slots) > self.remembered:
-            self._forget()
+            self._forget_words()
         words: list = []
         parts = np.zeros(len(texts), np.int64)
         for k, text in enumerate(texts):
@@ -116,8 +160,7 @@ class WordEncoder:
         slots = np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
         if self.slots.new:
             self._learn()
-        lengths = self.lengths[slots]
-        ids = self.flat[ragged(self.starts[slots], lengths)]
+        ids, lengths = self.words.gather(slots)
         if not texts:
             return ids, parts
         return ids, np.add.reduceat(lengths, np.cumsum(parts) - parts)
