@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitalsift.llm import archive, fingerprints, grammar, packing, pieces, private, secret_scan
+from vitalsift.llm import archive, fingerprints, grammar, language, neardup, packing, pieces, private, secret_scan, vectors
 from vitalsift.llm.common import Workspace
 
 
@@ -14,10 +14,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.find_near_duplicates(Workspace(spark, "vectors"), table(spark, sf_dir, "embeddings"))
+
+
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.find_near_duplicates(Workspace(spark, "neardup"), table(spark, sf_dir, "documents"))
+
+
 def op5_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grammar.token_files(table(spark, sf_dir, "documents"))
 
@@ -44,7 +56,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_document_fingerprints": op3_document_fingerprints,
+    "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_token_id_output": op5_token_id_output,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_pii": op7_pii,
