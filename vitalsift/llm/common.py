@@ -31,6 +31,9 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+_open: list[Workspace] = []
+
+
 class Workspace:
     """Tables of one run, written once and read back, so that no step is computed twice.
 
@@ -41,6 +44,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, purpose: str):
         self.spark = spark
         self.folder = shared_folder(spark, purpose)
+        _open.append(self)
 
     def store(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.folder}/{name}"
@@ -53,6 +57,17 @@ class Workspace:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def opened() -> int:
+    """The number of runs whose folders are there, to be passed to ``remove_workspaces``."""
+    return len(_open)
+
+
+def remove_workspaces(after: int) -> None:
+    """Delete the folders of the runs begun since ``opened``; their results must not be in use."""
+    while len(_open) > after:
+        _open.pop().remove()
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Let no Arrow batch hold more than ``rows`` rows in this session.
 

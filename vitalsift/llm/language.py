@@ -263,34 +263,49 @@ def fit(documents: DataFrame, seed: int = 9) -> Network | None:
     return train(windows, labels, languages, seed=seed)
 
 
-def predict(documents: DataFrame, network: Network | None, columns: list[str]) -> DataFrame:
-    """``columns`` of every row with ``lang_pred`` and ``score``, the mean probability of that language.
+def predict(
+    documents: DataFrame, network: Network | None, columns: list[str], names: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
+    """``columns`` of every row, its language, and the mean probability of that language.
 
     A text that is null or has no letter is ``und`` with score 0, as is every text when there
     was nothing to learn from. Whole texts are read, window by window, in bounded batches.
+    ``names`` are those of the two new columns.
     """
     small_batches(documents.sparkSession)
+    rows = documents.select(*columns, F.when(has_letter(F.col("text")), F.col("text")).alias("_read"))
+    if "text" in columns:
+        # The text travels once; a flag says whether it is to be read.
+        rows = documents.select(*columns, has_letter(F.col("text")).alias("_letters"))
+    if network is None:
+        return documents.select(*columns, F.lit(UNKNOWN).alias(names[0]), F.lit(0.0).alias(names[1]))
+    source = "text" if "text" in columns else "_read"
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in text_slices(batches, "_text", 1 << 19):
+        for part, data, offsets in text_slices(batches, source, 1 << 19):
             odds = document_odds(network, data, offsets)
             best = odds.argmax(axis=1)
             letters = np.diff(offsets) > 0
+            if source == "text":
+                letters = part.column(len(columns)).to_numpy(zero_copy_only=False).astype(bool)
             langs = [network.languages[k] if ok else UNKNOWN for k, ok in zip(best, letters, strict=True)]
             scores = np.where(letters, odds[np.arange(len(best)), best], 0.0).clip(0, 1)
             yield pa.RecordBatch.from_arrays(
                 [*[part.column(k) for k in range(len(columns))], pa.array(langs, pa.string()), pa.array(scores)],
-                names=[*columns, "lang_pred", "score"],
+                names=[*columns, *names],
             )
 
-    read = F.col("text") if network else F.lit(None).cast("string")
-    rows = documents.select(*columns, F.when(has_letter(F.col("text")), read).alias("_text"))
-    if network is None:
-        return rows.select(*columns, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    schema = rows.drop("_text").schema.add("lang_pred", "string").add("score", "double")
+    schema = documents.select(*columns).schema.add(names[0], "string").add(names[1], "double")
     return rows.mapInArrow(predicted, schema)
 
 
+def filter_documents(documents: DataFrame) -> DataFrame:
+    """``documents`` without those of no language (``und``); a missing lang becomes the predicted one."""
+    language, score = "_language", "_language_score"
+    found = predict(documents, fit(documents), documents.columns, (language, score)).filter(F.col(language) != UNKNOWN)
+    return found.withColumn("lang", F.coalesce("lang", language)).select(*documents.columns)
+
+
 def identify(documents: DataFrame) -> DataFrame:
     """``doc_id``, ``held_out``, ``lang_pred`` and ``score`` of every document.
 

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalsift.llm.common import Workspace, components, small_batches, text_slices
@@ -233,6 +233,21 @@ def find_near_duplicates(
     return rows.withColumn("kept", F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id")))
 
 
+def keep_one(work: Workspace, documents: DataFrame) -> DataFrame:
+    """``documents`` with one row of each component: that of the smallest doc_id.
+
+    Of rows with one id the one with the smallest text stays. Rows without an id have no
+    component and all stay.
+    """
+    found = find_near_duplicates(work, documents)
+    gone = work.store("gone", found.filter(~F.col("kept")).select("doc_id").distinct())
+    twice = Window.partitionBy("doc_id").orderBy("text")
+    own = documents.filter("doc_id is not null")
+    # The join has dealt the rows by id, so numbering rows of one id needs no further shuffle.
+    kept = own.join(gone, "doc_id", "left_anti").withColumn("_copy", F.row_number().over(twice)).filter("_copy = 1")
+    return kept.select(*documents.columns).unionByName(documents.filter("doc_id is null"))
+
+
 def _remaining(work: Workspace, open_: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, margin: float) -> DataFrame:
     """Links between members of one bucket that are in different components, pair by pair.
 
