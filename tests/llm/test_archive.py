@@ -1,0 +1,89 @@
+import base64
+import hashlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from vitalsift.llm import archive
+from vitalsift.llm.common import Workspace
+
+SCHEMA = "page_id long, url string, html string, digest string, is_page boolean, refers_to long"
+
+
+def pages(spark, rows):
+    return spark.createDataFrame([(i, u, h, "d", True, 7) for i, u, h in rows], SCHEMA)
+
+
+def sha(text):
+    return base64.b32encode(hashlib.sha1((text or "").encode()).digest()).decode()
+
+
+def test_pages_come_back_with_their_revisits(spark):
+    rows = [(k, f"http://h/{k}\r\nx", "same" if k % 3 else f"<p>é {k}</p>") for k in range(60)]
+    rows += [(100, None, None), (101, "u", ""), (102, "u", "x" * 300_000), (103, "", "\r\n\r\nWARC/1.1\r\n")]
+    found = archive.archive_pages(pages(spark, rows).repartition(7), roll_bytes=2_000).collect()
+    last = {}
+    for i, _, h in rows:
+        last[h or ""] = max(i, last.get(h or "", -1))
+    expected = [
+        (i, len((h or "").encode()), sha(h), "response" if last[h or ""] == i else "revisit", None if last[h or ""] == i else last[h or ""])
+        for i, _, h in rows
+    ]
+    assert sorted(map(tuple, found)) == sorted(expected)
+
+
+def test_repeated_rows_and_missing_ids(spark):
+    rows = [(1, "u", "a"), (1, "u", "a"), (1, "u", "b"), (None, "u", "a"), (None, "v", "c"), (None, "v", "c")]
+    found = archive.archive_pages(pages(spark, rows)).collect()
+    kinds = sorted((r["page_id"] or 0, r["payload_digest"] == sha("a"), r["record_type"], r["refers_to"] or 0) for r in found)
+    assert kinds == sorted([
+        (1, True, "response", 0), (1, True, "revisit", 1), (1, False, "response", 0),
+        (0, True, "revisit", 1), (0, False, "response", 0), (0, False, "revisit", 0),
+    ])
+
+
+def test_no_pages(spark):
+    assert archive.archive_pages(pages(spark, [])).collect() == []
+
+
+def test_files_roll_are_committed_and_deterministic(spark):
+    rows = [(k, "u", hashlib.sha512(str(k).encode()).hexdigest() * 4) for k in range(50)]
+    names = []
+    for order in (rows, rows[::-1]):
+        work = Workspace(spark, "archives")
+        manifest = archive.write_archives(work, pages(spark, order).coalesce(1), roll_bytes=3_000).orderBy("name").collect()
+        names.append([(m["name"], m["records"], m["bytes"], m["digest"]) for m in manifest])
+        files, path = archive.file_system(f"{work.folder}/archives")
+        from pyarrow.fs import FileSelector
+
+        there = sorted(f.base_name for f in files.get_file_info(FileSelector(path)))
+        assert there == sorted(m["name"] for m in manifest)
+        assert len(manifest) > 3 and sum(m["records"] for m in manifest) == 50
+        with files.open_input_file(f"{path}/{manifest[0]['name']}") as f:
+            assert hashlib.sha1(f.read()).hexdigest() == manifest[0]["digest"]
+    assert names[0] == names[1]
+
+
+def test_leftovers_of_a_failed_attempt_are_ignored(spark):
+    work = Workspace(spark, "archives")
+    files, path = archive.file_system(f"{work.folder}/archives")
+    files.create_dir(f"{path}/_temporary", recursive=True)
+    with files.open_output_stream(f"{path}/_temporary/99-pages-000000-00000.warc.gz", compression=None) as f:
+        f.write(b"half a record")
+    archive.write_archives(work, pages(spark, [(1, "u", "a"), (2, "u", "b")]))
+    assert archive.read_archives(spark, f"{work.folder}/archives").count() == 2
+
+
+def test_damage_is_noticed():
+    record = archive.build_record(5, "http://x", b"payload", "2000-01-01T00:00:00Z", None)
+    assert archive.parse_record(record)["payload_bytes"] == 7
+    with pytest.raises(ValueError, match="damaged"):
+        archive.parse_record(record.replace(b"payload\r", b"paylaod\r"))
+
+
+def test_small_payloads_can_stay_apart(spark):
+    work = Workspace(spark, "archives")
+    rows = pages(spark, [(1, "u", "ab"), (2, "u", "ab"), (3, "u", "long one"), (4, "u", "long one")])
+    archive.write_archives(work, rows, least_bytes=5)
+    found = archive.read_archives(spark, f"{work.folder}/archives")
+    assert sorted(r["page_id"] for r in found.filter(F.col("record_type") == "revisit").collect()) == [3]
