@@ -1,3 +1,4 @@
+import random
 from datetime import date
 
 import pytest
@@ -20,6 +21,17 @@ def test_compact_number_prints_like_g(spark, value):
     assert one(spark, scalars.compact_number(F.lit(value))) == f"{value:g}"
 
 
+def test_compact_number_rounds_the_exact_value(spark):
+    """Decimals of seven digits, most of which end in 5, and every kind of special value."""
+    rng = random.Random(1)
+    values = [float(f"{rng.randrange(1_000_000, 10_000_000)}e{rng.randint(-12, 6)}") for _ in range(1_000)]
+    values += [float(f"{rng.randrange(100_000, 1_000_000)}5e{rng.randint(-12, 6)}") for _ in range(2_000)]
+    values += [2.209285, -2.209285, -0.0, float("inf"), float("-inf"), float("nan"), 9999995.0, 1.7e308]
+    found = spark.createDataFrame(list(enumerate(values)), "i int, v double").select(
+        "i", scalars.compact_number(F.col("v")).alias("t")).collect()
+    assert {r["i"]: r["t"] for r in found} == {i: f"{v:g}" for i, v in enumerate(values)}
+
+
 def test_compact_number_of_null(spark):
     assert one(spark, scalars.compact_number(F.lit(None).cast("double"))) is None
 
@@ -38,6 +50,8 @@ def test_decade_band(spark, year, band):
         ("2020-01-05T00:00:00Z", "2020-01-01T00:00:00Z", 1),
         ("2020-01-01T00:00:00Z", None, 30),
         ("soon", "2020-01-01T00:00:00Z", 30),
+        ("2020-01-01T00:00:00.900Z", "2020-01-03T00:00:00.100Z", 1),
+        ("2020-01-01T00:00:00.100Z", "2020-01-03T00:00:00.100Z", 2),
     ],
 )
 def test_days_supplied(spark, start, stop, days):
@@ -67,6 +81,8 @@ def test_dates_do_not_depend_on_the_session_time_zone(spark):
 def test_numbers_from_text(spark):
     found = [one(spark, scalars.lenient_double(F.lit(t))) for t in ("1.5", "many", "NaN", " 2 ")]
     assert found == [1.5, None, None, 2.0]
+    found = [one(spark, scalars.lenient_double(F.lit(t))) for t in ("5d", "5f", "0x1", "1_0", "1e", "", "-1e3", ".5", "Infinity")]
+    assert found == [None, None, None, None, None, None, -1000.0, 0.5, float("inf")]
 
 
 def test_ages(spark):

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SECONDS_PER_DAY = 86_400
+MICROS_PER_DAY = 86_400_000_000
+# Text of a number: digits with a sign, a point or an exponent, or the word for infinity.
+NUMBER = r"^\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity))\s*$"
 
 
 def lenient_date(text: Column) -> Column:
@@ -23,9 +26,11 @@ def strict_date(text: Column) -> Column:
 
 
 def lenient_double(text: Column) -> Column:
-    """Number in a string; text that is no number becomes null."""
-    number = text.try_cast("double")
-    return F.when(~F.isnan(number), number)
+    """Number in a string; text that is no number becomes null.
+
+    A cast alone would also read Java literals such as "5d".
+    """
+    return F.when(text.rlike(NUMBER), F.trim(text).try_cast("double"))
 
 
 def days_supplied(start: Column, stop: Column, default: int, floor: int) -> Column:
@@ -34,8 +39,8 @@ def days_supplied(start: Column, stop: Column, default: int, floor: int) -> Colu
     Counts full 24-hour spans, not calendar days. ``default`` when either end is missing or
     malformed, never below ``floor``.
     """
-    seconds = F.unix_seconds(stop.try_cast("timestamp")) - F.unix_seconds(start.try_cast("timestamp"))
-    days = F.floor(seconds / SECONDS_PER_DAY).cast("int")
+    elapsed = F.unix_micros(stop.try_cast("timestamp")) - F.unix_micros(start.try_cast("timestamp"))
+    days = F.floor(elapsed / F.lit(MICROS_PER_DAY)).cast("int")
     return F.greatest(F.coalesce(days, F.lit(default)), F.lit(floor))
 
 
@@ -49,7 +54,7 @@ def age_on(event_date: Column, year_of_birth: Column) -> Column:
 
 def decade_band(year: Column) -> Column:
     """1943 becomes "1940s"."""
-    return F.concat(((year / 10).cast("int") * 10).cast("string"), F.lit("s"))
+    return F.concat((year - year % 10).cast("string"), F.lit("s"))
 
 
 def missing(column: Column, data_type: T.DataType) -> Column:
@@ -59,19 +64,80 @@ def missing(column: Column, data_type: T.DataType) -> Column:
     return column.isNull()
 
 
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _beyond_product(x: Column, a: Column, b: Column) -> Column:
+    """``x - a * b``, exact in sign when the two are close (Dekker's product)."""
+    def halves(whole: Column) -> Column:
+        high = whole * F.lit(134217729.0) - (whole * F.lit(134217729.0) - whole)
+        return F.struct(high.alias("high"), (whole - high).alias("low"))
+
+    def difference(p: Column) -> Column:
+        u, v = p["a"], p["b"]
+        rounded_off = u["low"] * v["low"] - (
+            ((p["ab"] - u["high"] * v["high"]) - u["low"] * v["high"]) - u["high"] * v["low"]
+        )
+        return (x - p["ab"]) - rounded_off
+
+    return _with(F.struct((a * b).alias("ab"), halves(a).alias("a"), halves(b).alias("b")), difference)
+
+
+def _away_from_tie(value: Column) -> Column:
+    """``value``, moved off the middle between two numbers of six digits to the side it is on.
+
+    Formatting rounds the shortest decimal of a double, which may lie exactly in the middle when
+    the double itself does not. Such decimals have seven digits and end in 5. Whether the
+    double is above or below is decided on exact products, for powers of ten up to 22; beyond
+    them a middle is rounded away from zero.
+    """
+    def moved(text: Column) -> Column:
+        digits = F.concat(F.substring(text, 1, 1), F.substring(text, 3, 6)).try_cast("double")
+        exponent = F.split_part(text, F.lit("e"), F.lit(2))
+        power = exponent.try_cast("int") - 6
+        scale = F.pow(F.lit(10.0), F.abs(power).cast("double"))
+        # Below 10 ** 7 the double is scaled up, otherwise the decimal is.
+        above = F.when(power <= 0, -_beyond_product(digits, F.abs(value), scale)).otherwise(
+            _beyond_product(F.abs(value), digits, scale)
+        )
+        even = F.substring(text, 7, 1).isin("0", "2", "4", "6", "8")
+        digit = _with(above, lambda x: F.when((x > 0) | ((x == 0) & ~even), "6").otherwise("4"))
+        beside = F.concat(F.substring(text, 1, 7), digit, F.lit("e"), exponent).try_cast("double")
+        return F.when(F.abs(power) <= 22, beside * F.signum(value)).otherwise(value)
+
+    def decided(text: Column) -> Column:
+        return F.when(text.rlike(r"^[0-9]\.[0-9]{5}50{10}e"), moved(text)).otherwise(value)
+
+    return _with(F.format_string("%.16e", F.abs(value)), decided)
+
+
 def compact_number(value: Column) -> Column:
-    """A number with up to six significant digits and no trailing zeros, as ``%g`` prints it."""
-    text = F.format_string("%.5e", value)
-    mantissa, exponent = F.split_part(text, F.lit("e"), F.lit(1)), F.split_part(text, F.lit("e"), F.lit(2))
-    power = exponent.cast("int")
+    """A number with up to six significant digits and no trailing zeros, as ``%g`` prints it.
+
+    Rounds the exact binary value; infinities and NaN are ``inf``, ``-inf`` and ``nan``. Below
+    1e-307, where doubles hold fewer than six digits, the shortest decimal is printed.
+    """
+    value = value.cast("double")
 
     def trim(digits: Column) -> Column:
         return F.regexp_replace(digits, r"\.?0+$", "")
 
-    # The decimal has a fixed scale, so trailing zeros always follow a decimal point.
-    plain = trim(text.cast("decimal(20,10)").cast("string"))
-    scientific = F.concat(trim(mantissa), F.lit("e"), exponent)
-    return F.when(value.isNotNull(), F.when((power < -4) | (power >= 6), scientific).otherwise(plain))
+    def printed(text: Column) -> Column:
+        exponent = F.split_part(text, F.lit("e"), F.lit(2))
+        power = exponent.try_cast("int")
+        scientific = F.concat(trim(F.split_part(text, F.lit("e"), F.lit(1))), F.lit("e"), exponent)
+        # The decimal has a fixed scale, so trailing zeros always follow a decimal point.
+        plain = trim(text.try_cast("decimal(20,10)").cast("string"))
+        return F.when((power < -4) | (power >= 6), scientific).otherwise(plain)
+
+    return (
+        F.when(F.isnan(value), "nan")
+        .when(F.abs(value) == F.lit(float("inf")), F.when(value > 0, "inf").otherwise("-inf"))
+        .when(value == 0, F.when(value.cast("string").startswith("-"), "-0").otherwise("0"))
+        .when(value.isNotNull(), _with(F.format_string("%.5e", _away_from_tie(value)), printed))
+    )
 
 
 def pick_index(row_id: Column, prime: int, seed: int, size: Column | int) -> Column:
