@@ -4,10 +4,11 @@ import re
 
 import pytest
 
-from tables import valid_tables
+from tables import table, valid_tables
 from vitalsift.operators import checks, cleaning, faults, latest, summary
+from vitalsift.plans import notes
 from vitalsift.sources import tables as storage
-from vitalsift.specs import MODEL
+from vitalsift.specs import MODEL, WIDE_MODEL
 
 
 def plan(df):
@@ -56,6 +57,37 @@ def test_summary_shuffles_each_table_once(stored, no_broadcast):
     assert "partial_max_by" in text and "SortAggregate" not in text and "Window" not in text
 
 
+def test_wide_ids_combine_in_hash_aggregates(spark, no_broadcast):
+    wide = {name: table(spark, name, [], WIDE_MODEL) for name in WIDE_MODEL}
+    events = ("person", "visit_occurrence", "condition_occurrence", "drug_exposure", "measurement")
+    for df in (
+        summary.person_summary(*[wide[n] for n in events], model=WIDE_MODEL),
+        summary.measurement_summary(wide["measurement"]),
+        latest.latest_lab(wide["measurement"]),
+        latest.latest_value_by_concept(wide["measurement"], 4, "v"),
+    ):
+        text = plan(df)
+        assert "partial_max_by" in text and "SortAggregate" not in text and "ObjectHashAggregate" not in text
+
+
+def test_a_report_scans_each_table_once_and_each_reference_once(stored):
+    text = plan(checks.counts_and_checks(stored, MODEL))
+    # Six tables, and a column and a parent's key for each of three references.
+    assert text.count("FileScan parquet") <= 6 + 2 * 3
+
+
+def test_building_plans_runs_no_job(spark, stored):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "plans only")
+    try:
+        everything(stored)
+        cleaning.quarantine_all(stored, cleaning.clean_all(stored, MODEL), MODEL)
+        notes.map_note(*[stored[n] for n in stored if n != "note"])
+        assert list(tracker.getJobIdsForGroup("building")) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_summary_reads_only_the_columns_it_needs(stored):
     events = ("person", "visit_occurrence", "condition_occurrence", "drug_exposure", "measurement")
     text = plan(summary.person_summary(*[stored[n] for n in events]))

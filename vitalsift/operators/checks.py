@@ -1,8 +1,9 @@
 """Data-quality checks and their report.
 
 A report has one row per check, ``(table, check, violations)``, in the model's order, with
-zeros included. Row rules are counted in one aggregate per table. Duplicate keys and unknown
-references are counted per key first, so a key held by many rows is combined before it moves.
+zeros included. One scan of a table counts its rows, row rules and duplicate keys: everything is
+counted per key first, so a key held by many rows is combined before it moves, and then added up.
+Unknown references take one more scan of the referring column and one of the parent's key.
 """
 
 from __future__ import annotations
@@ -38,17 +39,33 @@ def _one_row_per_count(counts: DataFrame, table: str, names: list[str]) -> DataF
     return counts.select(F.lit(table).alias("table"), F.inline(F.array(*entries)))
 
 
-def row_rule_counts(df: DataFrame, spec: TableSpec) -> DataFrame:
+ROWS = "rows"
+
+
+def own_counts(df: DataFrame, spec: TableSpec) -> DataFrame:
+    """One row: the table's rows, violations of each row rule, and rows beyond the first of each
+    key as ``dup_pk``; null keys form one group."""
     rules = row_rules(spec)
-    counts = df.agg(*[F.count_if(rule).alias(name) for name, rule in rules.items()])
-    return _one_row_per_count(counts, spec.name, list(rules))
+    per_key = df.groupBy(spec.key).agg(
+        F.count("*").alias(ROWS), *[F.count_if(rule).alias(f"_{name}") for name, rule in rules.items()]
+    )
+
+    def total(counted: Column, name: str) -> Column:
+        return F.coalesce(F.sum(counted), F.lit(0)).alias(name)
+
+    return per_key.agg(
+        total(F.col(ROWS), ROWS), *[total(F.col(f"_{name}"), name) for name in rules],
+        total(F.col(ROWS) - 1, "dup_pk"),
+    )
+
+
+def row_rule_counts(df: DataFrame, spec: TableSpec) -> DataFrame:
+    return _one_row_per_count(own_counts(df, spec), spec.name, list(row_rules(spec)))
 
 
 def duplicate_count(df: DataFrame, spec: TableSpec) -> DataFrame:
     """Rows beyond the first of each key; null keys form one group."""
-    groups = df.groupBy(spec.key).agg(F.count("*").alias("n"))
-    surplus = groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("dup_pk"))
-    return _one_row_per_count(surplus, spec.name, ["dup_pk"])
+    return _one_row_per_count(own_counts(df, spec), spec.name, ["dup_pk"])
 
 
 def orphan_count(
@@ -63,30 +80,38 @@ def orphan_count(
     return _one_row_per_count(total, spec.name, [name])
 
 
-def _table_parts(df: DataFrame, spec: TableSpec, parents: Mapping[str, DataFrame]) -> list[DataFrame]:
-    parts = [row_rule_counts(df, spec)]
+def _with_orphans(df: DataFrame, spec: TableSpec, parents: Mapping[str, DataFrame]) -> DataFrame:
+    """All counts of a table as (table, check, violations), in check order after ``rows``."""
+    parts = [_one_row_per_count(own_counts(df, spec), spec.name, [ROWS, *row_rules(spec), "dup_pk"])]
     parts += [orphan_count(df, spec, fk, parents[fk.parent]) for fk in spec.foreign_keys]
-    return parts + [duplicate_count(df, spec)]
+    # Every part ends in a global aggregate, so these are a few dozen rows.
+    place = F.array_position(F.array(*[F.lit(n) for n in [ROWS, *spec.check_names()]]), F.col("check"))
+    return reduce(DataFrame.unionByName, parts).withColumn("_place", place)
 
 
 def check_table(
     df: DataFrame, spec: TableSpec, parents: Mapping[str, DataFrame] | None = None
 ) -> DataFrame:
     """The report of one table; ``parents`` holds the tables its foreign keys name."""
-    return _union(_table_parts(df, spec, parents or {}))
+    found = _with_orphans(df, spec, parents or {})
+    return found.filter(F.col("check") != ROWS).orderBy("_place").select(*REPORT_COLUMNS)
 
 
-def check_all(tables: Mapping[str, DataFrame], model: Model) -> DataFrame:
-    """The report of every table. References are checked against the tables given."""
-    return _union(
-        [part for name in model for part in _table_parts(tables[name], model[name], tables)]
-    )
+def counts_and_checks(tables: Mapping[str, DataFrame], model: Model) -> DataFrame:
+    """The report of every table, with a row count as the ``rows`` entry of each.
+
+    References are checked against the tables given.
+    """
+    found = [
+        _with_orphans(tables[name], model[name], tables).withColumn("_table", F.lit(k))
+        for k, name in enumerate(model)
+    ]
+    return reduce(DataFrame.unionByName, found).orderBy("_table", "_place").select(*REPORT_COLUMNS)
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    # Every part ends in a global aggregate, so there is one small row set per part. Union keeps
-    # their order, which makes the report read in check order.
-    return reduce(DataFrame.unionByName, parts).select(*REPORT_COLUMNS)
+def check_all(tables: Mapping[str, DataFrame], model: Model) -> DataFrame:
+    """The report of every table, in the model's order."""
+    return counts_and_checks(tables, model).filter(F.col("check") != ROWS)
 
 
 def violated(report: DataFrame) -> DataFrame:

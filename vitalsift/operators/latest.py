@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,14 +12,18 @@ from pyspark.sql import types as T
 def recency(df: DataFrame, date: str, row_id: str) -> Column:
     """A sortable column: later date first, then higher id among rows of one day.
 
-    With 32-bit ids both parts fit in one 64-bit integer, which lets ``max_by`` run as a hash
-    aggregate; wider ids order as a struct.
+    Both parts go into one number, which lets ``max_by`` run as a hash aggregate: a 64-bit
+    integer for 32-bit ids, a decimal of 38 digits for 64-bit ids.
     """
+    days = F.unix_date(F.col(date))
     if isinstance(df.schema[row_id].dataType, T.IntegerType):
-        days = F.unix_date(F.col(date)).cast("long")
-        packed = days * F.lit(1 << 32) + (F.col(row_id).cast("long") + F.lit(1 << 31))
-        return F.when(F.col(date).isNotNull(), packed)
-    return F.when(F.col(date).isNotNull(), F.struct(date, row_id))
+        packed = days.cast("long") * F.lit(1 << 32) + (F.col(row_id).cast("long") + F.lit(1 << 31))
+    else:
+        packed = days.cast("decimal(10,0)") * F.lit(Decimal(1 << 64)) + (
+            F.col(row_id).cast("decimal(20,0)") + F.lit(Decimal(1 << 63))
+        )
+        packed = packed.cast("decimal(38,0)")
+    return F.when(F.col(date).isNotNull(), packed)
 
 
 def latest_value(value: str, order: Column, only: Column | None = None) -> Column:
