@@ -2,7 +2,6 @@ import hashlib
 from datetime import date
 
 import pytest
-from vitalsift.operators import lookup as lookups
 from vitalsift.plans import mapping
 from vitalsift.sources.tables import stored_in, work_folder
 from vitalsift.specs import MODEL, WIDE_MODEL
@@ -152,7 +151,9 @@ def test_tally_of_lost_rows(sources):
     kept = mapping.kept_visits(sources["encounters"], people)
     tally = mapping.mapping_tally(sources, people, kept, mapping.visit_keys(kept)).collect()
     assert [tuple(r) for r in tally] == [
+        ("person", "missing_id", 0),
         ("person", "unmapped_concept", 1),
+        ("visit_occurrence", "missing_id", 0),
         ("visit_occurrence", "unmapped_or_missing", 3),
         ("visit_occurrence", "over_visit_cap", 1),
         ("condition_occurrence", "unmapped_code", 2),
@@ -170,17 +171,28 @@ def test_malformed_visit_times_fail_the_job(spark, sources):
         mapping.kept_visits(broken, mapping.person_keys(sources["patients"])).collect()
 
 
-def test_mapping_the_same_whatever_partitions_and_skew(spark, sources, tables, monkeypatch):
-    measured = lookups.frequent_keys_of
-
-    def small(rows, keys, n=2):
-        return measured(rows, keys, 2)
-
-    monkeypatch.setattr(lookups, "frequent_keys_of", small)
-    monkeypatch.setattr(mapping, "frequent_keys_of", small)
-    assert lookups.frequent_keys(sources["conditions"], "PATIENT")
+def test_mapping_the_same_whatever_partitions(spark, sources, tables):
     again = mapping.map_all(
         {name: df.repartition(5) for name, df in sources.items()}, keep=stored_in(work_folder(spark))
     )
     for name, df in tables.items():
         assert sorted(again[name].collect(), key=str) == sorted(df.collect(), key=str)
+
+
+def test_rows_without_an_id_are_lost_before_the_cap_and_counted(spark):
+    patients = spark.createDataFrame(
+        [("p", "M", "white", "hispanic", "1980-01-01"), (None, "M", "white", "hispanic", "1980-01-01")], SCHEMAS["patients"]
+    )
+    visit = lambda i, day: (i, "p", "home", f"2020-01-0{day}T00:00:00Z", f"2020-01-0{day}T01:00:00Z")
+    encounters = spark.createDataFrame([visit(None, 9), visit("a", 3), visit("b", 2), visit("c", 1)], SCHEMAS["encounters"])
+    people = mapping.person_keys(patients)
+    kept = mapping.kept_visits(encounters, people)
+    visits = mapping.visit_keys(kept)
+    assert {r["Id"] for r in kept.collect()} == {"a", "b"}
+    assert mapping.map_visit(kept, visits).count() == 2
+    assert mapping.map_person(patients, people).count() == 1
+    none = {n: spark.createDataFrame([], SCHEMAS[n]) for n in ("conditions", "medications", "observations")}
+    tally = mapping.mapping_tally({"patients": patients, "encounters": encounters, **none}, people, kept, visits)
+    found = {(r["table"], r["rule"]): r["rows"] for r in tally.collect()}
+    assert found["person", "missing_id"] == 1 and found["person", "unmapped_concept"] == 0
+    assert found["visit_occurrence", "missing_id"] == 1 and found["visit_occurrence", "over_visit_cap"] == 1

@@ -7,81 +7,113 @@ import pytest
 from pyspark.sql import functions as F
 
 from tables import rows
-from vitalsift.operators import cleaning, lookup as lookups, numbering
-from vitalsift.operators.lookup import FrequentKeys, frequent_keys, frequent_keys_of, lookup
+from vitalsift.operators import cleaning, numbering
+from vitalsift.operators.lookup import lookup, with_known_key
+from vitalsift.plans import mapping, notes
+from vitalsift.sources.tables import stored_in, work_folder
 from vitalsift.specs import MODEL
 
-
-@pytest.fixture(scope="module")
-def skewed(spark):
-    """3,000 rows: a third on key 7, a sixth null, the rest spread."""
-    key = F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 6 == 1, None).otherwise(F.col("id") % 400)
-    return spark.range(0, 3000, 1, 6).select("id", key.cast("bigint").alias("k"))
-
-
-def test_frequent_keys_and_their_splits(skewed):
-    found = frequent_keys(skewed, "k", rows_per_task=200)
-    # 1,000 rows on key 7 plus those that fall on 7 by chance; 500 nulls.
-    assert dict(found.splits) == {"7": 6} and found.null_splits == 3
-    assert not frequent_keys(skewed, "k")
-    both = frequent_keys_of(skewed, ["id", "k"], rows_per_task=200)
-    assert not both["id"] and both["k"] == found
-
-
-@pytest.mark.parametrize("adaptive", ["true", "false"])
-def test_measuring_small_and_empty_tables(spark, adaptive):
-    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
-    try:
-        empty = spark.range(0)
-        assert not frequent_keys(empty, "id", 1)
-        assert not frequent_keys(spark.range(0, 100, 1, 8).filter("id = 5"), "id", 1)
-        nulls = spark.range(0, 100, 1, 8).selectExpr("cast(null as int) as k")
-        assert frequent_keys(nulls, "k", 30) == FrequentKeys((), 4)
-        keyed = spark.createDataFrame([(1, "v")], "k int, v string")
-        assert lookup(nulls, keyed, "k", "left", FrequentKeys((), 4)).count() == 100
-    finally:
-        spark.conf.unset("spark.sql.adaptive.enabled")
+# Partitions of a few kilobytes count as large, and nothing is broadcast.
+SPLITTING = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    "spark.sql.shuffle.partitions": "8",
+}
+
+
+@pytest.fixture
+def splitting(spark):
+    before = {k: spark.conf.get(k, None) for k in SPLITTING}
+    for k, v in SPLITTING.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@pytest.fixture
+def keep(spark):
+    return stored_in(work_folder(spark))
+
+
+def final_plan(df):
+    """The plan that ran; adaptive execution shows a join it has split as skewed."""
+    executed = df._jdf.queryExecution()
+    executed.toRdd().count()
+    return executed.executedPlan().toString()
+
+
+def _many(spark, n=6_000):
+    """Half of the ids on one value."""
+    return spark.range(0, n, 1, 12).withColumn("k", F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id") % 400))
+
+
+def _measurements(spark):
+    return _many(spark).select(
+        F.col("id").cast("int").alias("measurement_id"), F.col("k").cast("int").alias("person_id"),
+        F.lit(4).alias("measurement_concept_id"), F.current_date().alias("measurement_date"),
+        F.col("id").cast("double").alias("value_as_number"),
+    )
+
+
+def test_keep_known_splits_a_hot_key(spark, splitting, keep):
+    (fk,) = MODEL["measurement"].foreign_keys
+    people = keep("people", spark.range(300).select(F.col("id").cast("int").alias("person_id")))
+    assert "skew=true" in final_plan(cleaning.keep_known(keep("m", _measurements(spark)), fk, people))
+
+
+def test_drop_orphans_splits_a_hot_key(spark, splitting, keep):
+    (fk,) = MODEL["measurement"].foreign_keys
+    people = keep("people", spark.range(300).select(F.col("id").cast("int").alias("person_id")))
+    assert "skew=true" in final_plan(cleaning.drop_orphans(keep("m", _measurements(spark)), fk, people))
+
+
+def test_source_ids_split_a_hot_key(spark, splitting, keep):
+    text = lambda c, letter: F.concat(F.lit(letter), F.col(c).cast("string"))
+    # Dates that differ keep the shuffled rows from shrinking to nothing.
+    day = F.date_add(F.lit("1950-01-01").cast("date"), (F.xxhash64("id") % 9_000).cast("int")).cast("string")
+    conditions = keep("conditions", _many(spark, 40_000).select(
+        F.lit("44054006").alias("CODE"), text("k", "P").alias("PATIENT"), text("k", "E").alias("ENCOUNTER"),
+        day.alias("START"), day.alias("STOP"),
+    ))
+    ids = spark.range(400)
+    people = keep("people", ids.select(text("id", "P").alias("Id"), F.col("id").alias("person_id")))
+    visits = keep("visits", ids.select(text("id", "E").alias("Id"), F.col("id").alias("visit_occurrence_id")))
+    joined = mapping._condition_candidates(conditions, people, visits)
+    assert final_plan(joined).count("skew=true") >= 2
+    assert joined.filter("person_id is null or visit_occurrence_id is null").count() == 0
+
+
+def test_note_inputs_split_a_person_with_very_many_visits(spark, splitting, keep):
+    visits = keep("visits", _many(spark).select(
+        F.col("id").alias("visit_occurrence_id"), F.col("k").alias("person_id"), F.lit(1).alias("visit_concept_id"),
+        F.current_date().alias("visit_start_date"),
+    ))
+    events = spark.range(400).select(F.col("id").alias("person_id"), F.col("id").alias("measurement_id"),
+        F.lit(1980).alias("year_of_birth"), F.lit(1).alias("gender_concept_id"), F.lit(1).alias("condition_concept_id"),
+        F.lit(1).alias("drug_concept_id"), F.lit(1).alias("measurement_concept_id"), F.lit(1.5).alias("value_as_number"),
+        F.current_date().alias("measurement_date"))
+    inputs = notes.note_inputs(visits, events, events, events, events, keep)
+    assert "skew=true" in final_plan(inputs)
+    assert inputs.count() == 6_000
 
 
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi"])
-def test_salted_lookup_equals_plain_join(spark, skewed, how):
-    keyed = spark.range(0, 300).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
-    frequent = frequent_keys(skewed, "k", rows_per_task=50)
-    assert len(frequent.splits) == 1 and frequent.null_splits > 1
-    salted = lookup(skewed, keyed, "k", how, frequent)
-    plain = skewed.join(keyed, "k", how)
-    assert "_salt" in salted._jdf.queryExecution().toString()
-    assert Counter(map(tuple, salted.select(*plain.columns).collect())) == Counter(map(tuple, plain.collect()))
-
-
-def test_salted_rows_of_a_key_spread_over_tasks(spark, skewed):
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        keyed = spark.range(0, 300).select(F.col("id").alias("k"), F.lit(1).alias("v"))
-        joined = lookup(skewed, keyed, "k", "left", FrequentKeys((("7", 6),), 6))
-        tasks = joined.filter("k = 7").select(F.spark_partition_id().alias("p")).distinct().count()
-        assert tasks > 1
-        plain = lookup(skewed, keyed, "k", "left", FrequentKeys())
-        assert plain.filter("k = 7").select(F.spark_partition_id().alias("p")).distinct().count() == 1
-    finally:
-        spark.conf.unset("spark.sql.adaptive.enabled")
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-
-
-def test_several_tables_share_the_salt(spark, skewed):
-    a = spark.range(0, 300).select(F.col("id").alias("k"), F.col("id").alias("a"))
-    b = spark.range(5, 10).select(F.col("id").alias("k"), F.col("id").alias("b"))
-    salted = lookup(skewed, [a, b], "k", "left", FrequentKeys((("7", 4),), 2))
-    plain = skewed.join(a, "k", "left").join(b, "k", "left")
-    assert Counter(map(tuple, salted.select(*plain.columns).collect())) == Counter(map(tuple, plain.collect()))
-
-
-def test_lookup_on_text_keys(spark):
-    rows_ = spark.createDataFrame([("a", 1)] * 50 + [("b", 2)], "k string, x int")
+def test_lookup_keeps_null_and_unknown_keys_as_asked(spark, how):
+    left = spark.createDataFrame([(1, "a"), (2, None), (3, "z"), (4, "a")], "id int, k string")
     keyed = spark.createDataFrame([("a", "A")], "k string, v string")
-    joined = lookup(rows_, keyed, "k", frequent=frequent_keys(rows_, "k", rows_per_task=10))
-    assert Counter(r["v"] for r in joined.collect()) == {"A": 50, None: 1}
+    expected = {"left": {1, 2, 3, 4}, "inner": {1, 4}, "left_semi": {1, 4}}[how]
+    assert {r["id"] for r in lookup(left, keyed, "k", how).collect()} == expected
+
+
+def test_known_keys_may_repeat(spark):
+    left = spark.createDataFrame([(1, "a"), (2, None), (3, "z")], "id int, k string")
+    keys = spark.createDataFrame([("a",), ("a",), (None,)], "k string")
+    assert sorted(r["id"] for r in with_known_key(left, keys, "k").collect()) == [1, 2]
 
 
 def _skewed_notes(spark):
@@ -92,21 +124,27 @@ def _skewed_notes(spark):
     return rows(spark, "note", *changes)
 
 
-def test_cleaning_and_quarantine_do_not_change_when_keys_are_split(spark, monkeypatch):
-    notes, parents = _skewed_notes(spark), {"visit_occurrence": rows(spark, "visit_occurrence", {})}
+def test_hot_keys_are_cleaned_and_quarantined_whole(spark):
+    notes_, parents = _skewed_notes(spark), {"visit_occurrence": rows(spark, "visit_occurrence", {})}
+    kept = cleaning.clean_table(notes_, MODEL["note"], parents).collect()
+    removed = cleaning.quarantine(notes_, MODEL["note"], parents).collect()
+    assert len(kept) == 91
+    found = Counter({(r["note_id"], tuple(r["reasons"])): r["copies"] for r in removed})
+    assert found[500, ("dup_pk",)] == 69 and sum(found.values()) == 89
+    assert notes_.count() == len(kept) + sum(found.values())
+
+
+def test_a_null_key_is_not_the_text_of_a_sign(spark):
+    from pyspark.sql import types as T
 
-    def outcome():
-        kept = cleaning.clean_table(notes, MODEL["note"], parents).collect()
-        removed = cleaning.quarantine(notes, MODEL["note"], parents).collect()
-        return Counter(kept), Counter((r["note_id"], tuple(r["reasons"]), r["copies"]) for r in removed)
+    from vitalsift.specs import TableSpec
 
-    plain = outcome()
-    measured = lookups.frequent_keys_of
-    monkeypatch.setattr(lookups, "frequent_keys_of", lambda rows, keys, n=10: measured(rows, keys, 10))
-    assert frequent_keys(notes, "visit_occurrence_id")
-    assert outcome() == plain
-    assert sum(plain[0].values()) == 91
-    assert plain[1][(500, ("dup_pk",), 69)] == 1
+    schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("x", T.IntegerType())])
+    table = spark.createDataFrame([(None, 1), ("~", 2), ("~", 2), ("n", 3), (None, 1)], schema)
+    spec = TableSpec("t", schema, key="k")
+    removed = [tuple(r) for r in cleaning.quarantine(table, spec).collect()]
+    assert sorted(removed, key=str) == sorted([("~", 2, ["dup_pk"], 1), (None, 1, ["dup_pk"], 1)], key=str)
+    assert cleaning.clean_table(table, spec).count() == 3
 
 
 def test_ids_are_dense_and_follow_the_digest(spark):

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalsift.operators.checks import row_rules
-from vitalsift.operators.lookup import FrequentKeys, frequent_keys, lookup
+from vitalsift.operators.lookup import lookup, with_known_key
 from vitalsift.specs import ForeignKey, Model, TableSpec
 
 # Stores a named table and returns the stored one, or returns it as it is.
@@ -44,38 +44,28 @@ def _without(df: DataFrame, rules: list[Column]) -> DataFrame:
     return reduce(lambda rows, rule: rows.filter(~rule), rules, df)
 
 
-def mark_known(
-    df: DataFrame,
-    fk: ForeignKey,
-    parent: DataFrame,
-    marker: str,
-    frequent: FrequentKeys | None = None,
-) -> DataFrame:
+def mark_known(df: DataFrame, fk: ForeignKey, parent: DataFrame, marker: str) -> DataFrame:
     """Add ``marker``: true when the reference is null or names a parent row.
 
-    Parent keys are made distinct, so no row is repeated.
+    ``parent`` must be unique on its key, as a cleaned table is.
     """
-    keys = parent.select(F.col(fk.parent_key).alias(fk.column)).distinct().withColumn(marker, F.lit(True))
+    keys = parent.select(F.col(fk.parent_key).alias(fk.column), F.lit(True).alias(marker))
     known = F.col(fk.column).isNull() | F.col(marker).isNotNull()
-    return lookup(df, keys, fk.column, frequent=frequent).withColumn(marker, known)
+    return lookup(df, keys, fk.column).withColumn(marker, known)
 
 
-def drop_orphans(
-    df: DataFrame, fk: ForeignKey, parent: DataFrame, frequent: FrequentKeys | None = None
-) -> DataFrame:
-    """Rows whose reference is null or names a parent row."""
-    return mark_known(df, fk, parent, "_known", frequent).filter("_known").select(*df.columns)
+def drop_orphans(df: DataFrame, fk: ForeignKey, parent: DataFrame) -> DataFrame:
+    """Rows whose reference is null or names a parent row; parent keys may repeat."""
+    return with_known_key(df, parent.select(F.col(fk.parent_key).alias(fk.column)), fk.column)
 
 
-def keep_known(
-    df: DataFrame, fk: ForeignKey, parent: DataFrame, frequent: FrequentKeys | None = None
-) -> DataFrame:
+def keep_known(df: DataFrame, fk: ForeignKey, parent: DataFrame) -> DataFrame:
     """Rows whose reference names a parent row; null references are dropped.
 
-    A semi join, which is cheaper than ``drop_orphans`` where a reference is required anyway.
+    A single semi join, which is cheaper than ``drop_orphans`` where a reference is required anyway.
     """
     keys = parent.select(F.col(fk.parent_key).alias(fk.column))
-    return lookup(df, keys, fk.column, "left_semi", frequent).select(*df.columns)
+    return lookup(df, keys, fk.column, "left_semi").select(*df.columns)
 
 
 def content_order(columns: list[str], key: str) -> list[Column]:
@@ -98,8 +88,7 @@ def valid_rows(df: DataFrame, spec: TableSpec, parents: Mapping[str, DataFrame])
     rows = _without(df, list(row_rules(spec).values()))
     for fk in spec.foreign_keys:
         drop = keep_known if fk.column in spec.required else drop_orphans
-        # Measured on the unfiltered table: a scan of one column.
-        rows = drop(rows, fk, parents[fk.parent], frequent_keys(df, fk.column))
+        rows = drop(rows, fk, parents[fk.parent])
     return rows
 
 
@@ -133,7 +122,7 @@ def with_reasons(
     rows, broken = df, dict(row_rules(spec))
     for fk in spec.foreign_keys:
         marker = f"_known_{fk.column}"
-        rows = mark_known(rows, fk, parents[fk.parent], marker, frequent_keys(df, fk.column))
+        rows = mark_known(rows, fk, parents[fk.parent], marker)
         broken[f"orphan_{fk.column}"] = ~F.col(marker)
     reasons = F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in broken.items()]))
     return rows.select(*df.columns, reasons.alias("reasons"))
@@ -158,25 +147,24 @@ def quarantine(
         .agg(F.count("*").alias("copies"))
     )
     valid = flagged.filter(F.size("reasons") == 0).drop("reasons")
-    # The key is measured where reading it is cheap: in the stored rows, or in the table itself.
-    return invalid.unionByName(_surplus(df if keep is unchanged else flagged, valid, spec.key))
+    return invalid.unionByName(_surplus(valid, spec, keep))
 
 
-def _surplus(df: DataFrame, valid: DataFrame, key: str) -> DataFrame:
-    """Valid rows that de-duplication removes; ``df`` holds their keys, among others.
+def _surplus(valid: DataFrame, spec: TableSpec, keep: Keep = unchanged) -> DataFrame:
+    """Valid rows that de-duplication removes.
 
     Only rows whose key occurs twice go through the comparison with the row that is kept. The
-    key is compared as text so that null keys, which form one group, can be joined as well.
+    key is compared as text so that null keys, which form one group, can be joined as well; a
+    first letter tells a null key from any text.
     """
-    columns = valid.columns
+    columns, key = valid.columns, spec.key
     others = [c for c in columns if c != key]
-    as_text = F.coalesce(F.col(key).cast("string"), F.lit("~"))
-    frequent = frequent_keys(df.select(as_text.alias("_key")), "_key")
+    as_text = F.when(F.col(key).isNull(), "n").otherwise(F.concat(F.lit("k"), F.col(key).cast("string")))
     valid = valid.withColumn("_key", as_text)
 
     repeated = valid.groupBy("_key").agg(F.count("*").alias("_n")).filter("_n > 1").select("_key")
     suspects = (
-        lookup(valid, repeated, "_key", "left_semi", frequent)
+        lookup(valid, keep(f"{spec.name}_repeated_keys", repeated), "_key", "left_semi")
         .groupBy("_key", *columns)
         .agg(F.count("*").alias("copies"))
     )
@@ -187,7 +175,7 @@ def _surplus(df: DataFrame, valid: DataFrame, key: str) -> DataFrame:
         lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_kept_{c}")) for c in others], F.lit(True)
     )
     return (
-        lookup(suspects, kept, "_key", "inner", frequent)
+        lookup(suspects, kept, "_key", "inner")
         .withColumn("copies", F.col("copies") - F.when(is_kept, 1).otherwise(0))
         .filter("copies > 0")
         .select(*columns, F.array(F.lit("dup_pk")).alias("reasons"), "copies")

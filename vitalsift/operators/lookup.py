@@ -1,124 +1,30 @@
 """Joins of many rows to one keyed row each, safe when a few keys hold most of the rows.
 
-A shuffle join sends all rows of a key to one task. ``frequent_keys`` finds the keys for which
-that is too many, and ``lookup`` spreads those over several tasks: the many-side gets a salt,
-the keyed side is repeated once per salt. Every other key joins the usual way, and when no key
-is frequent the plan is a plain join. The choice of keys affects speed only, never the result.
+A shuffle join sends all rows of a key to one task. Adaptive execution splits such a task, but only
+where both sides of the join come straight from a shuffle: a side that is aggregated, made
+distinct or ranked on the way keeps the split from happening. The keyed side is therefore best a
+stored table that is unique already, and joins that only ask whether a key exists are semi joins,
+which need no distinct keys at all. Nothing is measured and no job runs while a plan is built.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from dataclasses import dataclass
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ROWS_PER_TASK = 2_000_000
-# The sketch tracks this many keys per task; keys holding under about 0.05 % of the rows may
-# pass unnoticed, and are small enough not to matter.
-TRACKED_KEYS = 10_000
-MAX_FREQUENT_KEYS = 1_000
-# Tasks are put into this many groups; each group's sketches are merged by one task.
-SKETCH_GROUPS = 64
-
-
-@dataclass(frozen=True)
-class FrequentKeys:
-    """Keys to spread, as text, and the number of tasks for each; null keys counted apart."""
-
-    splits: tuple[tuple[str, int], ...] = ()
-    null_splits: int = 1
-
-    def __bool__(self) -> bool:
-        return bool(self.splits) or self.null_splits > 1
-
-
-NONE_FREQUENT = FrequentKeys()
-
 
-def frequent_keys(rows: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK) -> FrequentKeys:
-    """Keys with more rows than one task should take, from one scan of the key column."""
-    return frequent_keys_of(rows, [key], rows_per_task)[key]
+def lookup(rows: DataFrame, keyed: DataFrame, on: str, how: str = "left") -> DataFrame:
+    """Join ``rows`` to a table that is unique on ``on``; ``how`` is left, inner or left_semi."""
+    return rows.join(keyed, on, how)
 
 
-def frequent_keys_of(
-    rows: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK
-) -> dict[str, FrequentKeys]:
-    """``frequent_keys`` for several columns in one scan.
+def with_known_key(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """Rows whose key is null or among ``keys``, which may repeat.
 
-    A frequent-items sketch keeps a bounded number of counters per task, so nothing is shuffled
-    by key. Each group of tasks reports at most ``MAX_FREQUENT_KEYS`` keys per column, and only
-    those with more than a group's share of ``rows_per_task``: usually none, and never more than
-    a few ten thousand small rows for the driver to add up.
+    Null keys are set aside, so they never meet in a task, and the others go through a semi join.
     """
-    group = F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("_group")
-    sketches = rows.groupBy(group).agg(
-        *[F.expr(f"approx_top_k(`{k}`, {MAX_FREQUENT_KEYS}, {TRACKED_KEYS})").alias(k) for k in keys]
-    )
-
-    def entries(key: str) -> Column:
-        large = F.filter(key, lambda entry: entry["count"] * SKETCH_GROUPS > rows_per_task)
-        return F.transform(
-            large,
-            lambda entry: F.struct(
-                F.lit(key).alias("key"),
-                entry["item"].cast("string").alias("item"),
-                entry["count"].alias("rows"),
-            ),
-        )
-
-    totals = {key: Counter() for key in keys}
-    for found in sketches.select(F.inline(F.concat(*[entries(k) for k in keys]))).collect():
-        totals[found["key"]][found["item"]] += found["rows"]
-    result = {}
-    for key, counts in totals.items():
-        tasks = {item: -(-n // rows_per_task) for item, n in counts.most_common(MAX_FREQUENT_KEYS)}
-        null_splits = tasks.pop(None, 1)
-        splits = tuple((item, n) for item, n in tasks.items() if n > 1)
-        result[key] = FrequentKeys(splits, null_splits)
-    return result
-
-
-def lookup(
-    rows: DataFrame,
-    keyed: DataFrame | list[DataFrame],
-    on: str,
-    how: str = "left",
-    frequent: FrequentKeys | None = None,
-) -> DataFrame:
-    """Join ``rows`` to tables that are unique on ``on``; ``how`` is left, inner or left_semi.
-
-    Several keyed tables share one shuffle of ``rows``. ``frequent`` comes from
-    ``frequent_keys(rows, on)``; it is measured here when not given.
-    """
-    keyed = keyed if isinstance(keyed, list) else [keyed]
-    frequent = frequent_keys(rows, on) if frequent is None else frequent
-    if not frequent:
-        return reduce(lambda left, right: left.join(right, on, how), keyed, rows)
-    key_type = rows.schema[on].dataType.simpleString()
-    # At most MAX_FREQUENT_KEYS rows.
-    hot = F.broadcast(
-        rows.sparkSession.createDataFrame(list(frequent.splits), "_text string, _splits int").select(
-            F.col("_text").cast(key_type).alias(on), "_splits"
-        )
-    )
-    # The salt is the task that reads the row, modulo the number of splits: it spreads identical
-    # copies too and is the same when a lost task runs again.
-    splits = F.when(F.col(on).isNull(), frequent.null_splits).otherwise(F.coalesce("_splits", F.lit(1)))
-    salted = (
-        rows.join(hot, on, "left")
-        .withColumn("_salt", F.pmod(F.spark_partition_id(), splits))
-        .drop("_splits")
-    )
-
-    def repeated(table: DataFrame) -> DataFrame:
-        salts = F.explode(F.sequence(F.lit(0), F.coalesce("_splits", F.lit(1)) - 1))
-        return table.join(hot, on, "left").withColumn("_salt", salts).drop("_splits")
-
-    joined = reduce(lambda left, right: left.join(repeated(right), [on, "_salt"], how), keyed, salted)
-    return joined.drop("_salt")
+    known = rows.filter(F.col(on).isNotNull()).join(keys.select(on), on, "left_semi")
+    return known.select(*rows.columns).unionByName(rows.filter(F.col(on).isNull()))
 
 
 def rows_per_key(rows: DataFrame, key: str, count: str = "n") -> DataFrame:

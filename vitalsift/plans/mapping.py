@@ -22,7 +22,7 @@ from vitalsift.functions import codes
 from vitalsift.functions.scalars import days_supplied, lenient_date, lenient_double, strict_date
 from vitalsift.operators.cleaning import Keep, unchanged
 from vitalsift.operators.latest import top_recent
-from vitalsift.operators.lookup import NONE_FREQUENT, frequent_keys_of, lookup
+from vitalsift.operators.lookup import lookup
 from vitalsift.operators.numbering import dense_ids, dense_row_ids
 from vitalsift.plans.notes import map_note
 from vitalsift.specs import MODEL, Model, TableSpec
@@ -61,12 +61,13 @@ def _person_candidates(patients: DataFrame) -> DataFrame:
     )
 
 
+# A patient or visit without an id cannot be referred to; it is lost and counted as such.
 _PERSON_CODES = ("gender_concept_id", "race_concept_id", "ethnicity_concept_id")
 
 
 def map_person(patients: DataFrame, people: DataFrame, model: Model = MODEL) -> DataFrame:
-    """People whose gender, race and ethnicity all have a concept."""
-    mapped = _person_candidates(patients).filter(_present(*_PERSON_CODES))
+    """People with an id whose gender, race and ethnicity all have a concept."""
+    mapped = _person_candidates(patients).filter(_present("Id", *_PERSON_CODES))
     return typed(lookup(mapped, people, "Id", "inner"), model["person"])
 
 
@@ -91,7 +92,7 @@ def kept_visits(
     encounters: DataFrame, people: DataFrame, config: JobConfig = DEFAULTS
 ) -> DataFrame:
     """The most recent usable visits of each person, with their source ids."""
-    usable = _visit_candidates(encounters, people).filter(_present(*_VISIT_FIELDS))
+    usable = _visit_candidates(encounters, people).filter(_present("Id", *_VISIT_FIELDS))
     return top_recent(usable, "person_id", "visit_start_date", "Id", config.visits_per_person)
 
 
@@ -101,8 +102,7 @@ def visit_keys(kept: DataFrame) -> DataFrame:
 
 
 def map_visit(kept: DataFrame, visits: DataFrame, model: Model = MODEL) -> DataFrame:
-    # A source visit id belongs to one person, and each keeps only a few visits.
-    return typed(lookup(kept, visits, "Id", "inner", NONE_FREQUENT), model["visit_occurrence"])
+    return typed(lookup(kept, visits, "Id", "inner"), model["visit_occurrence"])
 
 
 # --- events ------------------------------------------------------------------------------
@@ -110,10 +110,9 @@ def map_visit(kept: DataFrame, visits: DataFrame, model: Model = MODEL) -> DataF
 
 def _with_event_keys(rows: DataFrame, people: DataFrame, visits: DataFrame) -> DataFrame:
     """Resolve PATIENT and ENCOUNTER; unknown ids become null."""
-    frequent = frequent_keys_of(rows, ["ENCOUNTER", "PATIENT"])
     visits, people = visits.withColumnRenamed("Id", "ENCOUNTER"), people.withColumnRenamed("Id", "PATIENT")
-    rows = lookup(rows, visits, "ENCOUNTER", frequent=frequent["ENCOUNTER"])
-    return lookup(rows, people, "PATIENT", frequent=frequent["PATIENT"])
+    rows = lookup(rows, visits, "ENCOUNTER")
+    return lookup(rows, people, "PATIENT")
 
 
 def _condition_candidates(conditions: DataFrame, people: DataFrame, visits: DataFrame) -> DataFrame:
@@ -201,16 +200,27 @@ def _numbered(rows: DataFrame, spec: TableSpec, keep: Keep) -> DataFrame:
 # --- all tables --------------------------------------------------------------------------
 
 
+def keys_of(
+    sources: Mapping[str, DataFrame], config: JobConfig = DEFAULTS, keep: Keep = unchanged
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Person keys, kept visits and visit keys, which every mapping step reads."""
+    people = keep("person_keys", person_keys(sources["patients"]))
+    kept = keep("kept_visits", kept_visits(sources["encounters"], people, config))
+    return people, kept, keep("visit_keys", visit_keys(kept))
+
+
 def map_all(
     sources: Mapping[str, DataFrame],
     model: Model = MODEL,
     config: JobConfig = DEFAULTS,
     keep: Keep = unchanged,
+    keys: tuple[DataFrame, DataFrame, DataFrame] | None = None,
 ) -> dict[str, DataFrame]:
-    """All six tables. ``keep`` may store an intermediate table that several steps read."""
-    people = keep("person_keys", person_keys(sources["patients"]))
-    kept = keep("kept_visits", kept_visits(sources["encounters"], people, config))
-    visits = keep("visit_keys", visit_keys(kept))
+    """All six tables. ``keep`` may store an intermediate table that several steps read.
+
+    ``keys`` are those of ``keys_of`` where they are there already.
+    """
+    people, kept, visits = keys or keys_of(sources, config, keep)
     tables = {
         "person": map_person(sources["patients"], people, model),
         "visit_occurrence": map_visit(kept, visits, model),
@@ -221,7 +231,7 @@ def map_all(
     tables = {name: keep(f"mapped_{name}", df) for name, df in tables.items()}
     tables["note"] = keep(
         "mapped_note",
-        map_note(*[tables[name] for name in tables], seed=config.seed, model=model),
+        map_note(*[tables[name] for name in tables], seed=config.seed, model=model, keep=keep),
     )
     return {name: tables[name] for name in model}
 
@@ -245,9 +255,11 @@ def mapping_tally(
     def unlisted(name: str, dictionary: dict) -> Column:
         return ~F.coalesce(codes.listed(F.col("CODE"), dictionary), F.lit(False))
 
+    no_id = F.col("Id").isNull()
+    patients = _person_candidates(sources["patients"])
     usable = _visit_candidates(sources["encounters"], people)
     over_cap = (
-        usable.filter(_present(*_VISIT_FIELDS))
+        usable.filter(_present("Id", *_VISIT_FIELDS))
         .groupBy("person_id")
         .agg(F.count("*").alias("n"))
         .agg(F.coalesce(F.sum(F.greatest(F.col("n") - config.visits_per_person, F.lit(0))), F.lit(0)).alias("rows"))
@@ -258,8 +270,10 @@ def mapping_tally(
         return lookup(df, keys, "ENCOUNTER", "left_semi")
 
     parts = [
-        count("person", "unmapped_concept", _person_candidates(sources["patients"]), ~_present(*_PERSON_CODES)),
-        count("visit_occurrence", "unmapped_or_missing", usable, ~_present(*_VISIT_FIELDS)),
+        count("person", "missing_id", patients, no_id),
+        count("person", "unmapped_concept", patients, ~no_id & ~_present(*_PERSON_CODES)),
+        count("visit_occurrence", "missing_id", usable, no_id),
+        count("visit_occurrence", "unmapped_or_missing", usable, ~no_id & ~_present(*_VISIT_FIELDS)),
         over_cap.select(F.lit("visit_occurrence").alias("table"), F.lit("over_visit_cap").alias("rule"), "rows"),
     ]
     events = [

@@ -7,12 +7,15 @@ concept from the counts gives each the same odds as picking an element of the fu
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitalsift.config import DEFAULTS
 from vitalsift.functions import codes
 from vitalsift.functions.scalars import age_on, compact_number, pick, pick_index
+from vitalsift.operators.cleaning import Keep, unchanged
 from vitalsift.operators.latest import latest_lab
 from vitalsift.operators.lookup import lookup
 from vitalsift.specs import MODEL, Model
@@ -37,18 +40,21 @@ COMPLAINTS = {
     ],
 }
 
+# What a general note says about the kind of visit.
 ASSESSMENTS = {
     1: "Patient seen and evaluated. Vital signs stable. Plan discussed with patient. Follow-up scheduled as appropriate.",
     2: "Patient admitted and monitored. Treatment initiated per protocol. Discharge planning in progress.",
     3: "Patient assessed in the emergency department. Appropriate workup completed. Disposition determined.",
 }
 
+# Phrases about the person.
 DEMOGRAPHIC_PHRASES = [
     "{age}-year-old {gender} presenting today.",
     "Patient is a {age}-year-old {gender}.",
     "{gender}, age {age}, seen in clinic.",
 ]
 
+# Phrases about a condition.
 CONDITION_PHRASES = [
     "Patient presents for follow-up of {condition}.",
     "Continues management of {condition}.",
@@ -56,6 +62,7 @@ CONDITION_PHRASES = [
     "Ongoing care for {condition} reviewed today.",
 ]
 
+# Phrases about a drug.
 DRUG_PHRASES = [
     "Currently taking {drug}, tolerating well.",
     "Medication regimen includes {drug}.",
@@ -63,13 +70,14 @@ DRUG_PHRASES = [
     "No changes made to {drug} at this visit.",
 ]
 
+# Phrases about a measurement.
 LAB_PHRASES = [
     "Most recent {lab} was {value}.",
     "Latest {lab} reading: {value}.",
     "{lab} at last check: {value}.",
 ]
 
-# A prime per choice, so that choices within one note vary independently.
+# A prime per choice, so that choices within one note vary independently.
 PRIMES = {
     "complaint": 7, "demographic": 11, "condition": 13, "condition_phrase": 17,
     "drug": 19, "drug_phrase": 23, "lab_phrase": 29,
@@ -95,12 +103,14 @@ def _total(counts: Column) -> Column:
 
 
 def note_inputs(
-    visit: DataFrame, person: DataFrame, condition: DataFrame, drug: DataFrame, measurement: DataFrame
+    visit: DataFrame, person: DataFrame, condition: DataFrame, drug: DataFrame, measurement: DataFrame,
+    keep: Keep = unchanged,
 ) -> DataFrame:
     """Each visit with age at the visit, gender, history counts and latest lab of its person.
 
     History covers the whole record, whatever the date of the visit. People without history
-    have all-zero counts.
+    have all-zero counts. The facts are put together per person first, and ``keep`` may store
+    them: a person with very many visits then meets them in one join that can be split.
     """
     facts = [
         person.select("person_id", "year_of_birth", "gender_concept_id"),
@@ -115,7 +125,9 @@ def note_inputs(
     def zeros(names: dict) -> Column:
         return F.array(*[F.lit(0).cast("long")] * len(names))
 
-    return lookup(visits, facts, "person_id").select(
+    by_person = reduce(lambda left, right: left.join(right, "person_id", "full"), facts)
+    by_person = keep("note_facts", by_person.filter("person_id is not null"))
+    return lookup(visits, by_person, "person_id").select(
         "visit_occurrence_id",
         "person_id",
         "visit_concept_id",
@@ -207,9 +219,10 @@ def map_note(
     *,
     seed: int = DEFAULTS.seed,
     model: Model = MODEL,
+    keep: Keep = unchanged,
 ) -> DataFrame:
     """One note per visit. Visit ids run from 1 without gaps, and serve as note ids."""
-    inputs = note_inputs(visit, person, condition, drug, measurement)
+    inputs = note_inputs(visit, person, condition, drug, measurement, keep)
     values = {
         "note_id": F.col("visit_occurrence_id"),
         "note_text": note_text(seed),
