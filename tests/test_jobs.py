@@ -1,4 +1,5 @@
 import json
+import os
 from dataclasses import replace
 
 import pytest
@@ -58,6 +59,42 @@ def test_nothing_is_written_when_the_gate_fails(spark, tmp_path, monkeypatch):
     assert not (tmp_path / "out").exists()
 
 
+def _folders(spark):
+    return set(os.listdir(spark.conf.get("spark.checkpoint.dir").removeprefix("file:")))
+
+
+def test_intermediates_are_gone_after_success_and_failure(spark, tmp_path, monkeypatch):
+    before = _folders(spark)
+    jobs.run(spark, _dirty(spark), str(tmp_path / "out"))
+    assert _folders(spark) == before
+    monkeypatch.setattr(jobs, "inspect", lambda tables, model: jobs.TableState({}, [dict(table="t", check="c", violations=1)]))
+    with pytest.raises(jobs.GateError):
+        jobs.run(spark, _dirty(spark), str(tmp_path / "out2"))
+    assert _folders(spark) == before
+
+
+def test_quarantine_and_cleaned_rows_add_up(spark, tmp_path):
+    out = str(tmp_path / "out")
+    metrics = jobs.run(spark, _dirty(spark), out, with_quarantine=True)
+    for name in MODEL:
+        removed = spark.read.parquet(f"{out}/_quarantine/{name}")
+        copies = sum(r["copies"] for r in removed.collect())
+        assert copies == metrics["row_counts"]["dropped"][name]
+
+
+def test_a_metrics_document_is_compared_with_another(spark, tmp_path):
+    from vitalsift.operators import explore
+
+    jobs.run(spark, _dirty(spark), str(tmp_path / "a"))
+    jobs.run(spark, valid_tables(spark), str(tmp_path / "b"))
+    a, b = (jobs.read_counts(spark, str(tmp_path / n / "_metrics")) for n in "ab")
+    assert a.count() == 18 and explore.count_mismatches(a, a).count() == 0
+    found = {(r["section"], r["table"]): (r["expected"], r["actual"]) for r in explore.count_mismatches(a, b).collect()}
+    assert found["raw", "person"] == (4, 1) and found["dropped", "visit_occurrence"] == (1, 0)
+    checks = jobs.read_violations(spark, str(tmp_path / "a/_metrics"))
+    assert checks.count() == 76 and checks.filter("section = 'raw' and violations > 0").count() == 2
+
+
 def test_manifest_and_budget(spark):
     manifest = jobs.load_manifest(_dirty(spark))
     assert {r["table"]: r["rows"] for r in manifest.collect()}["person"] == 4
@@ -79,6 +116,7 @@ def test_generate_then_run(spark, tmp_path, format):
     assert manifest["row_counts"] == {
         "person": 3, "visit_occurrence": 5, "condition_occurrence": 5, "drug_exposure": 4, "measurement": 4, "note": 5}
     assert manifest["total_rows"] == 26 and not manifest["over_budget"]
+    assert {(r["table"], r["rule"]) for r in manifest["lost_in_mapping"]} >= {("person", "missing_id"), ("measurement", "unmapped_code")}
     assert (manifest["random_seed"], manifest["reference_date"]) == (42, "2025-01-01")
     metrics = jobs.run_from(spark, str(tmp_path / "raw"), str(tmp_path / "out"), format=format)
     assert metrics["row_counts"]["raw"] == manifest["row_counts"]

@@ -1,3 +1,4 @@
+import os
 from datetime import date
 
 import pytest
@@ -96,6 +97,39 @@ def test_stored_tables_are_read_back(spark):
     assert stored.inputFiles()[0].startswith(f"file:{folder}/person") or folder in stored.inputFiles()[0]
 
 
+def test_only_tables_with_text_read_a_file_in_one_task(spark, tmp_path):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        people = spark.range(20_000).selectExpr("cast(id as int) person_id", "1 g", "1980 y", "1 r", "1 e", "cast(null as int) l")
+        storage.write_csv(people.toDF(*MODEL["person"].columns).coalesce(1), str(tmp_path / "person.csv"))
+        assert storage.read_table(spark, MODEL["person"], str(tmp_path)).rdd.getNumPartitions() > 3
+        assert storage.read_text(spark, str(tmp_path / "person.csv")).rdd.getNumPartitions() > 3
+        notes = rows(spark, "note", *[dict(note_id=i, note_text="a\nb" * 50) for i in range(500)]).coalesce(1)
+        storage.write_csv(notes, str(tmp_path / "note.csv"))
+        assert storage.read_table(spark, MODEL["note"], str(tmp_path)).rdd.getNumPartitions() == 1
+        assert storage.read_table(spark, MODEL["note"], str(tmp_path)).count() == 500
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [name for name in MODEL if MODEL[name].holds_text] == ["note"]
+
+
+def test_intermediates_need_a_shared_folder(spark):
+    shared = spark.conf.get("spark.checkpoint.dir")
+    with storage.scratch(spark) as folder:
+        spark.range(3).write.parquet(f"{folder}/x")
+        path = folder.removeprefix("file:")
+        assert os.path.isdir(path)
+    assert not os.path.exists(path)
+
+    class Bare:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.work_folder(Bare)
+    assert spark.conf.get("spark.checkpoint.dir") == shared
+
+
 def test_documents_are_json(spark, tmp_path):
     storage.write_document(spark, {"a": {"b": 1}, "day": date(2025, 1, 1)}, str(tmp_path / "doc"))
     assert spark.read.json(str(tmp_path / "doc")).select("a.b", "day").first() == (1, "2025-01-01")

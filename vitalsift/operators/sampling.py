@@ -30,7 +30,8 @@ def cutoffs(
     """One row with a map from sample name to its largest chosen digest.
 
     ``seeds`` names the independent samples; all are drawn in the same two scans. Give either a
-    fraction of the rows or a number ``k``; at most all rows are chosen. ``key`` must be unique.
+    fraction of the rows or a number ``k``; at most all rows are chosen. ``key`` must be unique:
+    where copies of a key lie across the end of a sample, the query fails.
     """
     drawn = df.select(
         F.inline(
@@ -56,8 +57,12 @@ def cutoffs(
     )
     # One row per sample: the bucket holding the last chosen row, and its place there.
     in_bucket = drawn.join(F.broadcast(edge), ["_sample", "_bucket"])
-    rank = F.row_number().over(Window.partitionBy("_sample").orderBy("_digest"))
-    last = in_bucket.withColumn("_rank", rank).filter(F.col("_rank") == F.col("_place"))
+    order = Window.partitionBy("_sample").orderBy("_digest")
+    ranked = in_bucket.withColumn("_rank", F.row_number().over(order)).withColumn("_after", F.lead("_digest").over(order))
+    split = F.col("_after") == F.col("_digest")
+    last = ranked.filter(F.col("_rank") == F.col("_place")).withColumn("_digest", F.when(
+        split, F.raise_error(F.lit(f"sampling needs a unique key, but {key} repeats")).cast("string")
+    ).otherwise(F.col("_digest")))
     return last.agg(F.map_from_entries(F.collect_list(F.struct("_sample", "_digest"))).alias("cutoffs"))
 
 

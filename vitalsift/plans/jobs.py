@@ -10,19 +10,19 @@ from collections.abc import Mapping
 from dataclasses import asdict, dataclass
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from vitalsift.config import DEFAULTS, JobConfig
-from vitalsift.operators.checks import check_all
-from vitalsift.operators.cleaning import clean_all, row_counts
+from vitalsift.operators.checks import ROWS, counts_and_checks
+from vitalsift.operators.cleaning import clean_all, quarantine, row_counts
 from vitalsift.operators.faults import inject_all
 from vitalsift.operators.summary import person_summary
-from vitalsift.plans.mapping import map_all
+from vitalsift.plans.mapping import keys_of, map_all, mapping_tally
 from vitalsift.sources.tables import (
     read_tables,
+    scratch,
     stored_in,
-    work_folder,
     write_csv,
     write_document,
     write_parquet,
@@ -50,13 +50,11 @@ class TableState:
 
 
 def inspect(tables: Mapping[str, DataFrame], model: Model = MODEL) -> TableState:
-    """Check every table and count its rows. At most one small row per check is collected."""
-    counts = row_counts({name: tables[name] for name in model}, "violations")
-    counts = counts.select("table", F.lit(None).cast("string").alias("check"), "violations")
-    found = check_all(tables, model).unionByName(counts).collect()
+    """Check every table and count its rows, in one action that collects a few dozen rows."""
+    found = counts_and_checks(tables, model).collect()
     return TableState(
-        rows={r["table"]: r["violations"] for r in found if r["check"] is None},
-        report=[r.asDict() for r in found if r["check"] is not None],
+        rows={r["table"]: r["violations"] for r in found if r["check"] == ROWS},
+        report=[r.asDict() for r in found if r["check"] != ROWS],
     )
 
 
@@ -68,9 +66,10 @@ def require_clean(state: TableState) -> None:
 
 
 def write_summary(summary: DataFrame, path: str) -> int:
-    """Write the summary by decade of birth; return its rows, counted from the written files."""
-    write_parquet(summary, path, partition_by=[BAND])
-    return summary.sparkSession.read.parquet(path).count()
+    """Write the summary by decade of birth; return its rows, counted as they are written."""
+    counted = Observation("summary")
+    write_parquet(summary.observe(counted, F.count("*").alias("rows")), path, partition_by=[BAND])
+    return counted.get["rows"]
 
 
 def run(
@@ -80,13 +79,24 @@ def run(
     *,
     model: Model = MODEL,
     config: JobConfig = DEFAULTS,
+    with_quarantine: bool = False,
 ) -> dict:
     """Check, clean, check again as a gate, summarise and write. Returns the metrics.
 
     Cleaned tables are stored once in the shared work folder: their children, the gate and the
-    summary read them from there. Nothing is written to ``output`` when the gate fails.
+    summary read them from there. The folder is deleted at the end, also after a failure.
+    Nothing is written to ``output`` when the gate fails. ``with_quarantine`` also writes the removed rows
+    of every table, with their reasons, under ``_quarantine``.
     """
-    keep = stored_in(f"{work_folder(spark)}/cleaned")
+    with scratch(spark) as folder:
+        return _run(spark, raw, output, folder, model, config, with_quarantine)
+
+
+def _run(
+    spark: SparkSession, raw: Mapping[str, DataFrame], output: str, folder: str, model: Model,
+    config: JobConfig, with_quarantine: bool,
+) -> dict:
+    keep = stored_in(f"{folder}/cleaned")
     started = time.perf_counter()
     timings: dict[str, float] = {}
 
@@ -107,7 +117,12 @@ def run(
         *[cleaned[name] for name in events], reference_date=config.reference_date, model=model
     )
     people = write_summary(summary, f"{output}/analytic_person")
-    timed("build_and_write", clock)
+    clock = timed("build_and_write", clock)
+    if with_quarantine:
+        flagged = stored_in(f"{folder}/quarantine")
+        for name in model:
+            write_parquet(quarantine(raw[name], model[name], cleaned, flagged), f"{output}/_quarantine/{name}")
+        timed("quarantine", clock)
     timed("total", started)
 
     metrics = {
@@ -124,6 +139,32 @@ def run(
     return metrics
 
 
+def read_counts(spark: SparkSession, path: str, model: Model = MODEL) -> DataFrame:
+    """The row counts of a stored metrics document as (section, table, rows).
+
+    Sections are raw, cleaned and dropped. Comparing two runs, or a run and a golden file, is
+    ``explore.count_mismatches`` on two of these.
+    """
+    counts = spark.read.option("multiLine", True).json(path).select("row_counts.*")
+    entries = [
+        F.struct(F.lit(section).alias("section"), F.lit(name).alias("table"),
+                 F.col(f"{section}.{name}").cast("long").alias("rows"))
+        for section in ("raw", "cleaned", "dropped")
+        for name in model
+    ]
+    return counts.select(F.inline(F.array(*entries)))
+
+
+def read_violations(spark: SparkSession, path: str) -> DataFrame:
+    """The check counts of a stored metrics document as (section, table, check, violations)."""
+    document = spark.read.option("multiLine", True).json(path)
+    parts = [
+        document.select(F.lit(section).alias("section"), F.inline(f"validation.{section}"))
+        for section in ("raw", "cleaned")
+    ]
+    return parts[0].unionByName(parts[1]).select("section", "table", "check", "violations")
+
+
 def run_from(
     spark: SparkSession,
     folder: str,
@@ -132,17 +173,20 @@ def run_from(
     format: str = "csv",
     model: Model = MODEL,
     config: JobConfig = DEFAULTS,
+    with_quarantine: bool = False,
 ) -> dict:
     """``run`` on the tables stored in ``folder``.
 
     CSV is loaded once into the shared work folder, because every check and the cleaning would
-    parse it again and a multi-line file cannot be split.
+    parse it again. The copy is deleted at the end, also after a failure.
     """
     raw = read_tables(spark, model, folder, format)
-    if format == "csv":
-        keep = stored_in(f"{work_folder(spark)}/raw")
+    if format != "csv":
+        return run(spark, raw, output, model=model, config=config, with_quarantine=with_quarantine)
+    with scratch(spark) as copies:
+        keep = stored_in(f"{copies}/raw")
         raw = {name: keep(name, df) for name, df in raw.items()}
-    return run(spark, raw, output, model=model, config=config)
+        return run(spark, raw, output, model=model, config=config, with_quarantine=with_quarantine)
 
 
 def load_manifest(tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -169,17 +213,32 @@ def generate(
     config: JobConfig = DEFAULTS,
     format: str = "parquet",
 ) -> dict:
-    """Map the source exports, add known faults, and write the raw tables with a manifest."""
-    keep = stored_in(f"{work_folder(spark)}/mapping")
-    mapped = map_all(sources, model, config, keep)
+    """Map the source exports, add known faults, and write the raw tables with a manifest.
+
+    The manifest holds the rows of every table and the rows each mapping step left out.
+    Intermediate tables are deleted at the end, also after a failure.
+    """
+    with scratch(spark) as folder:
+        return _generate(spark, sources, output, folder, model, config, format)
+
+
+def _generate(
+    spark: SparkSession, sources: Mapping[str, DataFrame], output: str, folder: str, model: Model,
+    config: JobConfig, format: str,
+) -> dict:
+    keep = stored_in(f"{folder}/mapping")
+    keys = keys_of(sources, config, keep)
+    mapped = map_all(sources, model, config, keep, keys)
     raw = inject_all(mapped, model, fraction=config.fault_fraction, seed=config.seed)
+    counted = {name: Observation(name) for name in raw}
     for name, df in raw.items():
+        df = df.observe(counted[name], F.count("*").alias("rows"))
         if format == "csv":
             write_csv(df, f"{output}/{name}.csv")
         else:
             write_parquet(df, f"{output}/{name}")
-    written = read_tables(spark, model, output, format)
-    manifest = {r["table"]: r["rows"] for r in load_manifest(written).collect()}
+    manifest = {name: found.get["rows"] for name, found in counted.items()}
+    lost = mapping_tally(sources, *keys, config).collect()
     total = sum(manifest.values())
     document = {
         "generated_at": datetime.now(timezone.utc).isoformat(),
@@ -188,6 +247,7 @@ def generate(
         "row_counts": manifest,
         "total_rows": total,
         "over_budget": total > config.row_budget * config.budget_tolerance,
+        "lost_in_mapping": [r.asDict() for r in lost],
         "config": asdict(config),
     }
     write_document(spark, document, f"{output}/_manifest")

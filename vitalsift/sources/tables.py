@@ -3,35 +3,36 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from vitalsift.specs import Model, TableSpec
 
-# Quotes inside a field are doubled, fields may span lines, and no text is trimmed. An empty
-# field is null, also when it is quoted. A header that does not name the schema's columns in
-# order is an error rather than a silent misread.
+# Quotes inside a field are doubled and no text is trimmed. An empty field is null, also when it
+# is quoted. A header that does not name the schema's columns in order is an error rather than a
+# silent misread.
 CSV_FORMAT = {"header": True, "quote": '"', "escape": '"', "dateFormat": "yyyy-MM-dd"}
-CSV_READ = {**CSV_FORMAT, "multiLine": True, "enforceSchema": False}
+CSV_READ = {**CSV_FORMAT, "enforceSchema": False}
 CSV_WRITE = {**CSV_FORMAT, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False) -> DataFrame:
     """Typed CSV. A field that does not fit its type becomes null; the row stays.
 
-    A multi-line file is read by one task, so a large table should be many files.
+    With ``multi_line`` fields may span lines; such a file is read by one task, so a large table
+    should then be many files. Other files are split.
     """
-    return spark.read.options(**CSV_READ).schema(schema).csv(path)
+    return spark.read.options(**CSV_READ, multiLine=multi_line).schema(schema).csv(path)
 
 
 def read_table(spark: SparkSession, spec: TableSpec, folder: str, format: str = "csv") -> DataFrame:
     """One of the model's tables from ``folder``: ``<name>.csv`` or ``<name>`` as Parquet."""
     if format == "csv":
-        return read_csv(spark, f"{folder}/{spec.name}.csv", spec.schema)
+        return read_csv(spark, f"{folder}/{spec.name}.csv", spec.schema, spec.holds_text)
     return spark.read.schema(spec.schema).format(format).load(f"{folder}/{spec.name}")
 
 
@@ -39,9 +40,9 @@ def read_tables(spark: SparkSession, model: Model, folder: str, format: str = "c
     return {name: read_table(spark, model[name], folder, format) for name in model}
 
 
-def read_text(spark: SparkSession, path: str) -> DataFrame:
+def read_text(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """CSV with every column a string, for source exports."""
-    return spark.read.options(**{**CSV_FORMAT, "multiLine": True}, inferSchema=False).csv(path)
+    return spark.read.options(**CSV_FORMAT, multiLine=multi_line, inferSchema=False).csv(path)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -79,12 +80,26 @@ def work_folder(spark: SparkSession) -> str:
     """A new folder for intermediate tables in the cluster's shared checkpoint folder."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="vitalsift-")
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{shared.rstrip('/')}/vitalsift-{uuid.uuid4().hex}"
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of intermediate tables, wherever Spark keeps it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A work folder that is deleted at the end, also when a job fails in between."""
+    folder = work_folder(spark)
+    try:
+        yield folder
+    finally:
+        remove_folder(spark, folder)
+
+
 def stored_in(folder: str) -> Callable[[str, DataFrame], DataFrame]:
     """A function that writes a table under ``folder`` and returns the written one.
 
