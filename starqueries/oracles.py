@@ -47,7 +47,7 @@ select l_orderkey * 10 + l_linenumber as drug_exposure_id, o_custkey as person_i
        cast(l_shipdate as date) as drug_exposure_end_date,
        case when l_suppkey % 37 = 5 then -1 else cast(l_quantity as int) end as days_supply,
        case when l_suppkey % 41 = 6 then cast(-1 as double) else l_quantity end as quantity
-from lineitem join orders on l_orderkey = o_orderkey where l_linenumber <= 2"""
+from lineitem join orders on l_orderkey = o_orderkey"""
 
 TABLES["v_measurement"] = """
 select event_id as measurement_id,
@@ -57,8 +57,7 @@ select event_id as measurement_id,
        case when event_id % 89 <> 3 then cast(ts as date) end as measurement_date,
        case when event_id % 97 = 11 then cast(-1 as double) else value end as value_as_number,
        cast(null as int) as unit_concept_id, event_id as visit_occurrence_id
-from (select * from events union all select * from events where event_id % 79 = 4)
-where event_type <> 'error'"""
+from (select * from events union all select * from events where event_id % 79 = 4)"""
 
 TABLES["v_note"] = """
 select doc_id as note_id, o_custkey as person_id, cast(o_orderdate as date) as note_date,
@@ -189,6 +188,18 @@ TABLES["cleaning_counts"] = "\nunion all ".join(
 )
 
 
+COUNT_SECTIONS = """
+select 'raw' as section, "table", raw as actual from cleaning_counts
+union all select 'cleaned', "table", cleaned from cleaning_counts
+union all select 'dropped', "table", dropped from cleaning_counts"""
+
+
+def quarantined_copies_sql() -> str:
+    return " union all ".join(
+        f"select '{t}' as \"table\", copies from ({quarantine_sql(t)})" for t in RULES
+    )
+
+
 def reasons_sql() -> str:
     parts = []
     for table, (_, rules, fk) in RULES.items():
@@ -295,7 +306,7 @@ select 'hypertension', cast(sum(cast(has_hypertension as int)) as bigint),
 # --- source exports --------------------------------------------------------------------------
 
 TABLES["patients"] = """
-select 'P' || c_custkey as Id,
+select case when c_custkey % 131 <> 11 then 'P' || c_custkey end as Id,
        case when c_custkey % 67 = 13 then 'U' when c_custkey % 2 = 0 then 'm' else 'F' end as GENDER,
        case when c_custkey % 101 <> 7
             then ['White', 'BLACK', 'asian', 'hawaiian', 'native', 'other'][c_nationkey % 6 + 1] end as RACE,
@@ -304,7 +315,7 @@ select 'P' || c_custkey as Id,
 from customer"""
 
 TABLES["encounters"] = """
-select 'E' || o_orderkey as Id,
+select case when o_orderkey % 127 <> 13 then 'E' || o_orderkey end as Id,
        case when o_orderkey % 83 = 7 then 'P-unknown' else 'P' || o_custkey end as PATIENT,
        case when o_orderkey % 89 = 3 then 'unheard-of' when o_orderpriority = '1-URGENT' then 'emergency'
             when o_orderpriority = '2-HIGH' then 'Inpatient' when o_orderpriority = '3-MEDIUM' then 'ambulatory'
@@ -325,11 +336,11 @@ TABLES["medications"] = """
 select ['860975', '106892', '314076', '308136', '310798', '314231', '205923', '904419', '1719286', '200033',
         '197604', '855332', '834102', '834061', '309309', '1648755', '854252', '849574', '243670', null][l_partkey % 20 + 1] as CODE,
        'P' || o_custkey as PATIENT, 'E' || l_orderkey as ENCOUNTER,
-       cast(cast(o_orderdate as date) as varchar) || 'T12:00:00Z' as START,
-       case when l_suppkey % 37 = 5 then 'ongoing' else cast(cast(l_shipdate as date) as varchar) || 'T00:00:00Z' end as STOP,
-       case when l_suppkey % 41 = 6 then 'several' when l_suppkey % 43 <> 2
+       cast(cast(o_orderdate as date) as varchar) || 'T12:00:00.900Z' as START,
+       case when l_suppkey % 37 = 5 then 'ongoing' else cast(cast(l_shipdate as date) as varchar) || 'T12:00:00.100Z' end as STOP,
+       case when l_suppkey % 41 = 6 then 'several' when l_suppkey % 47 = 5 then '5d' when l_suppkey % 43 <> 2
             then cast(cast(l_quantity as int) as varchar) end as DISPENSES
-from lineitem join orders on l_orderkey = o_orderkey where l_linenumber <= 2"""
+from lineitem join orders on l_orderkey = o_orderkey"""
 
 TABLES["observations"] = """
 select case event_type when 'view' then '8480-6' when 'click' then '39156-5'
@@ -337,7 +348,8 @@ select case event_type when 'view' then '8480-6' when 'click' then '39156-5'
             when 'signup' then '4548-4' else '8867-4' end as CODE,
        'P' || user_id as PATIENT, 'E' || event_id as ENCOUNTER,
        case when event_id % 89 = 3 then 'yesterday' else strftime(ts, '%Y-%m-%dT%H:%M:%SZ') end as DATE,
-       case when event_id % 97 = 11 then 'high' else cast(value as varchar) end as VALUE,
+       case when event_id % 97 = 11 then 'high' when event_id % 101 = 3 then '7f'
+            when event_id % 211 = 5 then 'Infinity' else cast(value as varchar) end as VALUE,
        case when event_id % 53 = 4 then 'furlong' when event_type = 'view' then 'mm[Hg]'
             when event_type = 'click' then 'kg/m2' when event_type = 'purchase' then 'mg/dL' else '%' end as UNITS
 from events"""
@@ -345,12 +357,13 @@ from events"""
 # --- source mapping (code lists are fixed values) --------------------------------------------------------------------------
 
 _STAMP = "'%Y-%m-%dT%H:%M:%SZ'"
+_MILLIS = "'%Y-%m-%dT%H:%M:%S.%gZ'"
 
 
 def _dense(key: str, rows: str, alias: str) -> str:
     return (
         f"select {key}, row_number() over (order by md5({key})) as {alias} "
-        f"from (select distinct {key} from {rows})"
+        f"from (select distinct {key} from {rows} where {key} is not null)"
     )
 
 
@@ -376,7 +389,7 @@ TABLES["m_person"] = """
 select k.person_id, gender_concept_id, year_of_birth, race_concept_id, ethnicity_concept_id,
        cast(null as int) as location_id
 from person_candidates join people k using (Id)
-where gender_concept_id is not null and race_concept_id is not null and ethnicity_concept_id is not null"""
+where Id is not null and gender_concept_id is not null and race_concept_id is not null and ethnicity_concept_id is not null"""
 
 TABLES["visit_candidates"] = f"""
 select e.Id, k.person_id,
@@ -389,7 +402,7 @@ from encounters e left join people k on k.Id = e.PATIENT"""
 
 TABLES["usable_visits"] = """
 select * from visit_candidates
-where person_id is not null and visit_concept_id is not null and visit_start_date is not null"""
+where Id is not null and person_id is not null and visit_concept_id is not null and visit_start_date is not null"""
 
 TABLES["kept_visits"] = """
 select * from usable_visits
@@ -417,9 +430,9 @@ TABLES["m_condition"] = _numbered(
 
 TABLES["drug_candidates"] = f"""
 select d.concept as drug_concept_id, k.person_id,
-       cast(try_strptime(START, {_STAMP}) as date) as drug_exposure_start_date,
-       cast(try_strptime(STOP, {_STAMP}) as date) as drug_exposure_end_date,
-       greatest(coalesce(cast(floor((epoch(try_strptime(STOP, {_STAMP})) - epoch(try_strptime(START, {_STAMP}))) / 86400) as int), 30), 1) as days_supply,
+       cast(try_strptime(START, {_MILLIS}) as date) as drug_exposure_start_date,
+       cast(try_strptime(STOP, {_MILLIS}) as date) as drug_exposure_end_date,
+       greatest(coalesce(cast(floor((epoch_us(try_strptime(STOP, {_MILLIS})) - epoch_us(try_strptime(START, {_MILLIS}))) / 86400000000) as int), 30), 1) as days_supply,
        coalesce(try_cast(DISPENSES as double), 1) as quantity
 from medications m
 join (values ('860975', 1), ('106892', 2), ('314076', 3), ('308136', 4), ('310798', 5), ('314231', 6), ('205923', 7),
@@ -452,10 +465,12 @@ _LISTED = {
 }
 
 MAPPING_TALLY = f"""
-select 'person' as "table", 'unmapped_concept' as rule, count(*) as rows from person_candidates
-where gender_concept_id is null or race_concept_id is null or ethnicity_concept_id is null
+select 'person' as "table", 'missing_id' as rule, count(*) as rows from person_candidates where Id is null
+union all select 'person', 'unmapped_concept', count(*) from person_candidates
+where Id is not null and (gender_concept_id is null or race_concept_id is null or ethnicity_concept_id is null)
+union all select 'visit_occurrence', 'missing_id', count(*) from visit_candidates where Id is null
 union all select 'visit_occurrence', 'unmapped_or_missing', count(*) from visit_candidates
-where person_id is null or visit_concept_id is null or visit_start_date is null
+where Id is not null and (person_id is null or visit_concept_id is null or visit_start_date is null)
 union all select 'visit_occurrence', 'over_visit_cap', (select count(*) from usable_visits) - (select count(*) from kept_visits)
 union all select 'condition_occurrence', 'unmapped_code', count(*) from conditions
 where CODE is null or CODE not in ({_LISTED['conditions']})

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -165,22 +166,22 @@ def _(spark, sf_dir):
 @register(
     "bad_types",
     """select 'drug_exposure' as "table", c as "check", cast(n as bigint) as violations from (
-select 'bad_type_drug_exposure_start_date' as c, count(*) filter (where try_strptime(START, '%Y-%m-%dT%H:%M:%SZ') is null and START is not null) as n from medications
-union all select 'bad_type_drug_exposure_end_date', count(*) filter (where try_strptime(STOP, '%Y-%m-%dT%H:%M:%SZ') is null and STOP is not null) from medications
-union all select 'bad_type_quantity', count(*) filter (where try_cast(DISPENSES as double) is null and DISPENSES is not null) from medications
-union all select 'bad_type_drug_exposure_id', 0 union all select 'bad_type_person_id', 0
-union all select 'bad_type_drug_concept_id', 0 union all select 'bad_type_days_supply', 0)""",
+select 'bad_type_drug_exposure_start_date' as c, count(*) filter (where try_strptime(START, '%Y-%m-%dT%H:%M:%S.%gZ') is null and START is not null) as n from medications
+union all select 'bad_type_drug_exposure_end_date', count(*) filter (where try_strptime(STOP, '%Y-%m-%dT%H:%M:%S.%gZ') is null and STOP is not null) from medications
+union all select 'bad_type_quantity', count(*) filter (where DISPENSES = 'several') from medications
+union all select 'bad_type_drug_exposure_id', count(*) from medications
+union all select 'bad_type_person_id', count(*) filter (where PATIENT is not null) from medications
+union all select 'bad_type_drug_concept_id', count(*) filter (where try_cast(CODE as int) is null and CODE is not null) from medications
+union all select 'bad_type_days_supply', count(*) filter (where try_cast(DISPENSES as int) is null and DISPENSES is not null) from medications)""",
 )
 def _(spark, sf_dir):
-    text = views.medications(spark, sf_dir).select(
-        F.col("START").alias("drug_exposure_start_date"),
-        F.col("STOP").alias("drug_exposure_end_date"),
-        F.col("DISPENSES").alias("quantity"),
-        *[
-            F.lit(None).cast("string").alias(c)
-            for c in ("drug_exposure_id", "person_id", "drug_concept_id", "days_supply")
-        ],
-    )
+    # Every column holds the text of a source column, ids with their letters included.
+    sources = {
+        "drug_exposure_id": "ENCOUNTER", "person_id": "PATIENT", "drug_concept_id": "CODE",
+        "drug_exposure_start_date": "START", "drug_exposure_end_date": "STOP",
+        "days_supply": "DISPENSES", "quantity": "DISPENSES",
+    }
+    text = views.medications(spark, sf_dir).select(*[F.col(c).alias(name) for name, c in sources.items()])
     return checks.bad_type_counts(text, MODEL["drug_exposure"])
 
 
@@ -229,6 +230,32 @@ for _name, _short in sql.SHORT.items():
     register(f"quarantine_{_short}", sql.quarantine_sql(_name))(_quarantine_one(_name))
 
 
+@register(
+    "run_quarantine",
+    f"""select "table", cast(sum(copies) as bigint) as removed, any_value(dropped) as dropped from (
+{sql.quarantined_copies_sql()}) join cleaning_counts using ("table") group by "table\"""",
+)
+def _(spark, sf_dir):
+    """Rows that a run puts in quarantine, beside those it reports as dropped."""
+    output = storage.work_folder(spark)
+    metrics = jobs.run(spark, views.tables(spark, sf_dir), output, model=MODEL, with_quarantine=True)
+    dropped = spark.createDataFrame(list(metrics["row_counts"]["dropped"].items()), "table string, dropped long")
+    removed = [
+        spark.read.parquet(f"{output}/_quarantine/{name}").agg(F.sum("copies").alias("removed"))
+        .select(F.lit(name).alias("table"), "removed")
+        for name in MODEL
+    ]
+    return reduce(DataFrame.unionByName, removed).join(F.broadcast(dropped), "table")
+
+
+@register("manifest_losses", sql.MAPPING_TALLY)
+def _(spark, sf_dir):
+    output = storage.work_folder(spark)
+    jobs.generate(spark, exported(spark, sf_dir), output, model=MODEL)
+    lost = spark.read.json(f"{output}/_manifest").select(F.inline("lost_in_mapping"))
+    return lost.select("table", "rule", "rows")
+
+
 @register("gate_report", sql.check_all_sql("c_"))
 def _(spark, sf_dir):
     keep = storage.stored_in(storage.work_folder(spark))
@@ -324,19 +351,26 @@ def _(spark, sf_dir):
     )
 
 
-@register("compact_numbers", "select event_id, printf('%g', value) as text from events")
+@register(
+    "compact_numbers",
+    """select event_id, printf('%g', value) as text, printf('%g', seven) as seven_digits
+from (select *, ((event_id * 7919) % 1000000 * 10 + 5) / 1e6 as seven from events)""",
+)
 def _(spark, sf_dir):
+    # Decimals whose seventh digit is a lone 5, beside the values themselves.
+    seven = (F.col("event_id") * 7919 % 1_000_000 * 10 + 5) / F.lit(1e6)
     return views.read(spark, sf_dir, "events").select(
-        "event_id", scalars.compact_number(F.col("value")).alias("text")
+        "event_id", scalars.compact_number(F.col("value")).alias("text"),
+        scalars.compact_number(seven).alias("seven_digits"),
     )
 
 
 @register(
     "parsed_medications",
-    """select PATIENT, ENCOUNTER, CODE, cast(try_strptime(START, '%Y-%m-%dT%H:%M:%SZ') as date) as start_date,
-       cast(try_strptime(STOP, '%Y-%m-%dT%H:%M:%SZ') as date) as stop_date,
-       greatest(coalesce(cast(floor((epoch(try_strptime(STOP, '%Y-%m-%dT%H:%M:%SZ'))
-         - epoch(try_strptime(START, '%Y-%m-%dT%H:%M:%SZ'))) / 86400) as int), 30), 1) as days_supply,
+    """select PATIENT, ENCOUNTER, CODE, cast(try_strptime(START, '%Y-%m-%dT%H:%M:%S.%gZ') as date) as start_date,
+       cast(try_strptime(STOP, '%Y-%m-%dT%H:%M:%S.%gZ') as date) as stop_date,
+       greatest(coalesce(cast(floor((epoch_us(try_strptime(STOP, '%Y-%m-%dT%H:%M:%S.%gZ'))
+         - epoch_us(try_strptime(START, '%Y-%m-%dT%H:%M:%S.%gZ'))) / 86400000000) as int), 30), 1) as days_supply,
        coalesce(try_cast(DISPENSES as double), 1) as quantity from medications""",
 )
 def _(spark, sf_dir):
@@ -547,13 +581,7 @@ def _(spark, sf_dir):
     return explore.preview(analytic_person(spark, sf_dir), "person_id", 10)
 
 
-@register(
-    "count_sections",
-    """select section, "table", rows from (
-select 'raw' as section, "table", raw as rows from cleaning_counts
-union all select 'cleaned', "table", cleaned from cleaning_counts
-union all select 'dropped', "table", dropped from cleaning_counts)""",
-)
+@register("count_sections", f'select section, "table", actual as rows from ({sql.COUNT_SECTIONS})')
 def _(spark, sf_dir):
     raw = views.tables(spark, sf_dir)
     keep = storage.stored_in(storage.work_folder(spark))
@@ -566,19 +594,33 @@ def _(spark, sf_dir):
 from (select 'raw' as section, 'person' as "table", (select count(*) from customer) as expected
       union all select 'raw', 'visit_occurrence', (select count(*) from orders)
       union all select 'raw', 'condition_occurrence', (select count(*) from lineitem)
-      union all select 'raw', 'measurement', (select count(*) from events)) e
-full join (select 'raw' as section, "table", actual from ({sql.counts_sql('v_', 'actual')})) a
-  on e.section = a.section and e."table" = a."table"
+      union all select 'raw', 'drug_exposure', (select count(*) from lineitem)
+      union all select 'raw', 'measurement', (select count(*) from events)
+      union all select 'raw', 'note', (select count(*) from documents join orders on doc_id = o_orderkey)
+      union all select 'cleaned', "table", raw - dropped from cleaning_counts
+      union all select 'dropped', "table", 0 from cleaning_counts) e
+full join ({sql.COUNT_SECTIONS}) a on e.section = a.section and e."table" = a."table"
 where expected is distinct from actual""",
 )
 def _(spark, sf_dir):
+    """Counts of a stored metrics document against those of the source tables.
+
+    Raw tables repeat some source rows, cleaned ones are as counted, and nothing is dropped from
+    the source tables; what differs is reported.
+    """
+    output = storage.work_folder(spark)
+    metrics = jobs.run(spark, views.tables(spark, sf_dir), output, model=MODEL)
+    actual = jobs.read_counts(spark, f"{output}/_metrics", MODEL)
     sizes = {"person": "customer", "visit_occurrence": "orders", "condition_occurrence": "lineitem",
-             "measurement": "events"}
-    expected = cleaning.row_counts({name: views.read(spark, sf_dir, t) for name, t in sizes.items()})
-    actual = cleaning.row_counts(views.tables(spark, sf_dir))
-    return explore.count_mismatches(
-        *[df.select(F.lit("raw").alias("section"), "table", "rows") for df in (expected, actual)]
+             "drug_exposure": "lineitem", "measurement": "events"}
+    sources = {name: views.read(spark, sf_dir, t) for name, t in sizes.items()}
+    sources["note"] = views.note(spark, sf_dir, copies=False)
+    raw = cleaning.row_counts(sources).select(F.lit("raw").alias("section"), "table", "rows")
+    rest = spark.createDataFrame(
+        [("cleaned", t, n) for t, n in metrics["row_counts"]["cleaned"].items()] + [("dropped", t, 0) for t in MODEL],
+        raw.schema,
     )
+    return explore.count_mismatches(raw.unionByName(rest), actual)
 
 
 @register("manifest", sql.counts_sql("v_"))
@@ -602,7 +644,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     path = f"{storage.work_folder(spark)}/note.csv"
     storage.write_csv(views.note(spark, sf_dir), path)
-    return storage.read_csv(spark, path, MODEL["note"].schema)
+    return storage.read_csv(spark, path, MODEL["note"].schema, MODEL["note"].holds_text)
 
 
 @register("csv_text_roundtrip", "select * from medications")

@@ -7,6 +7,7 @@ import pytest
 duckdb = pytest.importorskip("duckdb")
 
 import __spark_entry__ as entry  # noqa: E402
+from starqueries.queries import QUERIES  # noqa: E402
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 NAMES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels"
@@ -34,7 +35,7 @@ def _sorted_rows(columns, data):
     return sorted(columns), sorted(repr([_plain(row[i]) for i in order]) for row in data)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_matches_its_sql(spark, oracle, name):
     df = entry.queries()[name](spark, SF_DIR)
     found = _sorted_rows(df.columns, [tuple(r) for r in df.collect()])
@@ -43,5 +44,9 @@ def test_query_matches_its_sql(spark, oracle, name):
     assert found == _sorted_rows(columns, answer.fetchall())
 
 
+def test_every_query_is_registered():
+    assert QUERIES.keys() <= entry.queries().keys() and QUERIES.keys() <= entry.oracle_sql().keys()
+
+
 def test_flagship(spark):
     assert entry.entry(spark).count() > 0
