@@ -47,14 +47,23 @@ def test_components_equal_all_pairs(spark):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in out)
 
 
-def test_blocks_find_what_stars_leave(spark, monkeypatch):
-    """Without further star rounds and with tiny blocks the result is the same."""
-    monkeypatch.setattr(neardup, "STAR_ROUNDS", 1)
+def test_blocks_find_what_centres_leave(spark, monkeypatch):
+    """Tiny blocks and groups give the same components."""
     monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "GROUP_BYTES", 1_000)
     rows = corpus()[::2]
     assert {r["doc_id"]: r["component_id"] for r in found_in(spark, rows)} == {k: v[1] for k, v in near_duplicates(rows).items()}
 
 
+def test_chains_that_no_centre_sees(spark):
+    """Each text is near its neighbours only; the smallest id is at one end."""
+    words = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join(words[4 * k : 4 * k + 60])) for k in range(40)]
+    expected = near_duplicates(rows)
+    assert {v[1] for v in expected.values()} == {0}
+    assert {r["doc_id"]: r["component_id"] for r in found_in(spark, rows)} == {k: 0 for k in range(40)}
+
+
 def test_edge_rows(spark):
     out = found_in(spark, edge_rows(), EDGE_SCHEMA)
     assert len(out) == len(edge_rows())

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # Text handled at once inside a task; one document may be longer.
@@ -46,8 +46,10 @@ class Workspace:
         self.folder = shared_folder(spark, purpose)
         _open.append(self)
 
-    def store(self, name: str, df: DataFrame) -> DataFrame:
+    def store(self, name: str, df: DataFrame, tasks: int | None = None) -> DataFrame:
+        """Write a table and read it back; ``tasks`` bounds the tasks that write a small one."""
         path = f"{self.folder}/{name}"
+        df = df.coalesce(tasks) if tasks else df
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -132,25 +134,35 @@ def roots_of(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
             return root
 
 
+EDGES_PER_TASK = 100_000
+
+
 def components(work: Workspace, edges: DataFrame, name: str = "component", rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a, b): every node as ``id`` with its smallest member.
 
     Alternates two steps until nothing changes: every larger neighbour of a node is joined to
     the node's smallest neighbour, then every smaller one. Trees become stars in a number of
-    rounds that grows with the logarithm of the longest path. Only the number of changed edges
-    reaches the driver. Each round is stored, and a node with very many edges is split by adaptive
-    execution because the table of smallest neighbours is stored and unique.
+    rounds that grows with the logarithm of the longest path. Only the number of edges reaches
+    the driver. Each round is stored, and a node with very many edges is split by adaptive
+    execution because the table of smallest neighbours is stored and unique. The number of tasks
+    that write a round follows the number of edges.
     """
+    counted = Observation()
     pairs = work.store(
         f"{name}-0",
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .filter("u != v")
-        .distinct(),
+        .distinct()
+        .observe(counted, F.count("*").alias("n")),
     )
+    n = counted.get["n"]
+    if not n:
+        return pairs.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
+    tasks = -(-2 * n // EDGES_PER_TASK)
     for round_ in range(rounds):
         both = pairs.union(pairs.select("v", "u")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        least = work.store(f"{name}-{round_}-large", least)
+        least = work.store(f"{name}-{round_}-large", least, tasks)
         # Larger neighbours of a node, and the node itself, go to its smallest neighbour.
         large = (
             both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -158,22 +170,22 @@ def components(work: Workspace, edges: DataFrame, name: str = "component", round
             .filter("u != v")
             .distinct()
         )
-        large = work.store(f"{name}-{round_}-pairs", large)
-        least = work.store(f"{name}-{round_}-small", large.groupBy("u").agg(F.min("v").alias("m")))
+        large = work.store(f"{name}-{round_}-pairs", large, tasks)
+        least = work.store(f"{name}-{round_}-small", large.groupBy("u").agg(F.min("v").alias("m")), tasks)
         small = (
             large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(least.select("u", F.col("m").alias("v")))
             .filter("u != v")
             .distinct()
         )
-        small = work.store(f"{name}-{round_ + 1}", small)
-        # Done when all edges form stars around nodes that have no smaller neighbour.
-        seconds = small.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
-        chained = 0 if seconds else small.join(small.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count()
-        pairs = small
-        if not seconds and not chained:
+        pairs = work.store(f"{name}-{round_ + 1}", small, tasks)
+        # Done when all edges form stars: no node has two centres, and no centre has one.
+        seconds = pairs.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").select("u")
+        chained = pairs.join(pairs.select(F.col("u").alias("v")), "v", "left_semi").select("u")
+        if seconds.union(chained).isEmpty():
             break
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     centres = pairs.select(F.col("v").alias("id")).distinct().withColumn("component_id", F.col("id"))
-    return work.store(name, pairs.select(F.col("u").alias("id"), F.col("v").alias("component_id")).union(centres))
+    stars = pairs.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
+    return work.store(name, stars.union(centres), tasks)

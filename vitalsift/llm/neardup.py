@@ -1,12 +1,11 @@
 """Near-duplicate documents: SetSketch registers banded for candidates, links checked on full sets.
 
 Documents with equal shingle sets form one class and a class takes part once. Four registers make
-a band; classes that agree in a band share a bucket. Comparing all pairs of a bucket would square
-its size, so buckets are worked off by stars: every member is compared with the bucket's centre, links make components,
-and a further round takes another centre among members the first did not reach. What remains
-are pairs of members in different components; those are compared block by block on their
-registers, and only pairs that may reach the threshold are checked on their sets. No pair of a bucket that could
-connect two components is left out.
+a band; classes that agree in a band share a bucket. Emitting all pairs of a bucket would square
+its size. First every member is compared with the bucket's smallest, its centre, and the links
+make components. What can still connect two components are pairs of other members that lie in
+different ones. Those are compared inside tasks, block by block, each pair in the first band it agrees in: on
+registers first, and where these may reach the threshold on full sets. Only links leave the task.
 """
 
 from __future__ import annotations
@@ -19,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalsift.llm.common import Workspace, components, small_batches, text_slices
-from vitalsift.llm.shingles import SLICE_BYTES, SetSketch, ShingleHasher, estimate
+from vitalsift.llm.shingles import SLICE_BYTES, SetSketch, ShingleHasher, reaches
 
 # At a similarity of 0.75 a pair misses all 32 bands with odds of 5 in a million.
 BANDS, ROWS = 32, 4
@@ -27,8 +26,9 @@ BANDS, ROWS = 32, 4
 PERCENT = 75
 # An estimate this far below the threshold is more than five standard errors away.
 MARGIN = 0.14
-STAR_ROUNDS = 3
-BLOCK = 512
+BLOCK = 256
+PAIRS_AT_ONCE = 1 << 14
+GROUP_BYTES = 16 << 20
 
 SKETCH = "doc_id long, n_shingles int, h1 long, h2 long, registers binary"
 _ARROW_SKETCH = pa.schema([
@@ -86,13 +86,11 @@ def _verifier(percent: int, margin: float):
             y = np.frombuffer(b"".join(reg_b), np.uint16).reshape(len(a), -1)
             n_a, n_b = np.array([len(s) // 8 for s in set_a]), np.array([len(s) // 8 for s in set_b])
             above, below = (x > y).sum(axis=1), (x < y).sum(axis=1)
-            likely = estimate(above, below, x.shape[1] - above - below, n_a, n_b) >= floor
+            likely = reaches(floor, above, below, x.shape[1] - above - below, n_a, n_b)
             likely &= 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
             found = []
             for k in np.flatnonzero(likely).tolist():
-                left, right = np.frombuffer(set_a[k], np.uint64), np.frombuffer(set_b[k], np.uint64)
-                both = len(left) + len(right) - len(np.union1d(left, right))
-                if 100 * both >= percent * (len(left) + len(right) - both):
+                if _is_link(np.frombuffer(set_a[k], np.uint64), np.frombuffer(set_b[k], np.uint64), percent):
                     found.append(k)
             yield pa.RecordBatch.from_pydict({"a": [a[k] for k in found], "b": [b[k] for k in found]}, schema=_ARROW_PAIR)
 
@@ -102,58 +100,78 @@ def _verifier(percent: int, margin: float):
 _ARROW_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _block_pairs(percent: int, margin: float):
-    """Pairs of members of one block pair, in different components, that may reach the threshold.
+def _block_links(percent: int, margin: float):
+    """Links between members of one block pair that lie in different components.
 
-    Rows come sorted by bucket and block pair; one group at a time is held, and it is bounded.
+    Rows come sorted by bucket and block pair, and no group is larger than two blocks. Several
+    groups are worked off together, a bounded number of bytes at a time.
     """
     floor = percent / 100 - margin
+    names = ("id", "comp", "side", "band", "registers", "hashes")
 
-    def compare(group: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        x = np.frombuffer(b"".join(group["registers"]), np.uint16).reshape(len(group["id"]), -1)
-        n, ids, comps, side = group["n"], group["id"], group["comp"], group["side"]
-        mixed = side.any()
-        left, right = [], []
-        for k in range(len(ids)):
-            if mixed and side[k]:
-                continue
-            rest = np.flatnonzero(side) if mixed else np.arange(k + 1, len(ids))
-            rest = rest[comps[rest] != comps[k]]
-            rest = rest[100 * np.minimum(n[rest], n[k]) >= percent * np.maximum(n[rest], n[k])]
-            if len(rest):
-                above, below = (x[k] > x[rest]).sum(axis=1), (x[k] < x[rest]).sum(axis=1)
-                near = estimate(above, below, x.shape[1] - above - below, n[k], n[rest]) >= floor
-                left.append(np.full(int(near.sum()), ids[k]))
-                right.append(ids[rest[near]])
-        if not left:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate(left), np.concatenate(right)
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[dict] = []
-        key = None
-
-        def flush():
-            columns = {c: np.array([r[c] for r in rows]) for c in ("id", "n", "comp", "side")}
-            columns["registers"] = [r["registers"] for r in rows]
-            left, right = compare(columns)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.minimum(left, right), pa.int64()), pa.array(np.maximum(left, right), pa.int64())],
-                schema=_ARROW_PAIR,
-            )
+    def candidates(n: np.ndarray, comps: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if side.any():
+            left, right = np.flatnonzero(side == 0), np.flatnonzero(side)
+            left, right = np.repeat(left, len(right)), np.tile(right, len(left))
+        else:
+            left, right = np.triu_indices(len(n), 1)
+        fits = comps[left] != comps[right]
+        fits &= 100 * np.minimum(n[left], n[right]) >= percent * np.maximum(n[left], n[right])
+        return left[fits], right[fits]
+
+    def linked(rows: dict, groups: list[tuple[int, int]]) -> pa.RecordBatch:
+        x = np.frombuffer(b"".join(rows["registers"]), np.uint16).reshape(len(rows["id"]), -1)
+        bands = x[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS)
+        sets = [np.frombuffer(h, np.uint64) for h in rows["hashes"]]
+        n = np.array([len(h) for h in sets])
+        ids, comps, side, band = (np.array(rows[c], np.int64) for c in ("id", "comp", "side", "band"))
+        found: list[tuple[int, int]] = []
+        for begin, end in groups:
+            left, right = candidates(n[begin:end], comps[begin:end], side[begin:end])
+            for at in range(0, len(left), PAIRS_AT_ONCE):
+                a, b = left[at : at + PAIRS_AT_ONCE] + begin, right[at : at + PAIRS_AT_ONCE] + begin
+                # A pair that agrees in several bands is compared in the first of them.
+                first = (bands[a] == bands[b]).all(axis=2).argmax(axis=1) == band[begin]
+                a, b = a[first], b[first]
+                above, below = (x[a] > x[b]).sum(axis=1), (x[a] < x[b]).sum(axis=1)
+                near = reaches(floor, above, below, x.shape[1] - above - below, n[a], n[b])
+                found += [
+                    (min(ids[k], ids[j]), max(ids[k], ids[j])) for k, j in zip(a[near].tolist(), b[near].tolist(), strict=True)
+                    if _is_link(sets[k], sets[j], percent)
+                ]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], schema=_ARROW_PAIR
+        )
 
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: dict[str, list] = {c: [] for c in names}
+        groups: list[tuple[int, int]] = []
+        key, begun, held = None, 0, 0
         for batch in batches:
-            for row in batch.to_pylist():
-                own = (row["key"], row["i"], row["j"])
-                if own != key and rows:
-                    yield flush()
-                    rows = []
+            columns = {c: batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (*names, "key", "i", "j")}
+            for k, own in enumerate(zip(columns["band"], columns["key"], columns["i"], columns["j"], strict=True)):
+                if own != key and len(rows["id"]) > begun:
+                    groups.append((begun, len(rows["id"])))
+                    begun = len(rows["id"])
+                    if held >= GROUP_BYTES:
+                        yield linked(rows, groups)
+                        rows, groups, begun, held = {c: [] for c in names}, [], 0, 0
                 key = own
-                rows.append(row)
-        if rows:
-            yield flush()
+                for c in names:
+                    rows[c].append(columns[c][k])
+                held += len(columns["hashes"][k])
+        if rows["id"]:
+            yield linked(rows, [*groups, (begun, len(rows["id"]))])
+
+    return links
+
 
-    return pairs
+def _is_link(left: np.ndarray, right: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union, for sorted distinct hashes."""
+    at = np.searchsorted(right, left)
+    at[at == len(right)] = 0
+    both = int((right[at] == left).sum())
+    return 100 * both >= percent * (len(left) + len(right) - both)
 
 
 def _links(work: Workspace, name: str, pairs: DataFrame, sets: DataFrame, percent: int, margin: float) -> DataFrame:
@@ -195,35 +213,31 @@ def find_near_duplicates(
     width = 2 * ROWS
     bands = reps.select("id", F.posexplode(F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring("registers", k * width + 1, F.lit(width)))
-    )).alias("band", "key")).select("id", "key")
-    buckets = work.store("buckets", bands.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("n")).filter("n > 1").drop("n"))
-    members = work.store("members", bands.join(buckets, "key"))
+    )).alias("band", "key"))
+    buckets = work.store("buckets", bands.groupBy("band", "key").agg(
+        F.min("id").alias("centre"), F.count("*").alias("size")
+    ).filter("size > 1"))
+    members = work.store("members", bands.join(buckets, ["band", "key"]))
 
     wanted = members.select(F.col("id").alias("doc_id")).distinct()
     sets = work.store("sets", texts.join(wanted, "doc_id", "left_semi").mapInArrow(_full_sets, "id long, hashes binary, registers binary"))
 
-    edges = _links(work, "star-0", members.select(F.col("centre").alias("a"), F.col("id").alias("b")), sets, percent, margin)
-    found = components(work, edges, "components-0")
-    open_ = members.select("key", "id")
-    for round_ in range(1, STAR_ROUNDS + 1):
-        # Buckets whose members are in several components, with one new centre each: the largest
-        # id outside the component of the smallest.
-        placed = work.store(f"placed-{round_}", _with_components(open_, found))
-        parts = placed.groupBy("key", "comp").agg(F.max("id").alias("last"), F.count("*").alias("n"))
-        mixed = work.store(f"mixed-{round_}", parts.groupBy("key").agg(
-            F.count("*").alias("parts"), F.max(F.struct("comp", "last"))["last"].alias("centre"), F.sum("n").alias("n"),
-        ).filter("parts > 1"))
-        if mixed.isEmpty():
-            break
-        open_ = work.store(f"open-{round_}", placed.join(mixed.select("key", "centre", F.col("n").alias("size")), "key"))
-        if round_ == STAR_ROUNDS:
-            edges = edges.union(_remaining(work, open_, reps, sets, percent, margin))
-        else:
-            away = open_.filter("id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b"))
-            edges = edges.union(_links(work, f"star-{round_}", away, sets, percent, margin))
-        edges = work.store(f"edges-{round_}", edges)
-        found = components(work, edges, f"components-{round_}")
-        open_ = open_.select("key", "id")
+    edges = _links(work, "star", members.select(F.col("centre").alias("a"), F.col("id").alias("b")), sets, percent, margin)
+    found = components(work, edges, "star-components")
+    # The centre has been compared with its whole bucket. The rest is done where all other
+    # members lie in one component.
+    placed = work.store("placed", _with_components(members.filter("id != centre"), found))
+    mixed = work.store("mixed", placed.groupBy("band", "key").agg(
+        F.min("comp").alias("low"), F.max("comp").alias("high")
+    ).filter("low < high").select("band", "key"))
+    more = _remaining(work, placed.join(mixed, ["band", "key"]), sets, percent, margin)
+    # Components that such links connect get the smallest name among them.
+    named_of = lambda side: found.select(F.col("id").alias(side), F.col("component_id").alias(f"{side}_comp"))
+    between = more.join(named_of("a"), "a", "left").join(named_of("b"), "b", "left").select(
+        F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b")
+    )
+    merged = components(work, between, "merged")
+    found = _merge(work, found, merged)
 
     named = work.store("named", _with_components(classes, found).select(*whole, F.col("comp").alias("component_id")).distinct())
     rows = sketches.join(named, whole, "left").select(
@@ -248,24 +262,29 @@ def keep_one(work: Workspace, documents: DataFrame) -> DataFrame:
     return kept.select(*documents.columns).unionByName(documents.filter("doc_id is null"))
 
 
-def _remaining(work: Workspace, open_: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, margin: float) -> DataFrame:
-    """Links between members of one bucket that are in different components, pair by pair.
+def _merge(work: Workspace, found: DataFrame, merged: DataFrame) -> DataFrame:
+    """Components ``found``, renamed where ``merged`` connects them, with nodes only it has."""
+    names = merged.select(F.col("id").alias("component_id"), F.col("component_id").alias("new"))
+    renamed = found.join(names, "component_id", "left").select("id", F.coalesce("new", "component_id").alias("component_id"))
+    alone = merged.join(found.select("id"), "id", "left_anti")
+    return work.store("components", renamed.unionByName(alone))
+
+
+def _remaining(work: Workspace, open_: DataFrame, sets: DataFrame, percent: int, margin: float) -> DataFrame:
+    """Links between members of one bucket that are in different components.
 
     A bucket of more than ``BLOCK`` members is cut into blocks, and each pair of blocks is a group of its own.
     """
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = (
-        open_.join(reps, "id")
-        .withColumn("blocks", blocks).withColumn("own", own).withColumn("other", other)
+        open_.join(sets, "id")
+        .withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+        .withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
-            "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-            (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "n", "comp", "registers",
+            "band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+            (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "comp", "registers", "hashes",
         )
     )
-    near = (
-        rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        .mapInArrow(_block_pairs(percent, margin), "a long, b long")
-    )
-    return _links(work, "remaining", near, sets, percent, margin)
+    place = ["band", "key", "i", "j"]
+    found = rows.repartition(*place).sortWithinPartitions(*place).mapInArrow(_block_links(percent, margin), "a long, b long")
+    return work.store("remaining", found)

@@ -142,3 +142,13 @@ def estimate(above, below, equal, n_a, n_b, steps: int = 28) -> np.ndarray:
         up = joint_likelihood(left, above, below, equal, n_a, n_b) < joint_likelihood(right, above, below, equal, n_a, n_b)
         low, high = np.where(up, left, low), np.where(up, high, right)
     return (low + high) / 2
+
+
+def reaches(similarity: float, above, below, equal, n_a, n_b) -> np.ndarray:
+    """Whether the estimate is at least ``similarity``, without finding it.
+
+    The likelihood has a single peak, which lies no lower than where it still rises.
+    """
+    n_a, n_b = np.asarray(n_a, float), np.asarray(n_b, float)
+    counts = (above, below, equal, n_a, n_b)
+    return joint_likelihood(similarity + 1e-4, *counts) >= joint_likelihood(similarity - 1e-4, *counts)
