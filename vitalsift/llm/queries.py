@@ -73,7 +73,47 @@ _BASE32_SHA1 = """(
     CAST((('0x' || substr(d.hex, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31 AS INT) + 1, 1), ''
     ORDER BY i) FROM range(32) t(i))"""
 
+# Components: whatever links reach, named by the smallest member.
+_REACHED = """
+reached(a, b) AS (
+  SELECT id, id FROM nodes
+  UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+named AS (SELECT a AS id, min(b) AS component_id FROM reached GROUP BY a)"""
+
 ORACLES: dict[str, str] = {
+    "op2_embedding_near_dedup": f"""
+WITH RECURSIVE nodes AS (
+  SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT p.id AS a, q.id AS b FROM nodes p JOIN nodes q ON p.id <> q.id AND len(p.e) = len(q.e)
+  WHERE list_cosine_similarity(p.e, q.e) >= 0.95),
+{_REACHED}
+SELECT v.vec_id, (SELECT count(*) FROM links l WHERE l.a = v.vec_id) AS n_links,
+       coalesce(n.component_id, v.vec_id) AS component_id, coalesce(n.component_id, v.vec_id) = v.vec_id AS kept
+FROM embeddings v LEFT JOIN named n ON n.id = v.vec_id""",
+    "op4_minhash_near_dedup": f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id AS id, list_filter(string_split_regex(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+nodes AS (SELECT DISTINCT id FROM words),
+shingles AS MATERIALIZED (
+  SELECT DISTINCT id, shingle FROM (
+    SELECT id, unnest(CASE WHEN len(w) >= 5
+        THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM words)),
+sizes AS MATERIALIZED (SELECT id, count(*) AS n FROM shingles GROUP BY id),
+common AS MATERIALIZED (
+  SELECT p.id AS a, q.id AS b, count(*) AS n FROM shingles p JOIN shingles q USING (shingle)
+  WHERE p.id <> q.id GROUP BY ALL),
+links AS MATERIALIZED (
+  SELECT a, b FROM common JOIN sizes p ON p.id = a JOIN sizes q ON q.id = b
+  WHERE 100 * common.n >= 75 * (p.n + q.n - common.n)),
+{_REACHED}
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, n.component_id, n.component_id = d.doc_id AS kept
+FROM documents d LEFT JOIN sizes s ON s.id = d.doc_id JOIN named n ON n.id = d.doc_id""",
     "op9_warc": f"""
 WITH d AS (
   SELECT page_id, sha1(coalesce(html, '')) AS hex,
