@@ -3,8 +3,9 @@
 No piece of the vocabulary has a blank sign after another character, so merges never cross into
 the next run of blanks: texts are cut in front of each run, and every distinct part is merged
 once per Python worker. All new parts of a batch are merged together, as one flat array of
-symbols: a round looks up the rank of each neighbouring pair, takes the smallest rank of each part, merges
-all its occurrences from the left, and closes the gaps, until no pair has a rank. A pair that a
+symbols, cut into runs at neighbours that no piece holds: a round looks up the rank of each neighbouring
+pair, takes the smallest rank of each run, merges all its occurrences from the left, and closes
+the gaps, until no pair has a rank. A pair that a
 merge creates never ranks before the merged pair, because the vocabulary was itself built by merges in
 this order, so merging equal pairs together gives what one merge at a time would.
 """
@@ -71,6 +72,9 @@ class PieceCoder:
         self.keys = np.array(sorted(pairs), np.int64)
         self.ranks = np.array([pairs[int(k)][0] for k in self.keys], np.int64)
         self.piece_of_rank = np.array([k for _, k in order], np.int32)
+        # Neighbouring characters that some piece holds; no merge crosses any others.
+        inside = {symbols[a] * self.base + symbols[b] for p in plain for a, b in zip(p, p[1:], strict=False)}
+        self.inside = np.array(sorted(inside), np.int64)
         self._build_table()
         # Bytes of every id, for decoding; ids without text are empty.
         self.is_byte = np.zeros(n, bool)
@@ -134,6 +138,7 @@ class PieceCoder:
         owner = np.repeat(np.arange(len(parts)), np.fromiter(map(len, parts), np.int64, len(parts)))
         place = np.arange(len(points))
         symbols = self.symbol_of[points].astype(np.int64)
+        owner = self._runs(symbols, owner)
         done: list[tuple[np.ndarray, np.ndarray]] = []
         while len(symbols):
             ranks = np.full(len(symbols), _NONE)
@@ -160,6 +165,16 @@ class PieceCoder:
         owner = np.repeat(np.arange(len(parts)), np.fromiter(map(len, parts), np.int64, len(parts)))[at]
         return self._spell(symbols, points[at], owner, len(parts))
 
+    def _runs(self, symbols: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Numbers of the runs of characters inside parts that merges can bring together."""
+        if len(symbols) < 2:
+            return np.zeros(len(symbols), np.int64)
+        keys = symbols[:-1] * self.base + symbols[1:]
+        at = np.searchsorted(self.inside, keys)
+        at[at == len(self.inside)] = 0
+        joined = (self.inside[at] == keys) & (symbols[:-1] >= 0) & (symbols[1:] >= 0) & (owner[:-1] == owner[1:])
+        return np.concatenate([[0], np.cumsum(~joined)])
+
     def _spell(self, symbols, points, owner, n_parts) -> tuple[np.ndarray, np.ndarray]:
         """Replace characters that are no pieces by the ids of their UTF-8 bytes."""
         lone = (symbols < 0) | (symbols >= self.n_pieces)
