@@ -27,6 +27,8 @@ from vitalsift.llm.common import Workspace, components, roots_of
 THRESHOLD = 0.95
 TILE_BYTES = 2 << 20
 STRIP = 256
+#: Ranges along the strongest axis; what more vectors a range holds is cut into more tiles.
+RANGES = 1024
 PAIRS_AT_ONCE = 1 << 16
 #: Steps end where this share of the vectors' energy remains; the last step has all coordinates.
 REMAINING = (0.7, 0.4)
@@ -199,7 +201,7 @@ def _compare_dimension(work: Workspace, classes: DataFrame, dim: int, threshold:
     # Ranges along the strongest axis; a range with many equal values is cut further by a hash.
     size = max(256, tile_bytes // (8 * dim))
     n = turned.count()
-    parts = -(-n // size)
+    parts = min(-(-n // size), RANGES)
     found = turned.agg(F.percentile_approx("lead", [k / parts for k in range(1, parts)] or [0.5], 100 * parts).alias("q")).first()["q"]
     bounds = sorted(set(found or [])) if parts > 1 else []
     # One more than the bounds at or below the value.
