@@ -1,6 +1,7 @@
 """Every registered query against its SQL in a second engine, on the smallest test tables."""
 
 import os
+import sys
 
 import pytest
 
@@ -48,5 +49,10 @@ def test_every_query_is_registered():
     assert QUERIES.keys() <= entry.queries().keys() and QUERIES.keys() <= entry.oracle_sql().keys()
 
 
+def test_other_queries_do_not_need_the_optional_ones(monkeypatch):
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    assert entry.queries().keys() == QUERIES.keys() == entry.oracle_sql().keys()
+
+
 def test_flagship(spark):
     assert entry.entry(spark).count() > 0
