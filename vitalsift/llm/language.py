@@ -301,8 +301,11 @@ def predict(
 
 def filter_documents(documents: DataFrame) -> DataFrame:
     """``documents`` without those of no language (``und``); a missing lang becomes the predicted one."""
-    language, score = "_language", "_language_score"
-    found = predict(documents, fit(documents), documents.columns, (language, score)).filter(F.col(language) != UNKNOWN)
+    language = "_language"
+    while language in documents.columns or f"{language}_score" in documents.columns:
+        language += "_"
+    names = (language, f"{language}_score")
+    found = predict(documents, fit(documents), documents.columns, names).filter(F.col(language) != UNKNOWN)
     return found.withColumn("lang", F.coalesce("lang", language)).select(*documents.columns)
 
 
