@@ -1,6 +1,6 @@
 """The registered queries as SQL for a second engine, written independently of the library.
 
-Named table expressions build on each other; ``with_tables`` puts those a query needs ahead of
+Only the fixed values are the library's own: code dictionaries, phrases and the plan of faults. Named table expressions build on each other; ``with_tables`` puts those a query needs ahead of
 it. Nulls sort last everywhere.
 """
 
@@ -8,6 +8,33 @@ from __future__ import annotations
 
 import re
 
+from vitalsift.functions import codes
+from vitalsift.operators import faults as library_faults
+from vitalsift.plans import notes
+
+
+def _text(value: str | None) -> str:
+    return "null" if value is None else "'" + value.replace("'", "''") + "'"
+
+
+def _list(texts) -> str:
+    return "[" + ", ".join(map(_text, texts)) + "]"
+
+
+def _case(column: str, dictionary: dict) -> str:
+    """The value that a dictionary holds for a column."""
+    as_sql = lambda x: _text(x) if isinstance(x, str) else str(x)
+    return f"case {column} " + " ".join(f"when {as_sql(k)} then {as_sql(v)}" for k, v in dictionary.items()) + " end"
+
+
+def _dictionary(dictionary: dict) -> str:
+    return "(values " + ", ".join(f"({_text(k)}, {v})" for k, v in dictionary.items()) + ") d(code, concept)"
+
+
+def _listed(dictionary: dict) -> str:
+    return ", ".join(map(_text, dictionary))
+
+
 TABLES: dict[str, str] = {}
 
 # --- the test tables as clinical tables ------------------------------------------------------
@@ -324,17 +351,15 @@ select case when o_orderkey % 127 <> 13 then 'E' || o_orderkey end as Id,
        cast(cast(o_orderdate as date) + cast(o_orderkey % 5 as int) as varchar) || 'T17:00:00Z' as STOP
 from orders"""
 
-TABLES["conditions"] = """
-select ['44054006', '59621000', '55822004', '271737000', '64859006', '88805009', '49436004', '43878008',
-        '307426000', '706870000', '239873007', '10509002', null][l_partkey % 13 + 1] as CODE,
+TABLES["conditions"] = f"""
+select {_list([*codes.CONDITION, '10509002', None])}[l_partkey % 13 + 1] as CODE,
        'P' || o_custkey as PATIENT, 'E' || l_orderkey as ENCOUNTER,
        case when l_suppkey % 59 = 3 then 'soon' else cast(cast(o_orderdate as date) as varchar) end as START,
        case when l_returnflag <> 'N' then cast(cast(l_shipdate as date) as varchar) end as STOP
 from lineitem join orders on l_orderkey = o_orderkey"""
 
-TABLES["medications"] = """
-select ['860975', '106892', '314076', '308136', '310798', '314231', '205923', '904419', '1719286', '200033',
-        '197604', '855332', '834102', '834061', '309309', '1648755', '854252', '849574', '243670', null][l_partkey % 20 + 1] as CODE,
+TABLES["medications"] = f"""
+select {_list([*codes.DRUG, '243670', None])}[l_partkey % 20 + 1] as CODE,
        'P' || o_custkey as PATIENT, 'E' || l_orderkey as ENCOUNTER,
        cast(cast(o_orderdate as date) as varchar) || 'T12:00:00.900Z' as START,
        case when l_suppkey % 37 = 5 then 'ongoing' else cast(cast(l_shipdate as date) as varchar) || 'T12:00:00.100Z' end as STOP,
@@ -354,7 +379,7 @@ select case event_type when 'view' then '8480-6' when 'click' then '39156-5'
             when event_type = 'click' then 'kg/m2' when event_type = 'purchase' then 'mg/dL' else '%' end as UNITS
 from events"""
 
-# --- source mapping (code lists are fixed values) --------------------------------------------------------------------------
+# --- source mapping ---------------------------------------------------------------------------
 
 _STAMP = "'%Y-%m-%dT%H:%M:%SZ'"
 _MILLIS = "'%Y-%m-%dT%H:%M:%S.%gZ'"
@@ -377,12 +402,11 @@ def _numbered(rows: str, key: str, columns: list[str]) -> str:
 
 TABLES["people"] = _dense("Id", "patients", "person_id")
 
-TABLES["person_candidates"] = """
-select Id, case upper(GENDER) when 'M' then 1 when 'F' then 2 end as gender_concept_id,
+TABLES["person_candidates"] = f"""
+select Id, {_case('upper(GENDER)', codes.GENDER)} as gender_concept_id,
        cast(year(cast(BIRTHDATE as date)) as int) as year_of_birth,
-       case lower(RACE) when 'white' then 1 when 'black' then 2 when 'asian' then 3 when 'hawaiian' then 4
-            when 'native' then 5 when 'other' then 6 end as race_concept_id,
-       case lower(ETHNICITY) when 'hispanic' then 1 when 'nonhispanic' then 2 end as ethnicity_concept_id
+       {_case('lower(RACE)', codes.RACE)} as race_concept_id,
+       {_case('lower(ETHNICITY)', codes.ETHNICITY)} as ethnicity_concept_id
 from patients"""
 
 TABLES["m_person"] = """
@@ -393,9 +417,7 @@ where Id is not null and gender_concept_id is not null and race_concept_id is no
 
 TABLES["visit_candidates"] = f"""
 select e.Id, k.person_id,
-       case when lower(ENCOUNTERCLASS) in ('ambulatory', 'outpatient', 'wellness', 'urgentcare', 'virtual', 'home') then 1
-            when lower(ENCOUNTERCLASS) in ('inpatient', 'snf', 'hospice') then 2
-            when lower(ENCOUNTERCLASS) = 'emergency' then 3 end as visit_concept_id,
+       {_case('lower(ENCOUNTERCLASS)', codes.VISIT_CLASS)} as visit_concept_id,
        cast(strptime(START, {_STAMP}) as date) as visit_start_date,
        cast(strptime(STOP, {_STAMP}) as date) as visit_end_date
 from encounters e left join people k on k.Id = e.PATIENT"""
@@ -415,12 +437,11 @@ select visit_occurrence_id, person_id, visit_concept_id, visit_start_date, visit
        cast(null as int) as care_site_id, cast(null as int) as provider_id
 from kept_visits join visits using (Id)"""
 
-TABLES["condition_candidates"] = """
+TABLES["condition_candidates"] = f"""
 select d.concept as condition_concept_id, k.person_id, v.visit_occurrence_id,
        try_cast(START as date) as condition_start_date, try_cast(STOP as date) as condition_end_date
 from conditions c
-join (values ('44054006', 1), ('59621000', 2), ('55822004', 3), ('271737000', 4), ('64859006', 5), ('88805009', 6),
-      ('49436004', 7), ('43878008', 8), ('307426000', 9), ('706870000', 10), ('239873007', 11)) d(code, concept) on d.code = c.CODE
+join {_dictionary(codes.CONDITION)} on d.code = c.CODE
 left join people k on k.Id = c.PATIENT left join visits v on v.Id = c.ENCOUNTER"""
 
 TABLES["m_condition"] = _numbered(
@@ -435,9 +456,7 @@ select d.concept as drug_concept_id, k.person_id,
        greatest(coalesce(cast(floor((epoch_us(try_strptime(STOP, {_MILLIS})) - epoch_us(try_strptime(START, {_MILLIS}))) / 86400000000) as int), 30), 1) as days_supply,
        coalesce(try_cast(DISPENSES as double), 1) as quantity
 from medications m
-join (values ('860975', 1), ('106892', 2), ('314076', 3), ('308136', 4), ('310798', 5), ('314231', 6), ('205923', 7),
-      ('904419', 8), ('1719286', 9), ('200033', 10), ('197604', 11), ('855332', 12), ('834102', 13), ('834061', 13),
-      ('309309', 14), ('1648755', 15), ('854252', 16), ('849574', 17)) d(code, concept) on d.code = m.CODE
+join {_dictionary(codes.DRUG)} on d.code = m.CODE
 join visits v on v.Id = m.ENCOUNTER left join people k on k.Id = m.PATIENT"""
 
 TABLES["m_drug"] = _numbered(
@@ -448,9 +467,9 @@ TABLES["m_drug"] = _numbered(
 TABLES["measurement_candidates"] = f"""
 select d.concept as measurement_concept_id, k.person_id, v.visit_occurrence_id,
        cast(try_strptime(DATE, {_STAMP}) as date) as measurement_date, try_cast(VALUE as double) as value_as_number,
-       case UNITS when 'mm[Hg]' then 1 when 'kg/m2' then 2 when 'mg/dL' then 3 when '%' then 4 end as unit_concept_id
+       {_case('UNITS', codes.UNIT)} as unit_concept_id
 from observations o
-join (values ('8480-6', 1), ('39156-5', 2), ('2339-0', 3), ('2345-7', 3), ('4548-4', 4)) d(code, concept) on d.code = o.CODE
+join {_dictionary(codes.MEASUREMENT)} on d.code = o.CODE
 join visits v on v.Id = o.ENCOUNTER left join people k on k.Id = o.PATIENT"""
 
 TABLES["m_measurement"] = _numbered(
@@ -459,9 +478,7 @@ TABLES["m_measurement"] = _numbered(
 )
 
 _LISTED = {
-    "conditions": "'44054006', '59621000', '55822004', '271737000', '64859006', '88805009', '49436004', '43878008', '307426000', '706870000', '239873007'",
-    "medications": "'860975', '106892', '314076', '308136', '310798', '314231', '205923', '904419', '1719286', '200033', '197604', '855332', '834102', '834061', '309309', '1648755', '854252', '849574'",
-    "observations": "'8480-6', '39156-5', '2339-0', '2345-7', '4548-4'",
+    "conditions": _listed(codes.CONDITION), "medications": _listed(codes.DRUG), "observations": _listed(codes.MEASUREMENT),
 }
 
 MAPPING_TALLY = f"""
@@ -487,19 +504,6 @@ where person_id is null or measurement_date is null or value_as_number is null""
 
 # --- notes -----------------------------------------------------------------------------------
 
-# Names by concept id.
-_CONDITION_NAMES = ["type 2 diabetes", "hypertension", "hyperlipidemia", "anemia", "osteoporosis",
-                    "congestive heart failure", "atrial fibrillation", "streptococcal pharyngitis",
-                    "a urinary tract infection", "a pulmonary embolism", "osteoarthritis"]
-_DRUG_NAMES = ["Metformin", "insulin", "Lisinopril", "Amlodipine", "Hydrochlorothiazide", "Simvastatin",
-               "Epoetin Alfa", "Alendronic acid", "Furosemide", "Carvedilol", "Digoxin", "Warfarin",
-               "Penicillin V", "Ciprofloxacin", "Nitrofurantoin", "Enoxaparin", "Naproxen"]
-
-
-def _list(texts: list[str]) -> str:
-    return "[" + ", ".join("'" + t.replace("'", "''") + "'" for t in texts) + "]"
-
-
 def _index(prime: int, size: str) -> str:
     return f"(((visit_occurrence_id % 1000003) * {prime} + 42) % {size})"
 
@@ -540,35 +544,24 @@ from ({note_inputs_sql(p)})"""
 
 
 def note_sql(p: str) -> str:
-    demographic = _pick(11, ["{age}-year-old {gender} presenting today.", "Patient is a {age}-year-old {gender}.",
-                             "{gender}, age {age}, seen in clinic."])
-    condition = _pick(17, ["Patient presents for follow-up of {condition}.", "Continues management of {condition}.",
-                           "Here for routine monitoring of {condition}.", "Ongoing care for {condition} reviewed today."])
-    drug = _pick(23, ["Currently taking {drug}, tolerating well.", "Medication regimen includes {drug}.",
-                      "Continues {drug} as prescribed.", "No changes made to {drug} at this visit."])
-    lab = _pick(29, ["Most recent {lab} was {value}.", "Latest {lab} reading: {value}.", "{lab} at last check: {value}."])
-    outpatient = _pick(7, ["Routine follow-up visit.", "Preventive care evaluation.", "Annual wellness check.",
-                           "Follow-up for chronic condition management."])
-    inpatient = _pick(7, ["Admission for inpatient monitoring and treatment.",
-                          "Inpatient stay for management of acute exacerbation.",
-                          "Admitted for observation and further evaluation."])
-    emergency = _pick(7, ["Emergency evaluation for acute symptoms.", "Urgent care visit for new-onset complaint.",
-                          "Emergency department visit."])
+    prime = notes.PRIMES
+    demographic = _pick(prime["demographic"], notes.DEMOGRAPHIC_PHRASES)
+    condition = _pick(prime["condition_phrase"], notes.CONDITION_PHRASES)
+    drug = _pick(prime["drug_phrase"], notes.DRUG_PHRASES)
+    lab = _pick(prime["lab_phrase"], notes.LAB_PHRASES)
+    outpatient, inpatient, emergency = (_pick(prime["complaint"], notes.COMPLAINTS[kind]) for kind in (1, 2, 3))
     return f"""
 select visit_occurrence_id as note_id, person_id, note_date,
   case when len(conditions) > 0 then 'CHIEF COMPLAINT: ' || concat_ws(' ',
       replace(replace({demographic}, '{{age}}', cast(age as varchar)), '{{gender}}',
-              case gender_concept_id when 1 then 'male' when 2 then 'female' else 'patient' end),
-      replace({condition}, '{{condition}}', {_list(_CONDITION_NAMES)}[conditions[{_index(13, 'len(conditions)')} + 1]]),
+              coalesce({_case('gender_concept_id', codes.GENDER_WORDS)}, 'patient')),
+      replace({condition}, '{{condition}}', {_list(codes.CONDITION_NAMES.values())}[conditions[{_index(13, 'len(conditions)')} + 1]]),
       case when len(drugs) > 0 then
-        replace({drug}, '{{drug}}', {_list(_DRUG_NAMES)}[drugs[{_index(19, 'greatest(len(drugs), 1)')} + 1]]) end,
-      replace(replace({lab}, '{{lab}}', ['systolic blood pressure', 'BMI', 'glucose', 'HbA1c'][latest_lab_concept_id]),
+        replace({drug}, '{{drug}}', {_list(codes.DRUG_NAMES.values())}[drugs[{_index(19, 'greatest(len(drugs), 1)')} + 1]]) end,
+      replace(replace({lab}, '{{lab}}', {_case('latest_lab_concept_id', codes.LAB_NAMES)}),
               '{{value}}', printf('%g', latest_lab_value)))
   else 'CHIEF COMPLAINT: ' || case visit_concept_id when 2 then {inpatient} when 3 then {emergency} else {outpatient} end
-    || chr(10) || chr(10) || 'ASSESSMENT AND PLAN: ' || case visit_concept_id
-      when 2 then 'Patient admitted and monitored. Treatment initiated per protocol. Discharge planning in progress.'
-      when 3 then 'Patient assessed in the emergency department. Appropriate workup completed. Disposition determined.'
-      else 'Patient seen and evaluated. Vital signs stable. Plan discussed with patient. Follow-up scheduled as appropriate.' end
+    || chr(10) || chr(10) || 'ASSESSMENT AND PLAN: ' || coalesce({_case('visit_concept_id', notes.ASSESSMENTS)}, {_text(notes.ASSESSMENTS[1])})
   end as note_text, visit_occurrence_id
 from ({note_inputs_sql(p)})"""
 
@@ -577,15 +570,10 @@ TABLES["m_note"] = note_sql("m_")
 
 # --- faults ----------------------------------------------------------------------------------
 
-# Table: (key, faults in order as (kind, column, start column)).
+# The library's plan of faults, as (kind, column, start column).
+_KINDS = {"null": "null", "bad_date": "bad", "negative": "neg", "orphan": "orphan", "duplicate": "dup"}
 FAULTS = {
-    "person": [("null", "year_of_birth", ""), ("dup", "", "")],
-    "visit_occurrence": [("null", "visit_concept_id", ""), ("bad", "visit_end_date", "visit_start_date"), ("dup", "", "")],
-    "condition_occurrence": [("null", "condition_concept_id", ""), ("bad", "condition_end_date", "condition_start_date"), ("dup", "", "")],
-    "drug_exposure": [("null", "drug_concept_id", ""), ("bad", "drug_exposure_end_date", "drug_exposure_start_date"),
-                      ("neg", "days_supply", ""), ("neg", "quantity", ""), ("dup", "", "")],
-    "measurement": [("null", "measurement_date", ""), ("neg", "value_as_number", ""), ("orphan", "person_id", ""), ("dup", "", "")],
-    "note": [("null", "note_text", ""), ("orphan", "visit_occurrence_id", ""), ("dup", "", "")],
+    table: [(_KINDS[f.kind], f.column, f.start) for f in planned] for table, planned in library_faults.FAULTS.items()
 }
 
 

@@ -388,9 +388,8 @@ def _(spark, sf_dir):
 
 @register(
     "unit_concepts",
-    """select ENCOUNTER, CODE, UNITS, case CODE when '8480-6' then 1 when '39156-5' then 2 when '2339-0' then 3
-       when '2345-7' then 3 when '4548-4' then 4 end as measurement_concept_id,
-       case UNITS when 'mm[Hg]' then 1 when 'kg/m2' then 2 when 'mg/dL' then 3 when '%' then 4 end as unit_concept_id
+    f"""select ENCOUNTER, CODE, UNITS, {sql._case('CODE', codes.MEASUREMENT)} as measurement_concept_id,
+       {sql._case('UNITS', codes.UNIT)} as unit_concept_id
 from observations""",
 )
 def _(spark, sf_dir):
