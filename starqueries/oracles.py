@@ -1,6 +1,7 @@
 """The registered queries as SQL for a second engine, written independently of the library.
 
-Only the fixed values are the library's own: code dictionaries, phrases and the plan of faults. Named table expressions build on each other; ``with_tables`` puts those a query needs ahead of
+Only the fixed values are the library's own: code dictionaries, phrases and the plan of faults.
+Named table expressions build on each other; ``with_tables`` puts those a query needs ahead of
 it. Nulls sort last everywhere.
 """
 

@@ -1,8 +1,8 @@
 """The test tables seen as clinical tables and as source exports.
 
 Customers are people, orders are visits, line items conditions and drugs, events measurements
-(errors have no concept), documents notes. Every view has all rows of its table. Faults come from fixed remainders of the keys, so both engines agree on them.
-Ids are 64-bit.
+(errors have no concept), documents notes. Every view has all rows of its table. Faults come
+from fixed remainders of the keys, so both engines agree on them. Ids are 64-bit.
 """
 
 from __future__ import annotations
