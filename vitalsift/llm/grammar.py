@@ -36,14 +36,18 @@ SHARD_SCHEMA = "part int, seq int, part_start long, n_ids long, doc_ids array<lo
 
 def _slots(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     mixed = left * np.uint32(0x9E3779B1) ^ right * np.uint32(0x85EBCA77)
-    return (mixed * np.uint32(0xC2B2AE35)) >> np.uint32(32 - _SLOT_BITS)
+    return (mixed * np.uint32(0xC2B2AE35) >> np.uint32(32 - _SLOT_BITS)).astype(np.intp)
 
 
-def _frequent(left, right, slots, inner, most: int, least: int) -> np.ndarray:
-    """The most frequent pairs as 64-bit keys, by falling count and rising key."""
-    counts = np.bincount(slots[inner], minlength=1 << _SLOT_BITS)
+def _frequent(left, right, slots, most: int, least: int) -> np.ndarray:
+    """The most frequent pairs as 64-bit keys, by falling count and rising key.
+
+    Pairs of two documents are in the slot after the last.
+    """
+    counts = np.bincount(slots, minlength=(1 << _SLOT_BITS) + 1)
+    counts[-1] = 0
     limit = max(least, int(np.partition(counts, -most)[-most]))
-    at = np.flatnonzero((counts >= limit)[slots] & inner)
+    at = np.flatnonzero((counts >= limit)[slots])
     keys, times = np.unique(left[at].astype(np.int64) << 32 | right[at], return_counts=True)
     keys, times = keys[times >= least], times[times >= least]
     return keys[np.lexsort((keys, -times))][:most]
@@ -54,7 +58,7 @@ def compress(
     rounds: int = ROUNDS, pairs: int = PAIRS_PER_ROUND, least: int = MIN_COUNT,
 ) -> bytes:
     """The body of a shard: documents with ``lengths`` ids each, all below ``first_symbol``."""
-    symbols = ids.astype(np.uint32)
+    symbols = np.array(ids, np.uint32)
     last = np.zeros(len(symbols), bool)
     last[np.cumsum(lengths[lengths > 0]) - 1] = True
     rules: list[np.ndarray] = []
@@ -62,32 +66,33 @@ def compress(
     for _ in range(rounds):
         if len(symbols) < 2:
             break
-        left, right, inner = symbols[:-1], symbols[1:], ~last[:-1]
+        left, right = symbols[:-1], symbols[1:]
         slots = _slots(left, right)
-        keys = _frequent(left, right, slots, inner, pairs, least)
+        slots[last[:-1]] = 1 << _SLOT_BITS
+        keys = _frequent(left, right, slots, pairs, least)
         if not len(keys):
             break
         low, high = (keys >> 32).astype(np.uint32), (keys & 0xFFFFFFFF).astype(np.uint32)
-        rule_at = np.full(1 << _SLOT_BITS, -1, np.int32)
+        rule_at = np.full((1 << _SLOT_BITS) + 1, -1, np.int32)
         # Of rules with one slot the most frequent, written last, stays.
         rule_at[_slots(low, high)[::-1]] = np.arange(len(keys), dtype=np.int32)[::-1]
         rule = rule_at[slots]
-        hit = np.flatnonzero((rule >= 0) & inner)
-        hit = hit[(low[rule[hit]] == left[hit]) & (high[rule[hit]] == right[hit])]
+        hit = np.flatnonzero(rule >= 0)
+        own = rule[hit]
+        fits = (low[own] == left[hit]) & (high[own] == right[hit])
+        hit, own = hit[fits], own[fits]
         none = np.iinfo(np.int32).max
-        rank = np.full(len(symbols) + 1, none, np.int32)
-        rank[hit + 1] = rule[hit]
-        here = rank[hit + 1]
-        before, after = rank[hit], np.append(rank, none)[hit + 2]
-        chosen = hit[(here < before) & (here <= after)]
+        rank = np.full(len(symbols) + 2, none, np.int32)
+        rank[hit + 1] = own
+        wins = (own < rank[hit]) & (own <= rank[hit + 2])
+        chosen, own = hit[wins], own[wins]
         if not len(chosen):
             break
         # Only rules that were applied are kept.
-        kept = np.unique(rule[chosen])
+        kept = np.unique(own)
         number = np.zeros(len(keys), np.uint32)
         number[kept] = len(sizes) + np.arange(len(kept), dtype=np.uint32)
-        symbols = symbols.copy()
-        symbols[chosen] = number[rule[chosen]]
+        symbols[chosen] = number[own]
         stays = np.ones(len(symbols), bool)
         stays[chosen + 1] = False
         last[chosen] = last[chosen + 1]

@@ -92,7 +92,9 @@ def _verifier(percent: int, margin: float):
             for k in np.flatnonzero(likely).tolist():
                 if _is_link(np.frombuffer(set_a[k], np.uint64), np.frombuffer(set_b[k], np.uint64), percent):
                     found.append(k)
-            yield pa.RecordBatch.from_pydict({"a": [a[k] for k in found], "b": [b[k] for k in found]}, schema=_ARROW_PAIR)
+            yield pa.RecordBatch.from_pydict(
+                {"a": [a[k] for k in found], "b": [b[k] for k in found]}, schema=_ARROW_PAIR
+            )
 
     return verify
 

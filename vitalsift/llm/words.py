@@ -8,6 +8,7 @@ inside the parts and is left to the library.
 
 from __future__ import annotations
 
+import gc
 import os
 from collections.abc import Iterator
 from itertools import chain
@@ -36,30 +37,34 @@ class Slots(dict):
 
 
 class Ragged:
-    """A growing list of id sequences in flat arrays."""
+    """A growing list of id sequences in flat arrays.
+
+    A sequence's start and length share one number, so finding it is one access to memory.
+    """
+
+    _LENGTH_BITS = 28
 
     def __init__(self) -> None:
         self.n = self.used = 0
-        self.starts = np.zeros(1 << 12, np.int64)
-        self.lengths = np.zeros(1 << 12, np.int64)
+        self.places = np.zeros(1 << 12, np.int64)
         self.flat = np.zeros(1 << 14, np.uint32)
 
     def extend(self, flat: np.ndarray, lengths: np.ndarray) -> None:
         n, used = self.n + len(lengths), self.used + len(flat)
-        if n > len(self.starts):
-            self.starts = np.resize(self.starts, 2 * n)
-            self.lengths = np.resize(self.lengths, 2 * n)
+        if n > len(self.places):
+            self.places = np.resize(self.places, 2 * n)
         if used > len(self.flat):
             self.flat = np.resize(self.flat, 2 * used)
-        self.starts[self.n : n] = self.used + np.cumsum(lengths) - lengths
-        self.lengths[self.n : n] = lengths
+        starts = self.used + np.cumsum(lengths) - lengths
+        self.places[self.n : n] = starts << self._LENGTH_BITS | lengths
         self.flat[self.used : used] = flat
         self.n, self.used = n, used
 
     def gather(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the sequences numbered ``which``, one after another, and their lengths."""
-        lengths = self.lengths[which]
-        return self.flat[ragged(self.starts[which], lengths)], lengths
+        places = self.places[which]
+        lengths = places & ((1 << self._LENGTH_BITS) - 1)
+        return self.flat[ragged(places >> self._LENGTH_BITS, lengths)], lengths
 
 
 class WordEncoder:
@@ -147,7 +152,20 @@ class WordEncoder:
         self.words.extend(flat, lengths.reshape(-1, 2).sum(axis=1))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in order (uint32), and the number of ids of each text, end id included."""
+        """All ids in order (uint32), and the number of ids of each text, end id included.
+
+        Nothing made here refers back to itself, so the cycle collector, which would walk
+        through the remembered words again and again, rests meanwhile.
+        """
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.slots) > self.remembered:
             self._forget_words()
         words: list = []
