@@ -36,10 +36,14 @@ ACCESS = GAP + r"(AKIA[A-Z0-9]{16,}+)"
 HEX = GAP + r"((?<![0-9a-f])[0-9a-f]{24,}+)"
 # Weak parts.
 ID_WORDS = "(?i:client_?id|access_?key(?:_?id)?|user(?:_?name)?|login)"
-IDENTIFIER = GAP + r"(\b" + ID_WORDS + r"""["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,64})"""
+# A secret access key is no identifier, the access key's id is one.
+IDENTIFIER = (
+    GAP + r"((?<![A-Za-z0-9])(?<!(?i:secret)_)" + ID_WORDS + r"""["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}+)"""
+)
+# Starts at the run's begin or after an equals sign, where the looks ahead end too: linear in the run's length.
 TOKEN = (
-    GAP + r"((?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,63}[0-9])(?=[a-z0-9+/_-]{0,63}[A-Z])(?=[A-Z0-9+/_-]{0,63}[a-z])"
-    r"[A-Za-z0-9+/_=-]{20,64}+(?![A-Za-z0-9+/_=-]))"
+    GAP + r"((?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Z0-9+/_-]*+[a-z])"
+    r"[A-Za-z0-9+/_=-]{20,}+)"
 )
 ENDPOINT = GAP + r"(\b(?i:https?|postgres|mysql|amqp|redis)://[A-Za-z0-9.-]{1,253}(?::[0-9]{1,5})?)"
 BREAK = GAP + r"(\n[ \t]{0,16}\n)"
