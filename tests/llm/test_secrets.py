@@ -71,6 +71,24 @@ def test_values_after_equals_signs_and_long_runs_are_parts(spark):
     assert found[5] == "linked_id:0:106,linked_secret:107:131"
 
 
+def test_reach_is_measured_between_ends(spark):
+    long = "g" * 600
+    texts = {
+        1: f"token={long} login=bob", 2: f"token={long} https://x.io login=bob",
+        3: f"token={'g' * 3_000}.login=bob.{'g' * 3_000}",
+        **{10 + k: f"login=bob{' ' * (400 + k)}{TOKEN}" for k in (0, 1)},
+        **{20 + k: f"token={long}{' ' * (400 + k)}login=bob" for k in (0, 1)},
+        **{30 + k: f"{' ' * shift}token={long}{' ' * 400}login=bob" for k, shift in enumerate(range(0, 400, 57))},
+    }
+    found = {r["doc_id"]: r["spans"] for r in scan(spark, list(texts.items()))}
+    assert found[1] == "assign:0:606,linked_id:607:616"
+    assert found[2] == "assign:0:606,linked_endpoint:607:619,linked_id:620:629"
+    assert "linked_id:3007:" in found[3]
+    assert found[10] == "linked_id:0:9,linked_secret:409:433" and found[11] == ""
+    assert found[20] == "assign:0:606,linked_id:1006:1015" and found[21] == "assign:0:606"
+    assert all("linked_id" in found[k] for k in found if k >= 30)
+
+
 def test_edge_rows(spark):
     out = scan(spark, edge_rows(), EDGE_SCHEMA)
     assert sorted(str(r["doc_id"]) for r in out) == sorted(str(r[0]) for r in edge_rows())

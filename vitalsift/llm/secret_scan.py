@@ -7,14 +7,16 @@ Base kinds, leftmost and without overlap within a kind; matches that are too sho
 - ``hex``: 24 hexadecimal digits in lower case
 
 A user name, a random-looking token or an endpoint alone means nothing. These weak parts are
-reported when complementary parts stand in the same scope (text without a blank line) and near each other:
+reported when complementary parts stand in the same scope (text without a blank line) with at most ``REACH``
+characters between the end of one and the start of the other:
 ``linked_secret`` beside an identifier or endpoint, ``linked_id`` beside a secret,
 ``linked_endpoint`` beside both. Base matches count as identifiers and secrets here.
 
 A pattern yields texts, not places, so each match is taken together with the gap before it, and
 places are running sums of lengths. Parts meet in an interval join: every scope is cut into cells as wide as
-the reach, each cell keeps the first and last place of each role, and a part looks into its own
-and the two neighbouring cells. The work grows with the number of parts, not of pairs.
+the reach, a part lies in all cells from its start to its end, each cell keeps the first start and last end of each
+role, and a part looks into its own and the two neighbouring cells. The work grows with the number and length
+of parts, not with that of pairs.
 """
 
 from __future__ import annotations
@@ -112,7 +114,7 @@ def place_parts(extracted: DataFrame) -> DataFrame:
 
 
 def link(parts: DataFrame, reach: int = REACH) -> DataFrame:
-    """The weak parts that have complementary parts in their scope within ``reach`` characters."""
+    """The weak parts that have complementary parts in their scope with gaps of at most ``reach`` characters."""
     role = (
         F.when(F.col("kind").isin("access", "linked_id"), "id")
         .when(F.col("kind").isin("assign", "hex", "linked_secret"), "secret")
@@ -127,19 +129,19 @@ def link(parts: DataFrame, reach: int = REACH) -> DataFrame:
         parts.withColumn("scope", F.sum((F.col("kind") == "break").cast("int")).over(before))
         .filter("kind != 'break'")
         .withColumn("role", role)
-        .withColumn("cell", F.floor(F.col("start") / reach).cast("int"))
+        .withColumn("low", F.floor(F.col("start") / reach).cast("int"))
+        .withColumn("high", F.floor(F.col("end") / reach).cast("int"))
     )
-    cells = scoped.groupBy(*KEY, "scope", "role", "cell").agg(
-        F.min("start").alias("first"), F.max("start").alias("last")
+    cells = scoped.withColumn("cell", F.explode(F.sequence("low", "high"))).groupBy(*KEY, "scope", "role", "cell").agg(
+        F.min("start").alias("first"), F.max("end").alias("last")
     ).withColumnRenamed("role", "other")
     near = (
         scoped.filter(F.col("kind").startswith("linked"))
-        .withColumn("own", F.col("cell"))
-        .withColumn("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)))
+        .withColumn("cell", F.explode(F.sequence(F.col("low") - 1, F.col("high") + 1)))
         .join(cells, [*KEY, "scope", "cell"])
         .filter(
-            "role != other and (cell = own or (cell < own and start - last <= %d)"
-            " or (cell > own and first - start <= %d))" % (reach, reach)
+            "role != other and (cell between low and high or (cell < low and start - last <= %d)"
+            " or (cell > high and first - end <= %d))" % (reach, reach)
         )
         .groupBy(*KEY, "kind", "start", "end").agg(F.collect_set("other").alias("others"))
     )
