@@ -87,6 +87,26 @@ def test_one_document_of_each_group_stays(spark):
     assert kept.count() == 5
 
 
+def test_rows_with_one_id_and_different_texts_are_one_document(spark):
+    a, b, c, d = ("five words are all alike", "and another five words here now", "a third text of six words", "a last text of other words")
+    rows = [(1, a), (5, a), (5, b), (9, b), (12, c), (12, ""), (7, c), (20, d), (20, c), (30, d), (40, None), (40, "")]
+    expected = {1: 1, 5: 1, 9: 1, 7: 7, 12: 7, 20: 7, 30: 7, 40: 40}
+    out = found_in(spark, rows)
+    assert sorted((r["doc_id"], r["component_id"]) for r in out) == sorted((k, expected[k]) for k, _ in rows)
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in out)
+    kept = neardup.keep_one(Workspace(spark, "neardup"), spark.createDataFrame(rows, SCHEMA))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 7, 40]
+
+
+def test_ids_chained_by_texts_and_links(spark):
+    """Links that only centres' remainders find are joined with those of repeated ids."""
+    words = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join(words[4 * k : 4 * k + 60])) for k in range(40)]
+    rows += [(39, "quite another text of its own"), (60, "quite another text of its own"), (60, "one more text that stands alone"),
+             (55, "one more text that stands alone")]
+    assert {r["component_id"] for r in found_in(spark, rows)} == {0}
+
+
 def test_registers_merge_and_estimate():
     rng = np.random.default_rng(1)
     sketch = SetSketch()

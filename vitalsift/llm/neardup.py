@@ -196,7 +196,7 @@ def find_near_duplicates(
     Two documents are linked when 100 * intersection >= percent * union of their shingle sets;
     a component is what links connect, named by its smallest id, and its row of that id is
     kept. A null or empty text, or one without words, has no shingles and no links. Rows with the
-    same id are one document, linked by any of its texts. A null id has no component and is
+    same id are one document, linked by any of its texts, and have one component. A null id has no component and is
     kept. Other columns are ignored; an empty table gives no rows.
     """
     spark = documents.sparkSession
@@ -225,6 +225,8 @@ def find_near_duplicates(
     sets = work.store("sets", texts.join(wanted, "doc_id", "left_semi").mapInArrow(_full_sets, "id long, hashes binary, registers binary"))
 
     edges = _links(work, "star", members.select(F.col("centre").alias("a"), F.col("id").alias("b")), sets, percent, margin)
+    lowest, same = _same_ids(work, sketches, known, classes)
+    edges = edges.unionByName(same)
     found = components(work, edges, "star-components")
     # The centre has been compared with its whole bucket. The rest is done where all other
     # members lie in one component.
@@ -242,13 +244,31 @@ def find_near_duplicates(
     found = _merge(work, found, merged)
 
     named = work.store("named", _with_components(classes, found).select(*whole, F.col("comp").alias("component_id")).distinct())
-    rows = sketches.join(named, whole, "left").select(
+    # Rows without shingles belong to the component of the other rows of their id.
+    ids = _with_components(lowest, found).select("doc_id", F.col("comp").alias("component_id"))
+    rows = sketches.filter("n_shingles > 0").select("doc_id", *whole).join(named, whole, "left").unionByName(
+        sketches.filter("n_shingles = 0").select("doc_id", *whole).join(ids, "doc_id", "left"),
+    ).select(
         "doc_id", F.col("n_shingles").cast("long").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
     )
     return rows.withColumn("kept", F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id")))
 
 
+def _same_ids(work: Workspace, sketches: DataFrame, known: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ids with several texts: ``doc_id`` and the smallest ``id`` of its classes, and edges from that to the others."""
+    whole = ["h1", "h2", "n_shingles"]
+    differ = [f(c).alias(f"{name}_{c}") for c in whole for name, f in (("low", F.min), ("high", F.max))]
+    repeated = work.store("repeated", sketches.filter("doc_id is not null").groupBy("doc_id").agg(*differ).filter(
+        " or ".join(f"low_{c} < high_{c}" for c in whole)
+    ).select("doc_id"))
+    own = known.select("doc_id", *whole).join(repeated, "doc_id", "left_semi")
+    shared = work.store("shared", own.join(classes, whole).select("doc_id", "id").distinct())
+    lowest = work.store("lowest", shared.groupBy("doc_id").agg(F.min("id").alias("id")))
+    edges = shared.join(lowest.withColumnRenamed("id", "low"), "doc_id").select(F.col("low").alias("a"), F.col("id").alias("b"))
+    return lowest, edges.filter("a != b").distinct()
+
+
 def keep_one(work: Workspace, documents: DataFrame) -> DataFrame:
     """``documents`` with one row of each component: that of the smallest doc_id.
 
