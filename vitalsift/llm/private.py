@@ -15,7 +15,8 @@ Base kinds, leftmost and without overlap within a kind; matches that fail their
 Kinds that only a cue makes certain:
 
 - ``tel``: 7 to 15 digits after ``tel:``
-- ``account``: an IBAN with a valid checksum, or 6 to 17 digits, after a word such as ``IBAN``
+- ``account``: an IBAN with a valid checksum, or 6 to 17 digits, after a word such as ``IBAN``; words and numbers
+  may follow the IBAN, its end is the one that its country fixes or else the last at which the checksum holds
 - ``userinfo``: ``user:password`` in front of a host in a URI
 """
 
@@ -43,9 +44,15 @@ DIGIT_GROUPS = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 TEL = re.compile(r"[0-9][0-9().-]*[0-9]")
 CUED = re.compile(r"(?:[ ]?(?:number|no\.?|nr\.?|#))?[ ]{0,2}[:=#]?[ ]{0,2}", re.IGNORECASE)
-IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+IBAN_LENGTHS = {c[:2]: int(c[2:]) for c in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 "
+    "GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 "
+    "MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 "
+    "TN24 TR26 UA29 VA22 VG24 XK20 "
+).split()}
 ACCOUNT = re.compile(r"[0-9](?:[ -]?[0-9])++(?![A-Za-z0-9])")
-USERINFO = re.compile(r"[^\s/@:\"'<>]{1,256}:[^\s/@\"'<>]{1,256}(?=@)")
+USERINFO = re.compile(r"[^\s/@:\"'<>]++:[^\s/@\"'<>]++(?=@)")
 NON_DIGIT = re.compile(r"[^0-9]")
 
 
@@ -60,6 +67,25 @@ def iban_checks(code: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def iban_end(text: str, begin: int) -> int:
+    """The end of the IBAN that starts at ``begin``; -1 where there is none.
+
+    Capitals and digits after a blank may belong to it or not. An end of the length that the country fixes
+    comes first, then all others from the last to the first.
+    """
+    match = IBAN.match(text, begin)
+    if not match:
+        return -1
+    ends = []
+    code = ""
+    for at in range(begin, match.end()):
+        code += text[at].strip()
+        # No letter or digit follows.
+        if len(code) >= 15 and text[at] != " " and not (text[at + 1 : at + 2].isascii() and text[at + 1 : at + 2].isalnum()):
+            ends.append((len(code) == IBAN_LENGTHS.get(code[:2]), at + 1, code))
+    return next((end for _, end, code in sorted(ends, reverse=True) if iban_checks(code)), -1)
+
+
 def build_anchors():
     """The automaton; an anchor's value is its kind and its length."""
     import ahocorasick
@@ -125,10 +151,10 @@ def find_spans(text: str, automaton) -> list[tuple[int, int, int]]:
                     found.append((last + 1, match.end(), 4))
         elif kind == "account":
             begin = CUED.match(text, last + 1).end()
-            match = IBAN.match(text, begin)
-            if match and iban_checks(match.group().replace(" ", "")):
-                done["account"] = match.end()
-                found.append((begin, match.end(), 5))
+            end = iban_end(text, begin)
+            if end >= 0:
+                done["account"] = end
+                found.append((begin, end, 5))
             elif match := ACCOUNT.match(text, begin):
                 done["account"] = match.end()
                 if match.end() - begin < 64 and 6 <= len(NON_DIGIT.sub("", match.group())) <= 17:
