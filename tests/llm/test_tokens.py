@@ -35,6 +35,26 @@ def test_ids_equal_the_library(library, remembered):
             assert ids[end - n : end].tolist() == expected_ids(library, text), text[:80]
 
 
+def test_grammar_goes_on_until_no_pair_is_frequent():
+    rng = np.random.default_rng(4)
+    text = rng.integers(0, 5_000, 400)
+    copies = np.concatenate([np.append(text, rng.integers(0, 5_000, 5)) for _ in range(40)])
+    for ids, lengths in (
+        (copies, np.full(40, 405)), (np.full(100_000, 7), np.array([100_000])), (rng.integers(0, 40, 200_000), np.full(200, 1_000)),
+        (np.tile([1, 1, 2], 20_000), np.array([30_000, 0, 30_000])),
+    ):
+        shard = grammar.Shard(grammar.compress(ids.astype(np.uint32), lengths, 5_000))
+        found, each = shard.ids()
+        assert (found == ids).all() and (each == lengths).all()
+        ends = np.cumsum(shard.per_document, dtype=np.int64)
+        inner = np.ones(len(shard.symbols), bool)
+        inner[ends[shard.per_document > 0] - 1] = False
+        at = np.flatnonzero(inner)
+        pairs, at_pair = np.unique(shard.symbols[at].astype(np.int64) << 32 | shard.symbols[at + 1], return_inverse=True)
+        assert not len(pairs) or np.bincount(at_pair).max() < grammar.MIN_COUNT
+    assert len(grammar.compress(copies.astype(np.uint32), np.full(40, 405), 5_000)) < 4 * len(copies) / 8
+
+
 def test_grammar_round_trip_and_random_access():
     rng = np.random.default_rng(0)
     for n, top in ((0, 9), (1, 9), (50, 2), (30_000, 12), (200_000, 40)):

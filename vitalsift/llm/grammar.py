@@ -1,9 +1,9 @@
 """Token-id files compressed by a Re-Pair grammar per shard, with random access to documents.
 
 A shard holds the ids of consecutive documents. The most frequent pairs of neighbouring ids are
-replaced by new symbols, the result again, and so on for a number of rounds or until no pair is
-frequent. A round replaces many pairs at once: where two of them overlap, the more frequent one
-wins, the left one among equals. No symbol spans two documents.
+replaced by new symbols, the result again, and so on until no pair is frequent. A round replaces
+many pairs at once: where two of them overlap, the more frequent one wins, the left one among
+equals. No symbol spans two documents.
 
 Body of a shard, little endian: magic ``RPG1``; five uint32: first new symbol, rules, documents,
 symbols, end id; then uint32 arrays: rules (two per rule), expansion length of each rule, symbols
@@ -12,6 +12,7 @@ per document, symbols. A document is decoded from its own symbols and the rules
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +27,6 @@ from vitalsift.llm.words import END_ID, default_path, encoded_rows, encoder
 
 MAGIC = b"RPG1"
 SHARD_IDS = 1 << 20
-ROUNDS = 4
 PAIRS_PER_ROUND = 2048
 MIN_COUNT = 16
 _SLOT_BITS = 18
@@ -47,23 +47,30 @@ def _frequent(left, right, slots, most: int, least: int) -> np.ndarray:
     counts = np.bincount(slots, minlength=(1 << _SLOT_BITS) + 1)
     counts[-1] = 0
     limit = max(least, int(np.partition(counts, -most)[-most]))
-    at = np.flatnonzero((counts >= limit)[slots])
-    keys, times = np.unique(left[at].astype(np.int64) << 32 | right[at], return_counts=True)
-    keys, times = keys[times >= least], times[times >= least]
+    # Full slots may hold rare pairs only; then all slots that can hold a frequent one are read.
+    for enough in sorted({limit, least}, reverse=True):
+        at = np.flatnonzero((counts >= enough)[slots])
+        keys, times = np.unique(left[at].astype(np.int64) << 32 | right[at], return_counts=True)
+        keys, times = keys[times >= least], times[times >= least]
+        if len(keys):
+            break
     return keys[np.lexsort((keys, -times))][:most]
 
 
 def compress(
     ids: np.ndarray, lengths: np.ndarray, first_symbol: int, end_id: int = END_ID,
-    rounds: int = ROUNDS, pairs: int = PAIRS_PER_ROUND, least: int = MIN_COUNT,
+    rounds: int | None = None, pairs: int = PAIRS_PER_ROUND, least: int = MIN_COUNT,
 ) -> bytes:
-    """The body of a shard: documents with ``lengths`` ids each, all below ``first_symbol``."""
+    """The body of a shard: documents with ``lengths`` ids each, all below ``first_symbol``.
+
+    Goes on until no pair is seen ``least`` times, or for at most ``rounds`` rounds where given.
+    """
     symbols = np.array(ids, np.uint32)
     last = np.zeros(len(symbols), bool)
     last[np.cumsum(lengths[lengths > 0]) - 1] = True
     rules: list[np.ndarray] = []
     sizes = np.ones(first_symbol, np.uint32)
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         if len(symbols) < 2:
             break
         left, right = symbols[:-1], symbols[1:]
@@ -81,6 +88,12 @@ def compress(
         own = rule[hit]
         fits = (low[own] == left[hit]) & (high[own] == right[hit])
         hit, own = hit[fits], own[fits]
+        # In a run of one symbol every second pair overlaps the one before it.
+        place = np.arange(len(hit))
+        fresh = np.ones(len(hit), bool)
+        fresh[1:] = (np.diff(hit) > 1) | (own[1:] != own[:-1])
+        even = (place - np.maximum.accumulate(np.where(fresh, place, 0))) % 2 == 0
+        hit, own = hit[even], own[even]
         none = np.iinfo(np.int32).max
         rank = np.full(len(symbols) + 2, none, np.int32)
         rank[hit + 1] = own
