@@ -27,6 +27,23 @@ def corpus(n=360, seed=1):
 SCHEMA = "doc_id long, text string, lang string"
 
 
+def test_sample_is_bounded_where_ids_repeat_or_are_null(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(language, "train", lambda windows, labels, languages, seed: given.append(sorted(map(bytes, windows.astype("<i2")))))
+
+    def windows(rows):
+        language.fit(spark.createDataFrame(rows, SCHEMA).repartition(5))
+        return given[-1]
+
+    unique = [(k, t, lang) for k, t, lang in corpus() if k != 1]
+    missing = [(None, t, "aa") for _, t, _ in corpus(300, seed=2)] + [(None, "ka", "aa")] * 50
+    repeated = [(1, t, "bb") for _, t, _ in corpus(300, seed=3)] * 2
+    alone, more = windows(unique), windows(unique + missing + repeated)
+    assert len(alone) <= len(more) + 2 * language.SAMPLE_WINDOWS
+    assert len(more) <= len(alone) + 2 * language.SAMPLE_WINDOWS
+    assert more == windows((unique + missing + repeated)[::-1])
+
+
 def test_gradients_equal_differences():
     network = language.Network.fresh(["a", "b", "c"], hidden=3)
     rng = np.random.default_rng(0)

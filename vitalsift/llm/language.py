@@ -221,27 +221,38 @@ def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
-_ARROW_WINDOW = pa.schema([("lang", pa.string()), ("order", pa.int64()), ("window", pa.binary())])
+SAMPLE = "lang string, order long, tie long, windows array<binary>"
+_ARROW_SAMPLE = pa.schema([
+    ("lang", pa.string()), ("order", pa.int64()), ("tie", pa.int64()), ("windows", pa.list_(pa.binary())),
+])
 
 
 def _sample_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, data, offsets in text_slices(batches, "text"):
-        langs, order = part.column(0).to_pylist(), part.column(1).to_pylist()
-        rows = []
-        for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        windows = []
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
             spots = np.unique(np.linspace(a, max(a, b - WINDOW), SAMPLE_WINDOWS).astype(int))
-            rows += [(langs[k], order[k], data[s : min(s + WINDOW, b)].tobytes()) for s in spots]
-        columns = list(zip(*rows, strict=True)) or [[], [], []]
+            windows.append([data[s : min(s + WINDOW, b)].tobytes() for s in spots])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, f.type) for c, f in zip(columns, _ARROW_WINDOW, strict=True)], schema=_ARROW_WINDOW
+            [part.column(0).cast(pa.string()), *part.columns[1:3], pa.array(windows, _ARROW_SAMPLE.field("windows").type)], schema=_ARROW_SAMPLE
         )
 
 
+def _sample(rows: DataFrame, picked: DataFrame) -> DataFrame:
+    """``lang``, ``order`` and ``windows`` of one text per row of ``picked``."""
+    found = rows.join(F.broadcast(picked), ["lang", "order"]).select("lang", "order", F.xxhash64("text").alias("tie"), "text")
+    least = F.min(F.struct("tie", "windows"))
+    return found.mapInArrow(_sample_windows, SAMPLE).groupBy("lang", "order").agg(least.alias("least")).select(
+        "lang", "order", "least.windows"
+    )
+
+
 def fit(documents: DataFrame, seed: int = 9) -> Network | None:
     """A network trained on the labelled documents that are not held out; None without any.
 
     Over all such rows, one document is picked per language and hash bucket: the one with the
-    smallest hash. The buckets bound what is gathered: windows of ``SAMPLE_DOCUMENTS`` per language.
+    smallest hash. The buckets bound what is gathered: windows of ``SAMPLE_DOCUMENTS`` per language. Of rows with
+    one id, or without any, the text with the smallest hash is taken once.
     """
     rows = documents.select(
         F.col("doc_id").cast("long"), F.col("text"), F.col("lang").cast("string").alias("lang")
@@ -251,8 +262,7 @@ def fit(documents: DataFrame, seed: int = 9) -> Network | None:
         rows.groupBy("lang", F.pmod("order", F.lit(SAMPLE_DOCUMENTS)).alias("bucket")).agg(F.min("order").alias("order"))
         .select("lang", "order")
     )
-    sample = rows.join(F.broadcast(picked), ["lang", "order"]).select("lang", "order", "text")
-    found = sorted(tuple(r) for r in sample.mapInArrow(_sample_windows, "lang string, order long, window binary").collect())
+    found = sorted((r["lang"], r["order"], w) for r in _sample(rows, picked).collect() for w in r["windows"])
     if not found:
         return None
     languages = sorted({r[0] for r in found})
