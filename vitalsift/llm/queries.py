@@ -6,7 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitalsift.llm import archive, fingerprints, grammar, language, neardup, packing, pieces, private, secret_scan, vectors
+from vitalsift.llm import (
+    alignment,
+    archive,
+    bytepairs,
+    fingerprints,
+    grammar,
+    language,
+    neardup,
+    packing,
+    pieces,
+    private,
+    secret_scan,
+    vectors,
+)
 from vitalsift.llm.common import Workspace
 
 
@@ -55,6 +68,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(Workspace(spark, "alignment"), table(spark, sf_dir, "documents"))
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytepairs.digest_columns(bytepairs.encode_decode(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
@@ -66,6 +87,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scans": op8_secret_scans,
     "op9_warc": op9_warc,
     "op10_packing": op10_packing,
+    "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
+    "op13_bpe": op13_bpe,
 }
 
 _BASE32_SHA1 = """(
