@@ -17,6 +17,7 @@ from vitalsift.llm import (
     packing,
     pieces,
     private,
+    repair,
     secret_scan,
     vectors,
 )
@@ -72,6 +73,12 @@ def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
     return alignment.align_documents(Workspace(spark, "alignment"), table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    segments = repair.repair(Workspace(spark, "repair"), repair.damage(conversations))
+    return repair.with_all(conversations, repair.summarise(segments))
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytepairs.digest_columns(bytepairs.encode_decode(table(spark, sf_dir, "documents")))
 
@@ -88,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_packing": op10_packing,
     "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_bpe": op13_bpe,
 }
 
