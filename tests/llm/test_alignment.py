@@ -113,6 +113,16 @@ def test_rows_equal_the_plain_version(spark, plain):
         assert tuple(found[k][c] for c in COLUMNS) == expected, texts[k]
 
 
+def test_groups_of_texts(spark, plain):
+    texts = ["Tokenization of words", "漢字 and é", "a▁b", ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for row in alignment.align(rows).collect():
+        groups, a, b = plain.groups(texts[row["doc_id"]]), iter(row["a_ids"]), iter(row["b_ids"])
+        found = [([next(a) for _ in range(m)], [next(b) for _ in range(n)]) for m, n in zip(row["a_sizes"], row["b_sizes"])]
+        assert found == groups and list(a) == list(b) == []
+        assert list(zip(row["a_linked"], row["b_linked"])) == [(x[-1], y[-1]) for x, y in groups]
+
+
 def test_odd_rows(spark, plain):
     rows = edge_rows()
     work = Workspace(spark, "alignment")

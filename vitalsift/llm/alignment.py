@@ -25,7 +25,15 @@ from pyspark.sql import functions as F
 from vitalsift.llm import bytepairs, pieces
 from vitalsift.llm.common import Workspace, ragged, small_batches, text_slices
 
-SCHEMA = "doc_id long, a_ids array<int>, b_ids array<int>, a_sizes array<int>, b_sizes array<int>"
+# Text aligned at once inside a task; one document may be longer.
+SLICE_BYTES = 1 << 19
+
+#: What ``align`` can return. Ids of all tokens; tokens of both sides in every group; the linked ids of
+#: every group; numbers of tokens; the SHA-256 of the groups written as ``a1,a2|b1;a3|b2``.
+COLUMNS = {
+    "doc_id": "long", "a_ids": "array<int>", "b_ids": "array<int>", "a_sizes": "array<int>", "b_sizes": "array<int>",
+    "a_linked": "array<int>", "b_linked": "array<int>", "n_a": "long", "n_b": "long", "groups_sha256": "string",
+}
 
 
 def _ring(low: np.ndarray, high: np.ndarray, middle: np.ndarray, inner: int, outer: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,40 +139,77 @@ def aligner(a_path: str, b_path: str) -> Aligner:
     return _aligners[a_path, b_path]
 
 
-def align(documents: DataFrame, a_path: str | None = None, b_path: str | None = None) -> DataFrame:
-    """Per row ``doc_id``, the ids of both vocabularies, and the tokens of each that every group holds.
+def align(
+    documents: DataFrame, a_path: str | None = None, b_path: str | None = None, columns: tuple[str, ...] = tuple(COLUMNS)
+) -> DataFrame:
+    """Per row ``doc_id`` and its alignment, as the ``columns`` that are asked for.
 
-    Group k has ``a_sizes[k]`` tokens of A and ``b_sizes[k]`` of B, the last of which are linked.
-    Null and empty texts, and texts that a vocabulary does not spell exactly, have empty arrays. Rows are
-    handled one by one, so repeated and missing ids and repeated rows stay; other columns are
-    ignored, an empty table gives no rows. Nothing is shuffled.
+    Group k has ``a_sizes[k]`` tokens of A and ``b_sizes[k]`` of B, the last of which,
+    ``a_linked[k]`` and ``b_linked[k]``, are linked. Null and empty texts, and texts that a vocabulary does
+    not spell exactly, have empty arrays and an empty digest. Rows are handled one by one, so
+    repeated and missing ids and repeated rows stay; other columns are ignored, an empty table
+    gives no rows. Nothing is shuffled.
     """
     a_path, b_path = a_path or bytepairs.default_path(), b_path or pieces.default_path()
     small_batches(documents.sparkSession)
 
+    def lists(counts: np.ndarray, flat: np.ndarray) -> pa.Array:
+        offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        return pa.ListArray.from_arrays(offsets, pa.array(flat.astype(np.int32)))
+
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = aligner(a_path, b_path)
-        for part, _, _ in text_slices(batches, "text"):
-            a, a_counts, b, b_counts, a_sizes, b_sizes, groups = own.align([t or "" for t in part.column(1).to_pylist()])
-            lists = [
-                pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), pa.array(flat.astype(np.int32)))
-                for counts, flat in ((a_counts, a), (b_counts, b), (groups, a_sizes), (groups, b_sizes))
-            ]
-            yield pa.RecordBatch.from_arrays([part.column(0), *lists], names=["doc_id", "a_ids", "b_ids", "a_sizes", "b_sizes"])
-
-    return documents.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(aligned, SCHEMA)
-
-
-def _flat(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
-    """All items of an array column, and the items of each row."""
-    lists = batch.column(batch.schema.get_field_index(name))
-    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.diff(lists.offsets.to_numpy())
+        for part, _, _ in text_slices(batches, "text", SLICE_BYTES):
+            found = own.align([t or "" for t in part.column(1).to_pylist()])
+            a, n_a, b, n_b, a_sizes, b_sizes, groups = found
+            make = {
+                "doc_id": lambda: part.column(0),
+                "a_ids": lambda: lists(n_a, a),
+                "b_ids": lambda: lists(n_b, b),
+                "a_sizes": lambda: lists(groups, a_sizes),
+                "b_sizes": lambda: lists(groups, b_sizes),
+                "a_linked": lambda: lists(groups, a[np.cumsum(a_sizes) - 1]),
+                "b_linked": lambda: lists(groups, b[np.cumsum(b_sizes) - 1]),
+                "n_a": lambda: pa.array(n_a.astype(np.int64)),
+                "n_b": lambda: pa.array(n_b.astype(np.int64)),
+                "groups_sha256": lambda: pa.array(group_digests(*found), pa.string()),
+            }
+            yield pa.RecordBatch.from_arrays([make[c]() for c in columns], names=list(columns))
+
+    schema = ", ".join(f"{c} {COLUMNS[c]}" for c in columns)
+    return documents.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(aligned, schema)
+
+
+def group_digests(a, n_a, b, n_b, a_sizes, b_sizes, groups) -> list[str]:
+    """SHA-256 of each text's groups as text (``a1,a2|b1;a3|b2``); empty where there are none."""
+    # Tokens in the order of the text: those of A, then those of B, group after group.
+    a_place = np.arange(len(a)) + np.repeat(np.cumsum(b_sizes) - b_sizes, a_sizes)
+    b_place = np.arange(len(b)) + np.repeat(np.cumsum(a_sizes), b_sizes)
+    ids = np.empty(len(a) + len(b), np.int32)
+    ids[a_place], ids[b_place] = a, b
+    marks = np.full(len(ids), ord(","), np.uint8)
+    marks[a_place[np.cumsum(a_sizes) - 1]] = ord("|")
+    marks[b_place[np.cumsum(b_sizes) - 1]] = ord(";")
+    # Decimal digits in columns of equal width; leading places stay empty.
+    width = len(str(int(ids.max(initial=0))))
+    cells = np.zeros((len(ids), width + 1), np.uint8)
+    cells[:, width] = marks
+    rest, shown = ids, np.ones(len(ids), bool)
+    for column in range(width - 1, -1, -1):
+        rest, digit = np.divmod(rest, 10)
+        cells[:, column] = np.where(shown, digit + ord("0"), 0)
+        shown = rest > 0
+    filled = cells != 0
+    ends = np.concatenate([[0], np.cumsum(filled.sum(axis=1))])[np.concatenate([[0], np.cumsum(n_a + n_b)])].tolist()
+    data = cells[filled].tobytes()
+    return [hashlib.sha256(data[x : y - 1]).hexdigest() if y > x else "" for x, y in zip(ends, ends[1:], strict=False)]
 
 
-def _links(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A's and B's id of every link of a batch, and the links of each row."""
-    (a, _), (b, _), (a_sizes, groups), (b_sizes, _) = (_flat(batch, c) for c in ("a_ids", "b_ids", "a_sizes", "b_sizes"))
-    return a[np.cumsum(a_sizes) - 1], b[np.cumsum(b_sizes) - 1], groups
+def _links(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Both ids of every link of a batch in one number, and the links of each row."""
+    a, b = (batch.column(batch.schema.get_field_index(c)) for c in ("a_linked", "b_linked"))
+    keys = a.flatten().to_numpy(zero_copy_only=False).astype(np.int64) << 32
+    return keys | b.flatten().to_numpy(zero_copy_only=False), np.diff(a.offsets.to_numpy())
 
 
 def link_counts(aligned: DataFrame) -> DataFrame:
@@ -176,8 +221,7 @@ def link_counts(aligned: DataFrame) -> DataFrame:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            a, b, _ = _links(batch)
-            new, n = np.unique(a << 32 | b, return_counts=True)
+            new, n = np.unique(_links(batch)[0], return_counts=True)
             keys, place = np.unique(np.concatenate([keys, new]), return_inverse=True)
             sums = np.bincount(place, weights=np.concatenate([sums, n]), minlength=len(keys)).astype(np.int64)
         yield pa.RecordBatch.from_arrays(
@@ -185,7 +229,7 @@ def link_counts(aligned: DataFrame) -> DataFrame:
             names=["a_id", "b_id", "n"],
         )
 
-    parts = aligned.mapInArrow(counted, "a_id int, b_id int, n long")
+    parts = aligned.select("a_linked", "b_linked").mapInArrow(counted, "a_id int, b_id int, n long")
     return parts.groupBy("a_id", "b_id").agg(F.sum("n").alias("n_links"))
 
 
@@ -232,59 +276,25 @@ def summarise(
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, totals, best = shared.value
         for batch in batches:
-            a, b, groups = _links(batch)
-            at = np.searchsorted(keys, a << 32 | b)
-            owner = np.repeat(np.arange(batch.num_rows), groups)
-            sums = np.zeros(batch.num_rows, np.int64)
-            np.add.at(sums, owner, totals[at])
-            n_best = np.bincount(owner[best[at]], minlength=batch.num_rows)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    *[pa.array(np.diff(batch.column(c).offsets.to_numpy()).astype(np.int64)) for c in (1, 2)],
-                    *[pa.array(x.astype(np.int64)) for x in (groups, groups, n_best, sums)],
-                    pa.array(group_digests(batch), pa.string()),
-                ],
-                names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
-            )
-
-    return aligned.mapInArrow(
-        summed,
-        "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string",
-    )
-
+            links, groups = _links(batch)
+            at = np.searchsorted(keys, links)
+            ends = np.cumsum(groups)
+            sums = [np.concatenate([[0], np.cumsum(x[at], dtype=np.int64)]) for x in (best, totals)]
+            sums = [x[ends] - x[ends - groups] for x in sums]
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "n_a", "n_b")]
+            columns += [pa.array(x.astype(np.int64)) for x in (groups, groups, *sums)]
+            columns.append(batch.column(batch.schema.get_field_index("groups_sha256")))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-def group_digests(batch: pa.RecordBatch) -> list[str]:
-    """SHA-256 of each row's groups as text (``a1,a2|b1;a3|b2``); empty where there are none."""
-    (a, a_counts), (b, b_counts), (a_sizes, groups), (b_sizes, _) = (
-        _flat(batch, c) for c in ("a_ids", "b_ids", "a_sizes", "b_sizes")
-    )
-    # Tokens in the order of the text: those of A, then those of B, group after group.
-    a_place = np.arange(len(a)) + np.repeat(np.cumsum(b_sizes) - b_sizes, a_sizes)
-    b_place = np.arange(len(b)) + np.repeat(np.cumsum(a_sizes), b_sizes)
-    ids = np.empty(len(a) + len(b), np.int64)
-    ids[a_place], ids[b_place] = a, b
-    marks = np.full(len(ids), ord(","), np.uint8)
-    marks[a_place[np.cumsum(a_sizes) - 1]] = ord("|")
-    marks[b_place[np.cumsum(b_sizes) - 1]] = ord(";")
-    # Decimal digits in columns of equal width; leading places stay empty.
-    width = len(str(int(ids.max(initial=0))))
-    cells = np.zeros((len(ids), width + 1), np.uint8)
-    cells[:, width] = marks
-    rest, shown = ids, np.ones(len(ids), bool)
-    for column in range(width - 1, -1, -1):
-        rest, digit = np.divmod(rest, 10)
-        cells[:, column] = np.where(shown, digit + ord("0"), 0)
-        shown = rest > 0
-    lengths = (cells != 0).sum(axis=1)
-    data = cells[cells != 0].tobytes()
-    ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(a_counts + b_counts)])].tolist()
-    return [hashlib.sha256(data[x : y - 1]).hexdigest() if y > x else "" for x, y in zip(ends, ends[1:], strict=False)]
+    names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    schema = ", ".join(f"{c} {COLUMNS.get(c, 'long')}" for c in names)
+    return aligned.select("doc_id", "n_a", "n_b", "groups_sha256", "a_linked", "b_linked").mapInArrow(summed, schema)
 
 
 def align_documents(
     work: Workspace, documents: DataFrame, a_path: str | None = None, b_path: str | None = None
 ) -> DataFrame:
-    """The digest of every document's alignment. The alignment is stored, as it is read twice."""
-    aligned = work.store("aligned", align(documents, a_path, b_path))
+    """The digest of every document's alignment. What is read twice of it is stored."""
+    needed = ("doc_id", "n_a", "n_b", "groups_sha256", "a_linked", "b_linked")
+    aligned = work.store("aligned", align(documents, a_path, b_path, needed))
     return summarise(work, aligned, link_counts(aligned), a_path, b_path)
