@@ -113,6 +113,17 @@ def test_rows_equal_the_plain_version(spark, plain):
         assert tuple(found[k][c] for c in COLUMNS) == expected, texts[k]
 
 
+def test_tokens_of_both_vocabularies(plain):
+    own = alignment.aligner(bytepairs.default_path(), pieces.default_path())
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c} {c}1" for c in points[k : k + 64]) for k in range(0, len(points), 64)]
+    # The second run of blanks is too long for the fast splitter.
+    texts += ["", " " * 3_000 + "x", " " * 1_500_000 + "x", "x" * 300_000, "\n" * 300_000]
+    ids, lengths = own.a.encode(texts)
+    for one, end, n in zip(plain.a.encode_batch(texts, add_special_tokens=False), np.cumsum(lengths), lengths):
+        assert ids[end - n : end].tolist() == one.ids
+
+
 def test_groups_of_texts(spark, plain):
     texts = ["Tokenization of words", "漢字 and é", "a▁b", ""]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

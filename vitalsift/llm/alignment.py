@@ -27,6 +27,8 @@ from vitalsift.llm.common import Workspace, ragged, small_batches, text_slices
 
 # Text aligned at once inside a task; one document may be longer.
 SLICE_BYTES = 1 << 19
+# Words that a worker remembers before it starts anew.
+REMEMBERED = 150_000
 
 #: What ``align`` can return. Ids of all tokens; tokens of both sides in every group; the linked ids of
 #: every group; numbers of tokens; the SHA-256 of the groups written as ``a1,a2|b1;a3|b2``.
@@ -89,12 +91,40 @@ def common_cuts(a_ends: np.ndarray, b_ends: np.ndarray, a_from, a_to, b_from, b_
     return np.sort(np.concatenate(found_a)), np.sort(np.concatenate(found_b))
 
 
+class ByteTokens:
+    """Byte-level BPE with special tokens as plain text, by the tiktoken library.
+
+    It merges by the order of ids, which is the order of merges in these vocabularies. A run of
+    white space too long for its splitting pattern is left to ``bytepairs``.
+    """
+
+    def __init__(self, path: str):
+        import tiktoken
+
+        self.exact = bytepairs.BytePairs(path, special=False, remembered=REMEMBERED)
+        self.raw, self.raw_starts, self.raw_lengths = self.exact.raw, self.exact.raw_starts, self.exact.raw_lengths
+        ranks = {word: k for k, word in enumerate(self.exact.strings) if word and k not in self.exact.special_ids}
+        if np.any(np.diff(self.exact.made) <= 0):
+            raise ValueError(f"{path} has ids that are not in the order of merges")
+        self.library = tiktoken.Encoding("tokens", pat_str=bytepairs.WORDS, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in order (uint32), and the number of ids of each text."""
+        found = [np.zeros(0, np.uint32)]
+        for text in texts:
+            try:
+                found.append(self.library.encode_to_numpy(text, disallowed_special=()))
+            except ValueError:
+                found.append(self.exact.encode([text])[0])
+        return np.concatenate(found), np.array([len(x) for x in found[1:]], np.int64)
+
+
 class Aligner:
     """Tokens and groups of texts under two vocabularies."""
 
-    def __init__(self, a_path: str, b_path: str):
-        self.a = bytepairs.coder(a_path, special=False)
-        self.b = pieces.coder(b_path)
+    def __init__(self, a_path: str, b_path: str, remembered: int = REMEMBERED):
+        self.a = ByteTokens(a_path)
+        self.b = pieces.PieceCoder(b_path, remembered)
 
     def align(self, texts: list[str]):
         """Ids of A and B, ids of each text, tokens of A and B per group, groups of each text.
@@ -236,7 +266,7 @@ def link_counts(aligned: DataFrame) -> DataFrame:
 def possible_pairs(a_path: str, b_path: str) -> int:
     """How many pairs of ids can ever be linked: those whose bytes end one in the other."""
 
-    def spelled(coder, n: int) -> dict[bytes, int]:
+    def spelled(coder) -> dict[bytes, int]:
         found: dict[bytes, int] = {}
         raw, ends = coder.raw.tobytes(), coder.raw_starts + coder.raw_lengths
         for start, end in zip(coder.raw_starts.tolist(), ends.tolist(), strict=True):
@@ -245,7 +275,7 @@ def possible_pairs(a_path: str, b_path: str) -> int:
         return found
 
     own = aligner(a_path, b_path)
-    a, b = spelled(own.a, own.a.size), spelled(own.b, own.b.n_pieces)
+    a, b = spelled(own.a), spelled(own.b)
     return sum(n * b.get(word[k:], 0) for word, n in a.items() for k in range(len(word))) + sum(
         n * a.get(word[k:], 0) for word, n in b.items() for k in range(1, len(word))
     )

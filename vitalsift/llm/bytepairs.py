@@ -84,6 +84,7 @@ class BytePairs:
         for word, k in added.items():
             raw[k] = word.encode()
         self.strings = raw
+        self.special_ids = set(added.values())
         self.raw_lengths = np.array([len(r) for r in raw], np.int64)
         self.raw_starts = np.cumsum(self.raw_lengths) - self.raw_lengths
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
