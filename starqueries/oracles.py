@@ -393,8 +393,21 @@ def _dense(key: str, rows: str, alias: str) -> str:
     )
 
 
-def _numbered(rows: str, key: str, columns: list[str]) -> str:
-    text = ", ".join(f"coalesce(cast({c} as varchar), '~')" for c in columns)
+def _exact(number: str) -> str:
+    """Significant digits and a power of ten."""
+    text = f"cast(abs({number}) as varchar)"
+    mantissa, power = f"split_part({text}, 'e', 1)", f"coalesce(try_cast(ltrim(split_part({text}, 'e', 2), '+') as int), 0)"
+    digits = f"ltrim(replace({mantissa}, '.', ''), '0')"
+    short = f"rtrim({digits}, '0')"
+    exponent = f"({power} - length(split_part({mantissa}, '.', 2)) + length({digits}) - length({short}))"
+    return (
+        f"case when isnan({number}) then 'nan' when {number} is not null then case when cast({number} as varchar) like '-%' then '-' else '' end"
+        f" || case when isinf({number}) then 'inf' when {short} = '' then '0' else {short} || 'e' || {exponent} end end"
+    )
+
+
+def _numbered(rows: str, key: str, columns: list[str], numbers: tuple[str, ...] = ()) -> str:
+    text = ", ".join(f"coalesce({_exact(c) if c in numbers else f'cast({c} as varchar)'}, '~')" for c in columns)
     return (
         f"select row_number() over (order by md5(concat_ws('|', {text}))) as {key}, "
         f"{', '.join(columns)} from {rows}"
@@ -462,7 +475,7 @@ join visits v on v.Id = m.ENCOUNTER left join people k on k.Id = m.PATIENT"""
 
 TABLES["m_drug"] = _numbered(
     "(select * from drug_candidates where person_id is not null and drug_exposure_start_date is not null)",
-    "drug_exposure_id", COLUMNS["drug_exposure"][1:],
+    "drug_exposure_id", COLUMNS["drug_exposure"][1:], ("quantity",),
 )
 
 TABLES["measurement_candidates"] = f"""
@@ -475,7 +488,7 @@ join visits v on v.Id = o.ENCOUNTER left join people k on k.Id = o.PATIENT"""
 
 TABLES["m_measurement"] = _numbered(
     "(select * from measurement_candidates where person_id is not null and measurement_date is not null and value_as_number is not null)",
-    "measurement_id", COLUMNS["measurement"][1:],
+    "measurement_id", COLUMNS["measurement"][1:], ("value_as_number",),
 )
 
 _LISTED = {

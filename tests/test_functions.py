@@ -116,3 +116,17 @@ def test_every_concept_has_a_name():
     assert set(codes.DRUG.values()) == set(codes.DRUG_NAMES)
     assert set(codes.MEASUREMENT.values()) == set(codes.LAB_NAMES)
     assert {len(d) for d in (codes.CONDITION, codes.DRUG, codes.MEASUREMENT, codes.VISIT_CLASS)} == {11, 18, 5, 10}
+
+
+def test_exact_numbers_in_both_engines(spark):
+    duckdb = pytest.importorskip("duckdb")
+    from starqueries.oracles import _exact
+
+    values = [0.0, -0.0, 1.0, -1.25, 100.0, 0.1, 1e-7, 1e20, 1.5e-300, 1.7976931348623157e308, 123456789.125, 1e16, 9007199254740993.0,
+              0.001, 1234567.0, 12345678.0, float("inf"), float("-inf"), float("nan"), None]
+    expected = ["0", "-0", "1e0", "-125e-2", "1e2", "1e-1", "1e-7", "1e20", "15e-301", "17976931348623157e292", "123456789125e-3", "1e16",
+                "9007199254740992e0", "1e-3", "1234567e0", "12345678e0", "inf", "-inf", "nan", None]
+    df = spark.createDataFrame(list(enumerate(values)), "k int, v double")
+    assert [r[0] for r in df.orderBy("k").select(scalars.exact_number(F.col("v"))).collect()] == expected
+    found = [duckdb.execute(f"select {_exact('v')} from (select cast(? as double) as v)", [v]).fetchone()[0] for v in values]
+    assert found == expected

@@ -113,6 +113,29 @@ def _away_from_tie(value: Column) -> Column:
     return _with(F.format_string("%.16e", F.abs(value)), decided)
 
 
+def exact_number(value: Column) -> Column:
+    """A number as its significant digits and a power of ten, ``-125e-2`` for -1.25.
+
+    The digits are those of Spark's own text for the number, without zeros at either end, so the
+    form does not depend on where that text changes to an exponent. Zeros are ``0`` and ``-0``,
+    infinities ``inf`` and ``-inf``, NaN is ``nan``.
+    """
+    value = value.cast("double")
+
+    def printed(text: Column) -> Column:
+        sign = F.when(text.startswith("-"), "-").otherwise("")
+        body = F.ltrim(text, F.lit("-"))
+        mantissa, power = F.split_part(body, F.lit("E"), F.lit(1)), F.split_part(body, F.lit("E"), F.lit(2))
+        places = F.length(F.split_part(mantissa, F.lit("."), F.lit(2)))
+        digits = F.ltrim(F.replace(mantissa, F.lit("."), F.lit("")), F.lit("0"))
+        short = F.rtrim(digits, F.lit("0"))
+        exponent = F.coalesce(power.try_cast("int"), F.lit(0)) - places + F.length(digits) - F.length(short)
+        number = F.when(short == "", "0").otherwise(F.concat(short, F.lit("e"), exponent.cast("string")))
+        return F.concat(sign, F.when(body == "Infinity", "inf").otherwise(number))
+
+    return F.when(F.isnan(value), "nan").when(value.isNotNull(), _with(value.cast("string"), printed))
+
+
 def compact_number(value: Column) -> Column:
     """A number with up to six significant digits and no trailing zeros, as ``%g`` prints it.
 

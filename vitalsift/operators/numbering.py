@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vitalsift.functions.scalars import exact_number
+
 HEX_DIGITS = 4
 MAX_BUCKETS = 16**HEX_DIGITS
 COPIES_PER_CHUNK = 100_000
@@ -52,8 +54,12 @@ def dense_ids(keys: DataFrame, key: str, id_column: str) -> DataFrame:
 
 
 def row_text(df: DataFrame) -> Column:
-    """All columns of a row as one text; "~" stands for null."""
-    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in df.columns])
+    """All columns of a row as one text; "~" stands for null, floating numbers have their exact digits."""
+
+    def text(name: str, kind: str) -> Column:
+        return exact_number(F.col(name)) if kind in ("float", "double") else F.col(name).cast("string")
+
+    return F.concat_ws("|", *[F.coalesce(text(*c), F.lit("~")) for c in df.dtypes])
 
 
 def dense_row_ids(df: DataFrame, id_column: str) -> DataFrame:
