@@ -143,13 +143,10 @@ class Aligner:
         exact = (sizes > 1) & (a_bytes == sizes) & (b_bytes == sizes)
         data = np.frombuffer("".join([t for t, keep in zip(spelled, exact, strict=True) if keep]).encode(), np.uint8)
         owner = np.repeat(np.flatnonzero(exact), sizes[exact])
-        for coder, ids, raw, of in ((self.a, a, a_raw, a_owner), (self.b, b, b_raw, b_owner)):
-            kept = exact[of]
-            wrong = coder.raw[ragged(coder.raw_starts[ids[kept]], raw[kept])] != data
-            if wrong.any():
-                exact[owner[wrong]] = False
-                right = exact[owner]
-                data, owner = data[right], owner[right]
+        # Byte-level tokens spell any text; pieces do not where a text holds their mark for a blank.
+        kept = exact[b_owner]
+        wrong = self.b.raw[ragged(self.b.raw_starts[b[kept]], b_raw[kept])] != data
+        exact[owner[wrong]] = False
         a_kept, b_kept = exact[a_owner], exact[b_owner]
         a, b, a_counts, b_counts = a[a_kept], b[b_kept], np.where(exact, a_counts, 0), np.where(exact, b_counts, 0)
         a_ends, b_ends = np.cumsum(a_raw[a_kept]), np.cumsum(b_raw[b_kept])
