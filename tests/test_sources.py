@@ -97,7 +97,7 @@ def test_stored_tables_are_read_back(spark):
     assert stored.inputFiles()[0].startswith(f"file:{folder}/person") or folder in stored.inputFiles()[0]
 
 
-def test_only_tables_with_text_read_a_file_in_one_task(spark, tmp_path):
+def test_large_files_are_read_by_several_tasks(spark, tmp_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
     try:
         people = spark.range(20_000).selectExpr("cast(id as int) person_id", "1 g", "1980 y", "1 r", "1 e", "cast(null as int) l")
@@ -106,7 +106,8 @@ def test_only_tables_with_text_read_a_file_in_one_task(spark, tmp_path):
         assert storage.read_text(spark, str(tmp_path / "person.csv")).rdd.getNumPartitions() > 3
         notes = rows(spark, "note", *[dict(note_id=i, note_text="a\nb" * 50) for i in range(500)]).coalesce(1)
         storage.write_csv(notes, str(tmp_path / "note.csv"))
-        assert storage.read_table(spark, MODEL["note"], str(tmp_path)).rdd.getNumPartitions() == 1
+        assert storage.read_table(spark, MODEL["note"], str(tmp_path)).rdd.getNumPartitions() > 3
+        assert storage.read_table(spark, MODEL["note"], str(tmp_path)).filter("length(note_text) = 150").count() == 500
         assert storage.read_table(spark, MODEL["note"], str(tmp_path)).count() == 500
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")

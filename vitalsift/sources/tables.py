@@ -10,6 +10,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from vitalsift.sources.records import csv_records, parse_records
 from vitalsift.specs import Model, TableSpec
 
 # Quotes inside a field are doubled and no text is trimmed. An empty field is null, also when it
@@ -23,10 +24,11 @@ CSV_WRITE = {**CSV_FORMAT, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhit
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False) -> DataFrame:
     """Typed CSV. A field that does not fit its type becomes null; the row stays.
 
-    With ``multi_line`` fields may span lines; such a file is read by one task, so a large table
-    should then be many files. Other files are split.
+    With ``multi_line`` fields may span lines; such files are split too, and read twice (``records``).
     """
-    return spark.read.options(**CSV_READ, multiLine=multi_line).schema(schema).csv(path)
+    if multi_line:
+        return parse_records(csv_records(spark, path), schema, CSV_FORMAT)
+    return spark.read.options(**CSV_READ).schema(schema).csv(path)
 
 
 def read_table(spark: SparkSession, spec: TableSpec, folder: str, format: str = "csv") -> DataFrame:
@@ -41,8 +43,9 @@ def read_tables(spark: SparkSession, model: Model, folder: str, format: str = "c
 
 
 def read_text(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """CSV with every column a string, for source exports."""
-    return spark.read.options(**CSV_FORMAT, multiLine=multi_line, inferSchema=False).csv(path)
+    """CSV with every column a string, for source exports. Names come from the header, a single line."""
+    lines = spark.read.options(**CSV_FORMAT, inferSchema=False).csv(path)
+    return parse_records(csv_records(spark, path), lines.schema, CSV_FORMAT) if multi_line else lines
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
