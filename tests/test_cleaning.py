@@ -5,6 +5,7 @@ import pytest
 
 from tables import D1, VALID, counts, rows, survivors, table, valid_tables
 from vitalsift.operators import checks, cleaning
+from vitalsift.sources import tables as storage
 from vitalsift.specs import MODEL
 
 BAD = date(2019, 1, 1)
@@ -139,3 +140,69 @@ def test_reason_counts_add_copies(spark):
     removed = cleaning.quarantine(people, MODEL["person"])
     found = Counter({r["reason"]: r["rows"] for r in cleaning.reason_counts(removed, "person").collect()})
     assert found == {"dup_pk": 2, "null_race_concept_id": 1}
+
+
+# --- by row address ------------------------------------------------------------------------
+
+
+def _many(spark, name):
+    """The cases above, with null keys, keys with several contents, and one key with very many copies."""
+    changes, _ = CASES[name]
+    key = MODEL[name].key
+    text = [c for c in MODEL[name].columns if c not in (key, *MODEL[name].required) and c not in {f.column for f in MODEL[name].foreign_keys}]
+    more = [{key: None}, {key: None}, *[{key: 700, c: None} for c in text], *[{key: 700}] * 300, {key: 701}, {key: 701}]
+    return rows(spark, name, *changes, *more).repartition(5)
+
+
+@pytest.fixture
+def keep(spark):
+    with storage.scratch(spark) as folder:
+        yield storage.stored_in(folder)
+
+
+def _counted(df):
+    return Counter(tuple(tuple(v) if isinstance(v, list) else v for v in r) for r in df.collect())
+
+
+@pytest.mark.parametrize("name", list(CASES))
+def test_addresses_give_the_same_rows(spark, keep, name):
+    raw, spec, parents = keep("raw", _many(spark, name)), MODEL[name], valid_tables(spark)
+    by_address = cleaning.clean_stored(raw, spec, parents, keep)
+    # NaN is not equal to itself; no cleaned row holds one.
+    assert _counted(by_address) == _counted(cleaning.clean_table(raw, spec, parents))
+    assert by_address.columns == spec.columns
+    removed = cleaning.quarantine(raw, spec, parents)
+    found = cleaning.quarantine_stored(raw, spec, parents, keep)
+    assert found.columns == removed.columns
+    assert Counter(map(str, found.collect())) == Counter(map(str, removed.collect()))
+    counts = {r["reason"]: r["rows"] for r in cleaning.removed_counts(raw, spec, parents, keep).collect()}
+    assert counts == {r["reason"]: r["rows"] for r in cleaning.reason_counts(removed, name).collect()}
+
+
+def test_addresses_of_clean_and_empty_tables(spark, keep):
+    for name, df in (("one", rows(spark, "person", {})), ("none", table(spark, "person", []))):
+        raw, spec = keep(name, df), MODEL["person"]
+        assert cleaning.clean_stored(raw, spec, {}, keep).collect() == df.collect()
+        assert cleaning.quarantine_stored(raw, spec, {}, keep).collect() == []
+        assert cleaning.removed_counts(raw, spec, {}, keep).collect() == []
+
+
+def test_cleaned_notes_are_not_moved_with_their_texts(spark, keep):
+    """Every exchange on the way is over keys and addresses, but for rows of repeated keys."""
+    raw, spec = keep("raw", _many(spark, "note")), MODEL["note"]
+    texts = []
+
+    def watched(name, df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        texts.append((name, [line for line in plan.splitlines() if "Exchange" in line and "Arguments" not in line], plan))
+        return keep(name, df)
+
+    parents = {n: keep(f"parent_{n}", df) for n, df in valid_tables(spark).items()}
+    cleaned = cleaning.clean_stored(raw, spec, parents, watched)
+    plan = cleaned._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "note_text" in plan
+    for name, _, text in texts:
+        if name != "note_kept_copies":
+            # The text is read for the rule that it must not be missing, and goes no further.
+            for line in text.splitlines():
+                assert "note_text" not in line or "Scan" in line or "Project" in line or "ReadSchema" in line or "Filter" in line, line

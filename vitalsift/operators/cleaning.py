@@ -7,14 +7,14 @@ removed person takes their visits along and those visits their notes.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
-from functools import reduce
+from collections.abc import Callable, Container, Mapping
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalsift.operators.checks import row_rules
-from vitalsift.operators.lookup import lookup, with_known_key
+from vitalsift.operators.lookup import lookup, rows_per_key, with_known_key
 from vitalsift.specs import ForeignKey, Model, TableSpec
 
 # Stores a named table and returns the stored one, or returns it as it is.
@@ -103,18 +103,116 @@ def clean_all(
     tables: Mapping[str, DataFrame],
     model: Model,
     keep: Keep = unchanged,
+    stored: Container[str] = (),
 ) -> dict[str, DataFrame]:
     """Every table cleaned, in the model's order.
 
     ``keep`` may store a cleaned table and return the stored one, so that children and later
-    steps do not clean it again.
+    steps do not clean it again. ``stored`` names tables that are Parquet files as they are;
+    of these, tables that hold texts are cleaned by row address.
     """
     cleaned: dict[str, DataFrame] = {}
     for name in model.cleaning_order():
-        cleaned[name] = keep(name, clean_table(tables[name], model[name], cleaned))
+        by_address = name in stored and model[name].holds_text
+        clean = partial(clean_stored, keep=keep) if by_address else clean_table
+        cleaned[name] = keep(name, clean(tables[name], model[name], cleaned))
     return {name: cleaned[name] for name in model}
 
 
+# --- by row address ----------------------------------------------------------------------
+
+#: A row's file and its number there. Only a table read from Parquet, with nothing done to it, has them.
+ADDRESS = ["_file", "_row"]
+
+
+def with_address(stored: DataFrame) -> DataFrame:
+    return stored.select(
+        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")
+    )
+
+
+def _key_text(key: str) -> Column:
+    """A key as text that is never null: null keys form one group, and a first letter tells them from any text."""
+    return F.when(F.col(key).isNull(), "n").otherwise(F.concat(F.lit("k"), F.col(key).cast("string")))
+
+
+def flagged_addresses(
+    stored: DataFrame, spec: TableSpec, parents: Mapping[str, DataFrame], keep: Keep = unchanged
+) -> DataFrame:
+    """Address, ``_key`` and ``reasons`` of the rows that may have to go.
+
+    These are rows that break a rule, with the rules' names, and valid rows whose key occurs twice
+    among valid rows, without reasons. Only keys, references and the rules' outcome leave the scan.
+    """
+    broken = row_rules(spec)
+    rules = F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in broken.items()]))
+    references = {fk.column: fk for fk in spec.foreign_keys}
+    # A key that is a reference too keeps its name for the join.
+    rows = with_address(stored).select(*ADDRESS, _key_text(spec.key).alias("_key"), *references, rules.alias("reasons"))
+    for column, fk in references.items():
+        rows = mark_known(rows, fk, parents[fk.parent], "_known")
+        orphan = F.when(~F.col("_known"), F.array(F.lit(f"orphan_{column}"))).otherwise(F.array().cast("array<string>"))
+        rows = rows.withColumn("reasons", F.concat("reasons", orphan)).drop("_known")
+    flagged = keep(f"{spec.name}_flagged", rows.select(*ADDRESS, "_key", "reasons"))
+    valid = flagged.filter(F.size("reasons") == 0)
+    repeated = keep(f"{spec.name}_repeated_keys", rows_per_key(valid, "_key").filter("n > 1").select("_key"))
+    return flagged.filter(F.size("reasons") > 0).unionByName(lookup(valid, repeated, "_key", "left_semi"))
+
+
+def fetch(stored: DataFrame, addresses: DataFrame) -> DataFrame:
+    """The rows at ``addresses``, with the other columns of these."""
+    return with_address(stored).join(addresses, ADDRESS).drop(*ADDRESS)
+
+
+def clean_stored(
+    stored: DataFrame, spec: TableSpec, parents: Mapping[str, DataFrame] | None = None, keep: Keep = unchanged
+) -> DataFrame:
+    """``clean_table`` of a stored table, whose rows are neither sorted nor shuffled with their texts.
+
+    The addresses of rows that go are found on narrow columns; texts are looked at only where a key
+    is repeated. The rest is one anti join while the table is read again: a broadcast where Spark
+    finds the stored list of addresses small, else the one exchange of whole rows. ``keep`` should
+    store, as several steps read what it is given.
+    """
+    doubtful = keep(f"{spec.name}_doubtful", flagged_addresses(stored, spec, parents or {}, keep))
+    suspects = doubtful.filter(F.size("reasons") == 0)
+    contents = with_address(stored).join(suspects.select(*ADDRESS, "_key"), ADDRESS)
+    first = Window.partitionBy("_key").orderBy(*content_order(stored.columns, spec.key), *ADDRESS)
+    kept = contents.withColumn("_rank", F.row_number().over(first)).filter("_rank = 1").select(*ADDRESS)
+    losers = suspects.select(*ADDRESS).join(keep(f"{spec.name}_kept_copies", kept), ADDRESS, "left_anti")
+    gone = doubtful.filter(F.size("reasons") > 0).select(*ADDRESS).unionByName(losers)
+    gone = keep(f"{spec.name}_gone", gone)
+    return with_address(stored).join(gone, ADDRESS, "left_anti").select(*stored.columns)
+
+
+def quarantine_stored(
+    stored: DataFrame, spec: TableSpec, parents: Mapping[str, DataFrame] | None = None, keep: Keep = unchanged
+) -> DataFrame:
+    """``quarantine`` of a stored table: reasons are found on addresses, and rows are fetched once.
+
+    What is fetched are removed rows and rows of repeated keys; nothing else moves with all its columns.
+    """
+    doubtful = keep(f"{spec.name}_doubtful", flagged_addresses(stored, spec, parents or {}, keep))
+    rows = keep(f"{spec.name}_fetched", fetch(stored, doubtful))
+    invalid = (
+        rows.filter(F.size("reasons") > 0).groupBy(*stored.columns, "reasons").agg(F.count("*").alias("copies"))
+    )
+    suspects = rows.filter(F.size("reasons") == 0).groupBy("_key", *stored.columns).agg(F.count("*").alias("copies"))
+    return invalid.unionByName(_surplus_copies(suspects, spec, stored.columns))
+
+
+def removed_counts(
+    stored: DataFrame, spec: TableSpec, parents: Mapping[str, DataFrame] | None = None, keep: Keep = unchanged
+) -> DataFrame:
+    """``reason_counts`` of a stored table's quarantine, from addresses alone."""
+    doubtful = keep(f"{spec.name}_doubtful", flagged_addresses(stored, spec, parents or {}, keep))
+    reasons = doubtful.select("_key", F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("rows"))
+    # All but one row of a key go. Keys are unique after the first step, which adds up nearly everything.
+    keys = doubtful.filter(F.size("reasons") == 0).groupBy("_key").agg((F.count("*") - 1).alias("n"))
+    surplus = keys.agg(F.sum("n").alias("rows")).filter("rows > 0").select(F.lit("dup_pk").alias("reason"), "rows")
+    return reasons.unionByName(surplus).select(F.lit(spec.name).alias("table"), "reason", "rows")
+
+
 def with_reasons(
     df: DataFrame, spec: TableSpec, parents: Mapping[str, DataFrame]
 ) -> DataFrame:
@@ -154,22 +252,25 @@ def _surplus(valid: DataFrame, spec: TableSpec, keep: Keep = unchanged) -> DataF
     """Valid rows that de-duplication removes.
 
     Only rows whose key occurs twice go through the comparison with the row that is kept. The
-    key is compared as text so that null keys, which form one group, can be joined as well; a
-    first letter tells a null key from any text.
+    key is compared as text so that null keys, which form one group, can be joined as well.
     """
-    columns, key = valid.columns, spec.key
-    others = [c for c in columns if c != key]
-    as_text = F.when(F.col(key).isNull(), "n").otherwise(F.concat(F.lit("k"), F.col(key).cast("string")))
-    valid = valid.withColumn("_key", as_text)
-
+    columns = valid.columns
+    valid = valid.withColumn("_key", _key_text(spec.key))
     repeated = valid.groupBy("_key").agg(F.count("*").alias("_n")).filter("_n > 1").select("_key")
     suspects = (
         lookup(valid, keep(f"{spec.name}_repeated_keys", repeated), "_key", "left_semi")
         .groupBy("_key", *columns)
         .agg(F.count("*").alias("copies"))
     )
+    return _surplus_copies(suspects, spec, columns)
+
+
+def _surplus_copies(suspects: DataFrame, spec: TableSpec, columns: list[str]) -> DataFrame:
+    """All but one row of every key, from rows of repeated keys with their numbers of copies."""
+    key = spec.key
+    others = [c for c in columns if c != key]
     kept = drop_duplicates(suspects.select(*columns), key).select(
-        as_text.alias("_key"), *[F.col(c).alias(f"_kept_{c}") for c in others]
+        _key_text(key).alias("_key"), *[F.col(c).alias(f"_kept_{c}") for c in others]
     )
     is_kept = reduce(
         lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_kept_{c}")) for c in others], F.lit(True)
@@ -187,9 +288,16 @@ def quarantine_all(
     cleaned: Mapping[str, DataFrame],
     model: Model,
     keep: Keep = unchanged,
+    stored: Container[str] = (),
 ) -> dict[str, DataFrame]:
-    """The quarantine of every table, references taken from the cleaned tables."""
-    return {name: quarantine(tables[name], model[name], cleaned, keep) for name in model}
+    """The quarantine of every table, references taken from the cleaned tables.
+
+    ``stored`` names tables that are Parquet files as they are, whose removed rows are found by address.
+    """
+    return {
+        name: (quarantine_stored if name in stored else quarantine)(tables[name], model[name], cleaned, keep)
+        for name in model
+    }
 
 
 def reason_counts(rows: DataFrame, table: str) -> DataFrame:
