@@ -192,8 +192,15 @@ def _clean_one(name: str) -> Job:
     return lambda spark, sf_dir: cleaned(spark, sf_dir, name)[0]
 
 
+def _clean_note(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes hold texts, so they are stored as they come and cleaned by row address."""
+    raw, parents = with_parents(spark, sf_dir, "note")
+    keep = storage.stored_in(storage.work_folder(spark))
+    return cleaning.clean_stored(keep("note", raw), MODEL["note"], parents, keep)
+
+
 for _name, _short in sql.SHORT.items():
-    register(f"clean_{_short}", f"select * from c_{_short}")(_clean_one(_name))
+    register(f"clean_{_short}", f"select * from c_{_short}")(_clean_note if _name == "note" else _clean_one(_name))
 
 
 @register("cleaning_counts", "select * from cleaning_counts")
@@ -209,18 +216,15 @@ def _(spark, sf_dir):
     # Only the tables that foreign keys name have to be cleaned.
     parents = dict(zip(("person", "visit_occurrence"), cleaned(spark, sf_dir, "person", "visit_occurrence")))
     parents = {name: keep(name, df) for name, df in parents.items()}
-    removed = cleaning.quarantine_all(raw, parents, MODEL, keep)
-    counts = [cleaning.reason_counts(df, name) for name, df in removed.items()]
-    result = counts[0]
-    for part in counts[1:]:
-        result = result.unionByName(part)
-    return result
+    counts = [cleaning.removed_counts(raw[name], MODEL[name], parents, keep) for name in MODEL]
+    return reduce(DataFrame.unionByName, counts)
 
 
 def _quarantine_one(name: str) -> Job:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         raw, parents = with_parents(spark, sf_dir, name)
-        removed = cleaning.quarantine(raw, MODEL[name], parents)
+        keep = storage.stored_in(storage.work_folder(spark))
+        removed = cleaning.quarantine_stored(keep(name, raw), MODEL[name], parents, keep)
         return removed.withColumn("reasons", F.concat_ws(",", "reasons"))
 
     return run

@@ -136,26 +136,27 @@ def _key_text(key: str) -> Column:
     return F.when(F.col(key).isNull(), "n").otherwise(F.concat(F.lit("k"), F.col(key).cast("string")))
 
 
-def flagged_addresses(
-    stored: DataFrame, spec: TableSpec, parents: Mapping[str, DataFrame], keep: Keep = unchanged
-) -> DataFrame:
+def _flagged(rows: DataFrame, spec: TableSpec, parents: Mapping[str, DataFrame], identity: list[str]) -> DataFrame:
+    """``identity``, ``_key`` and ``reasons`` (the rules broken) of all rows. Keys, references and the
+    rules' outcome are all that leaves the scan."""
+    rules = F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in row_rules(spec).items()]))
+    references = {fk.column: fk for fk in spec.foreign_keys}
+    rows = rows.select(*identity, _key_text(spec.key).alias("_key"), *references, rules.alias("reasons"))
+    for column, fk in references.items():
+        orphan = F.when(~F.col("_known"), F.array(F.lit(f"orphan_{column}"))).otherwise(F.array().cast("array<string>"))
+        rows = mark_known(rows, fk, parents[fk.parent], "_known").withColumn("reasons", F.concat("reasons", orphan))
+    return rows.select(*identity, "_key", "reasons")
+
+
+def doubtful_addresses(stored: DataFrame, spec: TableSpec, parents: Mapping[str, DataFrame]) -> DataFrame:
     """Address, ``_key`` and ``reasons`` of the rows that may have to go.
 
     These are rows that break a rule, with the rules' names, and valid rows whose key occurs twice
-    among valid rows, without reasons. Only keys, references and the rules' outcome leave the scan.
+    among valid rows, without reasons.
     """
-    broken = row_rules(spec)
-    rules = F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in broken.items()]))
-    references = {fk.column: fk for fk in spec.foreign_keys}
-    # A key that is a reference too keeps its name for the join.
-    rows = with_address(stored).select(*ADDRESS, _key_text(spec.key).alias("_key"), *references, rules.alias("reasons"))
-    for column, fk in references.items():
-        rows = mark_known(rows, fk, parents[fk.parent], "_known")
-        orphan = F.when(~F.col("_known"), F.array(F.lit(f"orphan_{column}"))).otherwise(F.array().cast("array<string>"))
-        rows = rows.withColumn("reasons", F.concat("reasons", orphan)).drop("_known")
-    flagged = keep(f"{spec.name}_flagged", rows.select(*ADDRESS, "_key", "reasons"))
+    flagged = _flagged(with_address(stored), spec, parents, ADDRESS)
     valid = flagged.filter(F.size("reasons") == 0)
-    repeated = keep(f"{spec.name}_repeated_keys", rows_per_key(valid, "_key").filter("n > 1").select("_key"))
+    repeated = rows_per_key(valid, "_key").filter("n > 1").select("_key")
     return flagged.filter(F.size("reasons") > 0).unionByName(lookup(valid, repeated, "_key", "left_semi"))
 
 
@@ -171,18 +172,17 @@ def clean_stored(
 
     The addresses of rows that go are found on narrow columns; texts are looked at only where a key
     is repeated. The rest is one anti join while the table is read again: a broadcast where Spark
-    finds the stored list of addresses small, else the one exchange of whole rows. ``keep`` should
-    store, as several steps read what it is given.
+    finds the list of addresses small, which ``keep`` should store for that, else the one exchange of
+    whole rows.
     """
-    doubtful = keep(f"{spec.name}_doubtful", flagged_addresses(stored, spec, parents or {}, keep))
+    doubtful = doubtful_addresses(stored, spec, parents or {})
     suspects = doubtful.filter(F.size("reasons") == 0)
     contents = with_address(stored).join(suspects.select(*ADDRESS, "_key"), ADDRESS)
     first = Window.partitionBy("_key").orderBy(*content_order(stored.columns, spec.key), *ADDRESS)
     kept = contents.withColumn("_rank", F.row_number().over(first)).filter("_rank = 1").select(*ADDRESS)
-    losers = suspects.select(*ADDRESS).join(keep(f"{spec.name}_kept_copies", kept), ADDRESS, "left_anti")
+    losers = suspects.select(*ADDRESS).join(kept, ADDRESS, "left_anti")
     gone = doubtful.filter(F.size("reasons") > 0).select(*ADDRESS).unionByName(losers)
-    gone = keep(f"{spec.name}_gone", gone)
-    return with_address(stored).join(gone, ADDRESS, "left_anti").select(*stored.columns)
+    return with_address(stored).join(keep(f"{spec.name}_gone", gone), ADDRESS, "left_anti").select(*stored.columns)
 
 
 def quarantine_stored(
@@ -192,8 +192,8 @@ def quarantine_stored(
 
     What is fetched are removed rows and rows of repeated keys; nothing else moves with all its columns.
     """
-    doubtful = keep(f"{spec.name}_doubtful", flagged_addresses(stored, spec, parents or {}, keep))
-    rows = keep(f"{spec.name}_fetched", fetch(stored, doubtful))
+    doubtful = doubtful_addresses(stored, spec, parents or {})
+    rows = keep(f"{spec.name}_doubtful", fetch(stored, doubtful))
     invalid = (
         rows.filter(F.size("reasons") > 0).groupBy(*stored.columns, "reasons").agg(F.count("*").alias("copies"))
     )
@@ -202,14 +202,17 @@ def quarantine_stored(
 
 
 def removed_counts(
-    stored: DataFrame, spec: TableSpec, parents: Mapping[str, DataFrame] | None = None, keep: Keep = unchanged
+    df: DataFrame, spec: TableSpec, parents: Mapping[str, DataFrame] | None = None, keep: Keep = unchanged
 ) -> DataFrame:
-    """``reason_counts`` of a stored table's quarantine, from addresses alone."""
-    doubtful = keep(f"{spec.name}_doubtful", flagged_addresses(stored, spec, parents or {}, keep))
-    reasons = doubtful.select("_key", F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("rows"))
-    # All but one row of a key go. Keys are unique after the first step, which adds up nearly everything.
-    keys = doubtful.filter(F.size("reasons") == 0).groupBy("_key").agg((F.count("*") - 1).alias("n"))
-    surplus = keys.agg(F.sum("n").alias("rows")).filter("rows > 0").select(F.lit("dup_pk").alias("reason"), "rows")
+    """``reason_counts`` of a table's quarantine without the removed rows themselves.
+
+    A key, the reasons and nothing else of every row goes through the joins. ``keep`` may store them.
+    """
+    flagged = keep(f"{spec.name}_flagged", _flagged(df, spec, parents or {}, []))
+    reasons = flagged.select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("rows"))
+    # All but one of the valid rows of a key go.
+    keys = rows_per_key(flagged.filter(F.size("reasons") == 0), "_key")
+    surplus = keys.agg(F.sum(F.col("n") - 1).alias("rows")).filter("rows > 0").select(F.lit("dup_pk").alias("reason"), "rows")
     return reasons.unionByName(surplus).select(F.lit(spec.name).alias("table"), "reason", "rows")
 
 
