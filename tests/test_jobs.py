@@ -53,12 +53,39 @@ def test_a_run_writes_summary_and_metrics(spark, tmp_path):
 
 
 def test_nothing_is_written_when_the_gate_fails(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(jobs, "clean_all", lambda raw, model, keep: raw)
+    monkeypatch.setattr(jobs, "clean_all", lambda raw, model, keep, stored: {n: keep(n, df) for n, df in raw.items()})
     with pytest.raises(jobs.GateError):
         jobs.run(spark, _dirty(spark), str(tmp_path / "out"))
     assert not (tmp_path / "out").exists()
 
 
+def _executions(spark):
+    return spark._jsparkSession.sharedState().statusStore().executionsCount()
+
+
+def test_a_run_takes_six_actions(spark, tmp_path):
+    """Report, people, visits, all other cleaned tables, the gate's keys, the summary."""
+    raw, before = _dirty(spark), _executions(spark)
+    jobs.run(spark, raw, str(tmp_path / "out"))
+    assert _executions(spark) - before <= 6
+
+
+def test_counts_taken_while_writing_are_those_of_a_report(spark, tmp_path):
+    dirty = {**_dirty(spark), "note": rows(spark, "note", {}, {}, dict(note_id=401, note_text=None), dict(note_id=402, visit_occurrence_id=99))}
+    storage.write_parquet(dirty["note"], str(tmp_path / "note"))
+    with storage.scratch(spark) as folder:
+        for raw, stored in ((dirty, ()), ({**dirty, "note": spark.read.parquet(str(tmp_path / "note"))}, ("note",))):
+            cleaned, counts = jobs.write_cleaned(raw, MODEL, f"{folder}/{len(stored)}", stored)
+            found, expected = jobs.inspect_written(cleaned, counts), jobs.inspect(cleaned)
+            assert found == expected and not found.violated
+            assert found.rows["note"] == 1 and found.rows["person"] == 2
+            # Rows that nothing cleans are reported as they are.
+            keep = storage.stored_in(f"{folder}/raw{len(stored)}")
+            report = jobs.inspect_written({n: keep(n, df) for n, df in raw.items()}, {
+                n: df.agg(*jobs.rule_aggregates(MODEL[n])).first().asDict() for n, df in raw.items()})
+            assert report == jobs.inspect(raw)
+
+
 def _folders(spark):
     return set(os.listdir(spark.conf.get("spark.checkpoint.dir").removeprefix("file:")))
 
@@ -67,7 +94,8 @@ def test_intermediates_are_gone_after_success_and_failure(spark, tmp_path, monke
     before = _folders(spark)
     jobs.run(spark, _dirty(spark), str(tmp_path / "out"))
     assert _folders(spark) == before
-    monkeypatch.setattr(jobs, "inspect", lambda tables, model: jobs.TableState({}, [dict(table="t", check="c", violations=1)]))
+    failed = jobs.TableState({}, [dict(table="t", check="c", violations=1)])
+    monkeypatch.setattr(jobs, "inspect_written", lambda tables, counts, model: failed)
     with pytest.raises(jobs.GateError):
         jobs.run(spark, _dirty(spark), str(tmp_path / "out2"))
     assert _folders(spark) == before

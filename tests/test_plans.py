@@ -70,10 +70,19 @@ def test_wide_ids_combine_in_hash_aggregates(spark, no_broadcast):
         assert "partial_max_by" in text and "SortAggregate" not in text and "ObjectHashAggregate" not in text
 
 
-def test_a_report_scans_each_table_once_and_each_reference_once(stored):
+def test_a_report_moves_keys_only(stored, no_broadcast):
     text = plan(checks.counts_and_checks(stored, MODEL))
-    # Six tables, and a column and a parent's key for each of three references.
-    assert text.count("FileScan parquet") <= 6 + 2 * 3
+    # Rules of six tables, their keys, and a column and a parent's key for each of three references.
+    assert text.count("FileScan parquet") <= 6 + 6 + 2 * 3
+    schemas = re.findall(r"ReadSchema: struct<([^>]*)>", text)
+    assert sum("," in s for s in schemas) == 6
+    # Rules are added up where rows are read: their counts travel in a single row per task.
+    assert text.count("Exchange SinglePartition") >= 6
+
+
+def test_the_gate_reads_keys_only(stored):
+    text = plan(checks.key_checks(stored, MODEL))
+    assert not any("," in s for s in re.findall(r"ReadSchema: struct<([^>]*)>", text))
 
 
 def test_building_plans_runs_no_job(spark, stored):

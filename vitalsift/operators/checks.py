@@ -1,9 +1,9 @@
 """Data-quality checks and their report.
 
 A report has one row per check, ``(table, check, violations)``, in the model's order, with
-zeros included. One scan of a table counts its rows, row rules and duplicate keys: everything is
-counted per key first, so a key held by many rows is combined before it moves, and then added up.
-Unknown references take one more scan of the referring column and one of the parent's key.
+zeros included. Rows and row rules are added up inside the tasks of one scan. Duplicate keys take
+a scan of the key, and unknown references one of the referring column and one of the parent's
+key; both are counted per key before they move, so a key held by many rows is combined first.
 """
 
 from __future__ import annotations
@@ -42,30 +42,29 @@ def _one_row_per_count(counts: DataFrame, table: str, names: list[str]) -> DataF
 ROWS = "rows"
 
 
-def own_counts(df: DataFrame, spec: TableSpec) -> DataFrame:
-    """One row: the table's rows, violations of each row rule, and rows beyond the first of each
-    key as ``dup_pk``; null keys form one group."""
-    rules = row_rules(spec)
-    per_key = df.groupBy(spec.key).agg(
-        F.count("*").alias(ROWS), *[F.count_if(rule).alias(f"_{name}") for name, rule in rules.items()]
-    )
+def rule_aggregates(spec: TableSpec) -> list[Column]:
+    """The table's rows, and the violations of each row rule, as columns of a global aggregate."""
+    return [F.count("*").alias(ROWS), *[F.count_if(rule).alias(name) for name, rule in row_rules(spec).items()]]
 
-    def total(counted: Column, name: str) -> Column:
-        return F.coalesce(F.sum(counted), F.lit(0)).alias(name)
 
-    return per_key.agg(
-        total(F.col(ROWS), ROWS), *[total(F.col(f"_{name}"), name) for name in rules],
-        total(F.col(ROWS) - 1, "dup_pk"),
-    )
+def rule_counts(df: DataFrame, spec: TableSpec) -> DataFrame:
+    """One row: rows and violations of each row rule."""
+    return df.agg(*rule_aggregates(spec))
+
+
+def surplus_count(df: DataFrame, spec: TableSpec) -> DataFrame:
+    """One row: rows beyond the first of each key as ``dup_pk``; null keys form one group."""
+    per_key = df.groupBy(spec.key).agg(F.count("*").alias("n"))
+    return per_key.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("dup_pk"))
 
 
 def row_rule_counts(df: DataFrame, spec: TableSpec) -> DataFrame:
-    return _one_row_per_count(own_counts(df, spec), spec.name, list(row_rules(spec)))
+    return _one_row_per_count(rule_counts(df, spec), spec.name, list(row_rules(spec)))
 
 
 def duplicate_count(df: DataFrame, spec: TableSpec) -> DataFrame:
     """Rows beyond the first of each key; null keys form one group."""
-    return _one_row_per_count(own_counts(df, spec), spec.name, ["dup_pk"])
+    return _one_row_per_count(surplus_count(df, spec), spec.name, ["dup_pk"])
 
 
 def orphan_count(
@@ -80,15 +79,34 @@ def orphan_count(
     return _one_row_per_count(total, spec.name, [name])
 
 
-def _with_orphans(df: DataFrame, spec: TableSpec, parents: Mapping[str, DataFrame]) -> DataFrame:
-    """All counts of a table as (table, check, violations), in check order after ``rows``."""
-    parts = [_one_row_per_count(own_counts(df, spec), spec.name, [ROWS, *row_rules(spec), "dup_pk"])]
-    parts += [orphan_count(df, spec, fk, parents[fk.parent]) for fk in spec.foreign_keys]
+def _in_order(parts: list[DataFrame], spec: TableSpec) -> DataFrame:
     # Every part ends in a global aggregate, so these are a few dozen rows.
     place = F.array_position(F.array(*[F.lit(n) for n in [ROWS, *spec.check_names()]]), F.col("check"))
     return reduce(DataFrame.unionByName, parts).withColumn("_place", place)
 
 
+def _key_parts(df: DataFrame, spec: TableSpec, parents: Mapping[str, DataFrame]) -> list[DataFrame]:
+    orphans = [orphan_count(df, spec, fk, parents[fk.parent]) for fk in spec.foreign_keys]
+    return [duplicate_count(df, spec), *orphans]
+
+
+def _with_orphans(df: DataFrame, spec: TableSpec, parents: Mapping[str, DataFrame]) -> DataFrame:
+    """All counts of a table as (table, check, violations), in check order after ``rows``."""
+    own = _one_row_per_count(rule_counts(df, spec), spec.name, [ROWS, *row_rules(spec)])
+    return _in_order([own, *_key_parts(df, spec, parents)], spec)
+
+
+def key_checks(tables: Mapping[str, DataFrame], model: Model) -> DataFrame:
+    """The report's checks of keys and references alone, without those of row rules.
+
+    They read keys and references only. Rows and row rules can be counted while a table is
+    written, with ``rule_aggregates`` as an observation.
+    """
+    return reduce(
+        DataFrame.unionByName, [part for name in model for part in _key_parts(tables[name], model[name], tables)]
+    )
+
+
 def check_table(
     df: DataFrame, spec: TableSpec, parents: Mapping[str, DataFrame] | None = None
 ) -> DataFrame:

@@ -6,16 +6,18 @@ Only these functions run Spark actions and write; they are given a session and l
 from __future__ import annotations
 
 import time
-from collections.abc import Mapping
+from collections.abc import Container, Mapping
 from dataclasses import asdict, dataclass
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vitalsift.config import DEFAULTS, JobConfig
-from vitalsift.operators.checks import ROWS, counts_and_checks
-from vitalsift.operators.cleaning import clean_all, quarantine, row_counts
+from vitalsift.operators.checks import ROWS, counts_and_checks, key_checks, rule_aggregates
+from vitalsift.operators.cleaning import clean_all, quarantine_all, row_counts
 from vitalsift.operators.faults import inject_all
 from vitalsift.operators.summary import person_summary
 from vitalsift.plans.mapping import keys_of, map_all, mapping_tally
@@ -58,6 +60,54 @@ def inspect(tables: Mapping[str, DataFrame], model: Model = MODEL) -> TableState
     )
 
 
+def write_cleaned(
+    raw: Mapping[str, DataFrame], model: Model, folder: str, stored: Container[str] = ()
+) -> tuple[dict[str, DataFrame], dict[str, dict[str, int]]]:
+    """Clean and store all tables; also their rows and violations of row rules, counted as they are written.
+
+    A table that others refer to is a job of its own. All other tables are written in one job,
+    as partitions of one table with the columns of all.
+    """
+    keep = stored_in(folder)
+    seen = {name: Observation(name) for name in model}
+    parents = {fk.parent for name in model for fk in model[name].foreign_keys}
+
+    def counted(name: str, df: DataFrame) -> DataFrame:
+        return df.observe(seen[name], *rule_aggregates(model[name]))
+
+    def kept(name: str, df: DataFrame) -> DataFrame:
+        # Lists of addresses are stored, a table without children waits for the others.
+        if name in model:
+            df = counted(name, df)
+        return df if name in model and name not in parents else keep(name, df)
+
+    cleaned = clean_all(raw, model, kept, stored)
+    leaves = [name for name in model if name not in parents]
+    rows = [cleaned[name].withColumn("_table", F.lit(name)) for name in leaves]
+    together = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+    together.write.mode("overwrite").partitionBy("_table").parquet(f"{folder}/leaves")
+    reader = raw[leaves[0]].sparkSession.read
+    for name in leaves:
+        # A table without rows has no folder, so the partition is picked by its column.
+        schema = T.StructType([*cleaned[name].schema, T.StructField("_table", T.StringType())])
+        rows = reader.schema(schema).parquet(f"{folder}/leaves").filter(F.col("_table") == name)
+        cleaned[name] = rows.drop("_table")
+    return cleaned, {name: found.get for name, found in seen.items()}
+
+
+def inspect_written(
+    tables: Mapping[str, DataFrame], counts: Mapping[str, Mapping[str, int]], model: Model = MODEL
+) -> TableState:
+    """``inspect`` of tables whose rows and row rules have been counted already."""
+    found = {(r["table"], r["check"]): r["violations"] for r in key_checks(tables, model).collect()}
+    report = [
+        {"table": name, "check": check, "violations": counts[name].get(check, found.get((name, check)))}
+        for name in model
+        for check in model[name].check_names()
+    ]
+    return TableState(rows={name: counts[name][ROWS] for name in model}, report=report)
+
+
 def require_clean(state: TableState) -> None:
     """The gate: raise when any check found something."""
     if state.violated:
@@ -80,23 +130,25 @@ def run(
     model: Model = MODEL,
     config: JobConfig = DEFAULTS,
     with_quarantine: bool = False,
+    stored: Container[str] = (),
 ) -> dict:
     """Check, clean, check again as a gate, summarise and write. Returns the metrics.
 
     Cleaned tables are stored once in the shared work folder: their children, the gate and the
     summary read them from there. The folder is deleted at the end, also after a failure.
-    Nothing is written to ``output`` when the gate fails. ``with_quarantine`` also writes the removed rows
-    of every table, with their reasons, under ``_quarantine``.
+    Rows and row rules of the gate are counted while cleaned tables are written, so that it reads
+    keys and references only. Nothing is written to ``output`` when the gate fails. ``with_quarantine`` also
+    writes the removed rows of every table, with their reasons, under ``_quarantine``. ``stored`` names raw
+    tables that are Parquet files as they are (see ``clean_all``).
     """
     with scratch(spark) as folder:
-        return _run(spark, raw, output, folder, model, config, with_quarantine)
+        return _run(spark, raw, output, folder, model, config, with_quarantine, stored)
 
 
 def _run(
     spark: SparkSession, raw: Mapping[str, DataFrame], output: str, folder: str, model: Model,
-    config: JobConfig, with_quarantine: bool,
+    config: JobConfig, with_quarantine: bool, stored: Container[str],
 ) -> dict:
-    keep = stored_in(f"{folder}/cleaned")
     started = time.perf_counter()
     timings: dict[str, float] = {}
 
@@ -107,9 +159,9 @@ def _run(
 
     before = inspect(raw, model)
     clock = timed("validation_raw", started)
-    cleaned = clean_all(raw, model, keep)
+    cleaned, counts = write_cleaned(raw, model, f"{folder}/cleaned", stored)
     clock = timed("cleaning", clock)
-    after = inspect(cleaned, model)
+    after = inspect_written(cleaned, counts, model)
     require_clean(after)
     clock = timed("validation_cleaned", clock)
     events = ("person", "visit_occurrence", "condition_occurrence", "drug_exposure", "measurement")
@@ -119,9 +171,9 @@ def _run(
     people = write_summary(summary, f"{output}/analytic_person")
     clock = timed("build_and_write", clock)
     if with_quarantine:
-        flagged = stored_in(f"{folder}/quarantine")
-        for name in model:
-            write_parquet(quarantine(raw[name], model[name], cleaned, flagged), f"{output}/_quarantine/{name}")
+        removed = quarantine_all(raw, cleaned, model, stored_in(f"{folder}/quarantine"), stored)
+        for name, rows in removed.items():
+            write_parquet(rows, f"{output}/_quarantine/{name}")
         timed("quarantine", clock)
     timed("total", started)
 
@@ -181,12 +233,13 @@ def run_from(
     parse it again. The copy is deleted at the end, also after a failure.
     """
     raw = read_tables(spark, model, folder, format)
+    options = {"model": model, "config": config, "with_quarantine": with_quarantine}
     if format != "csv":
-        return run(spark, raw, output, model=model, config=config, with_quarantine=with_quarantine)
+        return run(spark, raw, output, **options, stored=model if format == "parquet" else ())
     with scratch(spark) as copies:
         keep = stored_in(f"{copies}/raw")
         raw = {name: keep(name, df) for name, df in raw.items()}
-        return run(spark, raw, output, model=model, config=config, with_quarantine=with_quarantine)
+        return run(spark, raw, output, **options, stored=model)
 
 
 def load_manifest(tables: Mapping[str, DataFrame]) -> DataFrame:

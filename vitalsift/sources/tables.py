@@ -73,10 +73,25 @@ def partition_values(spark: SparkSession, path: str, column: str) -> DataFrame:
 
 
 def write_document(spark: SparkSession, document: dict, path: str) -> None:
-    """A small JSON document, as one line that ``spark.read.json`` reads back."""
-    spark.createDataFrame([(json.dumps(document, default=str),)], "value string").coalesce(1).write.mode(
-        "overwrite"
-    ).text(path)
+    """A small JSON document, as a folder with one line that ``spark.read.json`` reads back.
+
+    Written by the driver through Hadoop's file systems, as a job for one line would be: under a
+    temporary name that is renamed at the end.
+    """
+    jvm, configuration = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(configuration)
+    draft = jvm.org.apache.hadoop.fs.Path(f"{path}/_temporary-{uuid.uuid4().hex}")
+    final = jvm.org.apache.hadoop.fs.Path(f"{path}/part-00000.txt")
+    system.mkdirs(folder)
+    out = system.create(draft, True)
+    try:
+        out.write(bytearray((json.dumps(document, default=str) + "\n").encode()))
+    finally:
+        out.close()
+    system.delete(final, False)
+    if not system.rename(draft, final):
+        raise OSError(f"cannot write {path}")
 
 
 def work_folder(spark: SparkSession) -> str:
