@@ -86,3 +86,31 @@ def test_injection_repeats_exactly(spark):
         Counter(faults.inject_table(df, MODEL["person"]).collect()) for df in (people, people.repartition(5))
     )
     assert first == second
+
+
+@pytest.mark.parametrize("k", [1, 40, 299, 500])
+def test_exactly_k_rows_where_keys_repeat(spark, k):
+    kinds = {
+        "all alike": [(1, "x")] * 300,
+        "one key": [(1, str(i % 90)) for i in range(300)],
+        "no key": [(None, str(i // 2)) for i in range(300)],
+        "some": [(i % 7 if i % 3 else None, str(i % 5)) for i in range(300)],
+    }
+    for kind, data in kinds.items():
+        df = spark.createDataFrame(data, "key int, text string")
+        found = [tuple(r) for r in sampling.sample_rows(df.repartition(4), "key", k, 42).collect()]
+        assert len(found) == min(k, 300), kind
+        left = Counter(data)
+        left.subtract(found)
+        assert min(left.values()) >= 0, kind
+        again = [tuple(r) for r in sampling.sample_rows(df.repartition(2), "key", k, 42).collect()]
+        assert Counter(found) == Counter(again), kind
+
+
+def test_no_task_ranks_the_rows_of_a_bucket(spark):
+    """Windows run over counts; the last one over the few digests that share eight digits."""
+    df = spark.range(1_000)
+    text = sampling.cutoffs(df, "id", {"a": 1}, k=10)._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in text.splitlines() if "Window" in line and "windowspecdefinition" in line]
+    assert windows and not any("row_number" in w for w in windows)
+    assert text.count("partial_sum(_weight") >= 3 or text.count("partial_sum") >= 3

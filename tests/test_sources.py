@@ -77,6 +77,13 @@ def test_partitioned_parquet(spark, tmp_path):
     storage.write_parquet(df, path, ["band"])
     storage.write_parquet(df, path, ["band"])
     assert [r[0] for r in storage.partition_values(spark, path, "band").collect()] == ["1940s", "1950s", "1960s", "1970s"]
+    plan = storage.partition_values(spark, path, "band")._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" not in plan and "ReadSchema: struct<>" in plan
+    # A file that is no Parquet is not noticed, as nothing is read.
+    broken = next(os.path.join(d, f) for d, _, names in os.walk(path) for f in names if f.endswith(".parquet"))
+    open(broken, "wb").write(b"no parquet")
+    assert storage.partition_values(spark, path, "band").count() == 4
+    storage.write_parquet(df, path, ["band"])
     assert spark.read.parquet(path).count() == 1000
     # Rows are grouped by band first: one file per directory at this size.
     for band in (tmp_path / "out").glob("band=*"):

@@ -68,8 +68,9 @@ def write_parquet(
 
 
 def partition_values(spark: SparkSession, path: str, column: str) -> DataFrame:
-    """Values of a partition column that were written; only directory names are used."""
-    return spark.read.parquet(path).select(column).distinct().orderBy(column)
+    """Values of a partition column that were written, from the paths of files; none is opened."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    return files.select(column).distinct().orderBy(column)
 
 
 def write_document(spark: SparkSession, document: dict, path: str) -> None:
