@@ -7,16 +7,15 @@ Base kinds, leftmost and without overlap within a kind; matches that are too sho
 - ``hex``: 24 hexadecimal digits in lower case
 
 A user name, a random-looking token or an endpoint alone means nothing. These weak parts are
-reported when complementary parts stand in the same scope (text without a blank line) with at most ``REACH``
-characters between the end of one and the start of the other:
+reported when complementary parts stand in the same scope, the text between two blank lines:
 ``linked_secret`` beside an identifier or endpoint, ``linked_id`` beside a secret,
 ``linked_endpoint`` beside both. Base matches count as identifiers and secrets here.
 
 A pattern yields texts, not places, so each match is taken together with the gap before it, and
-places are running sums of lengths. Parts meet in an interval join: every scope is cut into cells as wide as
-the reach, a part lies in all cells from its start to its end, each cell keeps the first start and last end of each
-role, and a part looks into its own and the two neighbouring cells. The work grows with the number and length
-of parts, not with that of pairs.
+places are running sums of lengths. Parts and scopes, as intervals of one text, are joined by
+merging: in the order of their places, the blank lines passed so far number the scope that a part
+lies in. Each scope gathers the roles of its parts, and a part looks at these. The work grows with
+the number of parts, not with that of pairs.
 """
 
 from __future__ import annotations
@@ -28,7 +27,6 @@ from vitalsift.llm.common import Workspace
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "linked_id", "linked_secret", "linked_endpoint")
-REACH = 400
 
 # The patterns of the base kinds. Group 2 is the match.
 WORDS = "(?i:password|passwd|secret|token|api_?key)"
@@ -47,9 +45,11 @@ TOKEN = (
     GAP + r"((?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Z0-9+/_-]*+[a-z])"
     r"[A-Za-z0-9+/_=-]{20,}+)"
 )
-ENDPOINT = GAP + r"(\b(?i:https?|postgres|mysql|amqp|redis)://[A-Za-z0-9.-]{1,253}(?::[0-9]{1,5})?)"
-BREAK = GAP + r"(\n[ \t]{0,16}\n)"
+ENDPOINT = GAP + r"(\b(?i:https?|postgres|mysql|amqp|redis)://[A-Za-z0-9.-]++(?::[0-9]{1,5})?)"
+# A line of blanks only, with either kind of line end.
+BREAK = GAP + r"(\n[ \t\r]*+\n)"
 
+NO_ID = "none"
 PART = "array<struct<kind:string,place:int,gap:int,size:int>>"
 
 
@@ -71,7 +71,10 @@ def _parts(text: Column, kind: str, pattern: str, hint: Column, value_least: int
 
 
 def extract(documents: DataFrame) -> DataFrame:
-    """doc_id, the text's digest, and the parts found by each pattern, in one pass over the text."""
+    """The document's id as text, the text's digest, and the parts found by each pattern, in one pass.
+
+    Ids are joined on later, so a missing one is the text ``NO_ID``, which no number is.
+    """
     # Patterns that can only match after a hint are tried on few texts.
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = documents.select(F.col("doc_id").cast("long"), text.alias("text"))
@@ -83,7 +86,8 @@ def extract(documents: DataFrame) -> DataFrame:
     })
     weak = F.col("has_weak")
     return rows.select(
-        "doc_id", F.md5(F.encode("text", "utf-8")).alias("digest"),
+        F.coalesce(F.col("doc_id").cast("string"), F.lit(NO_ID)).alias("id"),
+        F.md5(F.encode("text", "utf-8")).alias("digest"),
         _parts(text, "assign", ASSIGN, F.col("has_assign"), 6).alias("assign"),
         _parts(text, "access", ACCESS, F.col("has_access")).alias("access"),
         _parts(text, "hex", HEX, F.col("has_hex")).alias("hex"),
@@ -94,7 +98,7 @@ def extract(documents: DataFrame) -> DataFrame:
     )
 
 
-KEY = ["doc_id", "digest"]
+KEY = ["id", "digest"]
 
 
 def place_parts(extracted: DataFrame) -> DataFrame:
@@ -113,58 +117,42 @@ def place_parts(extracted: DataFrame) -> DataFrame:
     )
 
 
-def link(parts: DataFrame, reach: int = REACH) -> DataFrame:
-    """The weak parts that have complementary parts in their scope with gaps of at most ``reach`` characters."""
-    role = (
-        F.when(F.col("kind").isin("access", "linked_id"), "id")
-        .when(F.col("kind").isin("assign", "hex", "linked_secret"), "secret")
-        .when(F.col("kind") == "linked_endpoint", "endpoint")
-    )
+def link(parts: DataFrame) -> DataFrame:
+    """The weak parts that have complementary parts in their scope."""
+    roles = {
+        "id": F.col("kind").isin("access", "linked_id"),
+        "secret": F.col("kind").isin("assign", "hex", "linked_secret"),
+        "endpoint": F.col("kind") == "linked_endpoint",
+    }
     # Breaks before a part number its scope.
     before = (
         Window.partitionBy(*KEY).orderBy("start", (F.col("kind") != "break"), "kind")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    scoped = (
-        parts.withColumn("scope", F.sum((F.col("kind") == "break").cast("int")).over(before))
-        .filter("kind != 'break'")
-        .withColumn("role", role)
-        .withColumn("low", F.floor(F.col("start") / reach).cast("int"))
-        .withColumn("high", F.floor(F.col("end") / reach).cast("int"))
-    )
-    cells = scoped.withColumn("cell", F.explode(F.sequence("low", "high"))).groupBy(*KEY, "scope", "role", "cell").agg(
-        F.min("start").alias("first"), F.max("end").alias("last")
-    ).withColumnRenamed("role", "other")
-    near = (
-        scoped.filter(F.col("kind").startswith("linked"))
-        .withColumn("cell", F.explode(F.sequence(F.col("low") - 1, F.col("high") + 1)))
-        .join(cells, [*KEY, "scope", "cell"])
-        .filter(
-            "role != other and (cell between low and high or (cell < low and start - last <= %d)"
-            " or (cell > high and first - end <= %d))" % (reach, reach)
-        )
-        .groupBy(*KEY, "kind", "start", "end").agg(F.collect_set("other").alias("others"))
+    scope = Window.partitionBy(*KEY, "scope")
+    scoped = parts.withColumn("scope", F.sum((F.col("kind") == "break").cast("int")).over(before)).withColumns(
+        {f"has_{role}": F.max(own).over(scope) for role, own in roles.items()}
     )
-    has = lambda other: F.array_contains("others", other)
-    return near.filter(
-        (F.col("kind") == "linked_secret")
-        | ((F.col("kind") == "linked_id") & has("secret"))
-        | ((F.col("kind") == "linked_endpoint") & has("secret") & has("id"))
+    return scoped.filter(
+        ((F.col("kind") == "linked_secret") & (F.col("has_id") | F.col("has_endpoint")))
+        | ((F.col("kind") == "linked_id") & F.col("has_secret"))
+        | ((F.col("kind") == "linked_endpoint") & F.col("has_secret") & F.col("has_id"))
     ).select(*KEY, "kind", "start", "end")
 
 
-def find_secrets(work: Workspace, documents: DataFrame, reach: int = REACH) -> DataFrame:
+def find_secrets(work: Workspace, documents: DataFrame) -> DataFrame:
     """``doc_id``, ``digest`` (MD5 of the text), ``copies`` and ``spans`` per distinct (doc_id, text).
 
     ``spans`` are (kind, start, end) in code points, by start and then by kind as listed in
     ``KINDS``. ``copies`` counts rows with equal id and text; a null text counts as empty and
-    has no spans. Other columns are ignored. Only matches are shuffled, never texts.
+    has no spans. Rows without an id are scanned and linked like all others. Other columns are ignored;
+    an empty table gives no rows. Only matches are shuffled, never texts.
     """
     extracted = work.store("extracted", extract(documents))
     parts = work.store("parts", place_parts(extracted))
     # Documents with a weak part of any kind; no other can have a link.
     weak = parts.filter(F.col("kind").startswith("linked")).select(*KEY).distinct()
-    linked = link(parts.join(weak, KEY, "left_semi"), reach)
+    linked = link(parts.join(weak, KEY, "left_semi"))
     spans = parts.filter(F.col("kind").isin(*BASE_KINDS)).unionByName(linked)
     order = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int")
     lists = spans.groupBy(*KEY).agg(
@@ -172,9 +160,9 @@ def find_secrets(work: Workspace, documents: DataFrame, reach: int = REACH) -> D
     )
     span = "array<struct<kind:string,start:int,end:int>>"
     rows = extracted.groupBy(*KEY).agg(F.count("*").alias("copies"))
-    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.digest") == F.col("b.digest"))
-    return rows.alias("a").join(lists.alias("b"), same, "left").select(
-        "a.doc_id", "a.digest", "copies",
+    doc_id = F.when(F.col("id") != NO_ID, F.col("id")).cast("long")
+    return rows.join(lists, KEY, "left").select(
+        doc_id.alias("doc_id"), "digest", "copies",
         F.coalesce(
             F.transform("found", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))),
             F.array().cast(span),
@@ -208,7 +196,8 @@ def digest_columns(found: DataFrame) -> DataFrame:
 def redact(work: Workspace, documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``documents`` with every secret's span replaced by ``mark``; ``n_chars`` follows the text.
 
-    Rows without secrets stay as they are, a null text included. Overlapping spans become one mark.
+    Rows without secrets stay as they are, a null text included, and rows without an id are
+    redacted too. Overlapping spans become one mark. An empty table gives no rows.
     """
     found = (
         find_secrets(work, documents).filter(F.size("spans") > 0)
