@@ -4,8 +4,10 @@ Documents with equal shingle sets form one class and a class takes part once. Fo
 a band; classes that agree in a band share a bucket. Emitting all pairs of a bucket would square
 its size. First every member is compared with the bucket's smallest, its centre, and the links
 make components. What can still connect two components are pairs of other members that lie in
-different ones. Those are compared inside tasks, block by block, each pair in the first band it agrees in: on
-registers first, and where these may reach the threshold on full sets. Only links leave the task.
+different ones: members outside a bucket's largest component, compared with all members.
+Those are compared inside tasks, block by block, each pair in the first band it agrees in, on
+registers alone. Members that may reach the threshold with another then bring their full sets to
+the same blocks. Only links leave the task.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalsift.llm.common import Workspace, components, small_batches, text_slices
@@ -102,70 +104,80 @@ def _verifier(percent: int, margin: float):
 _ARROW_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _block_links(percent: int, margin: float):
-    """Links between members of one block pair that lie in different components.
+_PLACE = ["band", "key", "i", "j"]
+_MEMBER = [*_PLACE, "side", "rest", "id", "comp", "n", "registers"]
+_MEMBER_SCHEMA = "band int, key long, i int, j int, side int, rest boolean, id long, comp long, n int, registers binary"
 
-    Rows come sorted by bucket and block pair, and no group is larger than two blocks. Several
-    groups are worked off together, a bounded number of bytes at a time.
+
+def _block_pairs(percent: int, margin: float, with_sets: bool):
+    """Pairs of members of two blocks that lie in different components and may be links.
+
+    Rows come sorted by bucket and block pair; ``side`` 0 is a block of members outside the largest
+    component, ``side`` 1 one of all members. Without sets the members of such pairs are
+    returned, each once per block pair; with sets the links. Several groups are worked off
+    together, a bounded number of bytes at a time.
     """
     floor = percent / 100 - margin
-    names = ("id", "comp", "side", "band", "registers", "hashes")
-
-    def candidates(n: np.ndarray, comps: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if side.any():
-            left, right = np.flatnonzero(side == 0), np.flatnonzero(side)
-            left, right = np.repeat(left, len(right)), np.tile(right, len(left))
-        else:
-            left, right = np.triu_indices(len(n), 1)
-        fits = comps[left] != comps[right]
-        fits &= 100 * np.minimum(n[left], n[right]) >= percent * np.maximum(n[left], n[right])
-        return left[fits], right[fits]
-
-    def linked(rows: dict, groups: list[tuple[int, int]]) -> pa.RecordBatch:
+    names = [*_MEMBER, *(["hashes"] if with_sets else [])]
+
+    def worked(rows: dict, groups: list[tuple[int, int]]) -> pa.RecordBatch:
         x = np.frombuffer(b"".join(rows["registers"]), np.uint16).reshape(len(rows["id"]), -1)
         bands = x[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS)
-        sets = [np.frombuffer(h, np.uint64) for h in rows["hashes"]]
-        n = np.array([len(h) for h in sets])
-        ids, comps, side, band = (np.array(rows[c], np.int64) for c in ("id", "comp", "side", "band"))
-        found: list[tuple[int, int]] = []
+        ids, comps, side, band, n = (np.array(rows[c], np.int64) for c in ("id", "comp", "side", "band", "n"))
+        rest = np.array(rows["rest"], bool)
+        sets = [np.frombuffer(h, np.uint64) for h in rows["hashes"]] if with_sets else []
+        links: list[tuple[int, int]] = []
+        needed = np.zeros(len(ids), bool)
         for begin, end in groups:
-            left, right = candidates(n[begin:end], comps[begin:end], side[begin:end])
-            for at in range(0, len(left), PAIRS_AT_ONCE):
-                a, b = left[at : at + PAIRS_AT_ONCE] + begin, right[at : at + PAIRS_AT_ONCE] + begin
+            left, right = begin + np.flatnonzero(side[begin:end] == 0), begin + np.flatnonzero(side[begin:end])
+            step = max(1, PAIRS_AT_ONCE // max(1, len(right)))
+            for at in range(0, len(left), step):
+                part = left[at : at + step]
+                a, b = np.repeat(part, len(right)), np.tile(right, len(part))
+                fits = (comps[a] != comps[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+                # Two members outside the largest component meet twice.
+                fits &= ~rest[b] | (ids[a] < ids[b])
+                a, b = a[fits], b[fits]
                 # A pair that agrees in several bands is compared in the first of them.
                 first = (bands[a] == bands[b]).all(axis=2).argmax(axis=1) == band[begin]
                 a, b = a[first], b[first]
                 above, below = (x[a] > x[b]).sum(axis=1), (x[a] < x[b]).sum(axis=1)
                 near = reaches(floor, above, below, x.shape[1] - above - below, n[a], n[b])
-                found += [
-                    (min(ids[k], ids[j]), max(ids[k], ids[j])) for k, j in zip(a[near].tolist(), b[near].tolist(), strict=True)
-                    if _is_link(sets[k], sets[j], percent)
-                ]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], schema=_ARROW_PAIR
-        )
-
-    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                a, b = a[near], b[near]
+                needed[a] = needed[b] = True
+                if with_sets:
+                    links += [
+                        (min(ids[k], ids[j]), max(ids[k], ids[j])) for k, j in zip(a.tolist(), b.tolist(), strict=True)
+                        if _is_link(sets[k], sets[j], percent)
+                    ]
+        if with_sets:
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], schema=_ARROW_PAIR)
+        kept = np.flatnonzero(needed).tolist()
+        types = [pa.int32(), pa.int64(), *[pa.int32()] * 3, pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        columns = [pa.array([rows[c][k] for k in kept], t) for c, t in zip(_MEMBER, types, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, names=_MEMBER)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: dict[str, list] = {c: [] for c in names}
         groups: list[tuple[int, int]] = []
         key, begun, held = None, 0, 0
         for batch in batches:
-            columns = {c: batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (*names, "key", "i", "j")}
-            for k, own in enumerate(zip(columns["band"], columns["key"], columns["i"], columns["j"], strict=True)):
+            columns = {c: batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names}
+            for k, own in enumerate(zip(*(columns[c] for c in _PLACE), strict=True)):
                 if own != key and len(rows["id"]) > begun:
                     groups.append((begun, len(rows["id"])))
                     begun = len(rows["id"])
                     if held >= GROUP_BYTES:
-                        yield linked(rows, groups)
+                        yield worked(rows, groups)
                         rows, groups, begun, held = {c: [] for c in names}, [], 0, 0
                 key = own
                 for c in names:
                     rows[c].append(columns[c][k])
-                held += len(columns["hashes"][k])
+                held += len(columns["registers"][k]) + (len(columns["hashes"][k]) if with_sets else 0)
         if rows["id"]:
-            yield linked(rows, [*groups, (begun, len(rows["id"]))])
+            yield worked(rows, [*groups, (begun, len(rows["id"]))])
 
-    return links
+    return pairs
 
 
 def _is_link(left: np.ndarray, right: np.ndarray, percent: int) -> bool:
@@ -231,10 +243,11 @@ def find_near_duplicates(
     # The centre has been compared with its whole bucket. The rest is done where all other
     # members lie in one component.
     placed = work.store("placed", _with_components(members.filter("id != centre"), found))
-    mixed = work.store("mixed", placed.groupBy("band", "key").agg(
-        F.min("comp").alias("low"), F.max("comp").alias("high")
-    ).filter("low < high").select("band", "key"))
-    more = _remaining(work, placed.join(mixed, ["band", "key"]), sets, percent, margin)
+    sizes = placed.groupBy("band", "key", "comp").agg(F.count("*").alias("size"))
+    mixed = work.store("mixed", sizes.groupBy("band", "key").agg(
+        F.max_by("comp", F.struct("size", "comp")).alias("main"), F.sum("size").alias("all"), F.max("size").alias("most")
+    ).filter("most < all").select("band", "key", "main", "all", (F.col("all") - F.col("most")).alias("others")))
+    more = _remaining(work, placed.drop("size").join(mixed, ["band", "key"]), reps, sets, percent, margin)
     # Components that such links connect get the smallest name among them.
     named_of = lambda side: found.select(F.col("id").alias(side), F.col("component_id").alias(f"{side}_comp"))
     between = more.join(named_of("a"), "a", "left").join(named_of("b"), "b", "left").select(
@@ -270,18 +283,25 @@ def _same_ids(work: Workspace, sketches: DataFrame, known: DataFrame, classes: D
 
 
 def keep_one(work: Workspace, documents: DataFrame) -> DataFrame:
-    """``documents`` with one row of each component: that of the smallest doc_id.
+    """``documents`` with one row of each group of near-duplicates: that of the smallest doc_id.
 
-    Of rows with one id the one with the smallest text stays. Rows without an id have no
-    component and all stay.
+    Groups are made of rows, so texts that have nothing in common stay although their rows share
+    an id, and copies go although they have none; a row with an id is kept before one without.
+    Of rows with one id in a group the smallest digest of the text decides. A null or empty text, or
+    one without words, is no duplicate and stays. An empty table gives no rows.
     """
-    found = find_near_duplicates(work, documents)
-    gone = work.store("gone", found.filter(~F.col("kept")).select("doc_id").distinct())
-    twice = Window.partitionBy("doc_id").orderBy("text")
-    own = documents.filter("doc_id is not null")
-    # The join has dealt the rows by id, so numbering rows of one id needs no further shuffle.
-    kept = own.join(gone, "doc_id", "left_anti").withColumn("_copy", F.row_number().over(twice)).filter("_copy = 1")
-    return kept.select(*documents.columns).unionByName(documents.filter("doc_id is null"))
+    rows = work.store("rows", documents.withColumn("_row", F.monotonically_increasing_id()))
+    found = find_near_duplicates(work, rows.select(F.col("_row").alias("doc_id"), "text"))
+    groups = work.store("groups", found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")))
+    # Only rows of groups of two or more are compared.
+    shared = groups.groupBy("_group").agg(F.count("*").alias("n")).filter("n > 1").select("_group")
+    shared = work.store("shared_groups", shared)
+    copies = rows.join(groups.join(shared, "_group", "left_semi"), "_row").select(
+        "_group", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.md5("text").alias("digest"), "_row").alias("place")
+    )
+    kept = work.store("kept", copies.groupBy("_group").agg(F.min("place").alias("place")).select("_group", F.col("place._row").alias("_row")))
+    gone = groups.join(shared, "_group", "left_semi").select("_row").join(kept.select("_row"), "_row", "left_anti")
+    return rows.join(work.store("gone", gone), "_row", "left_anti").select(*documents.columns)
 
 
 def _merge(work: Workspace, found: DataFrame, merged: DataFrame) -> DataFrame:
@@ -292,21 +312,33 @@ def _merge(work: Workspace, found: DataFrame, merged: DataFrame) -> DataFrame:
     return work.store("components", renamed.unionByName(alone))
 
 
-def _remaining(work: Workspace, open_: DataFrame, sets: DataFrame, percent: int, margin: float) -> DataFrame:
-    """Links between members of one bucket that are in different components.
+def _copies(open_: DataFrame, reps: DataFrame) -> DataFrame:
+    """The members of mixed buckets, once for every pair of blocks that they are compared in.
 
-    A bucket of more than ``BLOCK`` members is cut into blocks, and each pair of blocks is a group of its own.
+    Members outside the largest component are cut into blocks, and so are all members. A member of
+    the largest component is copied once per block of the others, and one of the others once per block
+    of all, so a bucket that is nearly one component costs little more than its size.
     """
+    def blocks(name: str):
+        return F.ceil(F.col(name) / BLOCK).cast("int")
+
+    hashed = F.xxhash64("id")
     rows = (
-        open_.join(sets, "id")
-        .withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-        .withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(
-            "band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-            (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "comp", "registers", "hashes",
-        )
+        open_.join(reps.select("id", "n", "registers"), "id")
+        .withColumns({"rest": F.col("comp") != F.col("main"), "own": F.pmod(hashed, blocks("all")).cast("int")})
+        .withColumn("lead", F.pmod(hashed, blocks("others")).cast("int"))
     )
-    place = ["band", "key", "i", "j"]
-    found = rows.repartition(*place).sortWithinPartitions(*place).mapInArrow(_block_links(percent, margin), "a long, b long")
+    leads = rows.filter("rest").withColumns({"i": F.col("lead"), "j": F.explode(F.sequence(F.lit(0), blocks("all") - 1)), "side": F.lit(0)})
+    others = rows.withColumns({"i": F.explode(F.sequence(F.lit(0), blocks("others") - 1)), "j": F.col("own"), "side": F.lit(1)})
+    return leads.select(*_MEMBER).unionByName(others.select(*_MEMBER))
+
+
+def _remaining(work: Workspace, open_: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, margin: float) -> DataFrame:
+    """Links between members of one bucket that are in different components.
+
+    Copies carry registers; full sets follow for members that may be linked by these.
+    """
+    dealt = lambda rows: rows.repartition(*_PLACE).sortWithinPartitions(*_PLACE)
+    near = work.store("near", dealt(_copies(open_, reps)).mapInArrow(_block_pairs(percent, margin, False), _MEMBER_SCHEMA))
+    found = dealt(near.join(sets, ["id", "registers"])).mapInArrow(_block_pairs(percent, margin, True), "a long, b long")
     return work.store("remaining", found)
