@@ -16,22 +16,37 @@ from vitalsift.llm.common import Workspace, opened, remove_workspaces
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; those whose text is null or has no letter go."""
+    """Documents with a language; those whose text is null or has no letter go.
+
+    Repeated rows and rows without an id are judged like all others; no documents give none.
+    """
     return language.filter_documents(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest doc_id."""
+    """One document of each group of near-duplicates: that with the smallest doc_id.
+
+    Repeated rows are copies, with or without an id; unrelated texts stay although they share an id. Null
+    texts, empty ones and those without words have no copies and stay. No documents give none.
+    """
     return neardup.keep_one(Workspace(spark, "neardup"), docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every secret in their texts replaced by a mark."""
+    """All documents, with every secret in their texts replaced by a mark.
+
+    Null texts and repeated rows stay as they are, rows without an id are redacted too. No
+    documents give none.
+    """
     return secret_scan.redact(Workspace(spark, "secrets"), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left as pieces of token sequences."""
+    """What is left as pieces of token sequences.
+
+    A null or empty text is the end id alone; repeated rows are packed as often as they are there,
+    and no documents give no pieces.
+    """
     return packing.pack(docs)
 
 
