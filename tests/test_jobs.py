@@ -101,6 +101,46 @@ def test_intermediates_are_gone_after_success_and_failure(spark, tmp_path, monke
     assert _folders(spark) == before
 
 
+def _files(folder):
+    return {str(f.relative_to(folder)): f.read_bytes() for f in folder.rglob("*") if f.is_file() and not f.name.endswith(".crc")}
+
+
+def test_a_failed_run_leaves_the_output_of_the_one_before(spark, tmp_path, monkeypatch):
+    out = tmp_path / "out"
+    jobs.run(spark, _dirty(spark), str(out), with_quarantine=True)
+    (out / "kept").mkdir()
+    (out / "kept/file").write_text("of someone else")
+    before = _files(out)
+
+    def fails(*args):
+        raise OSError("disk is full")
+
+    for step in ("write_document", "quarantine_all"):
+        with monkeypatch.context() as patch, pytest.raises(OSError, match="disk is full"):
+            patch.setattr(jobs, step, fails)
+            jobs.run(spark, valid_tables(spark), str(out), with_quarantine=True)
+        assert _files(out) == before
+    # A second run replaces all that the first one wrote.
+    jobs.run(spark, valid_tables(spark), str(out), with_quarantine=True)
+    after = _files(out)
+    assert after["kept/file"] == before["kept/file"] and not [f for f in after if f.startswith(("_staged", "_replaced"))]
+    assert not [f for f in after if f in before and f.endswith(".parquet")]
+    assert spark.read.parquet(f"{out}/analytic_person").count() == 1
+
+
+def test_publishing_replaces_folders_of_one_name(spark, tmp_path):
+    new, out = tmp_path / "out/_staged-x", tmp_path / "out"
+    for name in ("a", "b"):
+        (out / name).mkdir(parents=True)
+        (out / name / "file").write_text("old " + name)
+        (new / name).mkdir(parents=True)
+        (new / name / "file").write_text("new " + name)
+    (new / "c").mkdir()
+    storage.publish(spark, str(new), str(out))
+    assert _files(out) == {"a/file": b"new a", "b/file": b"new b"}
+    assert (out / "c").is_dir() and sorted(os.listdir(out)) == ["_staged-x", "a", "b", "c"]
+
+
 def test_quarantine_and_cleaned_rows_add_up(spark, tmp_path):
     out = str(tmp_path / "out")
     metrics = jobs.run(spark, _dirty(spark), out, with_quarantine=True)
@@ -138,8 +178,9 @@ def test_generate_then_run(spark, tmp_path, format):
     if format == "csv":
         for name, df in sources.items():
             storage.write_csv(df, str(tmp_path / f"{name}.csv"))
-            sources[name] = storage.read_text(spark, str(tmp_path / f"{name}.csv"))
-    manifest = jobs.generate(spark, sources, str(tmp_path / "raw"), format=format)
+        manifest = jobs.generate_from(spark, str(tmp_path), str(tmp_path / "raw"), format=format)
+    else:
+        manifest = jobs.generate(spark, sources, str(tmp_path / "raw"), format=format)
     # Each table gets at least one duplicate of a row.
     assert manifest["row_counts"] == {
         "person": 3, "visit_occurrence": 5, "condition_occurrence": 5, "drug_exposure": 4, "measurement": 4, "note": 5}

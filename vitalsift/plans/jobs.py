@@ -23,7 +23,9 @@ from vitalsift.operators.summary import person_summary
 from vitalsift.plans.mapping import keys_of, map_all, mapping_tally
 from vitalsift.sources.tables import (
     read_tables,
+    read_text,
     scratch,
+    staged,
     stored_in,
     write_csv,
     write_document,
@@ -137,9 +139,10 @@ def run(
     Cleaned tables are stored once in the shared work folder: their children, the gate and the
     summary read them from there. The folder is deleted at the end, also after a failure.
     Rows and row rules of the gate are counted while cleaned tables are written, so that it reads
-    keys and references only. Nothing is written to ``output`` when the gate fails. ``with_quarantine`` also
-    writes the removed rows of every table, with their reasons, under ``_quarantine``. ``stored`` names raw
-    tables that are Parquet files as they are (see ``clean_all``).
+    keys and references only. Nothing is written to ``output`` when the gate fails. What a run writes
+    appears there at its end and all together, so a run that fails leaves the output of the one before it.
+    ``with_quarantine`` also writes the removed rows of every table, with their reasons, under
+    ``_quarantine``. ``stored`` names raw tables that are Parquet files as they are (see ``clean_all``).
     """
     with scratch(spark) as folder:
         return _run(spark, raw, output, folder, model, config, with_quarantine, stored)
@@ -168,26 +171,26 @@ def _run(
     summary = person_summary(
         *[cleaned[name] for name in events], reference_date=config.reference_date, model=model
     )
-    people = write_summary(summary, f"{output}/analytic_person")
-    clock = timed("build_and_write", clock)
-    if with_quarantine:
-        removed = quarantine_all(raw, cleaned, model, stored_in(f"{folder}/quarantine"), stored)
-        for name, rows in removed.items():
-            write_parquet(rows, f"{output}/_quarantine/{name}")
-        timed("quarantine", clock)
-    timed("total", started)
-
-    metrics = {
-        "row_counts": {
-            "raw": before.rows,
-            "cleaned": after.rows,
-            "dropped": {t: before.rows[t] - after.rows[t] for t in model},
-            "analytic_person": people,
-        },
-        "validation": {"raw": before.report, "cleaned": after.report},
-        "timings_seconds": timings,
-    }
-    write_document(spark, metrics, f"{output}/_metrics")
+    with staged(spark, output) as drafts:
+        people = write_summary(summary, f"{drafts}/analytic_person")
+        clock = timed("build_and_write", clock)
+        if with_quarantine:
+            removed = quarantine_all(raw, cleaned, model, stored_in(f"{folder}/quarantine"), stored)
+            for name, rows in removed.items():
+                write_parquet(rows, f"{drafts}/_quarantine/{name}")
+            timed("quarantine", clock)
+        timed("total", started)
+        metrics = {
+            "row_counts": {
+                "raw": before.rows,
+                "cleaned": after.rows,
+                "dropped": {t: before.rows[t] - after.rows[t] for t in model},
+                "analytic_person": people,
+            },
+            "validation": {"raw": before.report, "cleaned": after.report},
+            "timings_seconds": timings,
+        }
+        write_document(spark, metrics, f"{drafts}/_metrics")
     return metrics
 
 
@@ -268,8 +271,8 @@ def generate(
 ) -> dict:
     """Map the source exports, add known faults, and write the raw tables with a manifest.
 
-    The manifest holds the rows of every table and the rows each mapping step left out.
-    Intermediate tables are deleted at the end, also after a failure.
+    The manifest holds the rows of every table and the rows each mapping step left out. All of it
+    appears in ``output`` together, in place of an earlier run's. Intermediate tables are deleted at the end, also after a failure.
     """
     with scratch(spark) as folder:
         return _generate(spark, sources, output, folder, model, config, format)
@@ -284,12 +287,20 @@ def _generate(
     mapped = map_all(sources, model, config, keep, keys)
     raw = inject_all(mapped, model, fraction=config.fault_fraction, seed=config.seed)
     counted = {name: Observation(name) for name in raw}
-    for name, df in raw.items():
-        df = df.observe(counted[name], F.count("*").alias("rows"))
-        if format == "csv":
-            write_csv(df, f"{output}/{name}.csv")
-        else:
-            write_parquet(df, f"{output}/{name}")
+    with staged(spark, output) as drafts:
+        for name, df in raw.items():
+            df = df.observe(counted[name], F.count("*").alias("rows"))
+            if format == "csv":
+                write_csv(df, f"{drafts}/{name}.csv")
+            else:
+                write_parquet(df, f"{drafts}/{name}")
+        return _write_manifest(spark, sources, drafts, keys, counted, config)
+
+
+def _write_manifest(
+    spark: SparkSession, sources: Mapping[str, DataFrame], drafts: str, keys: tuple, counted: Mapping[str, Observation],
+    config: JobConfig,
+) -> dict:
     manifest = {name: found.get["rows"] for name, found in counted.items()}
     lost = mapping_tally(sources, *keys, config).collect()
     total = sum(manifest.values())
@@ -303,5 +314,25 @@ def _generate(
         "lost_in_mapping": [r.asDict() for r in lost],
         "config": asdict(config),
     }
-    write_document(spark, document, f"{output}/_manifest")
+    write_document(spark, document, f"{drafts}/_manifest")
     return document
+
+
+def generate_from(
+    spark: SparkSession,
+    folder: str,
+    output: str,
+    *,
+    model: Model = MODEL,
+    config: JobConfig = DEFAULTS,
+    format: str = "parquet",
+) -> dict:
+    """``generate`` on the source exports in ``folder``, ``<name>.csv`` each, every column as text.
+
+    They are loaded once into the shared work folder, because keys, mapping and the tally of lost rows
+    would parse them again. The copy is deleted at the end, also after a failure.
+    """
+    with scratch(spark) as copies:
+        keep = stored_in(f"{copies}/exports")
+        sources = {name: keep(name, read_text(spark, f"{folder}/{name}.csv")) for name in SOURCES}
+        return generate(spark, sources, output, model=model, config=config, format=format)

@@ -109,6 +109,59 @@ def remove_folder(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def publish(spark: SparkSession, staged: str, output: str) -> None:
+    """Move every folder of ``staged`` to ``output``, in place of one of the same name.
+
+    Folders that are replaced are set aside first and put back when a move fails, so that
+    ``output`` holds all of the old run or all of the new one. Other folders stay. A move is one step in file
+    systems that rename folders; object stores copy.
+    """
+    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    source, target = path_of(staged), path_of(output)
+    system = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    aside = path_of(f"{output}/_replaced-{uuid.uuid4().hex}")
+    system.mkdirs(target)
+    system.mkdirs(aside)
+    names = sorted(status.getPath().getName() for status in system.listStatus(source))
+
+    def move(name: str, old, new) -> None:
+        if not system.rename(path_of(old, name), path_of(new, name)):
+            raise OSError(f"cannot move {name} from {old} to {new}")
+
+    put_aside, placed = [], []
+    try:
+        for name in names:
+            if system.exists(path_of(target, name)):
+                move(name, target, aside)
+                put_aside.append(name)
+        for name in names:
+            move(name, source, target)
+            placed.append(name)
+    except BaseException:
+        for name in placed:
+            system.delete(path_of(target, name), True)
+        for name in put_aside:
+            move(name, aside, target)
+        system.delete(aside, True)
+        raise
+    system.delete(aside, True)
+
+
+@contextmanager
+def staged(spark: SparkSession, output: str) -> Iterator[str]:
+    """A folder beside ``output``'s contents, published at the end and deleted after a failure.
+
+    It lies in ``output`` itself, so that moving is renaming; names with an underscore are ignored
+    by Spark's readers.
+    """
+    folder = f"{output}/_staged-{uuid.uuid4().hex}"
+    try:
+        yield folder
+        publish(spark, folder, output)
+    finally:
+        remove_folder(spark, folder)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[str]:
     """A work folder that is deleted at the end, also when a job fails in between."""
