@@ -252,6 +252,18 @@ def _(spark, sf_dir):
     return reduce(DataFrame.unionByName, removed).join(F.broadcast(dropped), "table")
 
 
+@register(
+    "run_violations",
+    f"select 'raw' as section, * from ({sql.check_all_sql('v_')}) "
+    f"union all select 'cleaned' as section, * from ({sql.check_all_sql('c_')})",
+)
+def _(spark, sf_dir):
+    """The check counts that a run stores, as they are compared with another run's."""
+    output = storage.work_folder(spark)
+    jobs.run(spark, views.tables(spark, sf_dir), output, model=MODEL)
+    return jobs.read_violations(spark, f"{output}/_metrics")
+
+
 @register("manifest_losses", sql.MAPPING_TALLY)
 def _(spark, sf_dir):
     output = storage.work_folder(spark)
