@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -133,3 +134,47 @@ def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "text", None), (2, None, "en")], SCHEMA)
     assert {r["lang_pred"] for r in language.identify(docs).collect()} == {"und"}
     assert language.filter_documents(docs).count() == 0
+
+
+def plain_odds(network, raw):
+    """Mean probabilities over a text's bytes, one byte and one unit at a time."""
+    columns, matrices, output, bias = network.columns, network.matrices, network.output, network.bias
+    hidden, total = matrices[0].shape[1], [0.0] * len(network.languages)
+    symbols = [int(language.FOLD[b]) for b in raw]
+
+    def states(side, window):
+        """The state after each symbol, from zero."""
+        state, found = [0.0] * hidden, []
+        for symbol in window:
+            row = [float(columns[side][k, symbol]) + sum(float(matrices[side][k, j]) * state[j] for j in range(hidden)) for k in range(2 * hidden)]
+            gate = [1 / (1 + math.exp(-row[k])) for k in range(hidden)]
+            state = [state[k] + gate[k] * (math.tanh(row[hidden + k]) - state[k]) for k in range(hidden)]
+            found.append(state)
+        return found
+
+    for at in range(0, len(symbols), language.WINDOW):
+        window = symbols[at : at + language.WINDOW]
+        # The last window of a text is filled up, and the filling is read from the right first.
+        filled = window + [language.PAD] * (language.WINDOW - len(window))
+        left, right = states(0, window), states(1, filled[::-1])[::-1]
+        for k in range(len(window)):
+            both = [*left[k], *right[k]]
+            logits = [float(bias[c, 0]) + sum(float(output[c, j]) * both[j] for j in range(2 * hidden)) for c in range(len(total))]
+            odds = [math.exp(x - max(logits)) for x in logits]
+            total = [t + o / sum(odds) for t, o in zip(total, odds)]
+    return [t / len(symbols) for t in total]
+
+
+def test_rows_equal_the_plain_network(spark):
+    """The query's predictions against loops over bytes, with the network that it has learned."""
+    docs = spark.createDataFrame(corpus(), SCHEMA)
+    network = language.fit(docs)
+    texts = {k: t for k, t, _ in corpus()[:12]} | {1_000: "Ka" * 200, 1_001: "é", 1_002: "ñu ça " * 40 + "1"}
+    found = language.predict(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), network, ["doc_id"])
+    for row in found.collect():
+        odds = plain_odds(network, texts[row["doc_id"]].encode())
+        best = max(range(len(odds)), key=odds.__getitem__)
+        assert row["lang_pred"] == network.languages[best] and abs(row["score"] - odds[best]) < 1e-3
+    own = {r["doc_id"]: r for r in language.identify(docs).collect()}
+    again = {r["doc_id"]: r for r in language.predict(docs, network, ["doc_id"]).collect()}
+    assert {k: (r["lang_pred"], r["score"]) for k, r in own.items()} == {k: (r["lang_pred"], r["score"]) for k, r in again.items()}
