@@ -216,27 +216,24 @@ def _compare_dimension(work: Workspace, classes: DataFrame, dim: int, threshold:
         ranged = turned.withColumn("range", F.when(group == 0, 0).otherwise((group - 1) * step + inside))
     else:
         ranged = turned.withColumn("range", F.lit(0))
-    # One row per range on the driver: its size and ends.
+    # On the driver and in a broadcast: size and ends of at most RANGES ranges, whatever the table holds.
     ranges = ranged.groupBy("range").agg(F.count("*").alias("n"), F.min("lead").alias("low"), F.max("lead").alias("high")).orderBy("range").collect()
-    reach = np.sqrt(2 - 2 * threshold) + _SLACK
-    tiles, first = [], {}
-    for r in ranges:
-        first[r["range"]] = (len(tiles), -(-r["n"] // size))
-        tiles += [(r["low"], r["high"])] * first[r["range"]][1]
-    lows, highs = (np.array([t[k] for t in tiles]) for k in (0, 1))
-    last = np.searchsorted(lows, highs + reach, side="right") - 1
-    # The first partner of a tile is the first tile that reaches up to it.
-    begin = np.searchsorted(np.maximum.accumulate(last), np.arange(len(tiles)), side="left")
-    spark = turned.sparkSession
-    places = spark.createDataFrame([(k, *v) for k, v in first.items()], "range int, first int, blocks int")
-    reaches = spark.createDataFrame(
-        [(k, int(min(begin[k], k)), int(max(last[k], k))) for k in range(len(tiles))], "tile int, low int, high int"
+    lows, highs = (np.array([r[c] for r in ranges]) for c in ("low", "high"))
+    blocks = np.array([-(-r["n"] // size) for r in ranges], np.int64)
+    first = np.cumsum(blocks) - blocks
+    at = np.arange(len(ranges))
+    last = np.maximum(np.searchsorted(lows, highs + np.sqrt(2 - 2 * threshold) + _SLACK, side="right") - 1, at)
+    # The first partner of a range is the first one that reaches up to it.
+    begin = np.minimum(np.searchsorted(np.maximum.accumulate(last), at, side="left"), at)
+    # All tiles of a range have the same partners: the tiles of neighbouring ranges, from low to high.
+    places = turned.sparkSession.createDataFrame(
+        [(r["range"], *map(int, (first[k], blocks[k], first[begin[k]], first[last[k]] + blocks[last[k]] - 1))) for k, r in enumerate(ranges)],
+        "range int, first int, blocks int, low int, high int",
     )
-    # Both tables have a row per tile at most: the number of vectors divided by a tile's rows.
     tiled = ranged.join(F.broadcast(places), "range").withColumn(
         "tile", F.col("first") + F.pmod(F.xxhash64("id", "class"), F.col("blocks")).cast("int")
     )
-    rows = tiled.join(F.broadcast(reaches), "tile").withColumn("other", F.explode(F.sequence("low", "high"))).select(
+    rows = tiled.withColumn("other", F.explode(F.sequence("low", "high"))).select(
         F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"),
         "id", "class", "copies", (F.col("tile") > F.col("other")).cast("int").alias("side"), "turned",
     )
