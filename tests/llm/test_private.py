@@ -38,6 +38,10 @@ def test_cues_add_spans(anchors):
     assert kinds("account no. 123456789, tel:555-0123456") == [("account", "123456789"), ("tel", "555-0123456")]
     assert kinds("https://bob:pw@host.de/x")[0] == ("userinfo", "bob:pw")
     assert kinds("an account of 3 things by the phone") == []
+    assert kinds("Https://bob:pw@host") == kinds("git+ssh://bob:pw@host") == kinds("mongodb://bob:pw@host") == [("userinfo", "bob:pw")]
+    assert kinds("://bob:pw@host") == kinds("see ://bob:pw@host") == []
+    assert kinds("iBaN DE89370400440532013000 TeL:5550123456")[0] == ("account", "DE89370400440532013000")
+    assert ("tel", "5550123456") in kinds("TeL:5550123456")
 
 
 @pytest.mark.parametrize("after", [" EUR 500", " 2024", " BIC COBADEFFXXX", " EUR 500 AND MORE CAPITALS", " x", ", EUR", "", "\n", " É", "É"])

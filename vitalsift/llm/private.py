@@ -1,7 +1,8 @@
 """Personal data in texts, found by expanding anchors.
 
 One Aho-Corasick automaton passes once over a text and reports anchors: at-signs, a plus or a
-point beside digits, neighbouring digits, URI schemes and words that announce an account number. At each anchor
+point beside digits, neighbouring digits, the end of a URI's scheme and words that announce an account number, in
+any case of letters. At each anchor
 a small parser finds the exact boundaries and checks them. An anchor inside what its parser has already
 read is skipped, so a text costs time in proportion to its length whatever it holds.
 
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import product
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -33,11 +35,11 @@ from vitalsift.llm.common import small_batches
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "tel", "account", "userinfo")
-SCHEMES = ("http://", "https://", "ftp://", "ssh://", "postgres://", "mysql://", "redis://", "amqp://")
 ACCOUNT_CUES = ("iban", "account", "acct", "konto", "compte", "cuenta")
 
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 DIGITS = frozenset("0123456789")
+SCHEME_ENDS = frozenset(LOCAL) - frozenset("_%")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 FOUR_NUMBERS = re.compile(r"[0-9]++(?:\.[0-9]++){3}")
 DIGIT_GROUPS = re.compile(r"[0-9](?:[ -]?[0-9])++")
@@ -45,12 +47,17 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 TEL = re.compile(r"[0-9][0-9().-]*[0-9]")
 CUED = re.compile(r"(?:[ ]?(?:number|no\.?|nr\.?|#))?[ ]{0,2}[:=#]?[ ]{0,2}", re.IGNORECASE)
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
-IBAN_LENGTHS = {c[:2]: int(c[2:]) for c in (
-    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 "
-    "GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 "
-    "MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 "
-    "TN24 TR26 UA29 VA22 VG24 XK20 "
-).split()}
+# Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29,
+    "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29,
+    "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28,
+    "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20,
+    "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22,
+    "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25,
+    "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25,
+    "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
 ACCOUNT = re.compile(r"[0-9](?:[ -]?[0-9])++(?![A-Za-z0-9])")
 USERINFO = re.compile(r"[^\s/@:\"'<>]++:[^\s/@\"'<>]++(?=@)")
 NON_DIGIT = re.compile(r"[^0-9]")
@@ -86,18 +93,23 @@ def iban_end(text: str, begin: int) -> int:
     return next((end for _, end, code in sorted(ends, reverse=True) if iban_checks(code)), -1)
 
 
+def in_any_case(word: str) -> list[str]:
+    """All spellings of a short word in small letters and capitals."""
+    return ["".join(letters) for letters in product(*[sorted({c, c.upper()}) for c in word])]
+
+
 def build_anchors():
     """The automaton; an anchor's value is its kind and its length."""
     import ahocorasick
 
     automaton = ahocorasick.Automaton()
-    anchors = {"@": "email", **{f"+{d}": "phone" for d in DIGITS}, "tel:": "tel", "TEL:": "tel", "Tel:": "tel"}
+    anchors = {"@": "email", "://": "userinfo", **{f"+{d}": "phone" for d in DIGITS}}
+    anchors |= dict.fromkeys(in_any_case("tel:"), "tel")
     for a in DIGITS:
         for b in DIGITS:
             anchors[f"{a}.{b}"] = "ip"
             anchors |= dict.fromkeys((a + b, f"{a} {b}", f"{a}-{b}"), "card")
-    anchors |= {written: "userinfo" for s in SCHEMES for written in (s, s.upper())}
-    anchors |= {written: "account" for c in ACCOUNT_CUES for written in (c, c.upper(), c.capitalize())}
+    anchors |= {written: "account" for cue in ACCOUNT_CUES for written in in_any_case(cue)}
     for anchor, kind in anchors.items():
         automaton.add_word(anchor, (kind, len(anchor)))
     automaton.make_automaton()
@@ -159,7 +171,8 @@ def find_spans(text: str, automaton) -> list[tuple[int, int, int]]:
                 done["account"] = match.end()
                 if match.end() - begin < 64 and 6 <= len(NON_DIGIT.sub("", match.group())) <= 17:
                     found.append((begin, match.end(), 5))
-        elif match := USERINFO.match(text, last + 1):
+        # Any scheme, so a letter, digit or sign of one stands before the colon.
+        elif start and text[start - 1] in SCHEME_ENDS and (match := USERINFO.match(text, last + 1)):
             done["userinfo"] = match.end()
             found.append((last + 1, match.end(), 6))
     found.sort(key=lambda span: (span[0], span[2]))
@@ -187,7 +200,8 @@ def find_private(documents: DataFrame) -> DataFrame:
     """``doc_id`` and ``spans`` (kind, start, end in code points) of every row's text.
 
     Spans are in order of start, then of kind as listed in ``KINDS``. A null or empty text has
-    none; rows are handled one by one, so repeated ids and rows stay. Other columns are ignored.
+    none; rows are handled one by one, so repeated ids and rows stay. Other columns are ignored; an
+    empty table gives no rows.
     """
     small_batches(documents.sparkSession)
     return documents.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(
