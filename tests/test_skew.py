@@ -155,7 +155,7 @@ def test_ids_are_dense_and_follow_the_digest(spark):
 
 
 def test_every_copy_gets_its_own_id(spark, monkeypatch):
-    monkeypatch.setattr(numbering, "COPIES_PER_CHUNK", 64)
+    monkeypatch.setattr(numbering, "IDS_PER_CHUNK", 64)
     df = spark.createDataFrame([(i % 5, None if i % 2 else "x") for i in range(200)], "a int, b string")
     df = df.unionByName(spark.createDataFrame([(9, "hot")] * 1000, df.schema))
     numbered = numbering.dense_row_ids(df, "n").collect()
@@ -165,6 +165,20 @@ def test_every_copy_gets_its_own_id(spark, monkeypatch):
     assert hot == list(range(hot[0], hot[0] + 1000))
 
 
+def test_copies_of_a_row_are_numbered_by_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(numbering, "IDS_PER_CHUNK", 64)
+    copies = spark.range(20_000).select(F.lit(1).alias("a"))
+    # Small partitions would be merged, as they hold little before the rows are expanded.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        numbered = numbering.dense_row_ids(copies, "n").withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(r["n"] for r in numbered) == list(range(1, 20_001))
+    per_task = Counter(r["task"] for r in numbered)
+    assert len(per_task) == 3 and max(per_task.values()) < 10_000
+
+
 def test_ids_do_not_depend_on_partitions(spark):
     df = spark.range(500).select((F.col("id") % 90).alias("a"), F.lit("x").alias("b"))
     one, many = (numbering.dense_row_ids(df.repartition(n), "n").collect() for n in (1, 7))

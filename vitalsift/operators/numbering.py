@@ -16,7 +16,7 @@ from vitalsift.functions.scalars import exact_number
 
 HEX_DIGITS = 4
 MAX_BUCKETS = 16**HEX_DIGITS
-COPIES_PER_CHUNK = 100_000
+IDS_PER_CHUNK = 4_096
 
 
 def with_digest(df: DataFrame, text: Column) -> DataFrame:
@@ -65,9 +65,11 @@ def row_text(df: DataFrame) -> Column:
 def dense_row_ids(df: DataFrame, id_column: str) -> DataFrame:
     """Add ids 1..n to every row of a table that has no key, copies of a row included.
 
-    Copies are combined into one row with a count before anything is sorted, numbered as a
-    block, and expanded again; large blocks are cut into chunks that different tasks expand, so
-    no task emits them alone. The table is read twice: store it first if it is costly.
+    Copies are combined into one row with a count before anything is sorted and numbered as a
+    block. The ids are cut into chunks of equal size; every block goes to the chunks that its ids
+    lie in, most to one, and each chunk gives its blocks their ids. So tasks emit about equally many
+    rows whatever the copies, and at most ``IDS_PER_CHUNK`` for a row they read. The table is read
+    twice: store it first if it is costly.
     """
     columns = df.columns
     unique = df.groupBy(*columns).agg(F.count("*").alias("_copies"))
@@ -80,26 +82,15 @@ def dense_row_ids(df: DataFrame, id_column: str) -> DataFrame:
         .orderBy("_digest", *[F.col(c).asc_nulls_last() for c in columns])
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    last = F.col("_start") + F.col("_through")
     blocks = (
         digested.withColumn("_through", F.sum("_copies").over(within))
         .join(starts, "_bucket")
-        .withColumn("_last", F.col("_start") + F.col("_through"))
-        .withColumn("_first", F.col("_last") - F.col("_copies") + 1)
-        .select(*columns, "_copies", "_first", "_last")
+        .select(*columns, (last - F.col("_copies") + 1).alias("_first"), last.alias("_last"))
     )
-
-    def expand(part: DataFrame) -> DataFrame:
-        ids = F.explode(F.sequence("_first", "_last"))
-        return part.select(ids.alias(id_column), *columns)
-
-    chunk_start = F.explode(F.sequence("_first", "_last", F.lit(COPIES_PER_CHUNK).cast("long")))
-    # A fixed partition count: adaptive execution would merge these small rows into few tasks.
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunks = (
-        blocks.filter(F.col("_copies") > COPIES_PER_CHUNK)
-        .withColumn("_from", chunk_start)
-        .withColumn("_last", F.least("_last", F.col("_from") + COPIES_PER_CHUNK - 1))
-        .withColumn("_first", F.col("_from"))
-        .repartition(tasks, "_first")
-    )
-    return expand(blocks.filter(F.col("_copies") <= COPIES_PER_CHUNK)).unionByName(expand(chunks))
+    size = F.lit(IDS_PER_CHUNK).cast("long")
+    chunks = F.sequence(F.expr(f"_first div {IDS_PER_CHUNK}"), F.expr(f"_last div {IDS_PER_CHUNK}"))
+    first_of_chunk = F.col("_chunk") * size
+    parts = blocks.withColumn("_chunk", F.explode(chunks)).repartition("_chunk")
+    ids = F.sequence(F.greatest("_first", first_of_chunk), F.least("_last", first_of_chunk + size - 1))
+    return parts.select(F.explode(ids).alias(id_column), *columns)
