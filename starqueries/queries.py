@@ -491,7 +491,8 @@ def _(spark, sf_dir):
 
 @register("mapping_drop_tally", sql.MAPPING_TALLY)
 def _(spark, sf_dir):
-    return mapping.mapping_tally(exported(spark, sf_dir), *_keys(spark, sf_dir)[:3])
+    people, kept, visits, keep = _keys(spark, sf_dir)
+    return mapping.mapping_tally(views.sources(spark, sf_dir), people, kept, visits, keep=keep)
 
 
 # --- notes -----------------------------------------------------------------------------------

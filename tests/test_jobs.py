@@ -172,6 +172,39 @@ def test_manifest_and_budget(spark):
     assert not jobs.row_budget(manifest, replace(DEFAULTS, row_budget=7)).first()["over_budget"]
 
 
+def test_each_export_is_scanned_once(spark, tmp_path, monkeypatch):
+    for name in jobs.SOURCES:
+        storage.write_csv(spark.createDataFrame(ROWS[name], SCHEMAS[name]), str(tmp_path / f"{name}.csv"))
+    scans = []
+
+    def scanned(df):
+        exports = {os.path.basename(os.path.dirname(f)) for f in df.inputFiles()} & {f"{n}.csv" for n in jobs.SOURCES}
+        scans.extend(exports)
+        # As many scans of exports in the plan as there are exports.
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("] csv") == len(exports)
+
+    def recording(folder):
+        keep = storage.stored_in(folder)
+
+        def kept(name, df):
+            scanned(df)
+            return keep(name, df)
+
+        return kept
+
+    tally = jobs.lost_rows
+
+    def recorded_tally(steps):
+        lost = tally(steps)
+        scanned(lost)
+        return lost
+
+    monkeypatch.setattr(jobs, "stored_in", recording)
+    monkeypatch.setattr(jobs, "lost_rows", recorded_tally)
+    jobs.generate_from(spark, str(tmp_path), str(tmp_path / "raw"))
+    assert sorted(scans) == sorted(f"{name}.csv" for name in jobs.SOURCES)
+
+
 @pytest.mark.parametrize("format", ["parquet", "csv"])
 def test_generate_then_run(spark, tmp_path, format):
     sources = {name: spark.createDataFrame(ROWS[name], SCHEMAS[name]) for name in jobs.SOURCES}

@@ -20,7 +20,7 @@ from vitalsift.operators.checks import ROWS, counts_and_checks, key_checks, rule
 from vitalsift.operators.cleaning import clean_all, quarantine_all, row_counts
 from vitalsift.operators.faults import inject_all
 from vitalsift.operators.summary import person_summary
-from vitalsift.plans.mapping import keys_of, map_all, mapping_tally
+from vitalsift.plans.mapping import Steps, lost_rows, map_all, steps_of
 from vitalsift.sources.tables import (
     read_tables,
     read_text,
@@ -283,8 +283,8 @@ def _generate(
     config: JobConfig, format: str,
 ) -> dict:
     keep = stored_in(f"{folder}/mapping")
-    keys = keys_of(sources, config, keep)
-    mapped = map_all(sources, model, config, keep, keys)
+    steps = steps_of(sources, model, config, keep)
+    mapped = map_all(sources, model, config, keep, steps)
     raw = inject_all(mapped, model, fraction=config.fault_fraction, seed=config.seed)
     counted = {name: Observation(name) for name in raw}
     with staged(spark, output) as drafts:
@@ -294,15 +294,14 @@ def _generate(
                 write_csv(df, f"{drafts}/{name}.csv")
             else:
                 write_parquet(df, f"{drafts}/{name}")
-        return _write_manifest(spark, sources, drafts, keys, counted, config)
+        return _write_manifest(spark, drafts, steps, counted, config)
 
 
 def _write_manifest(
-    spark: SparkSession, sources: Mapping[str, DataFrame], drafts: str, keys: tuple, counted: Mapping[str, Observation],
-    config: JobConfig,
+    spark: SparkSession, drafts: str, steps: Steps, counted: Mapping[str, Observation], config: JobConfig
 ) -> dict:
     manifest = {name: found.get["rows"] for name, found in counted.items()}
-    lost = mapping_tally(sources, *keys, config).collect()
+    lost = lost_rows(steps).collect()
     total = sum(manifest.values())
     document = {
         "generated_at": datetime.now(timezone.utc).isoformat(),
@@ -329,10 +328,7 @@ def generate_from(
 ) -> dict:
     """``generate`` on the source exports in ``folder``, ``<name>.csv`` each, every column as text.
 
-    They are loaded once into the shared work folder, because keys, mapping and the tally of lost rows
-    would parse them again. The copy is deleted at the end, also after a failure.
+    Each file is parsed once, by the step that marks its rows.
     """
-    with scratch(spark) as copies:
-        keep = stored_in(f"{copies}/exports")
-        sources = {name: keep(name, read_text(spark, f"{folder}/{name}.csv")) for name in SOURCES}
-        return generate(spark, sources, output, model=model, config=config, format=format)
+    sources = {name: read_text(spark, f"{folder}/{name}.csv") for name in SOURCES}
+    return generate(spark, sources, output, model=model, config=config, format=format)

@@ -5,13 +5,16 @@ patients (Id, GENDER, RACE, ETHNICITY, BIRTHDATE), encounters (Id, PATIENT, ENCO
 START, STOP), conditions (CODE, PATIENT, ENCOUNTER, START, STOP), medications (CODE, PATIENT,
 ENCOUNTER, START, STOP, DISPENSES), observations (CODE, PATIENT, ENCOUNTER, DATE, VALUE, UNITS).
 
-Every mapper takes its rows through one selection of flags and typed columns; keeping the rows
-that pass gives the table, counting the others gives the tally of lost rows.
+Every mapper marks the rows that it leaves out with the reason, ``_lost``, or with ``_listed`` where
+a code has no concept, and a table is what is not marked. A job stores the marked rows, so that one pass over an
+export gives the table and the tally of lost rows, which reads the marks alone. Counts taken inside
+the pass itself would be too high after the loss of an executor.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -28,13 +31,14 @@ from vitalsift.plans.notes import map_note
 from vitalsift.specs import MODEL, Model, TableSpec
 
 
-def typed(df: DataFrame, spec: TableSpec) -> DataFrame:
-    """The table's columns in order and type; columns the source lacks are null."""
+def typed(df: DataFrame, spec: TableSpec, *more: str) -> DataFrame:
+    """The table's columns in order and type, then ``more``; columns the source lacks are null."""
     return df.select(
         *[
             (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
             for f in spec.schema
-        ]
+        ],
+        *more,
     )
 
 
@@ -51,30 +55,45 @@ def person_keys(patients: DataFrame) -> DataFrame:
     return dense_ids(patients, "Id", "person_id")
 
 
-def _person_candidates(patients: DataFrame) -> DataFrame:
-    return patients.select(
+# A patient or visit without an id cannot be referred to; it is lost and counted as such.
+_PERSON_CODES = ("gender_concept_id", "race_concept_id", "ethnicity_concept_id")
+
+
+def judged_patients(patients: DataFrame) -> DataFrame:
+    """All patients, with ``_lost`` where the id or a concept of gender, race or ethnicity is missing."""
+    rows = patients.select(
         "Id",
+        "BIRTHDATE",
         codes.concept_of(F.col("GENDER"), codes.GENDER, fold="upper").alias("gender_concept_id"),
-        F.year(strict_date(F.col("BIRTHDATE"))).alias("year_of_birth"),
         codes.concept_of(F.col("RACE"), codes.RACE, fold="lower").alias("race_concept_id"),
         codes.concept_of(F.col("ETHNICITY"), codes.ETHNICITY, fold="lower").alias("ethnicity_concept_id"),
     )
+    lost = F.when(F.col("Id").isNull(), "missing_id").when(~_present(*_PERSON_CODES), "unmapped_concept")
+    born = F.when(lost.isNull(), F.year(strict_date(F.col("BIRTHDATE"))))
+    return rows.select("Id", *_PERSON_CODES, born.alias("year_of_birth"), lost.alias("_lost"))
 
 
-# A patient or visit without an id cannot be referred to; it is lost and counted as such.
-_PERSON_CODES = ("gender_concept_id", "race_concept_id", "ethnicity_concept_id")
+def _kept(judged: DataFrame) -> DataFrame:
+    return judged.filter(F.col("_lost").isNull()).drop("_lost")
 
 
 def map_person(patients: DataFrame, people: DataFrame, model: Model = MODEL) -> DataFrame:
     """People with an id whose gender, race and ethnicity all have a concept."""
-    mapped = _person_candidates(patients).filter(_present("Id", *_PERSON_CODES))
-    return typed(lookup(mapped, people, "Id", "inner"), model["person"])
+    return _people(judged_patients(patients), people, model)
+
+
+def _people(judged: DataFrame, people: DataFrame, model: Model) -> DataFrame:
+    return typed(lookup(_kept(judged), people, "Id", "inner"), model["person"])
 
 
 # --- visits ------------------------------------------------------------------------------
 
 
-def _visit_candidates(encounters: DataFrame, people: DataFrame) -> DataFrame:
+_VISIT_FIELDS = ("person_id", "visit_concept_id", "visit_start_date")
+
+
+def judged_encounters(encounters: DataFrame, people: DataFrame) -> DataFrame:
+    """All encounters, with ``_lost`` where the id, the person, the class's concept or the start is missing."""
     rows = encounters.select(
         "Id",
         "PATIENT",
@@ -82,18 +101,19 @@ def _visit_candidates(encounters: DataFrame, people: DataFrame) -> DataFrame:
         strict_date(F.col("START")).alias("visit_start_date"),
         strict_date(F.col("STOP")).alias("visit_end_date"),
     )
-    return lookup(rows, people.withColumnRenamed("Id", "PATIENT"), "PATIENT")
-
-
-_VISIT_FIELDS = ("person_id", "visit_concept_id", "visit_start_date")
+    lost = F.when(F.col("Id").isNull(), "missing_id").when(~_present(*_VISIT_FIELDS), "unmapped_or_missing")
+    return lookup(rows, people.withColumnRenamed("Id", "PATIENT"), "PATIENT").withColumn("_lost", lost)
 
 
 def kept_visits(
     encounters: DataFrame, people: DataFrame, config: JobConfig = DEFAULTS
 ) -> DataFrame:
     """The most recent usable visits of each person, with their source ids."""
-    usable = _visit_candidates(encounters, people).filter(_present("Id", *_VISIT_FIELDS))
-    return top_recent(usable, "person_id", "visit_start_date", "Id", config.visits_per_person)
+    return _most_recent(judged_encounters(encounters, people), config)
+
+
+def _most_recent(judged: DataFrame, config: JobConfig) -> DataFrame:
+    return top_recent(_kept(judged), "person_id", "visit_start_date", "Id", config.visits_per_person)
 
 
 def visit_keys(kept: DataFrame) -> DataFrame:
@@ -108,25 +128,38 @@ def map_visit(kept: DataFrame, visits: DataFrame, model: Model = MODEL) -> DataF
 # --- events ------------------------------------------------------------------------------
 
 
-def _with_event_keys(rows: DataFrame, people: DataFrame, visits: DataFrame) -> DataFrame:
-    """Resolve PATIENT and ENCOUNTER; unknown ids become null."""
-    visits, people = visits.withColumnRenamed("Id", "ENCOUNTER"), people.withColumnRenamed("Id", "PATIENT")
-    rows = lookup(rows, visits, "ENCOUNTER")
-    return lookup(rows, people, "PATIENT")
+def _coded(rows: DataFrame, dictionary: Mapping, concept: str, **columns: Column) -> DataFrame:
+    """Source ids, concept and typed columns of events; rows whose code is not ``_listed`` hold
+    nothing but their encounter."""
+    listed = F.coalesce(codes.listed(F.col("CODE"), dictionary), F.lit(False))
+    columns = {"PATIENT": F.col("PATIENT"), concept: codes.concept_of(F.col("CODE"), dictionary)} | columns
+    return rows.select(
+        "ENCOUNTER", listed.alias("_listed"), *[F.when(listed, c).alias(name) for name, c in columns.items()]
+    )
 
 
-def _condition_candidates(conditions: DataFrame, people: DataFrame, visits: DataFrame) -> DataFrame:
-    rows = conditions.filter(codes.listed(F.col("CODE"), codes.CONDITION)).select(
-        "PATIENT",
-        "ENCOUNTER",
-        codes.concept_of(F.col("CODE"), codes.CONDITION).alias("condition_concept_id"),
-        lenient_date(F.col("START")).alias("condition_start_date"),
-        lenient_date(F.col("STOP")).alias("condition_end_date"),
+def _of_kept_visits(rows: DataFrame, visits: DataFrame) -> DataFrame:
+    return lookup(rows, visits.withColumnRenamed("Id", "ENCOUNTER"), "ENCOUNTER", "inner")
+
+
+def _judged(coded: DataFrame, people: DataFrame, fields: tuple[str, ...], spec: TableSpec) -> DataFrame:
+    """Listed events as rows of their table without its key; ``_lost`` where one of ``fields`` is missing."""
+    rows = lookup(coded.filter("_listed"), people.withColumnRenamed("Id", "PATIENT"), "PATIENT")
+    rows = rows.withColumn("_lost", F.when(~_present(*fields), "missing_required"))
+    return typed(rows, spec, "_lost").drop(spec.key)
+
+
+def coded_conditions(conditions: DataFrame) -> DataFrame:
+    return _coded(
+        conditions, codes.CONDITION, "condition_concept_id",
+        condition_start_date=lenient_date(F.col("START")),
+        condition_end_date=lenient_date(F.col("STOP")),
     )
-    return _with_event_keys(rows, people, visits)
 
 
-_CONDITION_FIELDS = ("person_id", "condition_start_date")
+def judged_conditions(coded: DataFrame, people: DataFrame, visits: DataFrame, model: Model = MODEL) -> DataFrame:
+    rows = lookup(coded.filter("_listed"), visits.withColumnRenamed("Id", "ENCOUNTER"), "ENCOUNTER")
+    return _judged(rows, people, ("person_id", "condition_start_date"), model["condition_occurrence"])
 
 
 def map_condition(
@@ -134,28 +167,25 @@ def map_condition(
     keep: Keep = unchanged,
 ) -> DataFrame:
     """Whitelisted conditions. Those of a visit that was not kept stay, without the visit."""
-    rows = _condition_candidates(conditions, people, visits).filter(_present(*_CONDITION_FIELDS))
-    return _numbered(rows, model["condition_occurrence"], keep)
+    judged = judged_conditions(coded_conditions(conditions), people, visits, model)
+    return _numbered(keep("condition_occurrence_judged", judged), model["condition_occurrence"])
 
 
-def _drug_candidates(
-    medications: DataFrame, people: DataFrame, visits: DataFrame, config: JobConfig
-) -> DataFrame:
-    rows = medications.filter(codes.listed(F.col("CODE"), codes.DRUG)).select(
-        "PATIENT",
-        "ENCOUNTER",
-        codes.concept_of(F.col("CODE"), codes.DRUG).alias("drug_concept_id"),
-        lenient_date(F.col("START")).alias("drug_exposure_start_date"),
-        lenient_date(F.col("STOP")).alias("drug_exposure_end_date"),
-        days_supplied(
+def coded_drugs(medications: DataFrame, visits: DataFrame, config: JobConfig = DEFAULTS) -> DataFrame:
+    rows = _coded(
+        medications, codes.DRUG, "drug_concept_id",
+        drug_exposure_start_date=lenient_date(F.col("START")),
+        drug_exposure_end_date=lenient_date(F.col("STOP")),
+        days_supply=days_supplied(
             F.col("START"), F.col("STOP"), config.default_days_supply, config.min_days_supply
-        ).alias("days_supply"),
-        F.coalesce(lenient_double(F.col("DISPENSES")), F.lit(config.default_quantity)).alias("quantity"),
+        ),
+        quantity=F.coalesce(lenient_double(F.col("DISPENSES")), F.lit(config.default_quantity)),
     )
-    return _with_event_keys(rows, people, visits).filter(_present("visit_occurrence_id"))
+    return _of_kept_visits(rows, visits)
 
 
-_DRUG_FIELDS = ("person_id", "drug_exposure_start_date")
+def judged_drugs(coded: DataFrame, people: DataFrame, model: Model = MODEL) -> DataFrame:
+    return _judged(coded, people, ("person_id", "drug_exposure_start_date"), model["drug_exposure"])
 
 
 def map_drug(
@@ -163,23 +193,22 @@ def map_drug(
     config: JobConfig = DEFAULTS, keep: Keep = unchanged,
 ) -> DataFrame:
     """Whitelisted drugs of kept visits."""
-    rows = _drug_candidates(medications, people, visits, config).filter(_present(*_DRUG_FIELDS))
-    return _numbered(rows, model["drug_exposure"], keep)
+    judged = judged_drugs(coded_drugs(medications, visits, config), people, model)
+    return _numbered(keep("drug_exposure_judged", judged), model["drug_exposure"])
 
 
-def _measurement_candidates(observations: DataFrame, people: DataFrame, visits: DataFrame) -> DataFrame:
-    rows = observations.filter(codes.listed(F.col("CODE"), codes.MEASUREMENT)).select(
-        "PATIENT",
-        "ENCOUNTER",
-        codes.concept_of(F.col("CODE"), codes.MEASUREMENT).alias("measurement_concept_id"),
-        lenient_date(F.col("DATE")).alias("measurement_date"),
-        lenient_double(F.col("VALUE")).alias("value_as_number"),
-        codes.concept_of(F.col("UNITS"), codes.UNIT).alias("unit_concept_id"),
+def coded_measurements(observations: DataFrame, visits: DataFrame) -> DataFrame:
+    rows = _coded(
+        observations, codes.MEASUREMENT, "measurement_concept_id",
+        measurement_date=lenient_date(F.col("DATE")),
+        value_as_number=lenient_double(F.col("VALUE")),
+        unit_concept_id=codes.concept_of(F.col("UNITS"), codes.UNIT),
     )
-    return _with_event_keys(rows, people, visits).filter(_present("visit_occurrence_id"))
+    return _of_kept_visits(rows, visits)
 
 
-_MEASUREMENT_FIELDS = ("person_id", "measurement_date", "value_as_number")
+def judged_measurements(coded: DataFrame, people: DataFrame, model: Model = MODEL) -> DataFrame:
+    return _judged(coded, people, ("person_id", "measurement_date", "value_as_number"), model["measurement"])
 
 
 def map_measurement(
@@ -187,26 +216,63 @@ def map_measurement(
     keep: Keep = unchanged,
 ) -> DataFrame:
     """Whitelisted measurements of kept visits; an unknown unit is null."""
-    rows = _measurement_candidates(observations, people, visits).filter(_present(*_MEASUREMENT_FIELDS))
-    return _numbered(rows, model["measurement"], keep)
+    judged = judged_measurements(coded_measurements(observations, visits), people, model)
+    return _numbered(keep("measurement_judged", judged), model["measurement"])
 
 
-def _numbered(rows: DataFrame, spec: TableSpec, keep: Keep) -> DataFrame:
+def _numbered(judged: DataFrame, spec: TableSpec) -> DataFrame:
     """Add the table's own ids; the sources have none for events."""
-    rows = typed(rows, spec).drop(spec.key)
-    return typed(dense_row_ids(keep(f"{spec.name}_unnumbered", rows), spec.key), spec)
+    return typed(dense_row_ids(_kept(judged), spec.key), spec)
 
 
 # --- all tables --------------------------------------------------------------------------
 
 
-def keys_of(
-    sources: Mapping[str, DataFrame], config: JobConfig = DEFAULTS, keep: Keep = unchanged
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Person keys, kept visits and visit keys, which every mapping step reads."""
-    people = keep("person_keys", person_keys(sources["patients"]))
-    kept = keep("kept_visits", kept_visits(sources["encounters"], people, config))
-    return people, kept, keep("visit_keys", visit_keys(kept))
+@dataclass(frozen=True)
+class Steps:
+    """All rows of the exports on their way into the tables, lost ones marked, and the keys."""
+
+    patients: DataFrame
+    people: DataFrame
+    encounters: DataFrame
+    kept: DataFrame
+    visits: DataFrame
+    coded: dict[str, DataFrame]
+    judged: dict[str, DataFrame]
+
+
+def steps_of(
+    sources: Mapping[str, DataFrame],
+    model: Model = MODEL,
+    config: JobConfig = DEFAULTS,
+    keep: Keep = unchanged,
+) -> Steps:
+    """Mark the rows of all exports and find the keys. ``keep`` may store what later steps read;
+    each export is then scanned once."""
+    patients = keep("patients_judged", judged_patients(sources["patients"]))
+    people = keep("person_keys", person_keys(patients))
+    encounters = keep("encounters_judged", judged_encounters(sources["encounters"], people))
+    kept = keep("kept_visits", _most_recent(encounters, config))
+    visits = keep("visit_keys", visit_keys(kept))
+    return _event_steps(sources, (patients, people, encounters, kept, visits), model, config, keep)
+
+
+def _event_steps(
+    sources: Mapping[str, DataFrame], found: tuple, model: Model, config: JobConfig, keep: Keep
+) -> Steps:
+    _, people, _, _, visits = found
+    coded = {
+        "condition_occurrence": coded_conditions(sources["conditions"]),
+        "drug_exposure": coded_drugs(sources["medications"], visits, config),
+        "measurement": coded_measurements(sources["observations"], visits),
+    }
+    coded = {name: keep(f"{name}_coded", df) for name, df in coded.items()}
+    judged = {
+        "condition_occurrence": judged_conditions(coded["condition_occurrence"], people, visits, model),
+        "drug_exposure": judged_drugs(coded["drug_exposure"], people, model),
+        "measurement": judged_measurements(coded["measurement"], people, model),
+    }
+    return Steps(*found, coded, {name: keep(f"{name}_judged", df) for name, df in judged.items()})
 
 
 def map_all(
@@ -214,20 +280,17 @@ def map_all(
     model: Model = MODEL,
     config: JobConfig = DEFAULTS,
     keep: Keep = unchanged,
-    keys: tuple[DataFrame, DataFrame, DataFrame] | None = None,
+    steps: Steps | None = None,
 ) -> dict[str, DataFrame]:
     """All six tables. ``keep`` may store an intermediate table that several steps read.
 
-    ``keys`` are those of ``keys_of`` where they are there already.
+    ``steps`` are those of ``steps_of`` where they are there already.
     """
-    people, kept, visits = keys or keys_of(sources, config, keep)
+    steps = steps or steps_of(sources, model, config, keep)
     tables = {
-        "person": map_person(sources["patients"], people, model),
-        "visit_occurrence": map_visit(kept, visits, model),
-        "condition_occurrence": map_condition(sources["conditions"], people, visits, model, keep),
-        "drug_exposure": map_drug(sources["medications"], people, visits, model, config, keep),
-        "measurement": map_measurement(sources["observations"], people, visits, model, keep),
-    }
+        "person": _people(steps.patients, steps.people, model),
+        "visit_occurrence": map_visit(steps.kept, steps.visits, model),
+    } | {name: _numbered(judged, model[name]) for name, judged in steps.judged.items()}
     tables = {name: keep(f"mapped_{name}", df) for name, df in tables.items()}
     tables["note"] = keep(
         "mapped_note",
@@ -239,52 +302,42 @@ def map_all(
 # --- rows lost while mapping -------------------------------------------------------------
 
 
+def lost_rows(steps: Steps) -> DataFrame:
+    """(table, rule, rows): rows each mapping step left out, in step order, zeros included.
+
+    Of stored steps only the marks are read.
+    """
+
+    def count(table: str, df: DataFrame, **rules: Column) -> DataFrame:
+        counted = df.agg(*[F.count_if(lost).alias(rule) for rule, lost in rules.items()])
+        entries = [F.struct(F.lit(rule).alias("rule"), F.col(rule).alias("rows")) for rule in rules]
+        return counted.select(F.lit(table).alias("table"), F.inline(F.array(*entries)))
+
+    def because(*rules: str) -> dict[str, Column]:
+        return {rule: F.col("_lost") == rule for rule in rules}
+
+    usable = steps.encounters.agg(F.count_if(F.col("_lost").isNull()).alias("rows"))
+    over_cap = usable.unionByName(steps.kept.agg((-F.count("*")).alias("rows"))).agg(F.sum("rows").alias("rows"))
+    parts = [
+        count("person", steps.patients, **because("missing_id", "unmapped_concept")),
+        count("visit_occurrence", steps.encounters, **because("missing_id", "unmapped_or_missing")),
+        over_cap.select(F.lit("visit_occurrence").alias("table"), F.lit("over_visit_cap").alias("rule"), "rows"),
+    ]
+    for table, judged in steps.judged.items():
+        parts.append(count(table, steps.coded[table], unmapped_code=~F.col("_listed")))
+        parts.append(count(table, judged, **because("missing_required")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def mapping_tally(
     sources: Mapping[str, DataFrame],
     people: DataFrame,
     kept: DataFrame,
     visits: DataFrame,
     config: JobConfig = DEFAULTS,
+    keep: Keep = unchanged,
 ) -> DataFrame:
-    """(table, rule, rows): rows each mapping step leaves out, in step order, zeros included."""
-
-    def count(table: str, rule: str, df: DataFrame, lost: Column) -> DataFrame:
-        counted = df.agg(F.count_if(lost).alias("rows"))
-        return counted.select(F.lit(table).alias("table"), F.lit(rule).alias("rule"), "rows")
-
-    def unlisted(name: str, dictionary: dict) -> Column:
-        return ~F.coalesce(codes.listed(F.col("CODE"), dictionary), F.lit(False))
-
-    no_id = F.col("Id").isNull()
-    patients = _person_candidates(sources["patients"])
-    usable = _visit_candidates(sources["encounters"], people)
-    over_cap = (
-        usable.filter(_present("Id", *_VISIT_FIELDS))
-        .groupBy("person_id")
-        .agg(F.count("*").alias("n"))
-        .agg(F.coalesce(F.sum(F.greatest(F.col("n") - config.visits_per_person, F.lit(0))), F.lit(0)).alias("rows"))
-    )
-
-    def of_kept(df: DataFrame) -> DataFrame:
-        keys = visits.select(F.col("Id").alias("ENCOUNTER"))
-        return lookup(df, keys, "ENCOUNTER", "left_semi")
-
-    parts = [
-        count("person", "missing_id", patients, no_id),
-        count("person", "unmapped_concept", patients, ~no_id & ~_present(*_PERSON_CODES)),
-        count("visit_occurrence", "missing_id", usable, no_id),
-        count("visit_occurrence", "unmapped_or_missing", usable, ~no_id & ~_present(*_VISIT_FIELDS)),
-        over_cap.select(F.lit("visit_occurrence").alias("table"), F.lit("over_visit_cap").alias("rule"), "rows"),
-    ]
-    events = [
-        ("condition_occurrence", "conditions", codes.CONDITION, _CONDITION_FIELDS,
-         _condition_candidates(sources["conditions"], people, visits), sources["conditions"]),
-        ("drug_exposure", "medications", codes.DRUG, _DRUG_FIELDS,
-         _drug_candidates(sources["medications"], people, visits, config), of_kept(sources["medications"])),
-        ("measurement", "observations", codes.MEASUREMENT, _MEASUREMENT_FIELDS,
-         _measurement_candidates(sources["observations"], people, visits), of_kept(sources["observations"])),
-    ]
-    for table, source, dictionary, fields, candidates, rows in events:
-        parts.append(count(table, "unmapped_code", rows, unlisted(source, dictionary)))
-        parts.append(count(table, "missing_required", candidates, ~_present(*fields)))
-    return reduce(DataFrame.unionByName, parts)
+    """``lost_rows`` where the keys are there but the exports have not been marked yet."""
+    patients = keep("patients_judged", judged_patients(sources["patients"]))
+    encounters = keep("encounters_judged", judged_encounters(sources["encounters"], people))
+    return lost_rows(_event_steps(sources, (patients, people, encounters, kept, visits), MODEL, config, keep))
