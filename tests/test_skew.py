@@ -83,7 +83,7 @@ def test_source_ids_split_a_hot_key(spark, splitting, keep):
     ids = spark.range(400)
     people = keep("people", ids.select(text("id", "P").alias("Id"), F.col("id").alias("person_id")))
     visits = keep("visits", ids.select(text("id", "E").alias("Id"), F.col("id").alias("visit_occurrence_id")))
-    joined = mapping._condition_candidates(conditions, people, visits)
+    joined = mapping.judged_conditions(mapping.coded_conditions(conditions), people, visits)
     assert final_plan(joined).count("skew=true") >= 2
     assert joined.filter("person_id is null or visit_occurrence_id is null").count() == 0
 
