@@ -88,6 +88,27 @@ def test_source_ids_split_a_hot_key(spark, splitting, keep):
     assert joined.filter("person_id is null or visit_occurrence_id is null").count() == 0
 
 
+def test_events_of_one_visit_are_split_listed_or_not(spark, splitting, keep):
+    text = lambda c, letter: F.concat(F.lit(letter), F.col(c).cast("string"))
+    day = F.date_add(F.lit("1950-01-01").cast("date"), (F.xxhash64("id") % 9_000).cast("int")).cast("string")
+    # Three in four rows have a code without a concept.
+    observations = keep("observations", _many(spark, 40_000).select(
+        F.when(F.col("id") % 4 == 0, "4548-4").otherwise("none").alias("CODE"), text("k", "P").alias("PATIENT"),
+        text("k", "E").alias("ENCOUNTER"), day.alias("DATE"), F.col("id").cast("string").alias("VALUE"),
+        F.lit("%").alias("UNITS"),
+    ))
+    ids = spark.range(400)
+    people = keep("people", ids.select(text("id", "P").alias("Id"), F.col("id").alias("person_id")))
+    visits = keep("visits", ids.select(text("id", "E").alias("Id"), F.col("id").alias("visit_occurrence_id")))
+    coded = mapping.coded_measurements(observations, visits)
+    assert "skew=true" in final_plan(coded)
+    stored = keep("coded", coded)
+    unlisted = stored.filter("not _listed").agg(F.count("*"), F.count("PATIENT"), F.count("value_as_number"))
+    assert tuple(unlisted.first()) == (30_000, 0, 0)
+    judged = mapping.judged_measurements(stored, people)
+    assert judged.count() == 10_000 and judged.filter("_lost is not null").count() == 0
+
+
 def test_note_inputs_split_a_person_with_very_many_visits(spark, splitting, keep):
     visits = keep("visits", _many(spark).select(
         F.col("id").alias("visit_occurrence_id"), F.col("k").alias("person_id"), F.lit(1).alias("visit_concept_id"),
