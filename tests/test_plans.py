@@ -5,8 +5,8 @@ import re
 import pytest
 
 from tables import table, valid_tables
-from vitalsift.operators import checks, cleaning, faults, latest, summary
-from vitalsift.plans import notes
+from vitalsift.operators import checks, cleaning, faults, latest, sampling, summary
+from vitalsift.plans import mapping, notes
 from vitalsift.sources import tables as storage
 from vitalsift.specs import MODEL, WIDE_MODEL
 
@@ -141,3 +141,16 @@ def test_injecting_faults_moves_no_rows(stored, no_broadcast):
 def test_writing_by_band_regroups_once(stored):
     hinted = stored["person"].hint("rebalance", "year_of_birth")
     assert "REBALANCE_PARTITIONS_BY_COL" in plan(hinted)
+
+
+def test_drug_texts_are_parsed_behind_the_join(spark, no_broadcast):
+    medications = spark.createDataFrame([], "CODE string, PATIENT string, ENCOUNTER string, START string, STOP string, DISPENSES string")
+    visits = spark.createDataFrame([], "Id string, visit_occurrence_id long")
+    text = plan(mapping.coded_drugs(medications, visits))
+    assert text.index("AS days_supply") < text.index("Join")
+
+
+def test_samples_take_two_scans_of_the_key(stored, no_broadcast):
+    text = plan(sampling.cutoffs(stored["person"], "person_id", {"a": 1}, k=1))
+    # The second scan meets the edge that the first one found.
+    assert text.count("FileScan parquet") == 2
