@@ -154,3 +154,9 @@ def test_samples_take_two_scans_of_the_key(stored, no_broadcast):
     text = plan(sampling.cutoffs(stored["person"], "person_id", {"a": 1}, k=1))
     # The second scan meets the edge that the first one found.
     assert text.count("FileScan parquet") == 2
+
+
+def test_suspects_are_stored_before_texts_are_fetched(stored):
+    kept = []
+    cleaning.clean_stored(stored["note"], MODEL["note"], stored, lambda name, df: kept.append(name) or df)
+    assert kept == ["note_suspects", "note_gone"]
