@@ -90,6 +90,17 @@ def _folders(spark):
     return set(os.listdir(spark.conf.get("spark.checkpoint.dir").removeprefix("file:")))
 
 
+def test_texts_cleaned_by_address_are_not_written_again(spark, tmp_path):
+    keep = storage.stored_in(str(tmp_path / "raw"))
+    raw = {name: keep(name, df) for name, df in _dirty(spark).items()}
+    raw["note"] = keep("notes", rows(spark, "note", {}, {}, dict(note_id=401, note_text=None), dict(note_id=402)))
+    cleaned, counts = jobs.write_cleaned(raw, MODEL, str(tmp_path / "cleaned"), ("note",))
+    assert "note" not in counts and not list(tmp_path.glob("cleaned/**/*=note*"))
+    assert sorted(r["note_id"] for r in cleaned["note"].collect()) == [400, 402]
+    assert jobs.inspect_written(cleaned, counts) == jobs.inspect(cleaned)
+    assert jobs.inspect_written(cleaned, counts).rows["note"] == 2
+
+
 def test_intermediates_are_gone_after_success_and_failure(spark, tmp_path, monkeypatch):
     before = _folders(spark)
     jobs.run(spark, _dirty(spark), str(tmp_path / "out"))
