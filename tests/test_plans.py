@@ -1,9 +1,11 @@
 """Properties of the physical plans that matter at scale."""
 
+import os
 import re
 
 import pytest
 
+from starqueries import views
 from tables import table, valid_tables
 from vitalsift.operators import checks, cleaning, faults, latest, sampling, summary
 from vitalsift.plans import mapping, notes
@@ -160,3 +162,27 @@ def test_suspects_are_stored_before_texts_are_fetched(stored):
     kept = []
     cleaning.clean_stored(stored["note"], MODEL["note"], stored, lambda name, df: kept.append(name) or df)
     assert kept == ["note_suspects", "note_gone"]
+
+
+SF_DIR = "/root/testdata/sf0.001"
+needs_tables = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables are not there")
+
+
+@needs_tables
+def test_lines_move_without_keys_of_parts(spark, no_broadcast):
+    lines = views.tables(spark, SF_DIR, lambda name, df: df)["drug_exposure"]
+    moved = [line for line in plan(lines).splitlines() if "hashpartitioning(l_orderkey" in line]
+    assert moved
+    text = lines._jdf.queryExecution().optimizedPlan().toString()
+    join = text.index("Join Inner")
+    assert "_partkey" not in text[:join] and "_suppkey" not in text[:join]
+
+
+@needs_tables
+def test_texts_of_notes_meet_few_orders_without_moving(spark):
+    keep = storage.stored_in(storage.work_folder(spark))
+    # Smaller than all orders, larger than those of notes.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")
+    text = plan(views.tables(spark, SF_DIR, keep)["note"])
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in text and "hashpartitioning" not in text
