@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from starqueries import views
+from starqueries import queries, views
 from tables import table, valid_tables
 from vitalsift.operators import checks, cleaning, faults, latest, sampling, summary
 from vitalsift.plans import mapping, notes
@@ -186,3 +186,9 @@ def test_texts_of_notes_meet_few_orders_without_moving(spark):
     text = plan(views.tables(spark, SF_DIR, keep)["note"])
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin" in text and "hashpartitioning" not in text
+
+
+def test_cleaned_notes_of_the_gate_query_are_not_stored(stored):
+    kept = []
+    queries.cleaned_beside(stored, lambda name, df: kept.append(name) or df)
+    assert "note" not in kept and {"note_gone", "person", "drug_exposure"} <= set(kept)
