@@ -190,3 +190,14 @@ def test_repeated_and_missing_ids_are_packed(spark):
     pieces = packing.pack(docs).collect()
     assert sum(p["length"] for p in pieces) == 3 + 3 + 2 + 1
     assert packing.pack(spark.createDataFrame([], EDGE_SCHEMA)).collect() == []
+
+
+def test_no_round_partitions_all_slots(monkeypatch):
+    """A late round has few frequent pairs; only counts that can be frequent are searched for the limit."""
+    sizes, partition = [], np.partition
+    monkeypatch.setattr(grammar.np, "partition", lambda a, *k: sizes.append(len(a)) or partition(a, *k))
+    ids = np.random.default_rng(5).integers(0, 300, 60_000).astype(np.uint32)
+    lengths = np.array([0, 20_000, 1, 0, 39_999])
+    found, each = grammar.Shard(grammar.compress(ids, lengths, 1000, pairs=64, least=4)).ids()
+    assert found.tolist() == ids.tolist() and each.tolist() == lengths.tolist()
+    assert all(n < 1 << grammar._SLOT_BITS for n in sizes)

@@ -46,7 +46,8 @@ def _frequent(left, right, slots, most: int, least: int) -> np.ndarray:
     """
     counts = np.bincount(slots, minlength=(1 << _SLOT_BITS) + 1)
     counts[-1] = 0
-    limit = max(least, int(np.partition(counts, -most)[-most]))
+    full = counts[counts >= least]
+    limit = int(np.partition(full, -most)[-most]) if len(full) >= most else least
     # Full slots may hold rare pairs only; then all slots that can hold a frequent one are read.
     for enough in sorted({limit, least}, reverse=True):
         at = np.flatnonzero((counts >= enough)[slots])
@@ -66,8 +67,8 @@ def compress(
     Goes on until no pair is seen ``least`` times, or for at most ``rounds`` rounds where given.
     """
     symbols = np.array(ids, np.uint32)
-    last = np.zeros(len(symbols), bool)
-    last[np.cumsum(lengths[lengths > 0]) - 1] = True
+    # Where documents end, rising; few beside the symbols.
+    last = np.cumsum(lengths[lengths > 0], dtype=np.int64) - 1
     rules: list[np.ndarray] = []
     sizes = np.ones(first_symbol, np.uint32)
     for _ in itertools.count() if rounds is None else range(rounds):
@@ -108,14 +109,13 @@ def compress(
         symbols[chosen] = number[own]
         stays = np.ones(len(symbols), bool)
         stays[chosen + 1] = False
-        last[chosen] = last[chosen + 1]
-        symbols, last = symbols[stays], last[stays]
+        symbols = symbols[stays]
+        last = last - np.searchsorted(chosen + 1, last, side="right")
         rules.append(np.stack([low[kept], high[kept]], axis=1))
         sizes = np.concatenate([sizes, sizes[low[kept]] + sizes[high[kept]]])
     table = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
-    ends = np.flatnonzero(last) + 1
     per_document = np.zeros(len(lengths), np.uint32)
-    per_document[lengths > 0] = np.diff(ends, prepend=0)
+    per_document[lengths > 0] = np.diff(last + 1, prepend=0)
     head = np.array([first_symbol, len(table), len(lengths), len(symbols), end_id])
     arrays = (head, table.ravel(), sizes[first_symbol:], per_document, symbols)
     return MAGIC + b"".join(a.astype("<u4").tobytes() for a in arrays)
