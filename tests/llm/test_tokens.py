@@ -201,3 +201,41 @@ def test_no_round_partitions_all_slots(monkeypatch):
     found, each = grammar.Shard(grammar.compress(ids, lengths, 1000, pairs=64, least=4)).ids()
     assert found.tolist() == ids.tolist() and each.tolist() == lengths.tolist()
     assert all(n < 1 << grammar._SLOT_BITS for n in sizes)
+
+
+class Seen:
+    """A tokenizer that notes the texts it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, []
+
+    def encode(self, text, **options):
+        self.texts.append(text)
+        return self.tokenizer.encode(text, **options)
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += texts
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_words_of_known_pieces_are_not_encoded_again(library):
+    """Case and marks make new words, and neither new pieces nor new calls of the library."""
+    coder = words.WordEncoder(words.default_path())
+    coder.encode(["word *** été $$$ (816)"])
+    coder.tokenizer = seen = Seen(coder.tokenizer)
+    texts = ["Word*** WORD$$$ word", "", "Été*** ÉTÉ$$$\nétÉ", "(816)"]
+    ids, lengths = coder.encode(texts)
+    assert ids.tolist() == [k for text in texts for k in expected_ids(library, text)]
+    assert lengths.tolist() == [len(expected_ids(library, text)) for text in texts]
+    assert seen.texts == []
+
+
+def test_ids_of_every_letter_and_mark(library):
+    """Characters up to U+024F, and some beyond, among letters, alone and before marks."""
+    coder = words.WordEncoder(words.default_path())
+    odd = [chr(c) for c in (*range(1, 0x250), 0x301, 0x338, 0x3A3, 0x1E9E, 0x212A, 0x4E00, 0x1F600)]
+    texts = [f"Ab{c}Cd. {c}{c}! ab{c} {c}'s <|{c}|>" for c in odd] + ["", " \n ", "x<|endoftext|>,"]
+    ids, lengths = coder.encode(texts)
+    assert lengths.tolist() == [len(expected_ids(library, text)) for text in texts]
+    assert ids.tolist() == [k for text in texts for k in expected_ids(library, text)]
+    assert [x.tolist() for x in coder.encode([])] == [[], []]

@@ -1,9 +1,10 @@
-"""Token ids of whole texts through the tokenizers library, one call per distinct word.
+"""Token ids of whole texts through the tokenizers library, which sees each distinct piece once.
 
 The word tokenizer drops white space and never merges across it, so a text's ids are the ids of
-its parts between blanks and line ends. Parts repeat; each is encoded by the library once per Python
-worker and remembered, and texts become look-ups and one numpy gather. Other white space stays
-inside the parts and is left to the library.
+its words between blanks and line ends. Other white space stays inside the words and is left to the
+library. Words repeat: Arrow lists the distinct ones of a slice of texts, and numpy cuts these into
+letters and the marks after them. Each such piece is encoded by the library once per Python worker
+and remembered, and texts become one numpy gather.
 """
 
 from __future__ import annotations
@@ -11,7 +12,6 @@ from __future__ import annotations
 import gc
 import os
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +19,61 @@ import pyarrow as pa
 from vitalsift.llm.common import ragged, text_slices
 
 END_ID = 2
-# Parts remembered by one worker before it starts anew; more memory, fewer repeated calls.
+# Half the pieces remembered by one worker before it starts anew; more memory, fewer repeated calls.
 REMEMBERED = 500_000
 
+# Marks that may follow letters: ASCII but for the apostrophe, which begins pieces such as 's.
+MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+# Bytes in UTF-8: letters of ASCII, the first and second byte of letters from U+00C0 to U+00FF, marks.
+_LETTER, _FIRST, _SECOND, _MARK = 1, 2, 3, 4
+_KIND = np.zeros(256, np.uint8)
+_KIND[[*range(65, 91), *range(97, 123)]] = _LETTER
+_KIND[0xC3] = _FIRST
+_KIND[[k for k in range(0x80, 0xC0) if k not in (0x97, 0xB7)]] = _SECOND
+_KIND[list(MARKS.encode())] = _MARK
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def _strings(data: np.ndarray, starts: np.ndarray) -> pa.DictionaryArray:
+    """The distinct strings among those that begin at ``starts`` and end at the next start."""
+    offsets = np.append(starts, len(data)).astype(np.int32)
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))]
+    return pa.Array.from_buffers(pa.string(), len(starts), buffers).dictionary_encode()
+
+
+def _bytes_of(strings: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all strings, and where each begins."""
+    _, offsets, data = strings.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[: len(strings) + 1].astype(np.int64)
+    return np.frombuffer(data, np.uint8)[: offsets[-1]], offsets[:-1]
+
+
+def _pieces(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cuts words into pieces that the tokenizer encodes apart, two per word, one maybe empty.
+
+    A word of letters of ASCII or Latin-1, then marks, becomes its letters in lower case and its
+    marks: the splitting pattern ends a run of letters at any other character, and lower case and
+    normal form of these letters do not depend on their neighbours. Any other word stays whole.
+    """
+    kind = _KIND[data]
+    letter = kind == _LETTER
+    wide = (kind[:-1] == _FIRST) & (kind[1:] == _SECOND)
+    letter[:-1] |= wide
+    letter[1:] |= wide
+    mark = kind == _MARK
+    odd = ~(letter | mark)
+    inner = np.ones(len(data), bool)
+    inner[starts] = False
+    odd[1:] |= mark[:-1] & letter[1:] & inner[1:]
+    whole = np.logical_or.reduceat(odd, starts)
+    sizes = np.diff(starts, append=len(data))
+    small = _LOWER[data]
+    small[1:][wide & (data[1:] < 0x9F)] += 32
+    small = np.where(np.repeat(whole, sizes), data, small)
+    cuts = np.where(whole, sizes, np.add.reduceat(letter, starts, dtype=np.int64))
+    return small, np.stack([starts, starts + cuts], axis=1).ravel()
+
 
 class Slots(dict):
     """Numbers new keys in order of arrival and lists them."""
@@ -81,107 +133,96 @@ class WordEncoder:
         self.size = max([end_id, *vocabulary.values()]) + 1
         self.closing = np.zeros(self.size, bool)
         self.closing[[k for piece, k in vocabulary.items() if piece.endswith("</w>")]] = True
-        self._forget_words()
-        self._forget_pieces()
-
-    def _forget_words(self) -> None:
-        self.slots, self.words = Slots(), Ragged()
-        # Slot 0 is the end id; no part of a text is None.
-        self.slots[None] = 0
-        self.slots.new = []
-        self.words.extend(np.array([self.end_id], np.uint32), np.ones(1, np.int64))
-
-    def _forget_pieces(self) -> None:
-        self.piece_slots, self.pieces = Slots(), Ragged()
+        self._forget()
 
-    def _split(self, word: str) -> tuple[str, str]:
-        """Pieces that the tokenizer encodes apart: Latin letters and the marks after them.
-
-        Its splitting pattern ends a run of letters at any other character, and lower case and
-        normal form of these letters do not depend on their neighbours. Any other part stays whole.
-        """
-        core = word.rstrip(".,;:!?")
-        if core.isalpha() and (core.isascii() or max(core) < "\u0250"):
-            low = core.lower()
-            if low.isalpha():
-                return low, word[len(core) :]
-        return word, ""
+    def _forget(self) -> None:
+        self.slots, self.pieces = Slots(), Ragged()
 
     def _encode_pieces(self, pieces: list[str]) -> None:
-        """Remember the ids of pieces; those of letters go to the library many at a time."""
-        letters = [p.isalpha() and (p.isascii() or max(p) < "\u0250") for p in pieces]
+        """Remember the ids of pieces; letters, marks after them or not, go to the library many at a time."""
+        closings = np.zeros(len(pieces), np.int64)
+        for k, piece in enumerate(pieces):
+            core = piece.rstrip(MARKS)
+            if core.isalpha() and (core.isascii() or max(core) < "\u0250" and core.lower().isalpha()):
+                closings[k] = 1 + (len(core) < len(piece))
         lengths = np.zeros(len(pieces), np.int64)
-        found: list = [None] * len(pieces)
-        plain = [k for k, only in enumerate(letters) if only]
-        alone = [k for k, only in enumerate(letters) if not only]
-        for at in range(0, len(plain), 512):
-            group = plain[at : at + 512]
-            text = " ".join([pieces[k] for k in group])
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-            # A word of letters ends with the only id of it that closes a word.
+        plain, alone = np.flatnonzero(closings), np.flatnonzero(closings == 0).tolist()
+        groups = [plain[at : at + 512] for at in range(0, len(plain), 512)]
+        texts = [" ".join([pieces[k] for k in group]) for group in groups]
+        order, flat = [], []
+        for group, each in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(each.ids, np.uint32)
+            # Letters end with the only id of theirs that closes a word, and so do marks.
             ends = np.flatnonzero(self.closing[ids]) + 1
-            if len(ends) != len(group):
-                alone += group
+            last = np.cumsum(closings[group])
+            if len(ends) != last[-1]:
+                alone += group.tolist()
                 continue
-            found[group[0]] = ids
-            lengths[group] = np.diff(ends, prepend=0)
-        apart = {}
+            order.append(group)
+            flat.append(ids)
+            lengths[group] = np.diff(ends[last - 1], prepend=0)
         for k, each in zip(alone, self.tokenizer.encode_batch_fast([pieces[k] for k in alone], add_special_tokens=False), strict=True):
-            apart[k] = np.array(each.ids, np.uint32)
-            lengths[k] = len(apart[k])
-        # A group's ids follow one another, although pieces encoded alone may stand between.
-        order = [k for k in plain if k not in apart] + alone
-        flat = [found[k] for k in plain if found[k] is not None] + [apart[k] for k in alone]
-        place = np.empty(len(pieces), np.int64)
-        place[order] = np.arange(len(order))
-        sizes = lengths[order]
-        starts = np.cumsum(sizes) - sizes
-        ids = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
-        self.pieces.extend(ids[ragged(starts[place], lengths)], lengths)
-
-    def _learn(self) -> None:
-        words, self.slots.new = self.slots.new, []
-        if len(self.piece_slots) > 2 * self.remembered:
-            self._forget_pieces()
-        slots = np.fromiter(
-            map(self.piece_slots.__getitem__, chain.from_iterable(map(self._split, words))), np.int64, 2 * len(words)
-        )
-        new, self.piece_slots.new = self.piece_slots.new, []
-        self._encode_pieces(new)
-        flat, lengths = self.pieces.gather(slots)
-        self.words.extend(flat, lengths.reshape(-1, 2).sum(axis=1))
+            flat.append(np.array(each.ids, np.uint32))
+            lengths[k] = len(flat[-1])
+        order = np.concatenate([*order, np.array(alone, np.int64)])
+        starts = np.zeros(len(pieces), np.int64)
+        starts[order] = np.cumsum(lengths[order]) - lengths[order]
+        self.pieces.extend(np.concatenate(flat)[ragged(starts, lengths)], lengths)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in order (uint32), and the number of ids of each text, end id included.
+        """All ids in order (uint32), and the number of ids of each text, end id included."""
+        data = [text.encode() for text in texts]
+        offsets = np.cumsum([0, *map(len, data)])
+        return self.encode_bytes(np.frombuffer(b"".join(data), np.uint8), offsets)
+
+    def encode_bytes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode`` for texts in UTF-8, one after another from each offset to the next.
 
         Nothing made here refers back to itself, so the cycle collector, which would walk
-        through the remembered words again and again, rests meanwhile.
+        through the remembered pieces again and again, rests meanwhile.
         """
         collecting = gc.isenabled()
         gc.disable()
         try:
-            return self._encode(texts)
+            return self._encode(data, offsets)
         finally:
             if collecting:
                 gc.enable()
 
-    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.slots) > self.remembered:
-            self._forget_words()
-        words: list = []
-        parts = np.zeros(len(texts), np.int64)
-        for k, text in enumerate(texts):
-            before = len(words)
-            words += text.replace("\n", " ").split(" ") if "\n" in text else text.split(" ")
-            words.append(None)
-            parts[k] = len(words) - before
-        slots = np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
+    def _encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.slots) > 2 * self.remembered:
+            self._forget()
+        inside = (data != 32) & (data != 10)
+        first = inside.copy()
+        first[1:] &= ~inside[:-1]
+        begins = offsets[:-1][offsets[:-1] < offsets[1:]]
+        first[begins] = inside[begins]
+        # Places of words' first bytes among all bytes, and among those of words alone.
+        starts = np.flatnonzero(first)
+        words = _strings(data[inside], np.flatnonzero(first[inside]))
+        parts = np.searchsorted(starts, offsets)
+        flat, lengths = self._ids_of(words.dictionary)
+        # The end id, after each text, is a word after the last.
+        which = np.insert(words.indices.to_numpy(), parts[1:], len(lengths))
+        lengths = np.append(lengths, 1)
+        flat = np.append(flat, np.uint32(self.end_id))
+        each = lengths[which]
+        ids = flat[ragged((np.cumsum(lengths) - lengths)[which], each)]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        return ids, np.diff(ends[parts + np.arange(len(parts))])
+
+    def _ids_of(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, one after another, and their lengths."""
+        if not len(words):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        pieces = _strings(*_pieces(*_bytes_of(words)))
+        distinct = pieces.dictionary.to_numpy(zero_copy_only=False)
+        slots = np.fromiter(map(self.slots.__getitem__, distinct), np.int64, len(distinct))
         if self.slots.new:
-            self._learn()
-        ids, lengths = self.words.gather(slots)
-        if not texts:
-            return ids, parts
-        return ids, np.add.reduceat(lengths, np.cumsum(parts) - parts)
+            new, self.slots.new = self.slots.new, []
+            self._encode_pieces(new)
+        flat, lengths = self.pieces.gather(slots[pieces.indices.to_numpy()])
+        return flat, lengths.reshape(-1, 2).sum(axis=1)
 
 
 _encoders: dict[tuple, WordEncoder] = {}
@@ -205,7 +246,6 @@ def encoded_rows(
 ) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     """Per slice of the input: document ids, all token ids, ids per document."""
     own = encoder(path, end_id)
-    for part, _, _ in text_slices(batches, "text"):
-        texts = [t or "" for t in part.column(part.schema.get_field_index("text")).to_pylist()]
-        ids, lengths = own.encode(texts)
+    for part, data, offsets in text_slices(batches, "text"):
+        ids, lengths = own.encode_bytes(data, offsets)
         yield part.column(part.schema.get_field_index("doc_id")).to_pylist(), ids, lengths
