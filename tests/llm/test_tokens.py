@@ -239,3 +239,26 @@ def test_ids_of_every_letter_and_mark(library):
     assert lengths.tolist() == [len(expected_ids(library, text)) for text in texts]
     assert ids.tolist() == [k for text in texts for k in expected_ids(library, text)]
     assert [x.tolist() for x in coder.encode([])] == [[], []]
+
+
+def test_rounds_look_at_changed_pairs_only(monkeypatch):
+    """Slots and counts kept from round to round equal fresh ones, and late rounds compute few."""
+    computed, fresh, frequent = [], grammar._slots, grammar._frequent
+
+    def checked(symbols, slots, counts, *limits):
+        inner = np.flatnonzero(slots < 1 << grammar._SLOT_BITS)
+        assert (slots[inner] == fresh(symbols[inner], symbols[inner + 1])).all()
+        assert len(symbols) - len(inner) == 4
+        assert (counts == np.bincount(slots[inner], minlength=len(counts))).all()
+        return frequent(symbols, slots, counts, *limits)
+
+    monkeypatch.setattr(grammar, "_slots", lambda a, b: computed.append(len(a)) or fresh(a, b))
+    monkeypatch.setattr(grammar, "_frequent", checked)
+    rng = np.random.default_rng(6)
+    ids = rng.integers(0, 300, 60_000).astype(np.uint32)
+    ids[20_000:20_900] = 7
+    lengths = np.array([0, 20_000, 1, 0, 39_000, 999])
+    body = grammar.compress(ids, lengths, 1000, pairs=64, least=4)
+    found, each = grammar.Shard(body).ids()
+    assert found.tolist() == ids.tolist() and each.tolist() == lengths.tolist()
+    assert len(computed) > 20 and max(computed[1:]) < 0.5 * len(ids)

@@ -39,23 +39,28 @@ def _slots(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return (mixed * np.uint32(0xC2B2AE35) >> np.uint32(32 - _SLOT_BITS)).astype(np.intp)
 
 
-def _frequent(left, right, slots, most: int, least: int) -> np.ndarray:
-    """The most frequent pairs as 64-bit keys, by falling count and rising key.
+def _rising(*places: np.ndarray) -> np.ndarray:
+    """All places of 0 or more, each once and rising; in every row of ``places``, no place exceeds the next row's."""
+    every = np.stack(places, axis=1).ravel()
+    every = every[np.append(True, every[1:] != every[:-1])]
+    return every[int(every[0] < 0) :]
 
-    Pairs of two documents are in the slot after the last.
+
+def _frequent(symbols, slots, counts, most: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent pairs as 64-bit keys, by falling count and rising key; where they may stand.
+
+    A pair stands at its left symbol. ``counts`` are the pairs of each slot.
     """
-    counts = np.bincount(slots, minlength=(1 << _SLOT_BITS) + 1)
-    counts[-1] = 0
     full = counts[counts >= least]
     limit = int(np.partition(full, -most)[-most]) if len(full) >= most else least
     # Full slots may hold rare pairs only; then all slots that can hold a frequent one are read.
     for enough in sorted({limit, least}, reverse=True):
         at = np.flatnonzero((counts >= enough)[slots])
-        keys, times = np.unique(left[at].astype(np.int64) << 32 | right[at], return_counts=True)
+        keys, times = np.unique(symbols[at].astype(np.int64) << 32 | symbols[at + 1], return_counts=True)
         keys, times = keys[times >= least], times[times >= least]
         if len(keys):
             break
-    return keys[np.lexsort((keys, -times))][:most]
+    return keys[np.lexsort((keys, -times))][:most], at
 
 
 def compress(
@@ -71,23 +76,24 @@ def compress(
     last = np.cumsum(lengths[lengths > 0], dtype=np.int64) - 1
     rules: list[np.ndarray] = []
     sizes = np.ones(first_symbol, np.uint32)
+    # Slots of the pairs that begin at each symbol; the last of a document is in a slot that counts none.
+    none = 1 << _SLOT_BITS
+    slots = np.full(len(symbols), none, np.intp)
+    slots[:-1] = _slots(symbols[:-1], symbols[1:])
+    slots[last] = none
+    counts = np.bincount(slots, minlength=none + 1)
     for _ in itertools.count() if rounds is None else range(rounds):
-        if len(symbols) < 2:
-            break
-        left, right = symbols[:-1], symbols[1:]
-        slots = _slots(left, right)
-        slots[last[:-1]] = 1 << _SLOT_BITS
-        keys = _frequent(left, right, slots, pairs, least)
+        counts[none] = 0
+        keys, at = _frequent(symbols, slots, counts, pairs, least)
         if not len(keys):
             break
         low, high = (keys >> 32).astype(np.uint32), (keys & 0xFFFFFFFF).astype(np.uint32)
-        rule_at = np.full((1 << _SLOT_BITS) + 1, -1, np.int32)
+        rule_at = np.full(none + 1, -1, np.int32)
         # Of rules with one slot the most frequent, written last, stays.
         rule_at[_slots(low, high)[::-1]] = np.arange(len(keys), dtype=np.int32)[::-1]
-        rule = rule_at[slots]
-        hit = np.flatnonzero(rule >= 0)
-        own = rule[hit]
-        fits = (low[own] == left[hit]) & (high[own] == right[hit])
+        rule = rule_at[slots[at]]
+        hit, own = at[rule >= 0], rule[rule >= 0]
+        fits = (low[own] == symbols[hit]) & (high[own] == symbols[hit + 1])
         hit, own = hit[fits], own[fits]
         # In a run of one symbol every second pair overlaps the one before it.
         place = np.arange(len(hit))
@@ -95,10 +101,10 @@ def compress(
         fresh[1:] = (np.diff(hit) > 1) | (own[1:] != own[:-1])
         even = (place - np.maximum.accumulate(np.where(fresh, place, 0))) % 2 == 0
         hit, own = hit[even], own[even]
-        none = np.iinfo(np.int32).max
-        rank = np.full(len(symbols) + 2, none, np.int32)
-        rank[hit + 1] = own
-        wins = (own < rank[hit]) & (own <= rank[hit + 2])
+        meets = np.diff(hit) == 1
+        wins = np.ones(len(hit), bool)
+        wins[1:] &= ~meets | (own[1:] < own[:-1])
+        wins[:-1] &= ~meets | (own[:-1] <= own[1:])
         chosen, own = hit[wins], own[wins]
         if not len(chosen):
             break
@@ -106,11 +112,18 @@ def compress(
         kept = np.unique(own)
         number = np.zeros(len(keys), np.uint32)
         number[kept] = len(sizes) + np.arange(len(kept), dtype=np.uint32)
+        # Only the pairs of a replaced symbol and the one before it change their slots.
+        np.subtract.at(counts, slots[_rising(chosen - 1, chosen, chosen + 1)], 1)
         symbols[chosen] = number[own]
         stays = np.ones(len(symbols), bool)
         stays[chosen + 1] = False
-        symbols = symbols[stays]
+        symbols, slots = symbols[stays], slots[stays]
         last = last - np.searchsorted(chosen + 1, last, side="right")
+        moved = chosen - np.arange(len(chosen))
+        moved = _rising(moved - 1, moved)
+        slots[moved] = _slots(symbols[moved], symbols[np.minimum(moved + 1, len(symbols) - 1)])
+        slots[last] = none
+        np.add.at(counts, slots[moved], 1)
         rules.append(np.stack([low[kept], high[kept]], axis=1))
         sizes = np.concatenate([sizes, sizes[low[kept]] + sizes[high[kept]]])
     table = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)

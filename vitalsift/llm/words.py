@@ -75,6 +75,14 @@ def _pieces(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return small, np.stack([starts, starts + cuts], axis=1).ravel()
 
 
+def _closings(piece: str) -> int:
+    """Ids of a piece that close a word, if it is Latin letters and maybe marks after them; else 0."""
+    core = piece.rstrip(MARKS)
+    if core.isalpha() and max(core) < "\u0250" and core.lower().isalpha():
+        return 1 + (len(core) < len(piece))
+    return 0
+
+
 class Slots(dict):
     """Numbers new keys in order of arrival and lists them."""
 
@@ -140,11 +148,7 @@ class WordEncoder:
 
     def _encode_pieces(self, pieces: list[str]) -> None:
         """Remember the ids of pieces; letters, marks after them or not, go to the library many at a time."""
-        closings = np.zeros(len(pieces), np.int64)
-        for k, piece in enumerate(pieces):
-            core = piece.rstrip(MARKS)
-            if core.isalpha() and (core.isascii() or max(core) < "\u0250" and core.lower().isalpha()):
-                closings[k] = 1 + (len(core) < len(piece))
+        closings = np.array([1 if p.isascii() and p.isalpha() else _closings(p) for p in pieces], np.int64)
         lengths = np.zeros(len(pieces), np.int64)
         plain, alone = np.flatnonzero(closings), np.flatnonzero(closings == 0).tolist()
         groups = [plain[at : at + 512] for at in range(0, len(plain), 512)]
